@@ -141,5 +141,5 @@ def pack(documents: DataFrame, vocabulary: str | None = None, capacity: int = CA
         return rest.assign(sequence_id=sequence, offset=offset)[result]
 
     shape = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-    rest = placed.filter("not full").select(*result[:5], "place").groupBy(F.lit(0)).applyInPandas(first_fit, shape)
+    rest = placed.filter("not full").select(*result[:5], "place").groupBy().applyInPandas(first_fit, shape)
     return full.select(result).unionByName(rest)
