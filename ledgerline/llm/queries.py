@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprint, packing, token_count, topk, toxicity
+from . import fingerprint, lm, packing, token_count, topk, toxicity
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -29,6 +29,10 @@ def op5_exact_top_k(spark: SparkSession, folder: str) -> DataFrame:
     return topk.exact_top_k(table(spark, folder, "embeddings"))
 
 
+def op6_lm_scores(spark: SparkSession, folder: str) -> DataFrame:
+    return lm.score(table(spark, folder, "documents"))
+
+
 def op7_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"))
 
@@ -38,6 +42,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_counts": op2_token_counts,
     "op4_fingerprints": op4_fingerprints,
     "op5_exact_top_k": op5_exact_top_k,
+    "op6_lm_scores": op6_lm_scores,
     "op7_packing": op7_packing,
 }
 
