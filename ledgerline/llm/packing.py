@@ -15,6 +15,8 @@ follows the input. An empty table gives an empty result; columns other than the
 from __future__ import annotations
 
 import functools
+import itertools
+import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -28,8 +30,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from .common import saved, text_bytes
+from .token_count import byte_letters
 
-CAPACITY, TAIL, END_ID, KEPT = 4096, 64, 2, 400_000
+CAPACITY, TAIL, END_ID, KEPT = 4096, 64, 2, 500_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, worker int, nth long"
 
 
@@ -46,27 +49,71 @@ def cut_lengths(n: int, capacity: int = CAPACITY, tail: int = TAIL) -> list[int]
     return [*out, r] if r else out
 
 
+#: Runs of these letters, then of these marks, are cut between the two and need no normalising but lower case.
+PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!\"#$%&()*+,\-./:;=>?@\[\\\]^_`{|}~]*)")
+
+
 class IdTable:
-    """Token ids, as little-endian bytes, of runs between ASCII white space (which the vocabulary drops)."""
+    """Token ids, as little-endian bytes, of runs between ASCII white space (which the vocabulary drops).
+
+    What has been coded is kept in a table of bounded size; a full table stays for one more round, so frequent runs stay known.
+    """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.merging = Tokenizer(self.tokenizer.model)  # for words that are normalised already
+        self.merging.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        self.letters = {byte: letter for letter, byte in byte_letters().items()}
         self.known: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+        self.words: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {"": b""}
+
+    def code_whole(self, texts: list[str]) -> list[bytes]:
+        """By the whole tokenizer, normaliser and special tokens included."""
+        return [np.array(c.ids, dtype="<u4").tobytes() for c in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def code_words(self, words: list[str], at_once: int = 32) -> list[bytes]:
+        """Plain lower-case words, many in each call."""
+        spelled = [w if w.isascii() else w.encode().decode("latin-1").translate(self.letters) for w in words]
+        out: list[bytes] = []
+        for c in self.merging.encode_batch([" ".join(spelled[i : i + at_once]) for i in range(0, len(spelled), at_once)], add_special_tokens=False):
+            ids, owner = np.array(c.ids, dtype="<u4").tobytes(), c.word_ids
+            begins = [0, *(i for i in range(1, len(owner)) if owner[i] != owner[i - 1]), len(owner)]
+            out += [ids[4 * i : 4 * j] for i, j in itertools.pairwise(begins)]
+        return out
+
+    def learn(self, runs: set[bytes]) -> None:
+        known, old = self.known, self.old
+        new: list[tuple[bytes, str, str]] = []
+        odd: list[bytes] = []
+        for run in runs:
+            if run in old:
+                known[run] = old[run]
+            elif m := PLAIN.fullmatch(run.decode("utf-8", "replace")):
+                new.append((run, m[1].lower(), m[2]))
+            else:
+                odd.append(run)
+        known.update(zip(odd, self.code_whole([r.decode("utf-8", "replace") for r in odd]), strict=True))
+        words, marks = self.words, self.marks
+        missing = list({w for _, w, _ in new if w not in words})
+        words.update(zip(missing, self.code_words(missing), strict=True))
+        missing = list({m for _, _, m in new if m not in marks})
+        marks.update(zip(missing, self.code_whole(missing), strict=True))
+        known.update((run, words[w] + marks[m]) for run, w, m in new)
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        words = [t.split() for t in texts]
         if len(self.known) > KEPT:
-            self.known.clear()
-        known = self.known
-        new = list({w for ws in words for w in ws if w not in known})
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            coded = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)
-            known.update(zip(part, (np.array(c.ids, dtype="<u4").tobytes() for c in coded), strict=True))
-        look = known.__getitem__
-        return [b"".join(map(look, ws)) for ws in words]
+            self.old, self.known = self.known, {}
+            self.words.clear()
+        if len(self.marks) > KEPT:
+            self.marks = {"": b""}
+        runs = [t.split() for t in texts]
+        self.learn(set().union(*runs) - self.known.keys())
+        look = self.known.__getitem__
+        return [b"".join(map(look, ws)) for ws in runs]
 
 
 @functools.cache
@@ -88,8 +135,8 @@ def pieces(documents: DataFrame, vocabulary: str | None = None, capacity: int =
         met: dict[int, int] = defaultdict(int)
         for batch in rows:
             ids, texts, out = batch.column(0).to_pylist(), batch.column(1).to_pylist(), []
-            for i in range(0, len(ids), 512):
-                for doc_id, coded in zip(ids[i : i + 512], table.encode(texts[i : i + 512]), strict=True):
+            for i in range(0, len(ids), 1024):
+                for doc_id, coded in zip(ids[i : i + 1024], table.encode(texts[i : i + 1024]), strict=True):
                     view, start = memoryview(coded + end), 0
                     total = len(view) // 4
                     for length in cut_lengths(total, capacity):
