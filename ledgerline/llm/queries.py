@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprint, jaccard, lm, packing, token_count, topk, toxicity
+from . import fingerprint, jaccard, licenses, lm, mixing, packing, secrets, token_count, topk, toxicity
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -21,6 +21,10 @@ def op2_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_count.count_tokens(table(spark, folder, "documents"))
 
 
+def op3_secret_scans(spark: SparkSession, folder: str) -> DataFrame:
+    return secrets.scan(table(spark, folder, "documents"))
+
+
 def op4_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return fingerprint.fingerprints(table(spark, folder, "documents"))
 
@@ -41,14 +45,32 @@ def op8_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.join(table(spark, folder, "documents"))
 
 
+def op9_license_scans(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.scan(table(spark, folder, "documents"))
+
+
+def op10_source_mix(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mix(table(spark, folder, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def pipeline(spark: SparkSession, folder: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, folder)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_token_counts": op2_token_counts,
+    "op3_secret_scans": op3_secret_scans,
     "op4_fingerprints": op4_fingerprints,
     "op5_exact_top_k": op5_exact_top_k,
     "op6_lm_scores": op6_lm_scores,
     "op7_packing": op7_packing,
     "op8_jaccard_join": op8_jaccard_join,
+    "op9_license_scans": op9_license_scans,
+    "op10_source_mix": op10_source_mix,
+    "pipeline": pipeline,
 }
 
 TOP_K = """
