@@ -85,4 +85,55 @@ WITH v AS (
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 10
 """
 
-ORACLES: dict[str, str] = {"op5_exact_top_k": TOP_K}
+JACCARD = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), sh AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [w] ELSE list_transform(range(1, len(w) - 1), lambda i: w[i:i + 2]) END) AS s FROM w
+), n AS (
+  SELECT w.doc_id, count(sh.doc_id) AS n FROM w LEFT JOIN sh ON sh.doc_id = w.doc_id GROUP BY w.doc_id
+), l AS (
+  SELECT a.doc_id AS x, b.doc_id AS y FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id <> b.doc_id JOIN n na ON na.doc_id = a.doc_id JOIN n nb ON nb.doc_id = b.doc_id
+  GROUP BY a.doc_id, b.doc_id HAVING 100 * count(*) >= 90 * (any_value(na.n) + any_value(nb.n) - count(*))
+), r AS (
+  SELECT doc_id AS x, doc_id AS y FROM n UNION SELECT r.x, l.y FROM r JOIN l ON l.x = r.y
+)
+SELECT n.doc_id, n.n AS n_shingles, min(r.y) AS component_id FROM n JOIN r ON r.x = n.doc_id GROUP BY n.doc_id, n.n
+"""
+
+MIX = r"""
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents
+), s AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS key FROM d GROUP BY source
+), w AS (
+  SELECT *, [1.0, 2.0, 3.0][(key - 1) % 3 + 1]::DOUBLE AS weight, source_size * 3.0::DOUBLE AS cap, sum(source_size) OVER () AS total FROM s
+), c AS (
+  SELECT *, (total - coalesce(sum(cap) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0))
+    / sum(weight) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w
+), g AS (
+  SELECT *, CASE WHEN level > cap / weight THEN cap ELSE least(cap, weight * (SELECT arg_min(level, cap / weight) FROM c WHERE level <= cap / weight)) END AS target FROM c
+), b AS (
+  SELECT CAST(greatest(16, least(4096, any_value(total) // 65536)) AS BIGINT) AS block, CAST(any_value(total) AS BIGINT) AS total FROM g
+), h AS (
+  SELECT *, sum(target) OVER (ORDER BY key) / sum(target) OVER () AS high, CAST(ceil(source_size / (SELECT block FROM b)) AS BIGINT) AS blocks FROM g WHERE target > 0
+), i AS (
+  SELECT *, coalesce(lag(high) OVER (ORDER BY key), 0.0) AS low, CASE WHEN key = max(key) OVER () THEN 2.0 ELSE high END AS top FROM h
+), t AS (
+  SELECT r AS slot, (r + 1) * 0.6180339887498949::DOUBLE - floor((r + 1) * 0.6180339887498949::DOUBLE) AS point FROM (SELECT unnest(range((SELECT total // block FROM b))) AS r)
+), k AS (
+  SELECT i.key, i.blocks, row_number() OVER (PARTITION BY i.key ORDER BY t.slot) - 1 AS rank FROM t JOIN i ON t.point >= i.low AND t.point < i.top
+), m AS (
+  SELECT key, rank % blocks AS block_no, count(*) AS times FROM k WHERE rank < 3 * blocks GROUP BY ALL
+), p AS (
+  SELECT d.doc_id, d.size, g.source_size, g.target, g.key, sum(d.size) OVER (PARTITION BY g.key ORDER BY md5('mix:' || d.doc_id), d.doc_id, d.size ROWS UNBOUNDED PRECEDING) - d.size AS begins
+  FROM d JOIN g ON g.source IS NOT DISTINCT FROM d.source
+), x AS (
+  SELECT p.*, unnest(CASE WHEN size > 0 THEN range(CAST(begins // block AS BIGINT), CAST((begins + size - 1) // block + 1 AS BIGINT)) ELSE [] END) AS block_no, block FROM p, b
+), y AS (
+  SELECT x.doc_id, sum((least(x.begins + x.size, (x.block_no + 1) * block) - greatest(x.begins, x.block_no * block)) * coalesce(m.times, 0)) AS taken FROM x LEFT JOIN m ON m.key = x.key AND m.block_no = x.block_no GROUP BY x.doc_id
+)
+SELECT p.doc_id, p.size, p.source_size, p.target, CAST(coalesce(y.taken, 0) AS BIGINT) AS taken FROM p LEFT JOIN y ON y.doc_id = p.doc_id
+"""
+
+ORACLES: dict[str, str] = {"op5_exact_top_k": TOP_K, "op8_jaccard_join": JACCARD, "op10_source_mix": MIX}
