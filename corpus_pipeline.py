@@ -26,7 +26,7 @@ def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """``docs`` less the ids in ``gone``; null ids stay."""
     gone = saved(gone.select(F.col("doc_id").alias("_gone")).distinct(), "gone")
     gone = F.broadcast(gone) if gone.count() <= SMALL_ROWS else gone
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    return docs.alias("d").join(gone.alias("g"), F.col("d.doc_id") == F.col("g._gone"), "left_anti")
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

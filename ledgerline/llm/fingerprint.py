@@ -154,7 +154,7 @@ def fingerprints(documents: DataFrame, ranges: int | None = None) -> DataFrame:
     width = shuffle_width(spark)
     ranges = ranges or min(8 * width, 20_000)
     bounds = sorted(set(docs.select(F.col("doc_id").cast("double").alias("x")).approxQuantile("x", [i / ranges for i in range(1, ranges)], 0.2 / ranges)))
-    inf = float("inf")
+    inf, bounds = float("inf"), bounds or [0.0]
     dealt = Bucketizer(splits=[-inf, *bounds, inf], inputCol="x", outputCol="range", handleInvalid="keep").transform(docs.withColumn("x", F.coalesce(F.col("doc_id").cast("double"), F.lit(-inf))))
     dealt = dealt.select("doc_id", "text", F.col("range").cast("int").alias("range"))
     heads = dealt.groupBy("range").agg(F.min("doc_id").alias("head"), F.max(F.col("doc_id").isNull()).alias("unnamed")).orderBy("range").collect()

@@ -95,9 +95,12 @@ def mix(documents: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), most
 
 def mixed_documents(documents: DataFrame, small_rows: int = 1_000_000, **options) -> DataFrame:
     """Each document as often as the mix takes it, whole: its words taken divided by its size, rounded half up; none for 0."""
-    copies = mix(documents, **options).filter("size > 0").groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size")).agg(F.avg(F.floor(F.col("taken") / F.col("size") + 0.5)).cast("int").alias("_copies"))
-    copies = saved(copies.filter("_copies > 0"), "copies")
+    times = F.avg(F.floor(F.col("taken") / F.col("size") + 0.5)).cast("int").alias("copies")
+    copies = mix(documents, **options).filter("size > 0").groupBy(F.col("doc_id").alias("id"), F.col("source").alias("origin"), F.col("size").alias("words")).agg(times)
+    copies = saved(copies.filter("copies > 0"), "copies")
     copies = F.broadcast(copies) if copies.count() <= small_rows else copies
     size = F.when(F.col("text").isNull(), 0).otherwise(F.regexp_count("text", F.lit(WORDS))).cast("long")
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_n") == F.col("_size"))
-    return documents.withColumn("_n", size).join(copies, same).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(documents.columns)
+    rows = documents.select(F.struct("*").alias("row"), size.alias("n"))
+    same = F.col("row.doc_id").eqNullSafe(F.col("id")) & F.col("row.source").eqNullSafe(F.col("origin")) & (F.col("n") == F.col("words"))
+    repeated = rows.join(copies, same).select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
+    return repeated.select("row.*")

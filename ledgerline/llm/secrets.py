@@ -115,9 +115,8 @@ def entropy_spans(text: Column, base: Column) -> Column:
 
 
 def with_spans(documents: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
-    """``keep`` and the spans: base_spans by pattern, all_spans with the method's, both in order of start, kind, end."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    rows = documents.select(*keep, t.alias("_text"))
+    """The columns ``keep`` as a struct ``row``, the text as ``_text`` (null as empty), and the spans, in order of start, kind, end: base_spans by pattern, all_spans with the method's."""
+    rows = documents.select(F.struct(*keep).alias("row"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
     low = F.lower("_text")
     gate = functools.reduce(operator.or_, [F.contains(low, F.lit(w)) for w in KEYWORDS])
     found = [spans(F.col("_text"), p, i, 2, LEAST_VALUE, gate) if k == "assign" else spans(F.col("_text"), p, i) for i, (k, p) in enumerate(KINDS.items())]
@@ -137,7 +136,7 @@ def scan(documents: DataFrame) -> DataFrame:
     def n(kind: str) -> Column:
         return F.size(F.filter("all_spans", lambda s: s["kind"] == ORDER.index(kind))).cast("long").alias(f"n_{kind}")
 
-    return rows.select("doc_id", n("assign"), n("access"), n("hex"), F.sha2(listed("base_spans").cast("binary"), 256).alias("base_sha256"), listed("all_spans").alias("spans"), n("entropy"))
+    return rows.select("row.doc_id", n("assign"), n("access"), n("hex"), F.sha2(listed("base_spans").cast("binary"), 256).alias("base_sha256"), listed("all_spans").alias("spans"), n("entropy"))
 
 
 def redact(documents: DataFrame, mark: str = "[SECRET]") -> DataFrame:
@@ -151,8 +150,9 @@ def redact(documents: DataFrame, mark: str = "[SECRET]") -> DataFrame:
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], F.concat(acc["out"], gap, F.lit(mark))).otherwise(acc["out"]).alias("out"))
 
     clean = F.aggregate("all_spans", begin, step, lambda acc: F.concat(acc["out"], F.substring(F.col("_text"), (acc["at"] + 1).cast("int"), F.length("_text"))))
-    text = F.when(F.col("text").isNull() | (F.size("all_spans") == 0), F.col("text")).otherwise(clean)
-    rows = rows.withColumn("text", text)
+    whole = F.col("row.text").isNull() | (F.size("all_spans") == 0)
+    text = F.when(whole, F.col("row.text")).otherwise(clean)
+    again = {"text": text}
     if "n_chars" in kept:
-        rows = rows.withColumn("n_chars", F.when(F.size("all_spans") == 0, F.col("n_chars")).otherwise(F.length("text").cast(documents.schema["n_chars"].dataType)))
-    return rows.select(kept)
+        again["n_chars"] = F.when(whole, F.col("row.n_chars")).otherwise(F.length(clean).cast(documents.schema["n_chars"].dataType))
+    return rows.select(*[again.get(c, F.col("row")[c]).alias(c) for c in kept])
