@@ -6,8 +6,8 @@ the result names each document's connected component. Documents with equal sets
 1. Candidates. Sets of at least the threshold differ in at most d tokens, d known from the sizes. Tokens are dealt into d + 1
    parts by hash, so one part must be equal in both: sets that share the digest of a part are candidates. Parts are numbered
    for size bands, each set acting in its own band and the next, since linked sizes lie within one band of each other.
-2. Groups. A class's group is the smallest part digest that it shares with another one, so that similar documents meet; groups
-   are split so that each holds a bounded number of sets. Groups whose members share a digest are a pair of groups.
+2. Groups. Classes that shared digests connect are a family; families are split, by hash, into groups of a bounded number of
+   sets. Groups whose members share a digest are a pair of groups.
 3. The matrix. For each pair of groups (and each group with itself) a member's overlap with the other group's token union bounds
    its overlap with every member there; only members that reach 9 tenths of their own size open the group. Opened members are
    compared exactly, by products of their token incidence, and a spanning forest of the links goes on.
@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .common import mix64, saved, shuffle_width, text_bytes
 
-GROUP_MEMBERS, COLUMNS, KEPT, FLUSH = 48, 1 << 16, 500_000, 1_000_000
+GROUP_MEMBERS, COLUMNS, KEPT, FLUSH, SLOT_BYTES = 48, 1 << 16, 500_000, 1_000_000, 4 << 20
 SETS = "doc_id long, n_shingles long, class_id long"
 
 
@@ -243,9 +243,11 @@ def join(documents: DataFrame, width: int = 3, percent: int = 90, small_rows: in
     of_class = full.groupBy("class_id", "n_shingles").agg(F.min("doc_id").alias("doc_id"))
 
     shared = saved(shared_digests(named, width, percent, 4 * shuffle_width(spark)), "shared")
-    first = shared.groupBy("class_id").agg(F.min("digest").alias("key"))
-    sizes = first.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    groups = first.join(sizes, "key").select("class_id", F.xxhash64("key", F.pmod(F.xxhash64("class_id"), F.ceil(F.col("n") / GROUP_MEMBERS))).alias("group"))
+    least = shared.groupBy("digest").agg(F.min("class_id").alias("least"))
+    families = components(shared.join(least, "digest").select(F.col("class_id").alias("x"), F.col("least").alias("y")).filter("x <> y").distinct())
+    first = shared.select("class_id").distinct().join(families, F.col("class_id") == F.col("node"), "left").select("class_id", F.coalesce("component", "class_id").alias("family"))
+    sizes = first.groupBy("family").agg(F.count(F.lit(1)).alias("n"))
+    groups = first.join(sizes, "family").select("class_id", F.xxhash64("family", F.pmod(F.xxhash64("class_id"), F.ceil(F.col("n") / GROUP_MEMBERS))).alias("group"))
     groups = saved(groups, "groups")
     met = shared.join(groups, "class_id").select("digest", "group").distinct()
     met = saved(met, "met")
@@ -265,19 +267,27 @@ def join(documents: DataFrame, width: int = 3, percent: int = 90, small_rows: in
     members = named.join(wanted, "doc_id").select("group", "class_id", "text").mapInArrow(batches, "group long, class_id long, tokens binary")
     members = saved(members, "members")
 
+    # Pairs are compared some at a time, as many as make about SLOT_BYTES of tokens.
+    weights = members.groupBy("group").agg(F.sum(F.octet_length("tokens")).alias("w"))
+    one, two = (weights.select(F.col("group").alias(side), F.col("w").alias(f"w_{side}")) for side in ("one", "two"))
+    weight = pairs.join(one, "one").join(two, "two").agg(F.sum(F.col("w_one") + F.col("w_two"))).first()[0] or 0
+    slots = max(1, weight // SLOT_BYTES)
+
     def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(left) and len(right):
-            same = left["group"].iloc[0] == right["group"].iloc[0]
-            left, right = (x.drop_duplicates("class_id") for x in (left, right))
-            a, b = ([np.frombuffer(t, "<u8") for t in x["tokens"]] for x in (left, right))
-            x, y = left["class_id"].tolist(), right["class_id"].tolist()
-            out = forest([(x[i], y[j]) for i, j in links_between(a, b, percent) if not same or x[i] < y[j]])
+        out: list[tuple[int, int]] = []
+        rights = right.groupby(["one", "two"]).indices
+        for key, at in left.groupby(["one", "two"]).indices.items():
+            a, b = left.iloc[at].drop_duplicates("class_id"), right.iloc[rights[key]].drop_duplicates("class_id") if key in rights else right.iloc[:0]
+            sets = [[np.frombuffer(t, "<u8") for t in x["tokens"]] for x in (a, b)]
+            if all(sets):
+                x, y = a["class_id"].tolist(), b["class_id"].tolist()
+                out += forest([(x[i], y[j]) for i, j in links_between(*sets, percent) if key[0] != key[1] or x[i] < y[j]])
         return pd.DataFrame(out, columns=["x", "y"], dtype="int64")
 
-    columns = ["one", "two", "group", "class_id", "tokens"]
-    sides = [pairs.join(members, F.col(side) == F.col("group")).select(columns).toDF(*columns) for side in ("one", "two")]
-    links = sides[0].groupBy("one", "two").cogroup(sides[1].groupBy("one", "two")).applyInPandas(compare, "x long, y long")
+    columns = ["slot", "one", "two", "class_id", "tokens"]
+    dealt = pairs.withColumn("slot", F.pmod(F.xxhash64("one", "two"), F.lit(slots)))
+    sides = [dealt.join(members, F.col(side) == F.col("group")).select(columns).toDF(*columns) for side in ("one", "two")]
+    links = sides[0].groupBy("slot").cogroup(sides[1].groupBy("slot")).applyInPandas(compare, "x long, y long")
     joined = components(links)
 
     placed = of_class.join(joined, F.col("class_id") == F.col("node"), "left").withColumn("component", F.coalesce("component", "class_id"))
