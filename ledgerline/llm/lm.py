@@ -8,8 +8,8 @@ purpose. The end token is the context of a text's first word.
 How it runs: documents are coded in chunks (a bounded number of tokens each, with the chunk's own vocabulary). Every chunk
 asks once for each distinct unigram and bigram: the requests, packed as sorted arrays, are dealt by the hash of the n-gram,
 their owners add up the counts of all chunks and answer each chunk in the order it asked. So a frequent n-gram is summed in
-each chunk before anything is shuffled, and no table of counts is broadcast or held whole anywhere. N-grams are told apart by
-64-bit hashes.
+each chunk before anything is shuffled, and no table of counts is broadcast or held whole anywhere. Words are told apart by
+64-bit hashes, bigrams by 56-bit ones.
 
 Null texts count as empty: one end token. A null id counts as the empty text in the choice of folds. Without training documents
 N and V are 0 and every estimate is uniform. Repeated rows are counted and scored as often as they occur. An empty table gives
@@ -35,11 +35,11 @@ from pyspark.sql import functions as F
 from .common import mix64, saved, shuffle_width, text_bytes
 
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-CODED = "chunk long, part int, ids binary, folds binary, lengths binary, codes binary, vocabulary binary"
-ANSWERS = "chunk long, kind int, bucket int, total binary, deleted binary, tokens long, deleted_tokens long, types long"
+CODED = "chunk long, deleted boolean, ids binary, marks binary, lengths binary, codes binary, vocabulary binary"
+ANSWERS = "chunk long, deleted boolean, kind int, bucket int, total binary, held binary, tokens long, held_tokens long, types long"
 END = xxhash.xxh64_intdigest(b"\x00end")
-CHUNK_TOKENS = 2_000_000
-#: Folds of a document: 0 trains, 1 trains and is deleted for learning the weights, 2 takes no part.
+CHUNK_TOKENS = 3_000_000
+#: Folds of a document: 0 trains, 1 trains and is deleted for learning the weights, 2 takes no part. Documents of fold 1 have chunks of their own.
 TRAIN, DELETED, OUT = 0, 1, 2
 BUCKETS = 24
 BINS, BIN = 240, 0.1  # log10 bins of probabilities, for the counts that expectation-maximisation reads
@@ -65,121 +65,144 @@ def bigram_keys(codes: np.ndarray, vocabulary: np.ndarray) -> np.ndarray:
     v = vocabulary[codes]
     before = np.concatenate([vocabulary[:1], v[:-1]])
     with np.errstate(over="ignore"):
-        return mix64(mix64(before) * np.uint64(3) + v)
+        return mix64(mix64(before) * np.uint64(3) + v) >> np.uint64(64 - BITS[1])
 
 
-def counted(keys: np.ndarray, folds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct keys, ascending, their training and deleted counts, and the place of each token's key."""
-    distinct, place = np.unique(keys, return_inverse=True)
-    total = np.bincount(place[folds != OUT], minlength=len(distinct))
-    deleted = np.bincount(place[folds == DELETED], minlength=len(distinct))
-    return distinct, total, deleted, place
+BITS = (64, 56)  # of a unigram's and a bigram's key
+STEP = np.uint64(1 << 40)
+
 
+def put_keys(keys: np.ndarray, base: int) -> bytes:
+    """Ascending keys as differences of five bytes; the few larger ones are listed apart."""
+    steps = np.diff(keys, prepend=np.uint64(base))
+    large = np.flatnonzero(steps >= STEP)
+    head = np.array([len(large), *large], dtype="<u4").tobytes() + steps[large].astype("<u8").tobytes()
+    return head + steps.astype("<u8").view("u1").reshape(-1, 8)[:, :5].tobytes()
 
-def small(a: np.ndarray) -> np.ndarray:
-    return a.astype(np.uint32)
+
+def get_keys(data: bytes, base: int) -> np.ndarray:
+    n = int(np.frombuffer(data, "<u4", 1)[0])
+    large, values = np.frombuffer(data, "<u4", n, 4), np.frombuffer(data, "<u8", n, 4 + 4 * n)
+    five = np.frombuffer(data, "u1", offset=4 + 12 * n).reshape(-1, 5)
+    steps = np.zeros((len(five), 8), "u1")
+    steps[:, :5] = five
+    steps = steps.view("<u8").ravel().copy()
+    steps[large] = values
+    return np.cumsum(steps, dtype=np.uint64) + np.uint64(base)
+
+
+def counted(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys, ascending, how often they train, and the place of each token's key."""
+    distinct, place = np.unique(keys, return_inverse=True)
+    return distinct, np.bincount(place[counts], minlength=len(distinct)).astype(np.uint32), place
 
 
 def code(documents: DataFrame, folds: int, out: int, deleted: int) -> DataFrame:
-    """Chunks of coded documents; part 1 holds the deleted fold's documents, part 0 all others."""
+    """Chunks of coded documents, one row each; documents of the deleted fold are in chunks of their own."""
 
     def chunks(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in CODED.split(", ")]
+        kinds = [pa.int64(), pa.bool_()] + [pa.binary()] * 5
         task, serial = TaskContext.get().partitionId(), itertools.count()
 
-        def fresh():
-            words: defaultdict[bytes, int] = defaultdict(itertools.count(1).__next__)
-            return words, ([], [], [], []), ([], [], [], [])
-
-        def flush(words, *parts) -> pa.RecordBatch:
-            vocabulary = np.array([END, *map(xxhash.xxh64_intdigest, words)], dtype=np.uint64)
-            chunk, out_rows = (task << 32) | next(serial), []
-            for part, (ids, marks, lengths, codes) in enumerate(parts):
-                if ids:
-                    known = np.array([x is not None for x in ids])
-                    cells = [np.array([x or 0 for x in ids], "<i8"), np.array(marks, "u1") | (~known << 7).astype("u1"), np.array(lengths, "<u4"), np.concatenate(codes).astype("<u4"), vocabulary]
-                    out_rows.append((chunk, part, *map(pack, cells)))
-            kinds = [pa.int64(), pa.int32()] + [pa.binary()] * 5
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out_rows, strict=True), kinds, strict=True)], names=names)
-
-        (words, *parts), held = fresh(), 0
+        class Open:
+            def __init__(self):
+                self.words: defaultdict[bytes, int] = defaultdict(itertools.count(1).__next__)
+                self.ids, self.marks, self.lengths, self.codes, self.held = [], [], [], [], 0
+
+            def row(self, held: bool) -> pa.RecordBatch:
+                vocabulary = np.array([END, *map(xxhash.xxh64_intdigest, self.words)], dtype=np.uint64)
+                marks = np.array(self.marks, "u1") | (np.array([x is None for x in self.ids]).astype("u1") << 7)
+                cells = [np.array([x or 0 for x in self.ids], "<i8"), marks, np.array(self.lengths, "<u4"), np.concatenate(self.codes).astype("<u4"), vocabulary]
+                values = ((task << 32) | next(serial), held, *map(pack, cells))
+                return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], names=names)
+
+        parts = {False: Open(), True: Open()}
         for batch in rows:
             for doc_id, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 tokens = raw.lower().split()
                 fold = fold_of(doc_id, folds, out, deleted)
-                ids, marks, lengths, codes = parts[fold == DELETED]
+                part = parts[fold == DELETED]
                 row = np.zeros(len(tokens) + 1, dtype=np.int64)
-                row[:-1] = np.fromiter(map(words.__getitem__, tokens), dtype=np.int64, count=len(tokens))
-                ids.append(doc_id), marks.append(fold), lengths.append(len(row)), codes.append(row)  # noqa: B018
-                held += len(row)
-                if held >= CHUNK_TOKENS:
-                    yield flush(words, *parts)
-                    (words, *parts), held = fresh(), 0
-        if held:
-            yield flush(words, *parts)
+                row[:-1] = np.fromiter(map(part.words.__getitem__, tokens), dtype=np.int64, count=len(tokens))
+                part.ids.append(doc_id)
+                part.marks.append(fold)
+                part.lengths.append(len(row))
+                part.codes.append(row.astype(np.uint32))
+                part.held += len(row)
+                if part.held >= CHUNK_TOKENS:
+                    yield part.row(fold == DELETED)
+                    parts[fold == DELETED] = Open()
+        for held, part in parts.items():
+            if part.held:
+                yield part.row(held)
 
     return documents.select(F.col("doc_id").cast("long"), text_bytes().alias("text")).mapInArrow(chunks, CODED)
 
 
-def asked(chunk: pd.DataFrame) -> dict:
-    """What a chunk's two parts ask for: kind 0 unigrams, kind 1 bigrams, with the tokens' places among the distinct keys."""
-    rows = chunk.sort_values("part")
-    vocabulary = unpack(rows["vocabulary"].iloc[0], "<u8")
-    lengths = np.concatenate([unpack(x, "<u4") for x in rows["lengths"]]).astype(np.int64)
-    codes = np.concatenate([unpack(x, "<u4") for x in rows["codes"]])
-    marks = np.concatenate([unpack(x, "u1") for x in rows["folds"]])
-    ids = np.concatenate([unpack(x, "<i8") for x in rows["ids"]])
-    folds = np.repeat(marks & 0x7F, lengths)
+def asked(chunk) -> dict:
+    """What a chunk asks for: under 0 its unigrams and under 1 its bigrams."""
+    vocabulary, lengths = unpack(chunk.vocabulary, "<u8"), unpack(chunk.lengths, "<u4").astype(np.int64)
+    codes, marks, ids = unpack(chunk.codes, "<u4"), unpack(chunk.marks, "u1"), unpack(chunk.ids, "<i8")
+    trains = np.repeat((marks & 0x7F) != OUT, lengths)
+    # Codes tell unigrams apart already: only the vocabulary is sorted.
+    order = np.argsort(vocabulary)
+    place = np.empty(len(vocabulary), np.int64)
+    place[order] = np.arange(len(vocabulary))
+    counts = np.bincount(codes[trains], minlength=len(vocabulary)).astype(np.uint32)[order]
     return {
-        "ids": [None if m & 0x80 else int(i) for i, m in zip(ids, marks, strict=True)], "folds": folds, "lengths": lengths, "marks": marks & 0x7F, "codes": codes,
-        0: counted(vocabulary[codes], folds), 1: counted(bigram_keys(codes, vocabulary), folds),
+        "ids": [None if m & 0x80 else int(i) for i, m in zip(ids, marks, strict=True)], "marks": marks & 0x7F, "lengths": lengths,
+        0: (vocabulary[order], counts, place[codes]), 1: counted(bigram_keys(codes, vocabulary), trains), "end": place[0],
     }
 
 
-def bounds(keys: np.ndarray, buckets: int) -> np.ndarray:
-    """Where each bucket's run of the ascending keys begins and the last one's ends: buckets are ranges of hashes."""
-    edges = np.array([(i << 64) // buckets for i in range(1, buckets)], dtype=np.uint64)
-    return np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]])
+def edges(kind: int, buckets: int) -> list[int]:
+    """Buckets are ranges of hashes."""
+    return [(i << BITS[kind]) // buckets for i in range(buckets)]
 
 
 def requests(coded: DataFrame, buckets: int) -> DataFrame:
-    def ask(chunk: pd.DataFrame) -> pd.DataFrame:
-        found, out = asked(chunk), []
-        for kind in (0, 1):
-            keys, total, deleted, _ = found[kind]
-            edge = bounds(keys, buckets)
-            for b, (i, j) in enumerate(itertools.pairwise(edge)):
-                if j > i:
-                    out.append((int(chunk["chunk"].iloc[0]), kind, b, keys[i:j].tobytes(), pack(small(total[i:j])), pack(small(deleted[i:j]))))
-        return pd.DataFrame(out, columns=["chunk", "kind", "bucket", "keys", "total", "deleted"])
-
-    return coded.groupBy("chunk").applyInPandas(ask, "chunk long, kind int, bucket int, keys binary, total binary, deleted binary")
-
-
-def answers(asking: DataFrame) -> DataFrame:
+    def ask(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for chunk in frame.itertuples(index=False):
+                found, out = asked(chunk), []
+                for kind in (0, 1):
+                    keys, counts, _ = found[kind]
+                    lows = edges(kind, buckets)
+                    cut = [*np.searchsorted(keys, np.array(lows, dtype=np.uint64)), len(keys)]
+                    for b, (i, j) in enumerate(itertools.pairwise(cut)):
+                        if j > i:
+                            out.append((int(chunk.chunk), bool(chunk.deleted), kind, b, put_keys(keys[i:j], lows[b]), pack(counts[i:j])))
+                yield pd.DataFrame(out, columns=["chunk", "deleted", "kind", "bucket", "keys", "counts"])
+
+    return coded.mapInPandas(ask, "chunk long, deleted boolean, kind int, bucket int, keys binary, counts binary")
+
+
+def answers(asking: DataFrame, buckets: int) -> DataFrame:
     """Owners add up what all chunks have counted and answer each in its own order."""
 
     def add(rows: pd.DataFrame) -> pd.DataFrame:
-        keys = [np.frombuffer(k, dtype="<u8") for k in rows["keys"]]
+        base = edges(int(rows["kind"].iloc[0]), buckets)[int(rows["bucket"].iloc[0])]
+        keys = [get_keys(k, base) for k in rows["keys"]]
+        ends = np.cumsum([0, *map(len, keys)])
         _, place = np.unique(np.concatenate(keys), return_inverse=True)
         n = int(place.max(initial=-1)) + 1
-        total, deleted = (np.bincount(place, weights=np.concatenate([unpack(x, "<u4") for x in rows[c]]), minlength=n).astype(np.int64) for c in ("total", "deleted"))
-        ends = np.cumsum([0, *map(len, keys)])
-        out = rows[["chunk", "kind", "bucket"]].copy()
-        out["total"] = [pack(total[place[i:j]]) for i, j in itertools.pairwise(ends)]
-        out["deleted"] = [pack(deleted[place[i:j]]) for i, j in itertools.pairwise(ends)]
+        counts = np.concatenate([unpack(x, "<u4") for x in rows["counts"]])
+        held = counts * np.repeat(rows["deleted"].to_numpy(), np.diff(ends))
+        total, held = (np.bincount(place, weights=x, minlength=n).astype(np.int64) for x in (counts, held))
+        out = rows[["chunk", "deleted", "kind", "bucket"]].copy()
+        out["total"] = [pack(total[place[i:j]].astype("<i8")) for i, j in itertools.pairwise(ends)]
+        # Only the deleted fold's own chunks ever need the counts without it.
+        out["held"] = [pack(held[place[i:j]].astype("<i8")) if d else b"" for d, (i, j) in zip(rows["deleted"], itertools.pairwise(ends), strict=True)]
         first = np.arange(len(out)) == 0  # the bucket's sums, told once
-        out["tokens"], out["deleted_tokens"], out["types"] = (np.where(first, x, 0) for x in (total.sum(), deleted.sum(), (total > 0).sum()))
+        out["tokens"], out["held_tokens"], out["types"] = (np.where(first, x, 0) for x in (total.sum(), held.sum(), (total > 0).sum()))
         return out
 
     return asking.groupBy("kind", "bucket").applyInPandas(add, ANSWERS)
 
 
-def told(replies: pd.DataFrame) -> dict:
-    out = {}
-    for kind, rows in replies.sort_values("bucket").groupby("kind"):
-        out[int(kind)] = tuple(np.concatenate([unpack(x, "<i8") for x in rows[c]]) for c in ("total", "deleted"))
-    return out
+def told(replies: pd.DataFrame, column: str) -> dict[int, np.ndarray]:
+    return {int(kind): np.concatenate([unpack(x, "<i8") for x in rows[column]]) for kind, rows in replies.sort_values("bucket").groupby("kind")}
 
 
 def context_bucket(count: np.ndarray) -> np.ndarray:
@@ -197,32 +220,27 @@ def bin_of(p: np.ndarray) -> np.ndarray:
 
 
 def contexts(found: dict) -> np.ndarray:
-    """The place, among the chunk's unigrams, of each token's context."""
-    place = found[0][3]
-    # Code 0 is the end token: the first token of a chunk has it as its context, as all first tokens have.
-    end = place[np.flatnonzero(found["codes"] == 0)[0]]
-    return np.concatenate([[end], place[:-1]])
+    """The place, among the chunk's unigrams, of each token's context; the end token is the first token's."""
+    return np.concatenate([[found["end"]], found[0][2][:-1]])
 
 
 def held_counts(coded: DataFrame, replies: DataFrame, totals: dict) -> DataFrame:
-    """Held-out tokens, counted by context bucket and by the bins of their deleted estimates."""
-    n = totals["tokens"] - totals["deleted"]
+    """Held-out tokens, counted by context bucket and by the bins of their deleted estimates. Only the deleted fold's chunks are read."""
+    n = totals["tokens"] - totals["held"]
 
     def count(chunk: pd.DataFrame, reply: pd.DataFrame) -> pd.DataFrame:
-        columns = ["context", "bin2", "bin1", "n"]
-        if not len(chunk) or not (chunk["part"] == 1).any():
-            return pd.DataFrame({c: pd.Series([], dtype="int64") for c in columns})
-        found, got = asked(chunk), told(reply)
-        one, two = got[0][0] - got[0][1], got[1][0] - got[1][1]
-        pick = found["folds"] == DELETED
-        context = one[contexts(found)[pick]]
-        p2, p1 = shares(two[found[1][3][pick]], context), shares(one[found[0][3][pick]], float(n))
+        found, total, held = asked(chunk.iloc[0]), told(reply, "total"), told(reply, "held")
+        one, two = total[0] - held[0], total[1] - held[1]
+        context = one[contexts(found)]
+        p2, p1 = shares(two[found[1][2]], context), shares(one[found[0][2]], float(n))
         cell = (context_bucket(context) * BINS + bin_of(p2)) * BINS + bin_of(p1)
         cells, counts = np.unique(cell, return_counts=True)
         return pd.DataFrame({"context": cells // BINS**2, "bin2": cells // BINS % BINS, "bin1": cells % BINS, "n": counts})
 
     shape = "context long, bin2 long, bin1 long, n long"
-    return coded.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInPandas(count, shape).groupBy("context", "bin2", "bin1").agg(F.sum("n").alias("n"))
+    mine = replies.filter("deleted").select("chunk", "kind", "bucket", "total", "held")
+    counted_cells = coded.filter("deleted").groupBy("chunk").cogroup(mine.groupBy("chunk")).applyInPandas(count, shape)
+    return counted_cells.groupBy("context", "bin2", "bin1").agg(F.sum("n").alias("n"))
 
 
 def learn_weights(counts: pd.DataFrame, uniform: float, rounds: int = 60) -> np.ndarray:
@@ -252,25 +270,25 @@ def learn_weights(counts: pd.DataFrame, uniform: float, rounds: int = 60) -> np.
 def score(documents: DataFrame, folds: int = 7, out: int = 2, deleted: int = 10, buckets: int | None = None) -> DataFrame:
     """One row for each document. Those with crc32(doc_id) mod ``folds`` = ``out`` teach nothing; one in ``deleted`` of the rest is held out for the weights."""
     coded = saved(code(documents, folds, out, deleted), "coded")
-    replies = saved(answers(requests(coded, buckets or 2 * shuffle_width(documents.sparkSession))), "counts")
-    sums = replies.filter("kind = 0").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tokens", "deleted_tokens", "types")]).first()
-    totals = {"tokens": sums["tokens"], "deleted": sums["deleted_tokens"], "types": sums["types"]}
+    buckets = buckets or 2 * shuffle_width(documents.sparkSession)
+    replies = saved(answers(requests(coded, buckets), buckets), "counts")
+    sums = replies.filter("kind = 0").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tokens", "held_tokens", "types")]).first()
+    totals = {"tokens": sums["tokens"], "held": sums["held_tokens"], "types": sums["types"]}
     n, v = totals["tokens"], totals["types"]
     # At most BUCKETS * BINS * BINS rows reach the driver, whatever the input.
     weights = learn_weights(held_counts(coded, replies, totals).toPandas(), 1 / (v + 1))
 
     def rate(chunk: pd.DataFrame, reply: pd.DataFrame) -> pd.DataFrame:
-        found, got = asked(chunk), told(reply)
-        one, two = got[0][0], got[1][0]
-        ends = np.cumsum(found["lengths"])
-        starts = ends - found["lengths"]
-        c, context = one[found[0][3]], one[contexts(found)]
+        found, total = asked(chunk.iloc[0]), told(reply, "total")
+        one, two = total[0], total[1]
+        starts = np.cumsum(found["lengths"]) - found["lengths"]
+        c, context = one[found[0][2]], one[contexts(found)]
         w = weights[context_bucket(context)]
-        p = w[:, 0] * shares(two[found[1][3]], context) + w[:, 1] * shares(c, float(n)) + w[:, 2] / (v + 1)
+        p = w[:, 0] * shares(two[found[1][2]], context) + w[:, 1] * shares(c, float(n)) + w[:, 2] / (v + 1)
         add = lambda x: np.add.reduceat(x, starts)
         return pd.DataFrame({
             "doc_id": pd.array(found["ids"], dtype="Int64"), "held_out": found["marks"] == OUT, "n_tokens": found["lengths"], "n_known": add((c > 0).astype(np.int64)), "train_tokens": n,
             "base_score": add(np.log10((c + 1) / (n + v + 1))), "score": add(np.log10(p)),
         })
 
-    return coded.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInPandas(rate, SCORES)
+    return coded.groupBy("chunk").cogroup(replies.select("chunk", "kind", "bucket", "total").groupBy("chunk")).applyInPandas(rate, SCORES)
