@@ -271,3 +271,24 @@ def test_pk_checks(spark):
     assert d(spark.createDataFrame([("1", "2")], "k string, v string")) != d(spark.createDataFrame([("12", "")], "k string, v string"))
     with pytest.raises(ValueError, match="floating"):
         writes.pk_checksum(df.withColumn("k", F.col("k").cast("double")), ["k"])
+
+
+def test_volume_on_a_stream_is_part_of_the_batch(spark):
+    rows = spark.range(200).select((F.lit(1_700_000_000) + F.col("id") * 60).cast("timestamp").alias("ts"), (F.col("id") % 3).alias("user"), F.lit(5).cast("long").alias("size"))
+    batch = {tuple(r) for r in meter.volume_by_window(rows, "ts", "user", "size", "30 minutes").collect()}
+    closed = [tuple(r) for r in stream.replay(rows, lambda x: meter.volume_by_window(x, "ts", "user", "size", "30 minutes", "5 minutes"), "volume").collect()]
+    assert closed and set(closed) <= batch and len(set(closed)) == len(closed)
+
+
+def test_activity_stream(spark, tmp_path):
+    t = watch.Thresholds(runaways=2)
+    activity = spark.createDataFrame([(1, 10, i, "agent" if i % 2 else None, None, "active", 60_000 + i) for i in range(4)], sources.ACTIVITY)
+    activity.write.parquet(str(tmp_path / "a"))
+    seen = []
+    q = sources.read_activity(spark, str(tmp_path / "a")).writeStream.foreachBatch(lambda df, _: seen.extend(watch.assess_backends(df, t).collect())).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert [(r["terminate"], r["spared"], r["runaways"]) for r in seen] == [([1, 3], [2], 3)]  # exactly the limit is no runaway
+    ticks = spark.createDataFrame([(1, 10, 0), (1, 11, 1 << 40)], "cluster_id long, tick long, lag_bytes long")
+    slots = spark.createDataFrame([(1, 10, "b", 1, 1 << 40), (1, 10, "a", 2, 1 << 40), (1, 10, "c", 0, 5)], "cluster_id long, tick long, slot_name string, position long, retained_wal_bytes long")
+    reasons = watch.trip_reasons(ticks, watch.assess_backends(activity, t), watch.slot_alarms(slots, t), t).collect()
+    assert {r["tick"]: r["reason"] for r in reasons} == {10: "slot:b", 11: "lag"}
