@@ -20,6 +20,8 @@ from ledgerline.llm.common import saved
 
 #: Documents up to which their ids may be broadcast; beyond it the join shuffles.
 SMALL_ROWS = 1_000_000
+#: Coded runs that a worker remembers while packing: few, since the executors' memory is also taken by the stages before.
+REMEMBERED = 100_000
 
 
 def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
@@ -46,7 +48,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs)
+    return packing.pack(docs, kept=REMEMBERED)
 
 
 STAGES = [

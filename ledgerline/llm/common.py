@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from typing import TypeVar
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+T = TypeVar("T")
 _own_folder: dict[str, str] = {}
 
 
@@ -31,6 +34,17 @@ def saved(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_resident: dict[str, object] = {}
+
+
+def resident(name: str, build: Callable[[], T]) -> T:
+    """A table that a Python worker keeps between tasks. Asking for another one drops it, so tables of several operators never add up."""
+    if name not in _resident:
+        _resident.clear()
+        _resident[name] = build()
+    return _resident[name]
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -32,9 +32,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, saved, shuffle_width, text_bytes
+from .common import mix64, resident, saved, shuffle_width, text_bytes
 
-GROUP_MEMBERS, COLUMNS, KEPT, FLUSH, SLOT_BYTES = 48, 1 << 16, 500_000, 1_000_000, 4 << 20
+GROUP_MEMBERS, COLUMNS, KEPT, FLUSH, SLOT_BYTES = 48, 1 << 16, 150_000, 1_000_000, 4 << 20
 SETS = "doc_id long, n_shingles long, class_id long"
 
 
@@ -46,17 +46,15 @@ class Words(dict):
         return h
 
 
-_words = Words()
-
-
 def shingles(raw: bytes, width: int) -> np.ndarray:
     """The distinct shingles of a text, ascending."""
+    words = resident("words", Words)
     tokens = raw.lower().split()
     if not tokens:
         return np.empty(0, np.uint64)
-    if len(_words) > KEPT:
-        _words.clear()
-    h = np.fromiter(map(_words.__getitem__, tokens), dtype=np.uint64, count=len(tokens))
+    if len(words) > KEPT:
+        words.clear()
+    h = np.fromiter(map(words.__getitem__, tokens), dtype=np.uint64, count=len(tokens))
     n = max(1, len(h) - width + 1)
     with np.errstate(over="ignore"):
         out = np.full(n, np.uint64(min(width, len(h))))

@@ -32,13 +32,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, saved, shuffle_width, text_bytes
+from .common import mix64, resident, saved, shuffle_width, text_bytes
 
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 CODED = "chunk long, deleted boolean, ids binary, marks binary, lengths binary, codes binary, vocabulary binary"
 ANSWERS = "chunk long, deleted boolean, kind int, bucket int, total binary, held binary, tokens long, held_tokens long, types long"
 END = xxhash.xxh64_intdigest(b"\x00end")
-CHUNK_TOKENS = 3_000_000
+CHUNK_TOKENS = 2_000_000
 #: Folds of a document: 0 trains, 1 trains and is deleted for learning the weights, 2 takes no part. Documents of fold 1 have chunks of their own.
 TRAIN, DELETED, OUT = 0, 1, 2
 BUCKETS = 24
@@ -117,6 +117,7 @@ def code(documents: DataFrame, folds: int, out: int, deleted: int) -> DataFrame:
                 values = ((task << 32) | next(serial), held, *map(pack, cells))
                 return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], names=names)
 
+        resident("none", dict)
         parts = {False: Open(), True: Open()}
         for batch in rows:
             for doc_id, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):

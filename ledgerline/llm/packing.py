@@ -14,7 +14,6 @@ follows the input. An empty table gives an empty result; columns other than the
 
 from __future__ import annotations
 
-import functools
 import itertools
 import re
 import zlib
@@ -29,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from .common import saved, text_bytes
+from .common import resident, saved, text_bytes
 from .token_count import byte_letters
 
 CAPACITY, TAIL, END_ID, KEPT = 4096, 64, 2, 500_000
@@ -52,6 +51,8 @@ def cut_lengths(n: int, capacity: int = CAPACITY, tail: int = TAIL) -> list[int]
 #: Runs of these letters, then of these marks, are cut between the two and need no normalising but lower case.
 PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!\"#$%&()*+,\-./:;=>?@\[\\\]^_`{|}~]*)")
 
+MARKS = rb"""!"#$%&()*+,-./:;=>?@[\]^_`{|}~"""
+
 
 class IdTable:
     """Token ids, as little-endian bytes, of runs between ASCII white space (which the vocabulary drops).
@@ -59,9 +60,10 @@ class IdTable:
     What has been coded is kept in a table of bounded size; a full table stays for one more round, so frequent runs stay known.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, kept: int = KEPT):
         from tokenizers import Tokenizer, pre_tokenizers
 
+        self.kept = kept
         self.tokenizer = Tokenizer.from_file(path)
         self.merging = Tokenizer(self.tokenizer.model)  # for words that are normalised already
         self.merging.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
@@ -92,6 +94,10 @@ class IdTable:
         for run in runs:
             if run in old:
                 known[run] = old[run]
+                continue
+            core = run.rstrip(MARKS)
+            if core.isalpha():  # ASCII letters only
+                new.append((run, core.lower().decode(), run[len(core) :].decode()))
             elif m := PLAIN.fullmatch(run.decode("utf-8", "replace")):
                 new.append((run, m[1].lower(), m[2]))
             else:
@@ -105,10 +111,10 @@ class IdTable:
         known.update((run, words[w] + marks[m]) for run, w, m in new)
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        if len(self.known) > KEPT:
+        if len(self.known) > self.kept:
             self.old, self.known = self.known, {}
             self.words.clear()
-        if len(self.marks) > KEPT:
+        if len(self.marks) > self.kept:
             self.marks = {"": b""}
         runs = [t.split() for t in texts]
         self.learn(set().union(*runs) - self.known.keys())
@@ -116,12 +122,7 @@ class IdTable:
         return [b"".join(map(look, ws)) for ws in runs]
 
 
-@functools.cache
-def id_table(path: str) -> IdTable:
-    return IdTable(path)
-
-
-def pieces(documents: DataFrame, vocabulary: str | None = None, capacity: int = CAPACITY) -> DataFrame:
+def pieces(documents: DataFrame, vocabulary: str | None = None, capacity: int = CAPACITY, kept: int = KEPT) -> DataFrame:
     """Each document's pieces with the crc32 of their ids, numbered by worker and length."""
     end = np.array([END_ID], dtype="<u4").tobytes()
 
@@ -131,7 +132,7 @@ def pieces(documents: DataFrame, vocabulary: str | None = None, capacity: int =
             import public_tokenizers
 
             path = public_tokenizers.path("word_bpe_49k.json")
-        table, worker = id_table(path), TaskContext.get().partitionId()
+        table, worker = resident(f"{path} {kept}", lambda: IdTable(path, kept)), TaskContext.get().partitionId()
         met: dict[int, int] = defaultdict(int)
         for batch in rows:
             ids, texts, out = batch.column(0).to_pylist(), batch.column(1).to_pylist(), []
@@ -150,9 +151,9 @@ def pieces(documents: DataFrame, vocabulary: str | None = None, capacity: int =
     return documents.select(F.col("doc_id").cast("long"), text_bytes().alias("text")).mapInArrow(batches, PIECES)
 
 
-def pack(documents: DataFrame, vocabulary: str | None = None, capacity: int = CAPACITY) -> DataFrame:
-    """One row for each piece, with the sequence and the offset it lies at; offsets have no gaps."""
-    cut = saved(pieces(documents, vocabulary, capacity), "pieces")
+def pack(documents: DataFrame, vocabulary: str | None = None, capacity: int = CAPACITY, kept: int = KEPT) -> DataFrame:
+    """One row for each piece, with the sequence and the offset it lies at; offsets have no gaps. ``kept`` bounds the coded runs that a Python worker remembers: memory against time, never the result."""
+    cut = saved(pieces(documents, vocabulary, capacity, kept), "pieces")
     # A row for each worker and length: at most some dozens of lengths for each worker.
     counts = cut.groupBy("length", "worker").agg(F.count(F.lit(1)).alias("n"))
     by_length = W.Window.partitionBy("length")

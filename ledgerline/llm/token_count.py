@@ -10,7 +10,6 @@ table gives an empty result; columns other than the id and the text are ignored.
 
 from __future__ import annotations
 
-import functools
 import json
 from collections.abc import Iterable, Iterator
 
@@ -20,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_bytes
+from .common import resident, text_bytes
 
 SCHEMA = "doc_id long, n_bytes long, n_tokens long"
 #: The white space of Unicode.
@@ -128,11 +127,6 @@ class MergeTable:
         return out
 
 
-@functools.cache
-def merge_table(path: str) -> MergeTable:
-    return MergeTable(path)
-
-
 def count_tokens(documents: DataFrame, vocabulary: str | None = None, max_tokens: int = 512) -> DataFrame:
     """Bytes and tokens of each row's whole text; ``vocabulary`` is the path of a byte-level BPE file that all workers can open."""
 
@@ -142,7 +136,7 @@ def count_tokens(documents: DataFrame, vocabulary: str | None = None, max_tokens
             import public_tokenizers
 
             path = public_tokenizers.path("byte_bpe_50k.json")
-        table = merge_table(path)
+        table = resident(path, lambda: MergeTable(path))
         for batch in rows:
             raw = batch.column(1).to_pylist()
             tokens: list[int] = []

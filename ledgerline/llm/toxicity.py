@@ -20,7 +20,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_crc, saved, text_bytes
+from .common import id_crc, resident, saved, text_bytes
 
 INSULTS = frozenset(
     b"""idiot idiots moron morons stupid loser losers scum trash clown clowns pathetic worthless disgusting dumb fool fools
@@ -80,6 +80,7 @@ def features(text: Column, learned: dict[str, float]) -> Column:
 
     @F.pandas_udf("array<double>")
     def dense(texts: pd.Series) -> pd.Series:
+        resident("none", dict)
         return pd.Series([features_of(bytes(x), terms, stems) for x in texts], dtype=object)
 
     return dense(text_bytes(text))
