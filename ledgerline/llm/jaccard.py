@@ -5,7 +5,8 @@ the result names each document's connected component. Documents with equal sets
 
 1. Candidates. Sets of at least the threshold differ in at most d tokens, d known from the sizes. Tokens are dealt into d + 1
    parts by hash, so one part must be equal in both: sets that share the digest of a part are candidates. Parts are numbered
-   for size bands, each set acting in its own band and the next, since linked sizes lie within one band of each other.
+   for size bands, each set acting in its own band and the next, since linked sizes lie within one band of each other. A set
+   with more than d filled parts leaves its empty ones out: d differences spoil at most d of the filled, so one of these is equal.
 2. Groups. Classes that shared digests connect are a family; families are split, by hash, into groups of a bounded number of
    sets. Groups whose members share a digest are a pair of groups.
 3. The matrix. For each pair of groups (and each group with itself) a member's overlap with the other group's token union bounds
@@ -76,6 +77,8 @@ def bands(percent: int) -> tuple[list[int], list[int]]:
         begins.append(max(begins[-1] + 1, math.ceil(begins[-1] * 100 / percent)))
     # Two sets of sizes a, b and similarity s or more differ in at most (1 - s) / (1 + s) * (a + b) tokens.
     parts = [(100 - percent) * 2 * (end - 1) // (100 + percent) + 1 for end in begins[1:]]
+    # Some more where parts are so small that a few are likely to be empty; one part stays one.
+    parts = [p + (math.ceil(3 * p * math.exp(-(end - 1) / p) - 0.05) if p > 1 else 0) for p, end in zip(parts, begins[1:], strict=True)]
     return begins, parts
 
 
@@ -88,9 +91,14 @@ def digests(tokens: np.ndarray, percent: int) -> np.ndarray:
         p = np.uint64(parts[b])
         if parts[b] > 1:  # with one part only equal sets meet
             sums = np.zeros(parts[b], np.uint64)
+            at = (tokens % p).astype(np.int64)
             with np.errstate(over="ignore"):
-                np.add.at(sums, (tokens % p).astype(np.int64), mix64(tokens))
-                out.append(mix64(sums + mix64(np.arange(parts[b], dtype=np.uint64) + np.uint64(b << 32))))
+                np.add.at(sums, at, mix64(tokens))
+                found = mix64(sums + mix64(np.arange(parts[b], dtype=np.uint64) + np.uint64(b << 32)))
+            # The most tokens in which this set and a linked one of this band or the one before can differ.
+            most = (100 - percent) * (len(tokens) + min(begins[b + 1] - 1, len(tokens) * 100 // percent)) // (100 + percent)
+            filled = np.bincount(at, minlength=parts[b]) > 0
+            out.append(found[filled] if int(filled.sum()) > most else found)
     return np.concatenate(out) if out else np.empty(0, np.uint64)
 
 
