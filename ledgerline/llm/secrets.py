@@ -28,10 +28,10 @@ LEAST_VALUE = 6
 #: One of these is in every text, in lower case, that has an assignment.
 KEYWORDS = ["passw", "secret", "token", "api"]
 ORDER = [*KINDS, "entropy"]
-#: Candidates of the method, by character class: pattern, window, least entropy in bits.
+#: Candidates of the method, by character class: pattern, window, least entropy in bits. One may follow '=', as in NAME=value.
 CLASSES = {
-    "hexadecimal": (r"(?<![A-Za-z0-9+/_=-])[0-9A-Fa-f]{20,}(?![A-Za-z0-9+/_=-])", 20, 3.0),
-    "base64": (r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_=-])", 20, 3.7),
+    "hexadecimal": (r"(?<![A-Za-z0-9+/_-])[0-9A-Fa-f]{20,}(?![A-Za-z0-9+/_=-])", 20, 3.0),
+    "base64": (r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_=-])", 20, 3.7),
 }
 #: A candidate that matches is no secret: no digit or one case only without digits, identifiers and paths of words, examples, runs.
 ALLOWED = "|".join(
