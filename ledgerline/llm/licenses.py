@@ -1,7 +1,8 @@
 """License scans by ordered signature rules, in SQL functions only.
 
 Each license name is written by hand; forms (tag, grant, title, web address) turn the names into some hundreds of rules, each a
-regular expression with a keyword that must be in the text before the expression is tried, a priority and a strength.
+regular expression with keywords, one of which must be in the text before the expression is tried (every match holds one, with runs
+of white space and hyphens as one space, and the fixed words of the rule's form), a priority and a strength.
 Detections are resolved in order of place: one inside another falls, of equal ones the better priority stays, and of two that
 overlap otherwise the one with the better priority stays. The labels of what stays, and those of the base phrases, are the
 text's labels; the score is 1 less the product of what each leaves open.
@@ -23,8 +24,6 @@ WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Base phrases and their labels.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
-#: A text whose lower-case form holds none of these has no detection.
-TRIGGERS = "licen|spdx|creative commons|creativecommons|cc by|cc-by|cc0|public domain|rights reserved|copyright|copyleft|gnu.org|opensource.org|permission|redistribution".split("|")
 
 #: Label, expression of the name (spaces stand for any run of spaces or hyphens), SPDX identifier, keywords (one of them is in every match), web address.
 LICENSES = [
@@ -111,13 +110,14 @@ GENERAL = [
     ("public-domain", r"(?:released|dedicated|placed|put|is|are) (?:in|into|to) the public domain", "public domain", 40, 0.7),
     ("proprietary", r"(?:proprietary and confidential|confidential and proprietary)", "proprietary", 40, 0.8),
     ("reserved", r"all rights reserved", "rights reserved", 70, 0.5),
-    ("copyright", r"(?:copyright|\(c\)|©) (?:\(c\) |© )?(?:19|20)\d\d", "copyright", 80, 0.3),
+    ("copyright", r"(?:copyright|\(c\)|©) (?:\(c\) |© )?(?:19|20)\d\d", "copyright|(c)|©", 80, 0.3),
     ("mit", r"permission is hereby granted,? free of charge,? to any person obtaining a copy", "permission is hereby", 30, 0.9),
     ("isc", r"permission to use,? copy,? modify,? and/?(?:or)? distribute this software", "permission to use", 30, 0.9),
     ("bsd", r"redistribution and use in source and binary forms", "redistribution and use", 30, 0.9),
     ("gpl", r"this program is free software[:;,]? you can redistribute it", "free software", 30, 0.9),
     ("apache-2.0", r"you may not use this file except in compliance with the licen[cs]e", "in compliance with", 30, 0.9),
 ]
+GRANTED = "licensed licenced released distributed available provided published covered".split()
 GRANT = r"(?:licen[cs]ed|released|distributed|available|provided|published|covered) (?:under|by) (?:the )?(?:terms (?:and conditions )?of )?(?:the )?"
 DETECTION = "array<struct<start:bigint,back:bigint,priority:int,label:string,strength:double>>"
 
@@ -176,11 +176,26 @@ def rule_matches(text: Column, rule: Column) -> Column:
     return F.aggregate(pieces, begin, step, lambda acc: acc["out"])
 
 
-def detections(text: Column, low: Column) -> Column:
-    """All rules' matches whose keyword the text holds, resolved."""
-    table = F.array(*[F.struct(F.lit(label).alias("label"), F.lit(f"(?i){p}").alias("pattern"), F.array(*[F.lit(w) for w in k.split("|")]).alias("keywords"), F.lit(pr).alias("priority"), F.lit(s).alias("strength")) for label, p, k, pr, s in rules()])
-    tried = F.filter(table, lambda r: F.exists(r["keywords"], lambda k: F.contains(low, k)))
-    found = F.array_sort(F.flatten(F.transform(tried, lambda r: rule_matches(text, r))))
+def folded(low: Column) -> Column:
+    """A lower-case text whose runs of white space and hyphens are one space each, as keywords are held against it."""
+    return F.regexp_replace(low, r"[\s-]+", " ")
+
+
+def also(pattern: str) -> str:
+    """What else each match holds besides a keyword, once folded: the first words of a grant, or the last one of a title."""
+    if pattern.startswith(spaced(GRANT)):
+        return "|".join(f"{verb} {by} " for verb in GRANTED for by in ("under", "by"))
+    return "licen" if pattern.endswith(r"[\s-]+licen[cs]e(?![\w-])") else ""  # elsewhere the word may be one of several ways
+
+
+def detections(text: Column, fold: Column) -> Column:
+    """All rules' matches whose keyword the folded text holds, resolved."""
+    sharing: dict[tuple[str, str], list[Column]] = {}
+    for label, p, k, pr, s in rules():
+        sharing.setdefault((k.replace("-", " "), also(p)), []).append(F.struct(F.lit(label).alias("label"), F.lit(f"(?i){p}").alias("pattern"), F.lit(pr).alias("priority"), F.lit(s).alias("strength")))
+    table = F.array(*[F.struct(F.array(*[F.lit(w) for w in k.split("|")]).alias("keywords"), F.array(*[F.lit(w) for w in more.split("|")]).alias("also"), F.array(*r).alias("rules")) for (k, more), r in sharing.items()])
+    tried = F.filter(table, lambda g: F.exists(g["keywords"], lambda k: F.contains(fold, k)) & F.exists(g["also"], lambda k: F.contains(fold, k)))
+    found = F.array_sort(F.flatten(F.transform(F.flatten(F.transform(tried, lambda g: g["rules"])), lambda r: rule_matches(text, r))))
     nothing = F.array().cast(DETECTION)
 
     def step(kept: Column, d: Column) -> Column:
@@ -194,14 +209,17 @@ def detections(text: Column, low: Column) -> Column:
             .otherwise(kept)
         )
 
-    return F.when(holds(low, TRIGGERS, False), F.aggregate(found, nothing, step)).otherwise(nothing)
+    # Besides sparing work, so many uses keep the optimiser from folding the text anew for each keyword.
+    any_rule = holds(fold, sorted({w for k, _ in sharing for w in k.split("|")}), False)
+    return F.when(any_rule, F.aggregate(found, nothing, step)).otherwise(nothing)
 
 
 def scan(documents: DataFrame) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels and score of each document."""
     text, low = F.col("_text"), F.col("_low")
     rows = documents.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("_text"), F.lower(F.coalesce(F.col("text"), F.lit(""))).alias("_low"))
-    rows = rows.withColumns({f"_p{i}": phrase_places(text, low, p) for i, p in enumerate(PHRASES)} | {"_found": detections(text, low)})
+    rows = rows.withColumn("_fold", folded(low))
+    rows = rows.withColumns({f"_p{i}": phrase_places(text, low, p) for i, p in enumerate(PHRASES)} | {"_found": detections(text, F.col("_fold"))})
     base = F.array_compact(F.array(*[F.when(F.size(f"_p{i}") > 0, F.lit(label)) for i, label in enumerate(PHRASES.values())]))
     rows = rows.select(
         "doc_id", F.regexp_count(text, F.lit(f"{WORD}+")).cast("long").alias("n_words"), F.concat(*[f"_p{i}" for i in range(len(PHRASES))]).alias("_places"), base.alias("_base"), "_found"
