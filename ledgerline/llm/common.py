@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from typing import TypeVar
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,11 +44,42 @@ _resident: dict[str, object] = {}
 def resident(name: str, build: Callable[[], T]) -> T:
     """A table that a Python worker keeps between tasks. Asking for another one drops it, so tables of several operators never add up."""
     if name not in _resident:
-        _resident.clear()
+        if _resident:
+            _resident.clear()
+            trim()
         _resident[name] = build()
     return _resident[name]
 
 
+def trim() -> None:
+    """Gives memory that a Python worker has freed back to the system, so that stages do not keep each other's peaks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def slices(rows: Iterator[pa.RecordBatch], n_bytes: int = 2 << 20, n_rows: int = 1024) -> Iterator[list[list]]:
+    """The batches' columns as lists, about ``n_bytes`` of the second column (texts, as bytes) or ``n_rows`` rows at a time."""
+    for batch in rows:
+        ends = np.cumsum(pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False))
+        i = 0
+        while i < batch.num_rows:
+            before = ends[i - 1] if i else 0
+            j = min(max(i + 1, int(np.searchsorted(ends, before + n_bytes, side="right"))), i + n_rows)
+            yield [c.to_pylist() for c in batch.slice(i, j - i).columns]
+            i = j
+
+
+def salted_join(big: DataFrame, small: DataFrame, key: str, spread: str, how: str, salts: int = 16) -> DataFrame:
+    """``big`` joined with ``small`` on ``key``: rows of ``big`` with a hot key are spread by another column over ``salts`` copies of
+    ``small``'s row. AQE broadcasts ``small`` where its size, once known, is small enough."""
+    copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return big.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")).join(copies, [key, "_salt"], how).drop("_salt")
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -1,22 +1,27 @@
 """N-gram Jaccard join by a token-group matrix.
 
-A document's set is its distinct 3-word shingles (64-bit hashes); two documents link when 100 * |A and B| >= 90 * |A or B|, and
-the result names each document's connected component. Documents with equal sets are one class from the start.
-
-1. Candidates. Sets of at least the threshold differ in at most d tokens, d known from the sizes. Tokens are dealt into d + 1
-   parts by hash, so one part must be equal in both: sets that share the digest of a part are candidates. Parts are numbered
-   for size bands, each set acting in its own band and the next, since linked sizes lie within one band of each other. A set
-   with more than d filled parts leaves its empty ones out: d differences spoil at most d of the filled, so one of these is equal.
-2. Groups. Classes that shared digests connect are a family; families are split, by hash, into groups of a bounded number of
-   sets. Groups whose members share a digest are a pair of groups.
-3. The matrix. For each pair of groups (and each group with itself) a member's overlap with the other group's token union bounds
-   its overlap with every member there; only members that reach 9 tenths of their own size open the group. Opened members are
-   compared exactly, by products of their token incidence, and a spanning forest of the links goes on.
-4. Components, by alternating star contraction on the links, with a checkpoint after each round.
-
-Null and empty texts have an empty set and link with nothing, repeated rows of them included; texts of one or two words have
-one shingle, the sequence. Repeated rows are classes like other copies. Rows with a null id take no part in links and are their
-own component (null). An empty table gives an empty result. Extra columns are ignored.
+A document's set is its distinct word shingles (64-bit hashes; 3 words by default); two documents link when
+100 * |A and B| >= percent * |A or B|, and the result names each document's connected component. Documents with equal sets are
+one class from the start.
+
+1. Frequencies. Workers cut documents into chunks and send each chunk's tokens, dealt by ranges of hashes and shortened to 40 bits
+   below the range, to be counted; what comes back is one byte a token. A set can link only if ``percent`` of it is held
+   elsewhere too, so most documents leave here. Shortened hashes can only make a token look more frequent, never lose it.
+2. Candidates. The classes that are left order their tokens by frequency, rarest first. Two linked sets share a token among
+   the first |A| - ceil(percent of |A|) + 1 of each (prefix filter), so classes that share such a token are candidates, and
+   classes that candidates connect are a family.
+3. Groups. A family is split, by hash, into groups of a bounded number of sets and bytes; the members of a group are compared
+   exactly, by products of their token incidence. One member of each component found goes on to the next round, until a
+   round ends in one group or finds nothing. A family of near copies shrinks by the group's size in each round.
+4. The matrix. Candidates that still lie in different components are left. Groups of them (of one component and one band of sizes)
+   that share a prefix token are a pair; a member's overlap with the other group's token union bounds its overlap with every
+   member there, and only members that reach ``percent`` of their own size open the group and are compared exactly.
+5. Components, by alternating star contraction on a spanning forest of the links, written out after each round.
+
+Null and empty texts have an empty set and link with nothing, repeated rows of them included; texts with fewer words than a shingle
+have one, the sequence. Very long texts are processed whole. Repeated rows, also of one id with different texts, are classes like
+other copies, each row with the component of its own text. Rows with a null id take no part in links and are their own component
+(null). An empty table gives an empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,38 +35,56 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, resident, saved, shuffle_width, text_bytes
+from .common import mix64, resident, salted_join, saved, slices, text_bytes, trim
 
-GROUP_MEMBERS, COLUMNS, KEPT, FLUSH, SLOT_BYTES = 48, 1 << 16, 150_000, 1_000_000, 4 << 20
-SETS = "doc_id long, n_shingles long, class_id long"
+GROUP_MEMBERS, COLUMNS = 48, 1 << 16
+#: Words whose hashes a worker remembers, and the longest such word in bytes.
+KEPT, LONGEST_KEPT = 150_000, 64
+#: Tokens and documents in a chunk (ordinals take two bytes); bytes of tokens in a hash range, in a group and in a slot.
+CHUNK, CHUNK_DOCUMENTS, RANGE_BYTES, GROUP_BYTES, SLOT_BYTES = 1_000_000, 60_000, 8 << 20, 8 << 20, 4 << 20
+MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
+PARTS = "chunk long, part int, tokens binary, owners binary, classes binary, unnamed binary"
 
 
 class Words(dict):
     """64-bit hashes of words, looked up once each."""
 
     def __missing__(self, word: bytes) -> int:
-        h = self[word] = xxhash.xxh64_intdigest(word)
+        h = xxhash.xxh64_intdigest(word)
+        if len(word) <= LONGEST_KEPT:
+            self[word] = h
         return h
 
 
-def shingles(raw: bytes, width: int) -> np.ndarray:
-    """The distinct shingles of a text, ascending."""
+def shingle_sets(raws: list[bytes], width: int) -> list[np.ndarray]:
+    """The distinct shingles of each text, ascending."""
     words = resident("words", Words)
-    tokens = raw.lower().split()
-    if not tokens:
-        return np.empty(0, np.uint64)
     if len(words) > KEPT:
         words.clear()
-    h = np.fromiter(map(words.__getitem__, tokens), dtype=np.uint64, count=len(tokens))
-    n = max(1, len(h) - width + 1)
-    with np.errstate(over="ignore"):
-        out = np.full(n, np.uint64(min(width, len(h))))
-        for j in range(min(width, len(h))):
-            out = mix64(out * np.uint64(0x9E3779B97F4A7C15) + h[j : j + n])
-    return np.unique(out)
+    cut = [raw.lower().split() for raw in raws]
+    sizes = np.fromiter(map(len, cut), np.int64, len(cut))
+    ends = np.cumsum(sizes)
+    h = np.fromiter(map(words.__getitem__, itertools.chain.from_iterable(cut)), np.uint64, int(ends[-1]) if len(cut) else 0)
+    if len(h) >= width:
+        with np.errstate(over="ignore"):
+            sums = np.zeros(len(h) - width + 1, np.uint64)
+            for j in range(width):
+                sums = sums * MULTIPLIER + h[j : len(h) - width + 1 + j]
+            sums = mix64(sums)
+    out = []
+    for n, end in zip(sizes.tolist(), ends.tolist(), strict=True):
+        if n >= width:
+            found = np.sort(sums[end - n : end - width + 1])
+            out.append(found[np.concatenate(([True], found[1:] != found[:-1]))])
+        elif n:
+            out.append(np.array([xxhash.xxh64_intdigest(h[end - n : end].tobytes())], np.uint64))
+        else:
+            out.append(np.empty(0, np.uint64))
+    return out
 
 
 def class_of(tokens: np.ndarray) -> int:
@@ -69,133 +92,162 @@ def class_of(tokens: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(tokens.tobytes()) - (1 << 63)
 
 
-@functools.cache
-def bands(percent: int) -> tuple[list[int], list[int]]:
-    """Where size bands begin (each at least the ratio 100 / percent wide) and how many parts their sets are cut into."""
-    begins = [1]
-    while begins[-1] < 1 << 40:
-        begins.append(max(begins[-1] + 1, math.ceil(begins[-1] * 100 / percent)))
-    # Two sets of sizes a, b and similarity s or more differ in at most (1 - s) / (1 + s) * (a + b) tokens.
-    parts = [(100 - percent) * 2 * (end - 1) // (100 + percent) + 1 for end in begins[1:]]
-    # Some more where parts are so small that a few are likely to be empty; one part stays one.
-    parts = [p + (math.ceil(3 * p * math.exp(-(end - 1) / p) - 0.05) if p > 1 else 0) for p, end in zip(parts, begins[1:], strict=True)]
-    return begins, parts
+def least_overlap(n: np.ndarray, percent: int) -> np.ndarray:
+    """Tokens that a set of n shares with a linked one, at least."""
+    return -(-percent * n // 100)
 
 
-def digests(tokens: np.ndarray, percent: int) -> np.ndarray:
-    """The digests of a set's parts, in its own band and in the next."""
-    begins, parts = bands(percent)
-    band = int(np.searchsorted(begins, len(tokens), side="right")) - 1
-    out = []
-    for b in (band, band + 1):
-        p = np.uint64(parts[b])
-        if parts[b] > 1:  # with one part only equal sets meet
-            sums = np.zeros(parts[b], np.uint64)
-            at = (tokens % p).astype(np.int64)
-            with np.errstate(over="ignore"):
-                np.add.at(sums, at, mix64(tokens))
-                found = mix64(sums + mix64(np.arange(parts[b], dtype=np.uint64) + np.uint64(b << 32)))
-            # The most tokens in which this set and a linked one of this band or the one before can differ.
-            most = (100 - percent) * (len(tokens) + min(begins[b + 1] - 1, len(tokens) * 100 // percent)) // (100 + percent)
-            filled = np.bincount(at, minlength=parts[b]) > 0
-            out.append(found[filled] if int(filled.sum()) > most else found)
-    return np.concatenate(out) if out else np.empty(0, np.uint64)
-
-
-def classes(documents: DataFrame, width: int) -> DataFrame:
-    def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rows:
-            sizes, names = [], []
-            for raw in batch.column(1).to_pylist():
-                tokens = shingles(raw, width)
-                sizes.append(len(tokens))
-                names.append(class_of(tokens))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(names, pa.int64())], names=["doc_id", "n_shingles", "class_id"])
+def ranges_of(tokens: np.ndarray, ranges: int) -> tuple[np.ndarray, np.ndarray]:
+    """The hash range of each token, and 40 bits that tell it from others there."""
+    k = np.uint64(ranges)
+    high, low = tokens >> np.uint64(32), tokens & np.uint64(0xFFFFFFFF)
+    with np.errstate(over="ignore"):
+        return ((high * k + (low * k >> np.uint64(32))) >> np.uint64(32)).astype(np.int64), (tokens * k) >> np.uint64(24)
+
+
+def packed40(x: np.ndarray) -> bytes:
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
+
 
-    return documents.mapInArrow(batches, SETS)
+def unpacked40(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // 5, 8), np.uint8)
+    out[:, :5] = np.frombuffer(raw, np.uint8).reshape(-1, 5)
+    return out.view("<u8").reshape(-1)
 
 
-def shared_digests(first: DataFrame, width: int, percent: int, buckets: int) -> DataFrame:
-    """(digest, class_id) of every part digest that two or more classes share. Digests are dealt as packed arrays, by ranges of hashes."""
-    edges = np.array([(i << 64) // buckets for i in range(1, buckets)], dtype=np.uint64)
+def chunks(documents: DataFrame, width: int, ranges: int) -> DataFrame:
+    """Chunks of documents, one row for each hash range with the tokens and their owners, and a head (part -1) with the documents' ids, sizes and classes."""
+
+    def flush(ids: list, sets: list[np.ndarray]) -> Iterator[tuple]:
+        classes = np.fromiter(map(class_of, sets), np.int64, len(sets))
+        able = np.array([i for i, x in enumerate(ids) if x is not None and len(sets[i])], np.int64)
+        first = np.sort(able[np.unique(classes[able], return_index=True)[1]]).tolist()  # copies within a chunk count once
+        tokens = np.concatenate([np.empty(0, np.uint64), *[sets[i] for i in first]])
+        owner = np.repeat(np.array(first, np.int64), np.array([len(sets[i]) for i in first], np.int64))
+        # The name holds a digest of the content, so answers to a chunk that was made otherwise are never taken for this one's.
+        chunk = xxhash.xxh64_intdigest(tokens.tobytes() + classes.tobytes(), TaskContext.get().partitionId()) - (1 << 63)
+        sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+        unnamed = np.array([x is None for x in ids], np.uint8)
+        yield chunk, -1, np.array([x or 0 for x in ids], "<i8").tobytes(), sizes.tobytes(), classes.tobytes(), unnamed.tobytes()
+        at, short = ranges_of(tokens, ranges)
+        order = np.argsort(at, kind="stable")  # owners stay in order within a range
+        short, owner = short[order], owner[order]
+        parts, begins = np.unique(at[order], return_index=True)
+        for p, i, j in zip(parts.tolist(), begins.tolist(), [*begins[1:].tolist(), len(at)], strict=bool(len(at))):
+            yield chunk, p, packed40(short[i:j]), np.diff(owner[i:j], prepend=0).astype("<u2").tobytes(), None, None
 
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: list[np.ndarray] = []
-        names: list[np.ndarray] = []
+        ids: list = []
+        sets: list[np.ndarray] = []
         held = 0
 
-        def flush() -> pa.RecordBatch:
-            d, c = np.concatenate(kept), np.concatenate(names)
-            order = np.argsort(d, kind="stable")
-            d, c = d[order], c[order]
-            cut = [0, *np.searchsorted(d, edges).tolist(), len(d)]
-            out = [(b, d[i:j].tobytes(), c[i:j].tobytes()) for b, (i, j) in enumerate(itertools.pairwise(cut)) if j > i]
-            kept.clear(), names.clear()  # noqa: B018
-            kinds = (pa.int32(), pa.binary(), pa.binary())
-            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["bucket", "digests", "names"])
-
-        for batch in rows:
-            for raw in batch.column(1).to_pylist():
-                tokens = shingles(raw, width)
-                if len(tokens):
-                    d = digests(tokens, percent)
-                    if len(d):
-                        kept.append(d)
-                        names.append(np.full(len(d), class_of(tokens), np.int64))
-                        held += len(d)
-                if held >= FLUSH:
-                    yield flush()
-                    held = 0
-        if held:
-            yield flush()
-
-    def shared(rows: pd.DataFrame) -> pd.DataFrame:
-        d = np.concatenate([np.frombuffer(x, "<u8") for x in rows["digests"]])
-        c = np.concatenate([np.frombuffer(x, "<i8") for x in rows["names"]])
-        order = np.lexsort((c, d))
-        d, c = d[order], c[order]
-        new = np.ones(len(d), bool)
-        new[1:] = (d[1:] != d[:-1]) | (c[1:] != c[:-1])  # a class counts once, however many copies it has
-        d, c = d[new], c[new]
-        _, place, n = np.unique(d, return_inverse=True, return_counts=True)
-        pick = n[place] > 1
-        return pd.DataFrame({"digest": d[pick].view(np.int64), "class_id": c[pick]})
-
-    packed = first.mapInArrow(batches, "bucket int, digests binary, names binary")
-    return packed.groupBy("bucket").applyInPandas(shared, "digest long, class_id long")
+        def out() -> pa.RecordBatch:
+            kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
+            columns = zip(*flush(ids, sets), strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["chunk", "part", "tokens", "owners", "classes", "unnamed"])
+
+        for names, raws in slices(rows):
+            found = shingle_sets(raws, width)
+            for x, tokens in zip(names, found, strict=True):
+                ids.append(x)
+                sets.append(tokens)
+                held += len(tokens)
+                if held >= CHUNK or len(ids) >= CHUNK_DOCUMENTS:
+                    yield out()
+                    ids, sets, held = [], [], 0
+        if ids:
+            yield out()
+        ids, sets = [], []
+        trim()
+
+    return documents.mapInArrow(batches, PARTS)
+
+
+def code_of(n: np.ndarray) -> np.ndarray:
+    """A frequency in one byte, exact up to 64, in eighths of a doubling above."""
+    return np.where(n <= 64, n, np.minimum(64 + 8 * np.log2(np.maximum(n, 64) / 64), 255)).astype(np.uint8)
+
+
+def count_range(key: tuple, table: pa.Table) -> pa.Table:
+    """How many chunks' first holders have each token: a byte a token, in the order they came. Heads pass."""
+    if key[0].as_py() < 0:
+        return table.drop_columns(["deal"])
+    raw = table.column("tokens").to_pylist()
+    tokens = np.concatenate([unpacked40(x) for x in raw])
+    _, place, n = np.unique(tokens, return_inverse=True, return_counts=True)
+    codes = code_of(n)[place]
+    cut = np.cumsum([0, *[len(x) // 5 for x in raw]])
+    answers = pa.array([codes[i:j].tobytes() for i, j in itertools.pairwise(cut)], pa.binary())
+    return table.set_column(table.column_names.index("tokens"), "tokens", answers).drop_columns(["deal"])
+
+
+def frequencies(documents: DataFrame, width: int, percent: int) -> DataFrame:
+    """doc_id, n_shingles, class_id, and for documents that may link the frequency codes of their tokens, ascending by token."""
+    n_bytes = documents.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    ranges = max(1, 3 * n_bytes // RANGE_BYTES)  # five bytes for each token, and a token for two bytes of text at most
+    # Heads need no counting: they go where their chunk's name sends them.
+    sent = chunks(documents, width, ranges).withColumn("deal", F.when(F.col("part") < 0, -1 - F.pmod("chunk", F.lit(ranges))).otherwise(F.col("part")).cast("long"))
+    answers = saved(sent.groupBy("deal").applyInArrow(count_range, PARTS), "counted")
+
+    def gather(table: pa.Table) -> pa.Table:
+        rows = sorted(table.to_pylist(), key=lambda r: r["part"])
+        head, rest = rows[0], rows[1:]
+        ids, sizes, classes = (np.frombuffer(head[c], "<i8") for c in ("tokens", "owners", "classes"))
+        unnamed = np.frombuffer(head["unnamed"], np.uint8).astype(bool)
+        codes = np.concatenate([np.empty(0, np.uint8), *[np.frombuffer(r["tokens"], np.uint8) for r in rest]])
+        owner = np.concatenate([np.empty(0, np.int64), *[np.cumsum(np.frombuffer(r["owners"], "<u2"), dtype=np.int64) for r in rest]])
+        answered = np.bincount(owner, minlength=len(ids))
+        elsewhere = np.bincount(owner[codes > 1], minlength=len(ids))
+        codes = codes[np.argsort(owner, kind="stable")]
+        ends = np.cumsum(answered)
+        asked = answered > 0
+        if head["part"] != -1 or (answered[asked] != sizes[asked]).any():
+            raise RuntimeError("a chunk and the answers to it differ")
+        may = asked & (100 * elsewhere >= percent * sizes)
+        df = [codes[e - n : e].tobytes() if m else None for e, n, m in zip(ends.tolist(), sizes.tolist(), may.tolist(), strict=True)]
+        columns = [pa.array(ids, pa.int64(), mask=unnamed), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), pa.array(df, pa.binary())]
+        return pa.table(columns, names=["doc_id", "n_shingles", "class_id", "codes"])
+
+    return answers.groupBy("chunk").applyInArrow(gather, "doc_id long, n_shingles long, class_id long, codes binary")
+
+
+def incidence(sets: list[np.ndarray], columns: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(sets), len(columns)), np.float32)
+    for row, tokens in enumerate(sets):
+        near = tokens[np.searchsorted(tokens, columns[0]) : np.searchsorted(tokens, columns[-1], side="right")]
+        at = np.searchsorted(columns, near)
+        out[row, at[columns[at] == near]] = 1
+    return out
+
+
+def linked(left: list[np.ndarray], right: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """The pairs of one set of each side that link; a side compared with itself pairs sets with themselves too."""
+    both = np.zeros((len(left), len(right)), np.int64)
+    one, n = np.unique(np.concatenate(left), return_counts=True)
+    universe = one[n > 1] if left is right else np.intersect1d(one, np.concatenate(right))
+    for i in range(0, len(universe), COLUMNS):
+        columns = universe[i : i + COLUMNS]
+        both += np.rint(incidence(left, columns) @ incidence(right, columns).T).astype(np.int64)
+    a, b = (np.array([len(s) for s in side]) for side in (left, right))
+    # Tokens that one set alone holds are left out; on the diagonal that understates, which nobody reads.
+    return [(int(i), int(j)) for i, j in np.argwhere(100 * both >= percent * (a[:, None] + b[None, :] - both))]
 
 
 def links_between(left: list[np.ndarray], right: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """Exact links between two groups' members; members that cannot reach the threshold with the other group's union stay closed."""
+    """Links between two groups' members; members that cannot reach the threshold with the other group's union stay closed."""
 
     def opened(one: list[np.ndarray], other: list[np.ndarray]) -> list[int]:
-        union = functools.reduce(np.union1d, other)
+        union = np.unique(np.concatenate(other))
         return [i for i, tokens in enumerate(one) if 100 * int(np.isin(tokens, union, assume_unique=True).sum()) >= percent * len(tokens)]
 
     a, b = opened(left, right), opened(right, left)
     if not a or not b:
         return []
-    universe = np.intersect1d(np.concatenate([left[i] for i in a]), np.concatenate([right[j] for j in b]))
-    both = np.zeros((len(a), len(b)), np.int64)
-    for i in range(0, len(universe), COLUMNS):
-        columns = universe[i : i + COLUMNS]
-
-        def incidence(sets: list[np.ndarray], members: list[int], columns: np.ndarray = columns) -> np.ndarray:
-            out = np.zeros((len(members), len(columns)), np.float32)
-            for row, m in enumerate(members):
-                tokens = sets[m][(sets[m] >= columns[0]) & (sets[m] <= columns[-1])]
-                at = np.searchsorted(columns, tokens)
-                out[row, at[columns[at] == tokens]] = 1
-            return out
-
-        both += np.rint(incidence(left, a) @ incidence(right, b).T).astype(np.int64)
-    sizes_a, sizes_b = (np.array([len(s[m]) for m in members]) for s, members in ((left, a), (right, b)))
-    union = sizes_a[:, None] + sizes_b[None, :] - both
-    return [(a[i], b[j]) for i, j in np.argwhere(100 * both >= percent * union)]
+    return [(a[i], b[j]) for i, j in linked([left[i] for i in a], [right[j] for j in b], percent)]
 
 
 def forest(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """The pairs that join something new."""
+    """(member, smallest member of its component) of all members that are not the smallest."""
     root: dict[int, int] = {}
 
     def find(x: int) -> int:
@@ -204,32 +256,26 @@ def forest(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
             x = root[x]
         return x
 
-    out = []
     for x, y in pairs:
         i, j = find(x), find(y)
         if i != j:
             root[max(i, j)] = min(i, j)
-            out.append((x, y))
-    return out
+    return [(x, find(x)) for x in root if find(x) != x]
 
 
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """(node, component) of all linked nodes; a component is named by its smallest node. Alternates large and small stars until the links no longer change."""
-
-    def smallest(edges: DataFrame) -> DataFrame:
-        return edges.groupBy("u").agg(F.min("v").alias("least"))
-
+    """(node, component) of all linked nodes; a component is named by its smallest node. Alternates large and small stars until the
+    links no longer change. Only nodes that move their neighbours are joined, salted, so a star's centre is no hot key."""
     edges = saved(links.select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).filter("u <> v").distinct(), "links")
     before = None
     for _ in range(most_rounds):
-        # Large star: every larger neighbour of u goes to the smallest node around u, u itself included.
-        ways = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = smallest(ways).withColumn("least", F.least("u", "least"))
-        large = ways.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("least").alias("v")).distinct()
-        # Small star: u and its smaller neighbours go to the smallest of them.
-        low = smallest(large)
-        joined = large.join(low, "u")
-        edges = saved(joined.select(F.col("v").alias("u"), F.col("least").alias("v")).unionByName(low.select("u", F.col("least").alias("v"))).filter("u <> v").distinct(), "links")
+        # Large star: larger neighbours of a node go to its smallest neighbour, where that is smaller than the node.
+        least = edges.groupBy(F.col("u").alias("v")).agg(F.min("v").alias("least"))
+        large = salted_join(edges, least, "v", "u", "left").select("u", F.coalesce("least", "v").alias("v")).distinct()
+        # Small star: a node and its smaller neighbours go to the smallest of them.
+        small = large.groupBy("u").agg(F.min("v").alias("least"), F.max("v").alias("most"))
+        moved = salted_join(large, small.filter("least < most").select("u", "least"), "u", "v", "inner").filter("v <> least").select(F.col("v").alias("u"), F.col("least").alias("v"))
+        edges = saved(small.select("u", F.col("least").alias("v")).unionByName(moved).distinct(), "links")
         now = edges.agg(F.count(F.lit(1)), F.sum(F.hash("u", "v").cast("long"))).first()
         if now == before:
             break
@@ -239,42 +285,52 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
 
 
-def join(documents: DataFrame, width: int = 3, percent: int = 90, small_rows: int = 1_000_000) -> DataFrame:
-    """doc_id, n_shingles and component_id (the smallest doc_id that links reach) of each document."""
-    spark = documents.sparkSession
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text"))
-    named = docs.filter(F.col("doc_id").isNotNull())
-    sets = saved(classes(docs, width), "sets")
-    full = sets.filter((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
-    of_class = full.groupBy("class_id", "n_shingles").agg(F.min("doc_id").alias("doc_id"))
-
-    shared = saved(shared_digests(named, width, percent, 4 * shuffle_width(spark)), "shared")
-    least = shared.groupBy("digest").agg(F.min("class_id").alias("least"))
-    families = components(shared.join(least, "digest").select(F.col("class_id").alias("x"), F.col("least").alias("y")).filter("x <> y").distinct())
-    first = shared.select("class_id").distinct().join(families, F.col("class_id") == F.col("node"), "left").select("class_id", F.coalesce("component", "class_id").alias("family"))
-    sizes = first.groupBy("family").agg(F.count(F.lit(1)).alias("n"))
-    groups = first.join(sizes, "family").select("class_id", F.xxhash64("family", F.pmod(F.xxhash64("class_id"), F.ceil(F.col("n") / GROUP_MEMBERS))).alias("group"))
-    groups = saved(groups, "groups")
-    met = shared.join(groups, "class_id").select("digest", "group").distinct()
-    met = saved(met, "met")
-    pairs = met.alias("a").join(met.alias("b"), (F.col("a.digest") == F.col("b.digest")) & (F.col("a.group") < F.col("b.group")))
-    pairs = pairs.select(F.col("a.group").alias("one"), F.col("b.group").alias("two")).distinct()
-    pairs = saved(pairs.unionByName(groups.select(F.col("group").alias("one"), F.col("group").alias("two")).distinct()), "pairs")
-
-    # One document of each class that takes part; its tokens are made again from its text rather than kept for all documents.
-    wanted = saved(groups.join(of_class, "class_id").select("doc_id", "class_id", "group"), "wanted")
-    wanted = F.broadcast(wanted) if wanted.count() <= small_rows else wanted
-
-    def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rows:
-            tokens = [shingles(raw, width).tobytes() for raw in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(tokens, pa.binary())], names=["group", "class_id", "tokens"])
-
-    members = named.join(wanted, "doc_id").select("group", "class_id", "text").mapInArrow(batches, "group long, class_id long, tokens binary")
-    members = saved(members, "members")
-
+def arrays(tokens: pd.Series) -> list[np.ndarray]:
+    return [np.frombuffer(t, "<u8") for t in tokens]
+
+
+def compare_rounds(members: DataFrame, families: DataFrame, percent: int) -> DataFrame:
+    """Links found inside groups, round by round."""
+
+    def compare(rows: pd.DataFrame) -> pd.DataFrame:
+        names, sets = rows["class_id"].tolist(), arrays(rows["tokens"])
+        leads = dict(forest([(names[i], names[j]) for i, j in linked(sets, sets, percent) if names[i] < names[j]]))
+        return pd.DataFrame({"family": rows["family"], "x": names, "y": [leads.get(x, x) for x in names], "whole": rows["whole"]})
+
+    found, left, n = None, families, None
+    for turn in itertools.count():
+        sizes = left.groupBy("family").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("tokens"))
+        sizes = sizes.filter("n > 1").select("family", F.greatest(F.ceil(F.col("n") / GROUP_MEMBERS), F.ceil(8 * F.col("tokens") / GROUP_BYTES)).alias("split"))
+        dealt = salted_join(left, sizes, "family", "class_id", "inner")
+        dealt = dealt.select("class_id", "family", (F.col("split") == 1).alias("whole"), F.xxhash64("family", F.pmod(F.xxhash64("class_id", F.lit(turn)), "split")).alias("group"))
+        done = saved(members.select("class_id", "tokens").join(dealt, "class_id").groupBy("group").applyInPandas(compare, "family long, x long, y long, whole boolean"), "round")
+        links = done.filter("x <> y").select("x", "y")
+        found = links if found is None else found.unionByName(links)
+        # One member of each component goes on, where the family did not fit one group.
+        rest = done.filter("not whole").agg(F.count(F.lit(1)), F.count_if(F.col("x") == F.col("y"))).first()
+        if not rest[0] or rest[0] == rest[1]:
+            return found
+        left = done.filter("not whole and x = y").select(F.col("x").alias("class_id"), "family").join(members.select("class_id", "n_shingles"), "class_id")
+
+
+def compare_pairs(members: DataFrame, shared: DataFrame, joined: DataFrame, percent: int) -> DataFrame:
+    """Links between candidates that ``joined`` leaves in different components, by the token-group matrix."""
+    placed = shared.join(joined, F.col("class_id") == F.col("node"), "left").select("token", "class_id", "n_shingles", F.coalesce("component", "class_id").alias("component"))
+    open_ = placed.groupBy("token").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a < b").select("token")
+    live = saved(salted_join(placed, open_, "token", "class_id", "inner"), "live")
+    # Linked sizes lie in one band or in neighbouring ones.
+    band = F.floor(F.log(F.col("n_shingles").cast("double")) / math.log(100 / percent)).cast("int")
+    of_group = live.select("class_id", "component", "n_shingles", band.alias("band")).distinct()
+    sizes = of_group.groupBy("component", "band").agg(F.greatest(F.ceil(F.count(F.lit(1)) / GROUP_MEMBERS), F.ceil(8 * F.sum("n_shingles") / GROUP_BYTES)).alias("split"))
+    grouped = of_group.join(sizes, ["component", "band"])
+    groups = saved(grouped.select("class_id", "component", "band", F.xxhash64("component", "band", F.pmod(F.xxhash64("class_id"), "split")).alias("group")), "groups")
+    met = saved(live.select("token", "class_id").join(groups, "class_id").select("token", "group", "component", "band").distinct(), "met")
+    a, b = met.alias("a"), met.alias("b")
+    pairs = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.group") < F.col("b.group")) & (F.col("a.component") != F.col("b.component")) & (F.abs(F.col("a.band") - F.col("b.band")) <= 1))
+    pairs = saved(pairs.select(F.col("a.group").alias("one"), F.col("b.group").alias("two")).distinct(), "pairs")
+    held = saved(members.join(groups, "class_id").select("group", "class_id", "tokens"), "held")
     # Pairs are compared some at a time, as many as make about SLOT_BYTES of tokens.
-    weights = members.groupBy("group").agg(F.sum(F.octet_length("tokens")).alias("w"))
+    weights = held.groupBy("group").agg(F.sum(F.octet_length("tokens")).alias("w"))
     one, two = (weights.select(F.col("group").alias(side), F.col("w").alias(f"w_{side}")) for side in ("one", "two"))
     weight = pairs.join(one, "one").join(two, "two").agg(F.sum(F.col("w_one") + F.col("w_two"))).first()[0] or 0
     slots = max(1, weight // SLOT_BYTES)
@@ -283,22 +339,61 @@ def join(documents: DataFrame, width: int = 3, percent: int = 90, small_rows: in
         out: list[tuple[int, int]] = []
         rights = right.groupby(["one", "two"]).indices
         for key, at in left.groupby(["one", "two"]).indices.items():
-            a, b = left.iloc[at].drop_duplicates("class_id"), right.iloc[rights[key]].drop_duplicates("class_id") if key in rights else right.iloc[:0]
-            sets = [[np.frombuffer(t, "<u8") for t in x["tokens"]] for x in (a, b)]
-            if all(sets):
-                x, y = a["class_id"].tolist(), b["class_id"].tolist()
-                out += forest([(x[i], y[j]) for i, j in links_between(*sets, percent) if key[0] != key[1] or x[i] < y[j]])
+            a, b = left.iloc[at], right.iloc[rights[key]]
+            x, y = a["class_id"].tolist(), b["class_id"].tolist()
+            out += forest([(x[i], y[j]) for i, j in links_between(arrays(a["tokens"]), arrays(b["tokens"]), percent)])
         return pd.DataFrame(out, columns=["x", "y"], dtype="int64")
 
     columns = ["slot", "one", "two", "class_id", "tokens"]
     dealt = pairs.withColumn("slot", F.pmod(F.xxhash64("one", "two"), F.lit(slots)))
-    sides = [dealt.join(members, F.col(side) == F.col("group")).select(columns).toDF(*columns) for side in ("one", "two")]
-    links = sides[0].groupBy("slot").cogroup(sides[1].groupBy("slot")).applyInPandas(compare, "x long, y long")
+    sides = [dealt.join(held, F.col(side) == F.col("group")).select(columns).toDF(*columns) for side in ("one", "two")]
+    return saved(sides[0].groupBy("slot").cogroup(sides[1].groupBy("slot")).applyInPandas(compare, "x long, y long"), "crossing")
+
+
+def join(documents: DataFrame, width: int = 3, percent: int = 90, small_bytes: int = 64 << 20) -> DataFrame:
+    """doc_id, n_shingles and component_id (the smallest doc_id that links reach) of each document."""
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text"))
+    sets = saved(frequencies(docs, width, percent), "sets")
+
+    # One document of each class that may link; its tokens are made again from its text rather than kept for all documents.
+    may = sets.filter("codes is not null")
+    chosen = may.groupBy("class_id", "n_shingles").agg(F.min("doc_id").alias("doc_id"))
+    wanted = saved(may.join(chosen, ["class_id", "n_shingles", "doc_id"]).dropDuplicates(["class_id", "doc_id"]), "wanted")
+    wanted = F.broadcast(wanted) if (wanted.agg(F.sum(F.octet_length("codes") + 24)).first()[0] or 0) <= small_bytes else wanted
+
+    def again(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for names, raws, codes in slices(rows):
+            out = []
+            for name, tokens, code in zip(names, shingle_sets(raws, width), codes, strict=True):
+                if class_of(tokens) == name:  # another row of this id may have another text
+                    frequency = np.frombuffer(code, np.uint8)
+                    first = np.lexsort((tokens, frequency))[: len(tokens) - int(least_overlap(len(tokens), percent)) + 1]
+                    out.append((name, len(tokens), tokens.tobytes(), tokens[first[frequency[first] > 1]].view(np.int64).tolist()))
+            if out:
+                kinds = (pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["class_id", "n_shingles", "tokens", "prefix"])
+        trim()
+
+    texts = docs.join(wanted, "doc_id").select("class_id", "text", "codes")
+    members = texts.mapInArrow(again, "class_id long, n_shingles long, tokens binary, prefix array<long>")
+    members = saved(members.dropDuplicates(["class_id"]), "members")  # repeated rows of one id
+
+    held = members.select(F.explode("prefix").alias("token"), "class_id", "n_shingles")
+    several = held.groupBy("token").agg(F.min("class_id").alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("token", "least")
+    shared = saved(salted_join(held, several, "token", "class_id", "inner").select("token", "class_id", "n_shingles", "least"), "shared")
+    families = components(shared.select(F.col("class_id").alias("x"), F.col("least").alias("y")).filter("x <> y").distinct())
+    first = members.select("class_id", "n_shingles").join(families.unionByName(families.select(F.col("component").alias("node"), "component")).distinct(), F.col("class_id") == F.col("node"))
+    links = compare_rounds(members, saved(first.select("class_id", "n_shingles", F.col("component").alias("family")), "families"), percent)
     joined = components(links)
+    crossing = compare_pairs(members, shared.drop("least"), joined, percent)
+    if not crossing.isEmpty():
+        joined = components(links.unionByName(crossing))
 
+    # Classes of one document that link with nothing keep their own id and need no join; the others are salted against hot classes.
+    of_class = sets.filter((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()).groupBy("class_id").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n"))
     placed = of_class.join(joined, F.col("class_id") == F.col("node"), "left").withColumn("component", F.coalesce("component", "class_id"))
-    least = placed.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    of_each = placed.join(least, "component").select(F.col("class_id").alias("c"), F.col("n_shingles").alias("n"), "component_id")
-    # The result: documents joined with their class; a hot class is a hot key only on the side that streams.
-    out = sets.join(of_each, (F.col("class_id") == F.col("c")) & (F.col("n_shingles") == F.col("n")) & F.col("doc_id").isNotNull(), "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    least = placed.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.sum("n").alias("all")).filter(F.col("all") > 1)
+    of_each = placed.join(least, "component").select("class_id", "component_id")
+    out = salted_join(sets.drop("codes"), of_each, "class_id", "doc_id", "left")
+    named = F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.col("component_id"))
+    return out.select("doc_id", "n_shingles", F.coalesce(named, "doc_id").alias("component_id"))

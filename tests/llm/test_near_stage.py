@@ -50,22 +50,3 @@ def test_near_duplicates_stage(spark):
     assert got == want
 
 
-def test_part_digests_of_linked_sets_meet():
-    r = np.random.default_rng(4)
-    for percent in (80, 90):
-        for _ in range(1500):
-            n = int(r.integers(1, 260))
-            a = np.unique(r.integers(0, 1 << 63, n, dtype=np.uint64))
-            cut = int(r.integers(0, len(a) * (100 - percent) // 100 + 1))
-            more = r.integers(0, 1 << 63, int(r.integers(0, len(a) * (100 - percent) // 100 + 1)), dtype=np.uint64)
-            b = np.unique(np.concatenate([r.permutation(a)[cut:], more]))
-            both = len(np.intersect1d(a, b))
-            if len(a) != both and 100 * both >= percent * (len(a) + len(b) - both):
-                assert len(np.intersect1d(jaccard.digests(a, percent), jaccard.digests(b, percent))), (percent, len(a), len(b), both)
-
-
-def test_sets_without_common_tokens_rarely_meet():
-    r = np.random.default_rng(5)
-    found = [np.unique(jaccard.digests(np.unique(r.integers(0, 1 << 63, 199, dtype=np.uint64)), 80)) for _ in range(300)]
-    counts = np.unique(np.concatenate(found), return_counts=True)[1]
-    assert counts.max() <= 3
