@@ -17,6 +17,7 @@ from __future__ import annotations
 import itertools
 import re
 import zlib
+from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -28,10 +29,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from .common import resident, saved, text_bytes
+from .common import resident, saved, slices, text_bytes, trim
 from .token_count import byte_letters
 
-CAPACITY, TAIL, END_ID, KEPT = 4096, 64, 2, 500_000
+CAPACITY, TAIL, END_ID = 4096, 64, 2
+#: Bytes of coded runs that a worker remembers, and the longest run kept. An entry costs about ENTRY bytes beside its text and ids.
+KEPT_BYTES, LONGEST_KEPT, ENTRY = 48 << 20, 64, 200
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, worker int, nth long"
 
 
@@ -54,13 +57,23 @@ PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!\"#$%&
 MARKS = rb"""!"#$%&()*+,-./:;=>?@[\]^_`{|}~"""
 
 
+class Known(dict):
+    """Coded runs that are kept, and beside them the long ones of the texts at hand."""
+
+    def __init__(self):
+        self.long: dict[bytes, bytes] = {}
+
+    def __missing__(self, run: bytes) -> bytes:
+        return self.long[run]
+
+
 class IdTable:
     """Token ids, as little-endian bytes, of runs between ASCII white space (which the vocabulary drops).
 
-    What has been coded is kept in a table of bounded size; a full table stays for one more round, so frequent runs stay known.
+    What has been coded is kept in a table of bounded bytes; a full table stays for one more round, so frequent runs stay known.
     """
 
-    def __init__(self, path: str, kept: int = KEPT):
+    def __init__(self, path: str, kept: int = KEPT_BYTES):
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.kept = kept
@@ -68,8 +81,7 @@ class IdTable:
         self.merging = Tokenizer(self.tokenizer.model)  # for words that are normalised already
         self.merging.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         self.letters = {byte: letter for letter, byte in byte_letters().items()}
-        self.known: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
+        self.known, self.old, self.held = Known(), Known(), 0
         self.words: dict[str, bytes] = {}
         self.marks: dict[str, bytes] = {"": b""}
 
@@ -91,9 +103,14 @@ class IdTable:
         known, old = self.known, self.old
         new: list[tuple[bytes, str, str]] = []
         odd: list[bytes] = []
+        long: list[bytes] = []
         for run in runs:
             if run in old:
                 known[run] = old[run]
+                self.held += ENTRY + len(run) + len(known[run])
+                continue
+            if len(run) > LONGEST_KEPT:
+                long.append(run)
                 continue
             core = run.rstrip(MARKS)
             if core.isalpha():  # ASCII letters only
@@ -102,19 +119,21 @@ class IdTable:
                 new.append((run, m[1].lower(), m[2]))
             else:
                 odd.append(run)
-        known.update(zip(odd, self.code_whole([r.decode("utf-8", "replace") for r in odd]), strict=True))
+        coded = dict(zip(odd + long, self.code_whole([r.decode("utf-8", "replace") for r in odd + long]), strict=True))
+        known.long = {r: coded.pop(r) for r in long}
         words, marks = self.words, self.marks
         missing = list({w for _, w, _ in new if w not in words})
         words.update(zip(missing, self.code_words(missing), strict=True))
         missing = list({m for _, _, m in new if m not in marks})
         marks.update(zip(missing, self.code_whole(missing), strict=True))
-        known.update((run, words[w] + marks[m]) for run, w, m in new)
+        coded.update((run, words[w] + marks[m]) for run, w, m in new)
+        self.held += sum(ENTRY + len(run) + len(ids) for run, ids in coded.items())
+        known.update(coded)
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        if len(self.known) > self.kept:
-            self.old, self.known = self.known, {}
+        if self.held > self.kept // 2:  # the table and the one before it
+            self.old, self.known, self.held = self.known, Known(), 0
             self.words.clear()
-        if len(self.marks) > self.kept:
             self.marks = {"": b""}
         runs = [t.split() for t in texts]
         self.learn(set().union(*runs) - self.known.keys())
@@ -122,7 +141,7 @@ class IdTable:
         return [b"".join(map(look, ws)) for ws in runs]
 
 
-def pieces(documents: DataFrame, vocabulary: str | None = None, capacity: int = CAPACITY, kept: int = KEPT) -> DataFrame:
+def pieces(documents: DataFrame, vocabulary: str | None = None, capacity: int = CAPACITY) -> DataFrame:
     """Each document's pieces with the crc32 of their ids, numbered by worker and length."""
     end = np.array([END_ID], dtype="<u4").tobytes()
 
@@ -132,28 +151,32 @@ def pieces(documents: DataFrame, vocabulary: str | None = None, capacity: int =
             import public_tokenizers
 
             path = public_tokenizers.path("word_bpe_49k.json")
-        table, worker = resident(f"{path} {kept}", lambda: IdTable(path, kept)), TaskContext.get().partitionId()
+        table, worker = resident(path, lambda: IdTable(path)), TaskContext.get().partitionId()
         met: dict[int, int] = defaultdict(int)
-        for batch in rows:
-            ids, texts, out = batch.column(0).to_pylist(), batch.column(1).to_pylist(), []
-            for i in range(0, len(ids), 1024):
-                for doc_id, coded in zip(ids[i : i + 1024], table.encode(texts[i : i + 1024]), strict=True):
-                    view, start = memoryview(coded + end), 0
-                    total = len(view) // 4
-                    for length in cut_lengths(total, capacity):
-                        out.append((doc_id, start, length, zlib.crc32(view[4 * start : 4 * (start + length)]), total, worker, met[length]))
-                        met[length] += 1
-                        start += length
-            columns = zip(*out, strict=True) if out else [[]] * 7
-            kinds = [pa.int64()] * 5 + [pa.int32(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[x.split()[0] for x in PIECES.split(", ")])
+        fields = [x.split()[0] for x in PIECES.split(", ")]
+        for ids, texts in slices(rows):
+            out = {f: array("q") for f in fields[1:]}
+            owners: list[int | None] = []
+            add = [out[f].append for f in fields[1:]]
+            for doc_id, coded in zip(ids, table.encode(texts), strict=True):
+                view, start = memoryview(coded + end), 0
+                total = len(view) // 4
+                for length in cut_lengths(total, capacity):
+                    owners.append(doc_id)
+                    for put, x in zip(add, (start, length, zlib.crc32(view[4 * start : 4 * (start + length)]), total, worker, met[length]), strict=True):
+                        put(x)
+                    met[length] += 1
+                    start += length
+            columns = [pa.array(owners, pa.int64())] + [pa.array(np.frombuffer(x, "<i8")) for x in out.values()]
+            yield pa.RecordBatch.from_arrays([c.cast(pa.int32()) if f == "worker" else c for f, c in zip(fields, columns, strict=True)], names=fields)
+        trim()
 
     return documents.select(F.col("doc_id").cast("long"), text_bytes().alias("text")).mapInArrow(batches, PIECES)
 
 
-def pack(documents: DataFrame, vocabulary: str | None = None, capacity: int = CAPACITY, kept: int = KEPT) -> DataFrame:
-    """One row for each piece, with the sequence and the offset it lies at; offsets have no gaps. ``kept`` bounds the coded runs that a Python worker remembers: memory against time, never the result."""
-    cut = saved(pieces(documents, vocabulary, capacity, kept), "pieces")
+def pack(documents: DataFrame, vocabulary: str | None = None, capacity: int = CAPACITY) -> DataFrame:
+    """One row for each piece, with the sequence and the offset it lies at; offsets have no gaps."""
+    cut = saved(pieces(documents, vocabulary, capacity), "pieces")
     # A row for each worker and length: at most some dozens of lengths for each worker.
     counts = cut.groupBy("length", "worker").agg(F.count(F.lit(1)).alias("n"))
     by_length = W.Window.partitionBy("length")
@@ -171,7 +194,13 @@ def pack(documents: DataFrame, vocabulary: str | None = None, capacity: int = CA
     # Sequence ids: the class's length tells classes apart, the bin counts on within the class; 0 to capacity - 1 stay free.
     full = placed.filter("full").withColumn("sequence_id", (F.col("bin") + 1) * (capacity + 1) + F.col("length")).withColumn("offset", F.pmod(F.col("place"), per) * F.col("length"))
 
+    # Each length up to the tail, and each of the about 2 * sqrt(C) lengths C // k, leaves less than one sequence: C // length - 1 pieces.
+    lengths = {*range(1, TAIL + 1), *(capacity // k for k in range(1, capacity + 1))}
+    most_left = sum(capacity // n - 1 for n in lengths)
+
     def first_fit(rest: pd.DataFrame) -> pd.DataFrame:
+        if len(rest) > most_left:
+            raise RuntimeError(f"{len(rest)} pieces in last sequences, where {most_left} are the most there can be")
         rest = rest.sort_values(["length", "place"], ascending=[False, True])
         used: list[int] = []
         sequence, offset = [], []

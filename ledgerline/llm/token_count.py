@@ -10,6 +10,8 @@ table gives an empty result; columns other than the id and the text are ignored.
 
 from __future__ import annotations
 
+import functools
+import heapq
 import json
 from collections.abc import Iterable, Iterator
 
@@ -19,13 +21,15 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import resident, text_bytes
+from .common import resident, slices, text_bytes, trim
 
 SCHEMA = "doc_id long, n_bytes long, n_tokens long"
 #: The white space of Unicode.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PRE_TOKEN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
-KEPT = 400_000
+#: Bytes of counted runs that a worker remembers, an entry costing about ENTRY beside its text; longer runs than LONGEST_KEPT letters are not kept,
+#: and pre-tokens of more than LONG bytes are merged one by one, from a list of open places for each rank.
+KEPT_BYTES, ENTRY, LONGEST_KEPT, LONG = 64 << 20, 120, 64, 512
 
 
 def byte_letters() -> dict[str, int]:
@@ -57,6 +61,45 @@ class MergeTable:
         self.twice = regex.compile(rf"[{SPACE}][{SPACE}]|^[{SPACE}]|[{SPACE}]$")
         self.known: dict[str, int] = {}
         self.known_runs: dict[str, int] = {}
+        self.held = 0
+
+    def rank_of(self, a: int, b: int) -> tuple[int, int] | None:
+        """The rank of a pair and the symbol it merges into, if it merges."""
+        code = (a << 32) | b
+        at = int(np.searchsorted(self.codes, code))
+        return (int(self.ranks[at]), int(self.results[at])) if at < len(self.codes) and self.codes[at] == code else None
+
+    def count_long(self, pre_token: bytes) -> int:
+        """The same for one long pre-token: places wait under their pair's rank, and a rank's places merge together, left to right.
+        A merge makes pairs of higher ranks only, so no rank comes back; the work is the number of places, not of rounds times places."""
+        symbols = self.first[np.frombuffer(pre_token, dtype=np.uint8)].tolist()
+        following, preceding = [*range(1, len(symbols)), -1], [*range(-1, len(symbols) - 1)]
+        rank_of, left = functools.cache(self.rank_of), len(symbols)
+        places: dict[int, list[int]] = {}
+        ranks: list[int] = []
+
+        def wait(i: int) -> None:
+            if i >= 0 and following[i] >= 0 and (found := rank_of(symbols[i], symbols[following[i]])):
+                if found[0] not in places:
+                    places[found[0]] = []
+                    heapq.heappush(ranks, found[0])
+                places[found[0]].append(i)
+
+        for i in range(len(symbols)):
+            wait(i)
+        while ranks:
+            rank = heapq.heappop(ranks)
+            for i in sorted(places.pop(rank)):
+                j = following[i]
+                if symbols[i] < 0 or j < 0 or (found := rank_of(symbols[i], symbols[j])) is None or found[0] != rank:
+                    continue  # merged meanwhile
+                symbols[i], symbols[j], following[i] = found[1], -1, following[j]
+                if following[i] >= 0:
+                    preceding[following[i]] = i
+                left -= 1
+                wait(preceding[i])
+                wait(i)
+        return left
 
     def count(self, pre_tokens: list[bytes]) -> np.ndarray:
         """Symbols that survive merging, for each of the pre-tokens (all of one byte or more)."""
@@ -89,24 +132,33 @@ class MergeTable:
             symbols, owner = symbols[keep], owner[keep]
         return counts
 
-    def learn(self, pre_tokens: Iterable[str]) -> None:
-        new = [t for t in set(pre_tokens) if t not in self.known]
-        for i in range(0, len(new), 50_000):
-            part = new[i : i + 50_000]
-            self.known.update(zip(part, self.count([t.encode() for t in part]).tolist(), strict=True))
+    def learn(self, pre_tokens: Iterable[str]) -> dict[str, int]:
+        """Counts pre-tokens that are not known yet; long ones are handed back rather than kept."""
+        new = {t for t in pre_tokens if t not in self.known}
+        coded = {t: t.encode() for t in new if len(t) <= LONG // 4 or len(t.encode()) <= LONG}
+        found = dict(zip(coded, self.count(list(coded.values())).tolist(), strict=True)) if coded else {}
+        found |= {t: self.count_long(t.encode()) for t in new - coded.keys()}
+        short = {t: n for t, n in found.items() if len(t) <= LONGEST_KEPT}
+        self.held += sum(ENTRY + len(t) for t in short)
+        self.known.update(short)
+        return {t: n for t, n in found.items() if t not in short}
 
     def count_pieces(self, pieces: list[str]) -> list[int]:
         """Tokens of strings without special tokens, each standing alone."""
         cut = [self.pre_tokens.findall(p) for p in pieces]
-        self.learn(t for tokens in cut for t in tokens)
-        look = self.known.__getitem__
-        return [sum(map(look, tokens)) for tokens in cut]
+        long = self.learn(t for tokens in cut for t in tokens)
+        known = self.known
+        if not long:
+            look = known.__getitem__
+            return [sum(map(look, tokens)) for tokens in cut]
+        return [sum(known[t] if t in known else long[t] for t in tokens) for tokens in cut]
 
     def count_texts(self, texts: list[str]) -> list[int]:
         """Tokens of whole texts. Runs between single spaces can be counted alone; other texts are cut as a whole."""
-        if len(self.known_runs) > KEPT or len(self.known) > KEPT:
+        if self.held > KEPT_BYTES:
             self.known_runs.clear()
             self.known.clear()
+            self.held = 0
         out, runs, plain = [0] * len(texts), [], []
         for i, text in enumerate(texts):
             if not text:
@@ -119,11 +171,16 @@ class MergeTable:
                 plain.append(i)
                 runs.append((words[0], words[1:]))
         known = self.known_runs
-        new = [w for w in {w for _, words in runs for w in words if w not in known}]
-        known.update(zip(new, self.count_pieces([f" {w}" for w in new]), strict=True))
+        new = list({w for _, words in runs for w in words if w not in known})
+        counted = dict(zip(new, self.count_pieces([f" {w}" for w in new]), strict=True))
+        long = {w: n for w, n in counted.items() if len(w) > LONGEST_KEPT}
+        self.held += sum(ENTRY + len(w) for w in counted)
+        known.update(counted)
         heads = self.count_pieces([head for head, _ in runs])
         for i, head, (_, words) in zip(plain, heads, runs, strict=True):
             out[i] = head + sum(map(known.__getitem__, words))
+        for w in long:
+            del known[w]
         return out
 
 
@@ -137,12 +194,11 @@ def count_tokens(documents: DataFrame, vocabulary: str | None = None, max_tokens
 
             path = public_tokenizers.path("byte_bpe_50k.json")
         table = resident(path, lambda: MergeTable(path))
-        for batch in rows:
-            raw = batch.column(1).to_pylist()
-            tokens: list[int] = []
-            for i in range(0, len(raw), 512):
-                tokens += table.count_texts([x.decode("utf-8", "replace") for x in raw[i : i + 512]])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, raw), pa.int64()), pa.array(tokens, pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
+        for ids, raw in slices(rows):
+            tokens = table.count_texts([x.decode("utf-8", "replace") for x in raw])
+            columns = [pa.array(x, pa.int64()) for x in (ids, [len(x) for x in raw], tokens)]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_bytes", "n_tokens"])
+        trim()
 
     counted = documents.select(F.col("doc_id").cast("long"), text_bytes().alias("text")).mapInArrow(batches, SCHEMA)
     return counted.withColumn("over_limit", F.col("n_tokens") > max_tokens)

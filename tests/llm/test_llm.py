@@ -376,3 +376,19 @@ def test_pipeline(spark, tmp_path):
     assert kept == {i for i, c in enumerate(want) if c == i}
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path))
     assert packed.select("doc_id").distinct().count() == len(ids)
+
+
+def test_long_pre_tokens():
+    import time
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    table, library, r = token_count.MergeTable(path), Tokenizer.from_file(path), random.Random(3)
+    words = ["".join(r.choice("abcdefghé") for _ in range(n)) for n in (600, 3000, 20_000)] + ["a" * 5001, "🙂é" * 900, "x" * 700 + " " + "y" * 64]
+    assert table.count_texts(words) == [len(library.encode(w, add_special_tokens=False).ids) for w in words]
+    begin = time.time()
+    table.count_texts(["".join(r.choice("abcdefgh") for _ in range(80_000))])
+    assert time.time() - begin < 5
+    assert max(map(len, table.known)) <= token_count.LONGEST_KEPT and max(map(len, table.known_runs), default=0) <= token_count.LONGEST_KEPT
