@@ -1,6 +1,6 @@
 """The corpus pipeline: five stages over ``documents``, each written as Parquet and read again for the next.
 
-1. toxicity: documents scored 0.5 or more go.
+1. toxicity: documents scored 0.5 or more go. A document is its id: where rows repeat an id, all of them go if one is rejected.
 2. near_duplicates: of each component of linked documents the one with the smallest id stays (shingles of five words, threshold
    0.8; the three words and 0.9 of the operator's own query do not hold here). Documents with a null id stay, and so do repeated rows of one id.
 3. secrets: spans found are replaced by a mark.
@@ -8,6 +8,8 @@
 5. packing: the pieces of every row that is left, with their sequences.
 
 Every stage but the last returns the columns of ``documents``, extra ones included. Empty tables pass through as empty tables.
+Null and empty texts are scored, kept and packed like others; very long texts are processed whole; ties are settled as each
+operator's docstring says.
 """
 
 from __future__ import annotations
@@ -22,8 +24,6 @@ from ledgerline.llm.common import saved
 SMALL_ROWS = 1_000_000
 #: Words of a shingle and least similarity, in hundredths, of near-duplicates.
 NEAR_WORDS, NEAR_PERCENT = 5, 80
-#: Coded runs that a worker remembers while packing: few, since the executors' memory is also taken by the stages before.
-REMEMBERED = 100_000
 
 
 def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
@@ -50,7 +50,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs, kept=REMEMBERED)
+    return packing.pack(docs)
 
 
 STAGES = [
