@@ -12,9 +12,10 @@ one class from the start.
    classes that candidates connect are a family.
 3. Groups. A family is split, by hash, into groups of a bounded number of sets and bytes; the members of a group are compared
    exactly, by products of their token incidence. One member of each component found goes on to the next round, until a
-   round ends in one group or finds nothing. A family of near copies shrinks by the group's size in each round.
-4. The matrix. Candidates that still lie in different components are left. Groups of them (of one component and one band of sizes)
-   that share a prefix token are a pair; a member's overlap with the other group's token union bounds its overlap with every
+   round ends in one group or joins little. A family of near copies shrinks by the group's size in each round.
+4. The matrix. Candidates that still lie in different components are put into groups again: large components by themselves, the
+   rest of a family by the rarest token that each shares, so that similar sets lie together. Groups that share a prefix token are
+   a pair, whatever rounds joined before; a member's overlap with the other group's token union bounds its overlap with every
    member there, and only members that reach ``percent`` of their own size open the group and are compared exactly.
 5. Components, by alternating star contraction on a spanning forest of the links, written out after each round.
 
@@ -46,6 +47,8 @@ GROUP_MEMBERS, COLUMNS = 48, 1 << 16
 KEPT, LONGEST_KEPT = 150_000, 64
 #: Tokens and documents in a chunk (ordinals take two bytes); bytes of tokens in a hash range, in a group and in a slot.
 CHUNK, CHUNK_DOCUMENTS, RANGE_BYTES, GROUP_BYTES, SLOT_BYTES = 1_000_000, 60_000, 8 << 20, 8 << 20, 4 << 20
+#: Rounds end when more than this share of the members of split families is left after one.
+LEAST_PROGRESS = 0.8
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 PARTS = "chunk long, part int, tokens binary, owners binary, classes binary, unnamed binary"
 
@@ -308,26 +311,38 @@ def compare_rounds(members: DataFrame, families: DataFrame, percent: int) -> Dat
         found = links if found is None else found.unionByName(links)
         # One member of each component goes on, where the family did not fit one group.
         rest = done.filter("not whole").agg(F.count(F.lit(1)), F.count_if(F.col("x") == F.col("y"))).first()
-        if not rest[0] or rest[0] == rest[1]:
+        if not rest[0] or rest[1] > LEAST_PROGRESS * rest[0]:
             return found
         left = done.filter("not whole and x = y").select(F.col("x").alias("class_id"), "family").join(members.select("class_id", "n_shingles"), "class_id")
 
 
-def compare_pairs(members: DataFrame, shared: DataFrame, joined: DataFrame, percent: int) -> DataFrame:
+def compare_pairs(members: DataFrame, shared: DataFrame, families: DataFrame, joined: DataFrame, percent: int) -> DataFrame:
     """Links between candidates that ``joined`` leaves in different components, by the token-group matrix."""
-    placed = shared.join(joined, F.col("class_id") == F.col("node"), "left").select("token", "class_id", "n_shingles", F.coalesce("component", "class_id").alias("component"))
+    placed = shared.join(joined, F.col("class_id") == F.col("node"), "left").select("token", "class_id", "n_shingles", "n", F.coalesce("component", "class_id").alias("component"))
     open_ = placed.groupBy("token").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a < b").select("token")
     live = saved(salted_join(placed, open_, "token", "class_id", "inner"), "live")
-    # Linked sizes lie in one band or in neighbouring ones.
+    # Linked sizes lie in one band or in neighbouring ones; a class's rarest shared token, its anchor, brings it beside similar ones.
     band = F.floor(F.log(F.col("n_shingles").cast("double")) / math.log(100 / percent)).cast("int")
-    of_group = live.select("class_id", "component", "n_shingles", band.alias("band")).distinct()
-    sizes = of_group.groupBy("component", "band").agg(F.greatest(F.ceil(F.count(F.lit(1)) / GROUP_MEMBERS), F.ceil(8 * F.sum("n_shingles") / GROUP_BYTES)).alias("split"))
-    grouped = of_group.join(sizes, ["component", "band"])
-    groups = saved(grouped.select("class_id", "component", "band", F.xxhash64("component", "band", F.pmod(F.xxhash64("class_id"), "split")).alias("group")), "groups")
-    met = saved(live.select("token", "class_id").join(groups, "class_id").select("token", "group", "component", "band").distinct(), "met")
+    each = live.groupBy("class_id", "component", "n_shingles", band.alias("band")).agg(F.min(F.struct("n", "token"))["token"].alias("anchor"))
+    each = saved(each.join(families.select("class_id", "family"), "class_id"), "each")
+    # Large components have groups of their own, which need not meet each other; what is left of a family is grouped by anchors.
+    large = each.groupBy("component").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= GROUP_MEMBERS).select("component", F.lit(True).alias("own"))
+    each = salted_join(each, large, "component", "class_id", "left")
+    spread = each.filter("own is null").groupBy("family", "band").agg(F.ceil(F.count(F.lit(1)) / GROUP_MEMBERS).alias("wide"))
+    each = each.join(spread, ["family", "band"], "left")
+    kin = F.when(F.col("own"), F.xxhash64("component", "band")).otherwise(F.xxhash64("family", "band", F.pmod(F.xxhash64("anchor"), "wide")))
+    each = each.withColumn("kin", kin)
+    sizes = each.groupBy("kin").agg(F.greatest(F.ceil(F.count(F.lit(1)) / GROUP_MEMBERS), F.ceil(8 * F.sum("n_shingles") / GROUP_BYTES)).alias("split"))
+    groups = salted_join(each, sizes, "kin", "class_id", "inner").select("class_id", "component", "band", F.xxhash64("kin", F.pmod(F.xxhash64("class_id"), "split")).alias("group"))
+    groups = saved(groups, "groups")
+    whole = groups.groupBy("group", "band").agg(F.min("component").alias("a"), F.max("component").alias("b")).select("group", "band", F.when(F.col("a") == F.col("b"), F.col("a")).alias("only"))
+    met = live.select("token", "class_id").join(groups.select("class_id", "group"), "class_id").select("token", "group").distinct().join(whole, "group")
+    met = saved(met, "met")
     a, b = met.alias("a"), met.alias("b")
-    pairs = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.group") < F.col("b.group")) & (F.col("a.component") != F.col("b.component")) & (F.abs(F.col("a.band") - F.col("b.band")) <= 1))
-    pairs = saved(pairs.select(F.col("a.group").alias("one"), F.col("b.group").alias("two")).distinct(), "pairs")
+    apart = F.col("a.only").isNull() | F.col("b.only").isNull() | (F.col("a.only") != F.col("b.only"))
+    pairs = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.group") < F.col("b.group")) & apart & (F.abs(F.col("a.band") - F.col("b.band")) <= 1))
+    pairs = pairs.select(F.col("a.group").alias("one"), F.col("b.group").alias("two")).distinct()
+    pairs = saved(pairs.unionByName(whole.filter("only is null").select(F.col("group").alias("one"), F.col("group").alias("two"))), "pairs")
     held = saved(members.join(groups, "class_id").select("group", "class_id", "tokens"), "held")
     # Pairs are compared some at a time, as many as make about SLOT_BYTES of tokens.
     weights = held.groupBy("group").agg(F.sum(F.octet_length("tokens")).alias("w"))
@@ -339,9 +354,11 @@ def compare_pairs(members: DataFrame, shared: DataFrame, joined: DataFrame, perc
         out: list[tuple[int, int]] = []
         rights = right.groupby(["one", "two"]).indices
         for key, at in left.groupby(["one", "two"]).indices.items():
-            a, b = left.iloc[at], right.iloc[rights[key]]
+            a, b = left.iloc[at].sort_values("class_id"), right.iloc[rights[key]].sort_values("class_id")
             x, y = a["class_id"].tolist(), b["class_id"].tolist()
-            out += forest([(x[i], y[j]) for i, j in links_between(arrays(a["tokens"]), arrays(b["tokens"]), percent)])
+            sets, others = arrays(a["tokens"]), arrays(b["tokens"])
+            found = linked(sets, sets, percent) if key[0] == key[1] else links_between(sets, others, percent)
+            out += forest([(x[i], y[j]) for i, j in found if x[i] != y[j]])
         return pd.DataFrame(out, columns=["x", "y"], dtype="int64")
 
     columns = ["slot", "one", "two", "class_id", "tokens"]
@@ -379,13 +396,14 @@ def join(documents: DataFrame, width: int = 3, percent: int = 90, small_bytes: i
     members = saved(members.dropDuplicates(["class_id"]), "members")  # repeated rows of one id
 
     held = members.select(F.explode("prefix").alias("token"), "class_id", "n_shingles")
-    several = held.groupBy("token").agg(F.min("class_id").alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("token", "least")
-    shared = saved(salted_join(held, several, "token", "class_id", "inner").select("token", "class_id", "n_shingles", "least"), "shared")
+    several = held.groupBy("token").agg(F.min("class_id").alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    shared = saved(salted_join(held, several, "token", "class_id", "inner").select("token", "class_id", "n_shingles", "least", "n"), "shared")
     families = components(shared.select(F.col("class_id").alias("x"), F.col("least").alias("y")).filter("x <> y").distinct())
     first = members.select("class_id", "n_shingles").join(families.unionByName(families.select(F.col("component").alias("node"), "component")).distinct(), F.col("class_id") == F.col("node"))
-    links = compare_rounds(members, saved(first.select("class_id", "n_shingles", F.col("component").alias("family")), "families"), percent)
+    families = saved(first.select("class_id", "n_shingles", F.col("component").alias("family")), "families")
+    links = compare_rounds(members, families, percent)
     joined = components(links)
-    crossing = compare_pairs(members, shared.drop("least"), joined, percent)
+    crossing = compare_pairs(members, shared.drop("least"), families, joined, percent)
     if not crossing.isEmpty():
         joined = components(links.unionByName(crossing))
 
