@@ -134,29 +134,100 @@ def cascade_rows(parent_keys: DataFrame, child: DataFrame, fk: Iterable[str], pk
     return child.join(parents, same, "left_semi")
 
 
-def cascade_closure(tables: Tables, catalog: Catalog, relation: str, rows: DataFrame, max_depth: int = 8, refuse_deeper: bool = False) -> Tables:
-    """The rows of every relation that go with ``rows``, level by level. A relation reached in several ways has the union.
+def cycles(catalog: Catalog, relation: str) -> list[list[str]]:
+    """The relations that cascades reach from ``relation``, parents first; relations that reach each other are one entry."""
+    below: dict[str, set[str]] = {}
+
+    def reach(name: str) -> set[str]:
+        found, open_ = set(), [name]
+        while open_:
+            for fk in catalog.children(open_.pop()):
+                if fk.child not in found:
+                    found.add(fk.child)
+                    open_.append(fk.child)
+        return found
+
+    names = sorted({relation} | reach(relation))
+    below = {n: reach(n) for n in names}
+    parts = {frozenset([n, *(m for m in below[n] if n in below[m])]) for n in names}
+    # A part that reaches more relations stands before those it reaches.
+    return [sorted(part) for part in sorted(parts, key=lambda part: (-max(len(below[n] | part) for n in part), sorted(part)))]
+
+
+def depths(catalog: Catalog, relation: str) -> dict[str, int]:
+    """The most levels down at which each relation is reached, cycles walked once."""
+    out = {relation: 0}
+    for part in cycles(catalog, relation):
+        inside = max((out[n] for n in part if n in out), default=0)
+        for n in part:
+            out[n] = max(inside, out.get(n, 0))
+            for fk in catalog.children(n):
+                if fk.child not in part:
+                    out[fk.child] = max(out.get(fk.child, 0), out[n] + 1)
+    return out
+
+
+def picked(child: DataFrame, parents: list[tuple[DataFrame, ForeignKey]], catalog: Catalog, also: Column | None = None) -> DataFrame:
+    """Rows of a child that have any of the given parents' keys, or satisfy ``also``; each row once, whether it has a key or not."""
+    if len(parents) == 1 and also is None:
+        keys, fk = parents[0]
+        return cascade_rows(keys, child, fk.columns, catalog.keys[fk.parent])
+    hit, rows = also if also is not None else F.lit(False), child
+    for i, (keys, fk) in enumerate(parents):
+        one = keys.select(*[F.col(k).alias(f"_key_{i}_{j}") for j, k in enumerate(catalog.keys[fk.parent])]).distinct().withColumn(f"_hit_{i}", F.lit(True))
+        rows = rows.join(one, functools.reduce(operator.and_, [F.col(f) == F.col(f"_key_{i}_{j}") for j, f in enumerate(fk.columns)]), "left")
+        hit = hit | F.coalesce(F.col(f"_hit_{i}"), F.lit(False))
+    return rows.filter(hit).select(*child.columns)
 
-    ``refuse_deeper``: raise instead of going past ``max_depth`` levels.
+
+def cascade_closure(tables: Tables, catalog: Catalog, relation: str, predicate: str, max_depth: int | None = None) -> Tables:
+    """The rows of every relation that go with the rows of ``relation`` that the predicate picks, whatever the depth.
+
+    Relations are walked parents first, each once, by the union of its foreign keys. Relations that reach each other or
+    themselves are walked level by level, each time from the keys that are new, until none is. The keys of every relation that
+    has children are written to the shared folder once and serve all that hangs below. ``max_depth`` refuses (CASCADE_TOO_DEEP)
+    where rows lie deeper; nothing is ever cut off.
     """
-    out: Tables = {relation: rows}
-    level, depth = {relation}, 0
-    while level:
-        follow = [(p, fk) for p in sorted(level) for fk in catalog.children(p)]
-        if not follow:
-            break
-        if depth == max_depth:
-            if refuse_deeper:
+    from ..sources.versions import scratch
+
+    out: Tables = {}
+    keys: Tables = {}
+    deep = depths(catalog, relation)
+    for part in cycles(catalog, relation):
+        own = [fk for n in part for fk in catalog.children(n) if fk.child in part]
+        for name in part:
+            coming = [(keys[fk.parent], fk) for fk in catalog.foreign_keys if fk.cascade and fk.child == name and fk.parent in keys and fk.parent not in part]
+            out[name] = picked(tables[name], coming, catalog, holds(predicate) if name == relation else None) if coming or name == relation else tables[name].limit(0)
+        if own:
+            for name in part:
+                if not catalog.keys.get(name):
+                    raise Refused("PK_LESS_TABLE")  # what refers to itself is known by its key
+            new = {n: scratch(out[n].select(*catalog.keys[n]).distinct()) for n in part}
+            found, level = dict(new), max(deep[n] for n in part)
+            while True:
+                nxt: Tables = {}
+                for name in part:
+                    coming = [(new[fk.parent], fk) for fk in own if fk.child == name]
+                    if coming:
+                        rows = picked(tables[name], coming, catalog).select(*catalog.keys[name]).distinct()
+                        nxt[name] = scratch(rows.join(found[name], list(catalog.keys[name]), "left_anti"))
+                new = {n: df for n, df in nxt.items() if not df.isEmpty()}
+                if not new:
+                    break
+                level += 1
+                if max_depth is not None and level > max_depth:
+                    raise Refused("CASCADE_TOO_DEEP")
+                found = {n: found[n].unionByName(new[n]) if n in new else found[n] for n in part}
+                own = [fk for n in part for fk in catalog.children(n) if fk.child in part and n in new]
+            for name in part:
+                keys[name] = found[name]
+                out[name] = tables[name].join(found[name], list(catalog.keys[name]), "left_semi")
+        for name in part:
+            if max_depth is not None and deep[name] > max_depth and not out[name].isEmpty():
                 raise Refused("CASCADE_TOO_DEEP")
-            break
-        nxt: Tables = {}
-        for parent, fk in follow:
-            found = cascade_rows(out[parent].select(*catalog.keys[parent]).distinct(), tables[fk.child], fk.columns, catalog.keys[parent])
-            nxt[fk.child] = nxt[fk.child].union(found).distinct() if fk.child in nxt else found
-        for name, found in nxt.items():
-            out[name] = out[name].union(found).distinct() if name in out else found
-        level, depth = set(nxt), depth + 1
-    return out
+            if name not in keys and catalog.children(name):
+                keys[name] = scratch(out[name].select(*catalog.keys[name]).distinct())
+    return {n: out[n] for n in sorted(out, key=lambda n: (deep[n], [m for part in cycles(catalog, relation) for m in part].index(n)))}
 
 
 def missing_preimages(written: DataFrame, preimages: DataFrame, keys: Iterable[str]) -> DataFrame:
@@ -180,9 +251,9 @@ def apply_update(df: DataFrame, predicate: str, assignments: dict[str, str], key
     return df.select(*[F.when(hit, F.expr(assignments[c]).cast(df.schema[c].dataType)).otherwise(F.col(c)).alias(c) if c in assignments else F.col(c) for c in df.columns])
 
 
-def apply_delete(tables: Tables, catalog: Catalog, relation: str, predicate: str, max_depth: int = 8) -> Tables:
-    """New versions of the relation and all that cascades from it."""
-    gone = cascade_closure(tables, catalog, relation, tables[relation].filter(holds(predicate)), max_depth)
+def apply_delete(tables: Tables, catalog: Catalog, relation: str, predicate: str, gone: Tables | None = None) -> Tables:
+    """New versions of the relation and all that cascades from it. ``gone``: the closure, where it is known already."""
+    gone = cascade_closure(tables, catalog, relation, predicate) if gone is None else gone
     out = {relation: tables[relation].filter(~holds(predicate))}
     for name in gone:
         for fk in [f for f in catalog.foreign_keys if f.child == name and f.parent in gone and f.cascade]:
@@ -206,10 +277,9 @@ def size_of(df: DataFrame, columns: Iterable[str]) -> Column:
 
 
 def effects_of(tables: Tables, catalog: Catalog, write: Write) -> list[tuple[str, DataFrame]]:
-    rows = tables[write.relation].filter(holds(write.predicate))
     if write.kind == "UPDATE":
-        return [(write.relation, rows)]
-    return list(cascade_closure(tables, catalog, write.relation, rows).items())
+        return [(write.relation, tables[write.relation].filter(holds(write.predicate)))]
+    return list(cascade_closure(tables, catalog, write.relation, write.predicate).items())
 
 
 def rehearse(tables: Tables, catalog: Catalog, write: Write) -> DataFrame:
@@ -302,15 +372,15 @@ def check_blast(blast: DataFrame, target: str) -> DataFrame:
     return rows.select(reason.alias("refused"), "total_rows")
 
 
-def build_inverse(tables: Tables, catalog: Catalog, write: Write) -> tuple[DataFrame, Tables]:
-    """The plan (relation, kind, fk_order, caveat), parents first, and each relation's pre-images."""
+def build_inverse(tables: Tables, catalog: Catalog, write: Write, gone: Tables | None = None) -> tuple[DataFrame, Tables]:
+    """The plan (relation, kind, fk_order, caveat), parents first, and each relation's pre-images. ``gone``: the closure, where it is known already."""
     spark = tables[write.relation].sparkSession
     keys = catalog.keys
     if write.kind == "UPDATE":
         images = {write.relation: capture_preimage(tables[write.relation], write.predicate, keys[write.relation], write.assignments)}
         order, kind = [write.relation], "PREIMAGE_UPSERT"
     else:
-        found = cascade_closure(tables, catalog, write.relation, tables[write.relation].filter(holds(write.predicate)))
+        found = cascade_closure(tables, catalog, write.relation, write.predicate) if gone is None else gone
         order, kind = list(found), "INSERT"
         images = {name: capture_preimage(tables[name], rows, keys.get(name, ())) for name, rows in found.items()}
     plan = [(name, kind, i, "tables derived downstream, surrogate ids and notifications already sent are not restored") for i, name in enumerate(order)]
@@ -394,41 +464,63 @@ def changed_bytes(before: Tables, after: Tables, images: Tables, catalog: Catalo
     return functools.reduce(DataFrame.unionByName, out)
 
 
-def guarded_apply(tables: Tables, catalog: Catalog, write: Write, blast: DataFrame, cap: DataFrame, base: str) -> dict[str, str]:
-    """Prechecks, capture, forward, reconcile, cap, coverage, publish; the first failure raises and nothing is published.
+def written_columns(write: Write) -> list[str]:
+    return list(write.assignments) if write.kind == "UPDATE" else []
+
+
+def guarded_apply(tables: Tables, catalog: Catalog, write: Write, blast: DataFrame, cap: DataFrame, base: str, captured: Tables | None = None) -> dict[str, str]:
+    """Certify, predicate, prechecks, capture, forward, reconcile, cap, coverage, publish; the first failure raises and nothing is published.
 
     Returns the paths of the published versions. Pre-images and new versions are written before anything is compared, so a later
-    step never reads a table that an earlier one has changed.
+    step never reads a table that an earlier one has changed; the staged versions are what gets published. ``captured``: pre-images
+    that were taken before (by relation, as ``capture_preimage`` makes them); they must hold every written row and column.
     """
-    from ..sources.versions import publish, stage
+    from ..operators.logs import certify
+    from ..sources.versions import publish_paths, stage, stage_path
 
     def first(df: DataFrame, what: str) -> None:
         row = df.filter(F.col(what).isNotNull()).select(what).first()
         if row:
             raise Refused(row[0])
 
+    spark, mine = tables[write.relation].sparkSession, catalog.keys.get(write.relation)
     blast = stage(blast, f"{base}/_blast")
-    first(check_blast(blast.withColumn("keyed", F.lit(True)), write.relation), "refused")
+    asked = spark.createDataFrame([(write.kind, bool(mine), captured is None or write.relation in captured, False)], "kind string, has_pk boolean, has_preimage boolean, volatile_default boolean")
+    first(certify(asked), "refused")
+    if reason := guard_predicate(tables[write.relation], write.predicate, mine):
+        raise Refused(reason)
+    first(check_blast(blast, write.relation), "refused")
     first(check_cap(blast, blast.limit(0), cap), "refused")
-    first(check_pk(tables[write.relation], catalog.keys.get(write.relation)), "reason")
-    _, images = build_inverse(tables, catalog, write)
+    first(check_pk(tables[write.relation], mine), "reason")
+    gone = None
+    if write.kind == "DELETE":
+        gone = {name: stage(rows, f"{base}/_gone/{name}") for name, rows in cascade_closure(tables, catalog, write.relation, write.predicate).items()}
+    written = gone or {write.relation: tables[write.relation].filter(holds(write.predicate))}
+    images = captured if captured is not None else build_inverse(tables, catalog, write, gone)[1]
     images = {name: stage(df, f"{base}/_preimages/{name}") for name, df in images.items()}
+    for name, rows in written.items():
+        keys = list(catalog.keys.get(name, ()))
+        if not keys:
+            raise Refused("CASCADE_NOT_KEYED")
+        image = images.get(name, rows.limit(0))
+        if not missing_preimages(rows.select(*keys), image, keys).isEmpty():
+            raise Refused("IrreversibleChange")
+        if name in images:
+            had = images[name].schema["before"].dataType.names
+            need = written_columns(write) or [c for c in tables[name].columns if c not in keys]
+            first(check_column_coverage(images[name].select(*keys, F.lit(had).alias("columns")), need, keys).select(F.lit("MissingPreImageColumn").alias("refused")), "refused")
     if write.kind == "UPDATE":
-        new = {write.relation: apply_update(tables[write.relation], write.predicate, write.assignments, catalog.keys[write.relation])}
+        new = {write.relation: apply_update(tables[write.relation], write.predicate, write.assignments, mine)}
     else:
-        new = apply_delete(tables, catalog, write.relation, write.predicate)
-    new = {name: stage(df, f"{base}/_staged/{name}") for name, df in new.items()}
+        new = apply_delete(tables, catalog, write.relation, write.predicate, gone)
+    paths = {name: stage_path(df, f"{base}/_staged/{name}") for name, df in new.items()}
+    new = {name: spark.read.schema(new[name].schema).parquet(path) for name, path in paths.items()}
     actual = actual_effects(tables, new, catalog)
     if write.kind == "UPDATE":  # an update that changes nothing still writes
         actual = actual.withColumn("upd", F.lit(images[write.relation].count()))
     actual = stage(actual.join(changed_bytes(tables, new, images, catalog, write), "relation", "left").withColumn("changed_bytes", F.coalesce("changed_bytes", F.lit(0))), f"{base}/_actual")
     first(reconcile(blast, actual, write.relation, write.kind), "refused")
     first(check_cap(blast, actual, cap), "refused")
-    captured = functools.reduce(DataFrame.unionByName, [df.agg(F.count(F.lit(1)).alias("captured")).select(F.lit(name).alias("relation"), "captured") for name, df in images.items()])
-    first(check_row_coverage(actual, captured, write.relation), "refused")
-    if write.kind == "UPDATE":
-        had = images[write.relation].schema["before"].dataType.names
-        if set(write.assignments) - set(had):
-            raise Refused("MissingPreImageColumn")
-    return publish(new, base)
-
+    counts = functools.reduce(DataFrame.unionByName, [df.agg(F.count(F.lit(1)).alias("captured")).select(F.lit(name).alias("relation"), "captured") for name, df in images.items()])
+    first(check_row_coverage(actual, counts, write.relation), "refused")
+    return publish_paths(spark, paths, base)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import audit, scoring, watch
 from ..sources import tables, versions
-from ..streaming.meter import work_folder
+from ..sources.shared import shared_folder
 from . import audit as chains
 from . import watch as fleet
 from . import writes
@@ -17,7 +17,7 @@ from .base import duck
 
 
 def folder(spark: SparkSession, label: str) -> str:
-    return f"{work_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
 
 def chain_files(s: SparkSession, d: str) -> DataFrame:

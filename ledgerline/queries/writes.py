@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from ..operators import snapshot
 from ..plans import writes
 from ..plans.writes import Catalog, ForeignKey, Write
 from ..sources import versions
-from ..streaming.meter import work_folder
+from ..sources.shared import shared_folder
 from .base import table
 
 CATALOG = Catalog(
@@ -19,6 +21,11 @@ CATALOG = Catalog(
         ForeignKey("orders", ("o_custkey",), "customer"), ForeignKey("lineitem", ("l_orderkey",), "orders"),
     ),
 )
+#: The same with items that have a key: lineitem repeats (l_orderkey, l_linenumber), so a delete that cascades to it is refused.
+KEYED = Catalog(
+    keys={"customer": ("c_custkey",), "orders": ("o_orderkey",), "items": ("l_orderkey", "l_linenumber")},
+    foreign_keys=(ForeignKey("orders", ("o_custkey",), "customer"), ForeignKey("items", ("l_orderkey",), "orders")),
+)
 DELETE = Write("DELETE", "customer", "c_custkey % 97 = 0")
 UPDATE = Write("UPDATE", "orders", "o_orderkey % 101 = 0", {"o_orderstatus": "'X'", "o_totalprice": "o_totalprice + 1"})
 GONE, HIT = "c_custkey % 97 = 0", "o_orderkey % 101 = 0"
@@ -56,7 +63,7 @@ def counts_of(named: dict[str, DataFrame]) -> DataFrame:
 
 def deep(spark: SparkSession, folder: str) -> DataFrame:
     t = tables(spark, folder, "region", "nation", "customer", "supplier", "orders", "lineitem")
-    return counts_of(writes.cascade_closure(t, CATALOG, "nation", t["nation"].filter("n_nationkey % 5 = 0")))
+    return counts_of(writes.cascade_closure(t, CATALOG, "nation", "n_nationkey % 5 = 0"))
 
 
 def effects(spark: SparkSession, folder: str) -> DataFrame:
@@ -113,17 +120,51 @@ def plan(spark: SparkSession, folder: str) -> DataFrame:
     return writes.build_inverse(tables(spark, folder), CATALOG, DELETE)[0]
 
 
+def keyed_tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    t = tables(spark, folder)
+    items = t.pop("lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.count(F.lit(1)).alias("n"), F.min("l_partkey").alias("l_partkey"), F.max("l_suppkey").alias("l_suppkey"))
+    return t | {"items": items}
+
+
 def applied(spark: SparkSession, folder: str, write: Write) -> DataFrame:
     """Rehearsed, approved with the suggested cap, applied and read back: the published tables' fingerprints."""
-    import uuid
-
-    t = tables(spark, folder)
-    b = writes.rehearse(t, CATALOG, write)
-    base = f"{work_folder(spark)}/write-{uuid.uuid4().hex}"
-    writes.guarded_apply(t, CATALOG, write, b, writes.suggest_cap(b, 0.1), base)
+    t = keyed_tables(spark, folder)
+    b = writes.rehearse(t, KEYED, write)
+    base = f"{shared_folder(spark)}/write-{uuid.uuid4().hex}"
+    writes.guarded_apply(t, KEYED, write, b, writes.suggest_cap(b, 0.1), base)
     return fingerprints({name: spark.read.parquet(path) for name, path in sorted(versions.current(spark, base).items())})
 
 
+def refused(spark: SparkSession, folder: str) -> DataFrame:
+    """Why the delete that cascades to rows without a key may not go on."""
+    t, b = tables(spark, folder), blast(spark, folder)
+    try:
+        writes.guarded_apply(t, CATALOG, DELETE, b, writes.suggest_cap(b, 0.1), f"{shared_folder(spark)}/write-{uuid.uuid4().hex}")
+        reason = None
+    except writes.Refused as e:
+        reason = e.args[0]
+    return writes.footprint(b).select(F.lit(reason).cast("string").alias("refused"), "total_rows")
+
+
+#: Predicates on orders, and what the guard says of each.
+PREDICATES = {
+    "o_orderkey % 97 = 0": None, "": "NO_PREDICATE", "1 = 1": "NO_KEY_COLUMN", "o_orderkey < 900 AND o_orderstatus = 'O'": "NON_KEY_COLUMN", "o_orderkey > rand() * 100": "NOT_DETERMINISTIC",
+    "o_orderkey BETWEEN 5 AND 700": None, "o_orderkey IN (1, 2, 3)": None, "o_orderkey > unix_timestamp(current_timestamp())": "NOT_DETERMINISTIC",
+}
+
+
+def guarded_predicates(spark: SparkSession, folder: str) -> DataFrame:
+    """Each predicate, the guard's answer, and how many rows the ones that pass would touch."""
+    orders = tables(spark, folder, "orders")["orders"]
+    out = None
+    for p in PREDICATES:
+        reason = writes.guard_predicate(orders, p, KEY)
+        n = orders.filter(writes.holds(p)) if reason is None else orders.limit(0)
+        one = n.agg(F.count(F.lit(1)).alias("n")).select(F.lit(p).alias("predicate"), F.lit(reason).cast("string").alias("refused"), "n")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def constraints(spark: SparkSession, folder: str) -> DataFrame:
     """Orders of which some parents are gone and some keys come twice."""
     t = tables(spark, folder)
@@ -183,6 +224,7 @@ def two(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
 KEY = ["o_orderkey"]
 QUERIES = {
     "d1_affected": lambda s, d: writes.affected(tables(s, d, "customer")["customer"], GONE, ["c_custkey"]),
+    "d2_guard_predicate": guarded_predicates,
     "d3_apply_update": lambda s, d: writes.apply_update(tables(s, d, "orders")["orders"], HIT, UPDATE.assignments, KEY),
     "d4_apply_delete": after_delete,
     "d5_capture_preimage": lambda s, d: writes.capture_preimage(tables(s, d, "orders")["orders"], HIT, KEY, ["o_orderstatus", "o_totalprice"]).select("o_orderkey", "before.*"),
@@ -197,6 +239,7 @@ QUERIES = {
     ).select("o_orderkey", F.array_join("missing", ",").alias("missing")),
     "d13_guarded_delete": lambda s, d: applied(s, d, DELETE),
     "d13_guarded_update": lambda s, d: applied(s, d, UPDATE),
+    "d13_refused_delete": refused,
     "d14_check_blast": lambda s, d: writes.check_blast(blast(s, d), "customer"),
     "d15_inverse_rows": captured,
     "d16_revert_update": reverted_update,
@@ -233,8 +276,12 @@ ORACLES = {
     "d10_reconcile": MORE + " SELECT m.relation, CASE WHEN b.relation IS NULL AND m.ins + m.del > 0 THEN 'UnpredictedRelationWrite' WHEN m.relation <> 'customer' AND m.del > b.n THEN 'RelationOverWrite' END AS refused, CASE WHEN b.relation IS NOT NULL AND m.relation <> 'customer' AND m.del > b.n THEN 'del' END AS channel FROM more m LEFT JOIN blast b ON b.relation = m.relation",
     "d11_row_coverage": BLAST + " SELECT relation, n - 3 AS captured, 'IrreversibleChange' AS refused FROM blast WHERE relation = 'orders'",
     "d12_column_coverage": f"SELECT o_orderkey, 'o_totalprice' AS missing FROM orders WHERE {HIT} AND o_orderkey % 3 = 0",
-    "d13_guarded_delete": BASE + f""", kc AS (SELECT * FROM c WHERE NOT ({GONE})), ko AS (SELECT * FROM o WHERE o_orderkey NOT IN (SELECT o_orderkey FROM go)), kl AS (SELECT * FROM l WHERE l_orderkey NOT IN (SELECT o_orderkey FROM go))
-      {print_of("kc", "customer", *C)} UNION ALL {print_of("ko", "orders", *O)} UNION ALL {print_of("kl", "lineitem", *LI)}""",
+    "d13_guarded_delete": BASE + f""", kc AS (SELECT * FROM c WHERE NOT ({GONE})), ko AS (SELECT * FROM o WHERE o_orderkey NOT IN (SELECT o_orderkey FROM go)), kl AS (SELECT l_orderkey, l_linenumber, count(*) AS n, min(l_partkey) AS l_partkey, max(l_suppkey) AS l_suppkey FROM l WHERE l_orderkey NOT IN (SELECT o_orderkey FROM go) GROUP BY l_orderkey, l_linenumber)
+      {print_of("kc", "customer", *C)} UNION ALL {print_of("ko", "orders", *O)} UNION ALL {print_of("kl", "items", "l_orderkey", "l_linenumber", "n", "l_partkey", "l_suppkey")}""",
+    "d13_refused_delete": BLAST + " SELECT 'CASCADE_NOT_KEYED' AS refused, CAST(sum(n) AS BIGINT) AS total_rows FROM blast",
+    "d2_guard_predicate": " UNION ALL ".join(
+        f"SELECT '{p.replace(chr(39), chr(39) * 2)}' AS predicate, {'NULL' if r is None else repr(r)} AS refused, (SELECT count(*) FROM orders WHERE {p if r is None else 'false'}) AS n" for p, r in PREDICATES.items()
+    ),
     "d13_guarded_update": BASE + " " + print_of("uo", "orders", *O),
     "d14_check_blast": BLAST + " SELECT CASE WHEN bool_and(is_target OR keyed) THEN NULL ELSE 'CASCADE_NOT_KEYED' END AS refused, CAST(sum(n) AS BIGINT) AS total_rows FROM blast",
     "d15_inverse_rows": BLAST + " SELECT relation, n - CASE relation WHEN 'orders' THEN 3 ELSE 0 END AS captured FROM blast",

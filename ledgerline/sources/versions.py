@@ -5,39 +5,71 @@ from __future__ import annotations
 import json
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .shared import shared_folder
 
-def stage(df: DataFrame, path: str) -> DataFrame:
-    """Writes ``df`` under a new name below ``path`` and reads it again."""
+
+def scratch(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read again: cuts the lineage, and outlives lost executors."""
+    return stage(df, f"{shared_folder(df.sparkSession)}/scratch")
+
+
+def stage_path(df: DataFrame, path: str) -> str:
+    """Writes ``df`` under a new name below ``path``."""
     path = f"{path}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return path
 
 
-def current(spark: SparkSession, base: str) -> dict[str, str]:
-    """The paths of the published versions, by relation; none before the first publishing."""
+def stage(df: DataFrame, path: str) -> DataFrame:
+    """Writes ``df`` under a new name below ``path`` and reads it again."""
+    return df.sparkSession.read.schema(df.schema).parquet(stage_path(df, path))
+
+
+def pointers(spark: SparkSession, base: str) -> DataFrame | None:
+    """All that was ever published, one row a version; of two with one number the one with the smaller name counts."""
     try:
-        rows = spark.read.schema("number long, paths string").json(f"{base}/_current")
-        newest = rows.orderBy(F.desc("number")).first()
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
+        return spark.read.schema("number long, name string, paths string").json(f"{base}/_current")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
             raise
-        return {}
-    return json.loads(newest["paths"]) if newest else {}
+        return None
+
+
+def newest(spark: SparkSession, base: str) -> tuple[int, dict[str, str]]:
+    rows = pointers(spark, base)
+    row = rows.orderBy(F.desc("number"), "name").first() if rows is not None else None
+    return (row["number"], json.loads(row["paths"])) if row else (0, {})
+
+
+def current(spark: SparkSession, base: str) -> dict[str, str]:
+    """The paths of the published versions, by relation; none before the first publishing."""
+    return newest(spark, base)[1]
+
+
+class Outrun(Exception):
+    """Another writer published first; nothing of this one is current. Rehearse again on the new versions."""
+
+
+def publish_paths(spark: SparkSession, paths: dict[str, str], base: str) -> dict[str, str]:
+    """Makes tables that are written already current, all at once, by one row of the pointer; relations not among them keep their
+    versions. Every version has a folder of its own name, so a failed attempt is in nobody's way. Of two writers that publish on
+    the same version one is outrun and told so."""
+    number, before = newest(spark, base)
+    mine, all_ = uuid.uuid4().hex, before | paths
+    spark.createDataFrame([(number + 1, mine, json.dumps(all_))], "number long, name string, paths string").coalesce(1).write.mode("append").json(f"{base}/_current")
+    if pointers(spark, base).filter(F.col("number") == number + 1).orderBy("name").first()["name"] != mine:
+        raise Outrun(base)
+    return all_
 
 
 def publish(tables: dict[str, DataFrame], base: str) -> dict[str, str]:
-    """Makes all of ``tables`` current at once; relations not among them keep their versions. Readers see the old or the new state."""
+    """Writes ``tables`` and makes them current. Readers see the old or the new state."""
     spark = next(iter(tables.values())).sparkSession
-    paths = current(spark, base)
-    number = 1 + max([0, *(int(p.split("/v=")[1].split("/")[0]) for p in paths.values())])
-    for name, df in tables.items():
-        paths[name] = f"{base}/v={number}/{name}"
-        df.write.parquet(paths[name])
-    spark.createDataFrame([(number, json.dumps(paths))], "number long, paths string").coalesce(1).write.mode("append").json(f"{base}/_current")
-    return paths
+    return publish_paths(spark, {name: stage_path(df, f"{base}/versions/{name}") for name, df in tables.items()}, base)
 
 
 def read(spark: SparkSession, base: str, name: str) -> DataFrame:

@@ -7,7 +7,6 @@ and returns what it wrote; live queries are started by the caller from the same
 from __future__ import annotations
 
 import functools
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -18,25 +17,12 @@ from pyspark.sql import functions as F
 from ..operators import meter
 from ..operators.logs import ceiling
 from ..schemas import TRUST, label
-
-_own_folder: dict[str, str] = {}
-
-
-def work_folder(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a temporary one only where none is set."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _own_folder:
-        _own_folder[app] = tempfile.mkdtemp(prefix="spark-")
-    return _own_folder[app]
-
+from ..sources.shared import shared_folder
 
 def replay(rows: DataFrame, query: Callable[[DataFrame], DataFrame], name: str, files_per_batch: int | None = None, mode: str = "append") -> DataFrame:
     """Writes ``rows`` as files, streams them through ``query`` until all are taken, and reads back the output."""
     spark = rows.sparkSession
-    base = f"{work_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    base = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     rows.write.parquet(f"{base}/in")
     source = spark.readStream.schema(rows.schema)
     source = source.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else source

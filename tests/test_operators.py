@@ -104,7 +104,77 @@ def test_drift_with_equal_counts_aborts(bank):
 
 def test_cascade_depth(bank):
     with pytest.raises(Refused, match="CASCADE_TOO_DEEP"):
-        writes.cascade_closure(bank, CATALOG, "accounts", bank["accounts"], 0, refuse_deeper=True)
+        writes.cascade_closure(bank, CATALOG, "accounts", "true", 0)
+
+
+def test_deep_cascades(spark):
+    levels = 13
+    chain = {f"t{i}": spark.createDataFrame([(k, k) for k in range(4)], "id long, up long") for i in range(levels)}
+    catalog = Catalog({n: ("id",) for n in chain}, tuple(ForeignKey(f"t{i + 1}", ("up",), f"t{i}") for i in range(levels - 1)))
+    found = writes.cascade_closure(chain, catalog, "t0", "id <= 1")
+    assert list(found) == list(chain) and all(df.count() == 2 for df in found.values())
+    assert all(df.count() == 2 for df in writes.apply_delete(chain, catalog, "t0", "id <= 1").values())
+    with pytest.raises(Refused, match="CASCADE_TOO_DEEP"):
+        writes.cascade_closure(chain, catalog, "t0", "id <= 1", 8)
+    assert len(writes.cascade_closure(chain, catalog, "t0", "id > 99", 8)) == levels  # nothing lies that deep
+
+
+def test_keyless_rows_reached_twice_and_trees(spark):
+    people = spark.createDataFrame([(1, None), (2, 1), (3, 2), (4, 3), (5, None)] + [(i, i - 1) for i in range(6, 18)], "id long, boss long")
+    notes = spark.createDataFrame([(2, 3, "same")] * 5 + [(5, 4, "one"), (5, None, "none")], "author long, reader long, text string")
+    catalog = Catalog({"people": ("id",)}, (ForeignKey("people", ("boss",), "people"), ForeignKey("notes", ("author",), "people"), ForeignKey("notes", ("reader",), "people")))
+    found = writes.cascade_closure({"people": people, "notes": notes}, catalog, "people", "id = 1")
+    assert {r["id"] for r in found["people"].collect()} == {1, 2, 3, 4} and found["notes"].count() == 6  # equal rows without a key stay apart
+    assert writes.cascade_closure({"people": people, "notes": notes}, catalog, "people", "id = 5")["people"].count() == 13
+    left = writes.apply_delete({"people": people, "notes": notes}, catalog, "people", "id = 1")
+    assert left["people"].count() == 13 and left["notes"].count() == 1
+    with pytest.raises(Refused, match="CASCADE_TOO_DEEP"):
+        writes.cascade_closure({"people": people, "notes": notes}, catalog, "people", "id = 5", 8)
+
+
+def test_guards_on_keys_images_and_predicates(spark, bank, tmp_path):
+    delete, update = Write("DELETE", "accounts", "id <= 3"), Write("UPDATE", "accounts", "id <= 3", {"balance": "0", "owner": "'x'"})
+    bare = Catalog({"accounts": ("id",)}, tuple(fk for fk in CATALOG.foreign_keys if fk.parent == "accounts"))
+    blast = writes.rehearse(bank, bare, delete)
+    with pytest.raises(Refused, match="CASCADE_NOT_KEYED"):
+        writes.guarded_apply(bank, bare, delete, blast, writes.suggest_cap(blast, 0.0), str(tmp_path / "a"))
+    whole = writes.build_inverse(bank, CATALOG, delete)[1]
+    blast = writes.rehearse(bank, CATALOG, delete)
+    cap = writes.suggest_cap(blast, 0.0)
+    for broken in ({k: v for k, v in whole.items() if k != "entries"}, whole | {"accounts": whole["accounts"].filter("id <> 2")}):
+        with pytest.raises(Refused, match="IrreversibleChange"):
+            writes.guarded_apply(bank, CATALOG, delete, blast, cap, str(tmp_path / "b"), broken)
+    with pytest.raises(Refused, match="DeleteWithoutPreimage"):
+        writes.guarded_apply(bank, CATALOG, delete, blast, cap, str(tmp_path / "c"), {})
+    blast = writes.rehearse(bank, CATALOG, update)
+    thin = {"accounts": writes.capture_preimage(bank["accounts"], update.predicate, ["id"], ["balance"])}
+    with pytest.raises(Refused, match="MissingPreImageColumn"):
+        writes.guarded_apply(bank, CATALOG, update, blast, writes.suggest_cap(blast, 0.0), str(tmp_path / "d"), thin)
+    loose = Write("UPDATE", "accounts", "balance > 0", update.assignments)
+    with pytest.raises(Refused, match="NON_KEY_COLUMN"):
+        writes.guarded_apply(bank, CATALOG, loose, blast, writes.suggest_cap(blast, 0.0), str(tmp_path / "e"))
+    assert all(versions.current(spark, str(tmp_path / x)) == {} for x in "abcde")
+
+
+def test_publishing_after_a_failed_attempt_and_two_writers(spark, bank, tmp_path, monkeypatch):
+    base = str(tmp_path / "b")
+    versions.publish(bank, base)
+    bank["accounts"].write.parquet(f"{base}/versions/accounts/left-behind")  # a writer that died before its pointer
+    versions.publish({"accounts": bank["accounts"].filter("id = 1")}, base)
+    assert versions.read(spark, base, "accounts").count() == 1
+    stale = versions.newest(spark, base)
+    versions.publish({"accounts": bank["accounts"].filter("id <= 2")}, base)
+    outcomes = []
+    for i in range(4):  # writers that all saw the version before
+        monkeypatch.setattr(versions, "newest", lambda *a: stale)
+        try:
+            versions.publish({"accounts": bank["accounts"].filter(f"id = {i}")}, base)
+            outcomes.append(True)
+        except versions.Outrun:
+            outcomes.append(False)
+        monkeypatch.undo()
+    names = [r["name"] for r in versions.pointers(spark, base).filter(f"number = {stale[0] + 1}").orderBy("name").collect()]
+    assert len(names) == 5 and versions.newest(spark, base)[0] == stale[0] + 1 and not all(outcomes)
 
 
 def test_publish_keeps_other_relations(spark, bank, tmp_path):
