@@ -13,7 +13,7 @@ CLOCK_NAMES = [
 ]
 SPECIAL_FORMS = ["coalesce", "nullif", "greatest", "least"]
 #: Words that stand before a bracket without being functions.
-NOT_FUNCTIONS = ["in", "any", "all", "some", "exists", "values", "and", "or", "not", "as", "from", "where", "select", "on", "using", "over", "filter", "by", "union", "except", "intersect", "when", "then", "else", "case", "between", "like", "limit", "offset", "with", "explain", "cast", "array", "row", "interval", "distinct", "having", "into", "join", "set", "returning", "is"]
+NOT_FUNCTIONS = ["in", "any", "all", "some", "exists", "values", "and", "or", "not", "as", "from", "where", "select", "on", "using", "over", "filter", "by", "union", "except", "intersect", "when", "then", "else", "case", "between", "like", "limit", "offset", "with", "explain", "cast", "array", "row", "interval", "distinct", "having", "into", "join", "set", "returning", "is", "materialized", "lateral", "within", "group", "order", "partition", "range", "rows"]
 
 
 def leading_word(sql: Column) -> Column:
@@ -39,25 +39,40 @@ def intent(sql: Column) -> Column:
     return F.get(F.filter(parsed, lambda p: p["intent"].isNotNull() | p["ticket"].isNotNull() | p["actor"].isNotNull()), F.lit(0))
 
 
+#: Quoted names (kept, group 1), then string literals of each kind and comments, taken from left to right: what begins first hides what it holds.
+QUOTED = r'"(?:[^"]|"")*+"'
+TOKENS = rf"""({QUOTED})|(?<![A-Za-z0-9_$])[eE]'(?:[^'\\]|\\[\s\S]|'')*'|'(?:[^']|'')*'|(?<![A-Za-z0-9_$])\$([A-Za-z_]\w*)?\$[\s\S]*?\$\2\$|(?<![A-Za-z0-9_$])\$\$[\s\S]*?\$\$|/\*[\s\S]*?\*/|--[^\n]*"""
+NAME = rf"(?:[A-Za-z_][\w$]*|{QUOTED})"
+
+
 def scrubbed(sql: Column) -> Column:
-    """The text without comments, with string literals and quoted names emptied; what is unbalanced stays and shows."""
-    return F.regexp_replace(F.regexp_replace(sql, r"/\*[\s\S]*?\*/|--[^\n]*", " "), r"'(?:[^']|'')*'", "''")
+    """The text without comments and string literals, quoted names kept; what is unbalanced stays and shows."""
+    return F.regexp_replace(sql, TOKENS, "$1 ")
+
+
+def unquoted(text: Column) -> Column:
+    """A scrubbed text whose quoted names are a plain one, so that their letters mean nothing."""
+    return F.regexp_replace(text, QUOTED, " quoted_name ")
 
 
 def function_names(sql: Column) -> Column:
-    """Distinct names that stand before an opening bracket, lower-case, qualification kept."""
-    names = F.transform(F.regexp_extract_all(scrubbed(sql), F.lit(r'([A-Za-z_][\w$]*(?:\s*\.\s*"?[A-Za-z_][\w$]*"?)*)\s*\('), F.lit(1)), lambda n: F.regexp_replace(F.lower(n), r'[\s"]', ""))
-    return F.array_distinct(F.filter(names, lambda n: ~n.isin(NOT_FUNCTIONS)))
+    """Distinct names that stand before an opening bracket, qualification kept; lower-case, but as they are where a part is quoted."""
+    # All names are taken, with a bracket where one follows, so that none begins inside a quoted one.
+    found = F.regexp_extract_all(scrubbed(sql), F.lit(rf"{NAME}(?:\s*\.\s*{NAME})*+\s*\(?"), F.lit(0))
+    called = F.transform(F.filter(found, lambda n: F.endswith(n, F.lit("("))), lambda n: F.regexp_replace(n, r"\s*\($", ""))
+    called = F.filter(called, lambda n: ~F.lower(n).isin(NOT_FUNCTIONS))
+    plain = lambda n: F.regexp_replace(F.regexp_replace(n, r"\s*\.\s*", "."), '"', "")
+    return F.array_distinct(F.transform(called, lambda n: F.when(F.contains(n, F.lit('"')), plain(n)).otherwise(F.lower(plain(n)))))
 
 
 def bare_words(sql: Column) -> Column:
-    """Distinct words of the text, lower-case."""
-    return F.array_distinct(F.transform(F.regexp_extract_all(scrubbed(sql), F.lit(r"([A-Za-z_][\w$]*)"), F.lit(1)), lambda w: F.lower(w)))
+    """Distinct words of the text, lower-case, quoted names apart."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(unquoted(scrubbed(sql)), F.lit(r"([A-Za-z_][\w$]*)"), F.lit(1)), lambda w: F.lower(w)))
 
 
 def where_text(sql: Column) -> Column:
-    """What follows the first WHERE, up to RETURNING; empty without one."""
-    return F.regexp_extract(scrubbed(sql), r"(?i)\bwhere\b([\s\S]*?)(?:\breturning\b|$)", 1)
+    """What follows each WHERE, up to RETURNING; empty without one."""
+    return F.array_join(F.regexp_extract_all(scrubbed(sql), F.lit(r"(?i)\bwhere\b([\s\S]*?)(?:\breturning\b|$)"), F.lit(1)), " ")
 
 
 def explain_is_read(text: Column) -> Column:
@@ -70,14 +85,15 @@ def explain_is_read(text: Column) -> Column:
 
 
 def hidden_write(text: Column) -> Column:
-    """Data-modifying queries, SELECT INTO, row locks, custom operators, qualified casts."""
-    return text.rlike(r"(?i)\b(?:insert\s+into|update\s+\S+\s+set|delete\s+from|merge\s+into)\b|\bselect\b[^;]*\binto\b|\bfor\s+(?:no\s+key\s+)?(?:update|(?:key\s+)?share)\b|\boperator\s*\(|::\s*\w+\s*\.\s*\w+|\bas\s+\w+\.\w+\s*\)")
+    """Any word that writes rows or locks them, SELECT INTO, custom operators, qualified casts."""
+    return text.rlike(r"(?i)\b(?:insert|update|delete|merge)\b|\bselect\b[^;]*\binto\b|\bfor\s+(?:key\s+)?share\b|\boperator\s*\(|::\s*\w+\s*\.\s*\w+|\bas\s+\w+\s*\.\s*\w+\s*\)")
 
 
 def read_verdict(sql: Column, unknown_functions: Column) -> Column:
     """Struct of is_read and reason; what is not shown to be a read is none."""
-    text = scrubbed(sql)
-    unbalanced = text.rlike(r"/\*|\*/") | (F.length(F.regexp_replace(text, "[^']", "")) % 2 == 1) | (F.length(F.regexp_replace(text, r"[^(]", "")) != F.length(F.regexp_replace(text, r"[^)]", "")))
+    text = unquoted(scrubbed(sql))
+    count = lambda c: F.length(F.regexp_replace(text, f"[^{c}]", ""))
+    unbalanced = text.rlike(r"""/\*|\*/|['"]|\$[A-Za-z_]*\$""") | (count("(") != count(")"))
     statements = F.size(F.filter(F.split(text, ";"), lambda p: F.trim(F.regexp_replace(p, r"\s", " ")) != ""))
     word = leading_word(text)
     reason = (

@@ -26,23 +26,37 @@ def functions_used(log: DataFrame) -> DataFrame:
     return log.select("log_id", F.explode(fn.function_names(F.col("sql_text"))).alias("name"))
 
 
+#: Names that a list of functions may hold; it is collected and becomes part of the projection.
+MOST_NAMES = 20_000
+
+
+def names_of(functions: DataFrame) -> list[str]:
+    rows = functions.select("name").distinct().limit(MOST_NAMES + 1).collect()
+    if len(rows) > MOST_NAMES:
+        raise ValueError(f"more than {MOST_NAMES} function names")
+    return [r["name"] for r in rows]
+
+
+def calls_beyond(text: Column, names: list[str]) -> Column:
+    """Whether a text calls a function that is none of ``names``."""
+    return F.size(F.array_except(fn.function_names(text), F.lit(names).cast("array<string>"))) > 0
+
+
 def with_read_verdict(log: DataFrame, allowed: DataFrame) -> DataFrame:
     """is_read and reason. ``allowed`` has a column name: bare functions a read may call; qualified names never match."""
-    bad = functions_used(log).join(allowed.select("name").distinct(), "name", "left_anti").select("log_id").distinct().withColumn("_bad", F.lit(True))
-    rows = log.join(bad, "log_id", "left").withColumn("_v", fn.read_verdict(F.col("sql_text"), F.coalesce("_bad", F.lit(False))))
+    sql = F.col("sql_text")
+    rows = log.withColumn("_v", fn.read_verdict(sql, F.coalesce(calls_beyond(sql, names_of(allowed)), F.lit(False))))
     return rows.select(*log.columns, "_v.is_read", "_v.reason")
 
 
 def with_volatility(log: DataFrame, catalog: DataFrame) -> DataFrame:
     """Whether a statement's WHERE may be run twice. ``catalog``: name, volatility (immutable, stable, volatile)."""
-    text = log.select("log_id", fn.where_text(F.col("sql_text")).alias("w"))
-    clock = text.select("log_id", F.arrays_overlap(fn.bare_words(F.col("w")), F.lit(fn.CLOCK_NAMES)).alias("clock"))
-    calls = text.select("log_id", F.explode(fn.function_names(F.col("w"))).alias("name")).filter(~F.col("name").isin(fn.SPECIAL_FORMS))
-    known = catalog.groupBy("name").agg(F.max(F.col("volatility") == "volatile").alias("volatile"))
-    bad = calls.join(known, "name", "left").groupBy("log_id").agg(F.max(F.coalesce("volatile", F.lit(True))).alias("bad"))
-    rows = log.join(clock, "log_id").join(bad, "log_id", "left")
-    reason = F.when(F.col("clock"), "clock_name").when(F.coalesce("bad", F.lit(False)), "volatile_or_unknown")
-    return rows.withColumn("volatility", reason).select(*log.columns, "volatility", F.col("volatility").isNull().alias("deterministic"))
+    steady = names_of(catalog.groupBy("name").agg(F.bool_and(F.col("volatility") != "volatile").alias("s")).filter("s"))
+    where = fn.where_text(F.col("sql_text"))
+    clock = F.arrays_overlap(fn.bare_words(where), F.lit(fn.CLOCK_NAMES))
+    reason = F.when(clock, "clock_name").when(calls_beyond(where, [*steady, *fn.SPECIAL_FORMS]), "volatile_or_unknown")
+    rows = log.withColumn("volatility", reason)
+    return rows.select(*log.columns, "volatility", F.col("volatility").isNull().alias("deterministic"))
 
 
 def with_plan_estimate(plans: DataFrame, line: str = "plan_line") -> DataFrame:
@@ -63,11 +77,10 @@ def gate_plans(plans: DataFrame, policy: DataFrame) -> DataFrame:
 
 
 def gate_relations(log: DataFrame, policy: DataFrame) -> DataFrame:
-    """P10: allowed only if every relation of the statement is on its role's list; an unknown role or an empty list allows nothing."""
-    listed = policy.select("role", F.explode("select_whitelist").alias("relation")).distinct()
-    asked = log.select("log_id", "role", F.explode_outer("relations").alias("relation"))
-    over = asked.join(listed, ["role", "relation"], "left_anti").select("log_id").distinct().withColumn("_over", F.lit(True))
-    return log.join(over, "log_id", "left").withColumn("allowed", F.col("_over").isNull()).drop("_over")
+    """P10: allowed only if every relation of the statement is on its role's list; an unknown role, an empty list or a statement without relations allows nothing."""
+    listed = policy.groupBy("role").agg(F.array_distinct(F.flatten(F.collect_list("select_whitelist"))).alias("_listed"))
+    over = F.size(F.array_except("relations", "_listed")) > 0
+    return log.join(listed, "role", "left").select(*log.columns, F.coalesce((F.size("relations") > 0) & ~over, F.lit(False)).alias("allowed"))
 
 
 def certify(requests: DataFrame) -> DataFrame:

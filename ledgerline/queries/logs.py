@@ -29,6 +29,81 @@ STATEMENTS = [
     "SELECT max(total) FROM orders WHERE coalesce(status, ''x'') = lower(''OPEN'') AND id = random()",
     "table orders",
 ]
+W, S, X = "write_on_readonly", "stacked_statement", "parse_failed"
+#: More statements: text, class, reason why it is no read (null: a read), the functions it calls, volatility of its WHERE.
+MORE = [
+    ("SELECT ''/*'', pg_terminate_backend(1), ''*/''", "SELECT", W, ["pg_terminate_backend"], None),
+    ('SELECT "pg_sleep"(9)', "SELECT", W, ["pg_sleep"], None),
+    ("WITH x AS (UPDATE ONLY t SET a = 1 RETURNING *) SELECT * FROM x", "WITH", W, [], None),
+    ("WITH x AS (UPDATE t AS u SET a = 1 RETURNING *) SELECT * FROM x", "WITH", W, [], None),
+    ("WITH x AS (INSERT INTO t VALUES (1) RETURNING *) SELECT * FROM x", "WITH", W, [], None),
+    ("WITH x AS (MERGE INTO t USING s ON t.id = s.id WHEN MATCHED THEN DELETE) SELECT 1", "WITH", W, [], None),
+    ("SELECT ''it''''s; fine'' FROM t", "SELECT", None, [], None),
+    ('SELECT "update" FROM t', "SELECT", None, [], None),
+    ('SELECT "a;b" FROM t', "SELECT", None, [], None),
+    ('SELECT "a""(b" FROM t', "SELECT", None, [], None),
+    ("SELECT $$ DROP TABLE t; $$", "SELECT", None, [], None),
+    ("SELECT $q$ it is ; /* $q$, count(*) FROM t", "SELECT", None, ["count"], None),
+    ("SELECT $q$ open", "SELECT", X, [], None),
+    ("SELECT 1 -- ; DROP TABLE t", "SELECT", None, [], None),
+    ("-- note\nSELECT 1", None, None, [], None),
+    ("SELECT 1 /* a; b */ FROM t", "SELECT", None, [], None),
+    ("/* outer /* inner */ SELECT 1", "SELECT", None, [], None),
+    ("/* outer /* inner */ still */ SELECT 1", "STILL", X, [], None),
+    ("SELECT ''open FROM t", "SELECT", X, [], None),
+    ('SELECT "open FROM t', "SELECT", X, [], None),
+    ("SELECT (1", "SELECT", X, [], None),
+    ("SELECT 1;", "SELECT", None, [], None),
+    ("SELECT 1; ; ", "SELECT", None, [], None),
+    ("SELECT 1; SELECT 2", "SELECT", S, [], None),
+    ("SELECT '';''; DELETE FROM t", "SELECT", S, [], None),
+    (";", None, "empty_statement", [], None),
+    ("/* only */ -- this", None, "empty_statement", [], None),
+    ("SELECT * FROM t FOR SHARE", "SELECT", W, [], None),
+    ("SELECT * FROM t FOR NO KEY UPDATE", "SELECT", W, [], None),
+    ("SELECT * FROM t FOR KEY SHARE", "SELECT", W, [], None),
+    ("SELECT * INTO TEMP u FROM t", "SELECT", W, [], None),
+    ("SELECT 1 OPERATOR(pg_catalog.+) 2", "SELECT", W, ["operator"], None),
+    ("SELECT x::audit.kind FROM t", "SELECT", W, [], None),
+    ("SELECT CAST(x AS audit.kind) FROM t", "SELECT", W, [], None),
+    ("SELECT x::int FROM t", "SELECT", None, [], None),
+    ("SELECT CAST(x AS int) FROM t WHERE x IN (1, 2)", "SELECT", None, [], None),
+    ("SELECT COUNT(*) FROM t", "SELECT", None, ["count"], None),
+    ('SELECT "COUNT"(*) FROM t', "SELECT", W, ["COUNT"], None),
+    ('SELECT "pg_catalog"."count"(*) FROM t', "SELECT", W, ["pg_catalog.count"], None),
+    ("SELECT pg_catalog . count (1)", "SELECT", W, ["pg_catalog.count"], None),
+    ("SELECT nextval(''s'')", "SELECT", W, ["nextval"], None),
+    ("SELECT pg_read_file(''x'')", "SELECT", W, ["pg_read_file"], None),
+    ("SELECT sum(lower(max(x))) FROM t", "SELECT", None, ["sum", "lower", "max"], None),
+    ("VALUES (1), (2)", "VALUES", None, [], None),
+    ("WITH d AS (SELECT 1) SELECT * FROM d", "WITH", None, [], None),
+    ("WITH d AS MATERIALIZED (SELECT 1) SELECT * FROM d", "WITH", None, [], None),
+    ("EXPLAIN SELECT 1", "EXPLAIN", None, [], None),
+    ("EXPLAIN VERBOSE SELECT 1", "EXPLAIN", None, [], None),
+    ("EXPLAIN (ANALYZE, BUFFERS) SELECT 1", "EXPLAIN", W, [], None),
+    ("EXPLAIN (WAL) SELECT 1", "EXPLAIN", W, [], None),
+    ("EXPLAIN DELETE FROM t", "EXPLAIN", W, [], None),
+    ("EXPLAIN (FORMAT text) INSERT INTO t VALUES (1)", "EXPLAIN", W, [], None),
+    ("COPY t TO ''/tmp/x''", "COPY", W, [], None),
+    ("CALL p()", "CALL", W, ["p"], None),
+    ("DO $$ BEGIN DELETE FROM t; END $$", "DO", W, [], None),
+    ("SET search_path = audit", "SET", W, [], None),
+    ("TRUNCATE t", "TRUNCATE", W, [], None),
+    ("VACUUM t", "VACUUM", W, [], None),
+    ("LOCK TABLE t", "LOCK", W, [], None),
+    ("CREATE TABLE u AS SELECT 1", "CREATE", W, [], None),
+    ("ALTER TABLE t ADD c int", "ALTER", W, [], None),
+    ("GRANT SELECT ON t TO u", "GRANT", W, [], None),
+    ("DISCARD ALL", "DISCARD", W, [], None),
+    ("42", None, X, [], None),
+    ('DELETE FROM t WHERE id = "random"()', "DELETE", W, ["random"], "volatile_or_unknown"),
+    ("WITH d AS (DELETE FROM a WHERE id = 1 RETURNING id) UPDATE b SET x = 1 WHERE at < current_timestamp", "WITH", W, [], "clock_name"),
+    ("UPDATE t SET a = random() WHERE id = 1", "UPDATE", W, ["random"], None),
+    ("DELETE FROM t WHERE name = ''now()''", "DELETE", W, [], None),
+    ("DELETE FROM t WHERE x = audit.lower(y)", "DELETE", W, ["audit.lower"], "volatile_or_unknown"),
+    ("DELETE FROM t WHERE x = lower(y) RETURNING random()", "DELETE", W, ["lower", "random"], None),
+]
+STATEMENTS += [m[0] for m in MORE]
 LOG = (
     "SELECT event_id AS log_id, CAST(user_id AS STRING) AS session, CASE user_id % 4 WHEN 0 THEN 'reader' WHEN 1 THEN 'analyst' WHEN 2 THEN 'empty' ELSE 'stranger' END AS role, millis(ts) AS ts_ms,"
     + f" CAST(event_id % {len(STATEMENTS)} AS INT) AS k, CASE event_id % {len(STATEMENTS)} "
@@ -42,8 +117,10 @@ EXPECTED = [
     ("SELECT", False, "write_on_readonly"), ("SELECT", False, "write_on_readonly"), ("SELECT", False, "write_on_readonly"), ("SELECT", False, "write_on_readonly"), (None, False, "empty_statement"),
     (None, False, "parse_failed"), ("SELECT", False, "write_on_readonly"), ("TABLE", True, None),
 ]
+EXPECTED += [(m[1], m[2] is None, m[2]) for m in MORE]
 INTENT = {1: ("'nightly report'", "'OPS-' || log_id", "NULL"), 3: ("'fix ' || log_id", "NULL", "'ann'")}
-VOLATILITY = {11: "clock_name", 16: "volatile_or_unknown"}
+VOLATILITY = {11: "clock_name", 16: "volatile_or_unknown"} | {18 + i: m[4] for i, m in enumerate(MORE) if m[4]}
+CALLS = {0: ["count"], 1: ["sum"], 9: ["pg_sleep"], 10: ["audit.count"], 11: ["lower", "now"], 16: ["max", "coalesce", "lower", "random"]} | {18 + i: m[3] for i, m in enumerate(MORE) if m[3]}
 ALLOWED = ["count", "sum", "max", "lower"]
 #: Deciding in hand-written order: now() is not on the list of allowed functions.
 PLANS = "SELECT event_id AS log_id, CASE user_id % 3 WHEN 0 THEN 'reader' WHEN 1 THEN 'analyst' ELSE 'stranger' END AS role, event_id AS a, CASE WHEN event_id % 11 = 0 THEN 'Seq Scan on t' ELSE 'Seq Scan on t  (cost=0.00..' || CAST(event_id % 5000 AS STRING) || '.50 rows=' || CAST(event_id * 7 % 9000 AS STRING) || ' width=8)' END AS plan_line FROM {events}"
@@ -52,8 +129,8 @@ REQUESTS = "SELECT event_id AS request_id, CASE event_id % 7 WHEN 0 THEN 'UPDATE
 PROPOSALS = "SELECT CAST(event_id AS STRING) AS proposal_id, millis(ts) AS created_ms, CAST(event_id % 9 * 86400000 AS BIGINT) AS ttl_ms, event_id % 4 AS confirm_rows, CASE event_id % 3 WHEN 0 THEN 'ct-' || CAST(event_id AS STRING) || '-' || CAST(event_id % 4 AS STRING) WHEN 1 THEN 'ct-0-0' END AS confirm_token FROM {events}"
 TOTALS = "SELECT CAST(event_id AS STRING) AS proposal_id, CASE WHEN user_id % 6 = 0 THEN CAST(99 AS BIGINT) ELSE event_id % 4 END AS total_rows FROM {events}"
 NOW = 1_706_000_000_000
-SIGNALS = "SELECT user_id AS action, event_id AS signal_id, CASE event_type WHEN 'error' THEN 'BLOCK' WHEN 'signup' THEN 'HOLD' WHEN 'purchase' THEN 'ESCALATE' ELSE 'ALLOW' END AS verdict, event_type AS reason FROM {events} WHERE event_id % 40 = user_id % 40"
-FLOORS = "SELECT DISTINCT user_id AS action, CASE user_id % 3 WHEN 0 THEN 'HOLD' WHEN 1 THEN 'ALLOW' ELSE 'ESCALATE' END AS floor FROM {events} WHERE user_id % 4 <> 0"
+SIGNALS = "SELECT CAST(user_id AS STRING) || '/' || CAST(CAST(ts AS DATE) AS STRING) AS action, event_id AS signal_id, CASE event_type WHEN 'error' THEN 'BLOCK' WHEN 'signup' THEN 'HOLD' WHEN 'purchase' THEN 'ESCALATE' ELSE 'ALLOW' END AS verdict, event_type AS reason FROM {events}"
+FLOORS = "SELECT DISTINCT CAST(user_id AS STRING) || '/' || CAST(CAST(ts AS DATE) AS STRING) AS action, CASE user_id % 3 WHEN 0 THEN 'HOLD' WHEN 1 THEN 'ALLOW' ELSE 'ESCALATE' END AS floor FROM {events} WHERE user_id % 4 <> 0"
 EVENTS = "SELECT CAST(user_id AS STRING) AS session, event_id, millis(ts) AS ts_ms, CASE WHEN event_id % 211 = 0 THEN 'FloorTripped' WHEN event_id % 97 = 0 THEN 'SuspiciousPattern' WHEN event_id % 2 = 0 THEN 'BenignRead' ELSE 'BenignWrite' END AS event_type, event_id % 5 AS rows, CAST(round(value * 100) AS BIGINT) AS bytes FROM {events}"
 GRANTS = "SELECT DISTINCT CAST(user_id AS STRING) AS session, CASE WHEN user_id % 3 = 0 THEN 'Agent' ELSE 'Operator' END AS granted FROM {events} WHERE user_id % 7 <> 0"
 RELATIONS = "CASE k % 3 WHEN 0 THEN array('orders') WHEN 1 THEN array('orders', 'sales') ELSE array('sales', 'secret') END"
@@ -133,8 +210,8 @@ ORACLES = {
     "p1_statement_class": f"{L} SELECT log_id, {by_kind({i: literal(e[0]) for i, e in enumerate(EXPECTED)})} AS statement_class FROM l",
     "p2_intent": f"{L} SELECT log_id, {', '.join(by_kind({i: v[j] for i, v in INTENT.items()}) + f' AS {n}' for j, n in enumerate(('intent', 'ticket', 'actor')))} FROM l",
     "p3_read_verdict": f"{L} SELECT log_id, {by_kind({i: literal(e[1]) for i, e in enumerate(EXPECTED)})} AS is_read, {by_kind({i: literal(e[2]) for i, e in enumerate(EXPECTED)})} AS reason FROM l",
-    "p4_functions_used": f"{L}, f AS (SELECT unnest(CASE k WHEN 0 THEN ['count'] WHEN 1 THEN ['sum'] WHEN 9 THEN ['pg_sleep'] WHEN 10 THEN ['audit.count'] WHEN 11 THEN ['lower', 'now'] WHEN 16 THEN ['max', 'coalesce', 'lower', 'random'] ELSE [] END) AS name FROM l) SELECT name, count(*) AS n FROM f GROUP BY name",
-    "p7_volatility": f"{L} SELECT log_id, {by_kind({i: literal(v) for i, v in VOLATILITY.items()})} AS volatility, k NOT IN (11, 16) AS deterministic FROM l",
+    "p4_functions_used": f"{L}, f AS (SELECT unnest({by_kind({i: str(v) for i, v in CALLS.items()}).replace(' END', ' ELSE [] END')}) AS name FROM l) SELECT name, count(*) AS n FROM f GROUP BY name",
+    "p7_volatility": f"{L} SELECT log_id, {by_kind({i: literal(v) for i, v in VOLATILITY.items()})} AS volatility, k NOT IN ({', '.join(map(str, VOLATILITY))}) AS deterministic FROM l",
     "p8_plan_estimate": P + " SELECT log_id, c AS total_cost, r AS plan_rows FROM e",
     "p9_gate_plans": P + " SELECT log_id, CASE WHEN p.role IS NULL THEN 'unknown_role' WHEN c IS NULL THEN 'explain_failed' WHEN c > max_plan_cost THEN 'explain_cost_exceeded' WHEN r > max_plan_rows THEN 'explain_rows_exceeded' END AS refused FROM e LEFT JOIN p ON p.role = e.role",
     "p10_gate_relations": f"{L} SELECT log_id, role = 'reader' AND k % 3 = 0 OR role = 'analyst' AND k % 3 <> 2 AS allowed FROM l",

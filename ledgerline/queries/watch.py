@@ -16,7 +16,7 @@ T = watch.Thresholds(cooldown_ms=3 * HOUR, runaways=4)
 TICK = f"millis(ts) // {HOUR} * {HOUR}"
 ACTIVITY = f"""SELECT user_id % 5 AS cluster_id, {TICK} AS tick, event_id AS pid, CASE WHEN event_type = 'purchase' THEN 'agent' WHEN event_type = 'signup' THEN NULL ELSE 'app' END AS usename,
   CASE WHEN event_id % 7 = 0 THEN 'proxy' END AS application_name, CASE WHEN event_id % 3 = 0 THEN 'idle' ELSE 'active' END AS state, CAST(round(value * 100) AS BIGINT) * 6 AS query_runtime_millis FROM {{events}}"""
-SLOTS = f"SELECT user_id % 5 AS cluster_id, {TICK} AS tick, 'slot' || CAST(user_id AS STRING) AS slot_name, event_id AS position, CAST(round(value * 100) AS BIGINT) * 2500 AS retained_wal_bytes FROM {{events}} WHERE event_id % 4 = 0"
+SLOTS = f"SELECT user_id % 5 AS cluster_id, {TICK} AS tick, 'slot' || CAST(user_id AS STRING) AS slot_name, event_id AS position, CAST(round(value * 100) AS BIGINT) * 2500 AS retained_wal_bytes FROM {{events}}"
 TICKS = f"SELECT user_id % 5 AS cluster_id, {TICK} AS tick, CAST(max(CASE WHEN event_id % 50 = 0 THEN value ELSE 0 END) * 2000000 AS BIGINT) AS lag_bytes, CASE WHEN max(event_id) % 6 = 0 THEN 'ok' WHEN max(event_id) % 6 = 1 THEN 'failed' END AS probe FROM {{events}} GROUP BY user_id % 5, {TICK}"
 
 

@@ -362,3 +362,15 @@ def test_activity_stream(spark, tmp_path):
     slots = spark.createDataFrame([(1, 10, "b", 1, 1 << 40), (1, 10, "a", 2, 1 << 40), (1, 10, "c", 0, 5)], "cluster_id long, tick long, slot_name string, position long, retained_wal_bytes long")
     reasons = watch.trip_reasons(ticks, watch.assess_backends(activity, t), watch.slot_alarms(slots, t), t).collect()
     assert {r["tick"]: r["reason"] for r in reasons} == {10: "slot:b", 11: "lag"}
+
+
+def test_read_verdicts_of_escapes(spark):
+    from ledgerline.operators import logs
+
+    cases = [
+        ("SELECT E'it\\'s', 1", True), ("SELECT E'\\\\'; DROP TABLE t; --'", False), ("SELECT 'a\\' FROM t", True), ("SELECT e'\\'' || pg_sleep(1)", False), ("SELECT name'x' FROM t", True), ("SELECT U&'d' FROM t", True),
+        ("select $a$ $b$ $a$", True), ("select $a$ $b$ ; $b$", False), ("SELECT count(*)\nFROM t -- (", True), ("SELECT '--' , count(*) FROM t", True), ("SELECT 1 FROM t WHERE a = '/*' -- */", True), (None, False),
+    ]
+    log = spark.createDataFrame([(i, x) for i, (x, _) in enumerate(cases)], "log_id int, sql_text string")
+    got = {r["log_id"]: r["is_read"] for r in logs.with_read_verdict(log, spark.createDataFrame([("count",)], "name string")).collect()}
+    assert [got[i] for i in range(len(cases))] == [read for _, read in cases]
