@@ -33,7 +33,7 @@ CELLS, HASHES, GROWTH, MOST_CELLS, BATCH = 30, 3, 4, 3_000_000, 256
 
 def digests(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """The paragraph digests of all texts, one after the other, and where each text's begin and the last one's end."""
-    cut = [PARAGRAPH.findall(t) for t in texts]
+    cut = [PARAGRAPH.findall(t.rstrip()) for t in texts]  # white space at the end belongs to no paragraph, and would be tried again from each place in it
     ends = np.concatenate([[0], np.cumsum([len(c) for c in cut])]).astype(np.int64)
     flat = np.fromiter((xxhash.xxh3_64_intdigest(p.strip()) for c in cut for p in c), dtype=np.uint64, count=int(ends[-1]))
     owner = np.repeat(np.arange(len(texts)), np.diff(ends))

@@ -116,6 +116,40 @@ GENERAL = [
     ("bsd", r"redistribution and use in source and binary forms", "redistribution and use", 30, 0.9),
     ("gpl", r"this program is free software[:;,]? you can redistribute it", "free software", 30, 0.9),
     ("apache-2.0", r"you may not use this file except in compliance with the licen[cs]e", "in compliance with", 30, 0.9),
+    ("mit", r"the above copyright notice and this permission notice shall be included in all copies", "permission notice", 30, 0.9),
+    ("mit-0", r"permission is hereby granted,? free of charge,? to any person obtaining a copy of this software and associated documentation files \(the .software.\),? to deal in the software without restriction,? including without limitation the rights to use,? copy,? modify,? merge,? publish,? distribute,? sublicense,? and/?or sell copies of the software,? and to permit persons to whom the software is furnished to do so\. the software is provided", "furnished to do so", 25, 0.95),
+    ("bsd-3-clause", r"neither the names? of .{1,80} nor the names of its contributors may be used to endorse or promote", "endorse or promote", 28, 0.95),
+    ("bsd-4-clause", r"all advertising materials mentioning features or use of this software must display", "advertising materials", 28, 0.95),
+    ("bsd", r"this software is provided by the (?:copyright holders|regents|authors?) (?:and contributors )?.as is. and any express or implied warranties", "express or implied", 35, 0.8),
+    ("gpl-2.0", r"either version 2 of the licen[cs]e,? or \(at your option\) any later version", "either version 2", 28, 0.95),
+    ("gpl-3.0", r"either version 3 of the licen[cs]e,? or \(at your option\) any later version", "either version 3", 28, 0.95),
+    ("lgpl", r"this library is free software[:;,]? you can redistribute it", "free software", 30, 0.9),
+    ("gpl", r"you should have received a copy of the gnu general public licen[cs]e", "you should have received", 28, 0.9),
+    ("lgpl", r"you should have received a copy of the gnu (?:lesser|library) general public licen[cs]e", "you should have received", 28, 0.95),
+    ("agpl", r"you should have received a copy of the gnu affero general public licen[cs]e", "you should have received", 28, 0.95),
+    ("mpl-2.0", r"this source code form is subject to the terms of the mozilla public licen[cs]e,? v\. 2\.0", "source code form", 28, 0.97),
+    ("mpl-1.1", r"the contents of this file are subject to the mozilla public licen[cs]e version 1\.1", "contents of this file", 28, 0.97),
+    ("cddl-1.0", r"the contents of this file are subject to the terms of the common development and distribution licen[cs]e", "contents of this file", 28, 0.95),
+    ("epl-2.0", r"this program and the accompanying materials are made available under the terms of the eclipse public licen[cs]e (?:v\. |version )?2\.0", "accompanying materials", 28, 0.97),
+    ("epl-1.0", r"this program and the accompanying materials are made available under the terms of the eclipse public licen[cs]e v1\.0", "accompanying materials", 28, 0.97),
+    ("zlib", r"altered source versions must be plainly marked as such", "plainly marked", 30, 0.9),
+    ("zlib", r"the origin of this software must not be misrepresented", "misrepresented", 30, 0.9),
+    ("unlicense", r"this is free and unencumbered software released into the public domain", "unencumbered", 28, 0.97),
+    ("bsl-1.0", r"permission is hereby granted,? free of charge,? to any person or organization obtaining a copy", "person or organization", 28, 0.95),
+    ("wtfpl", r"you just do what the \S+ you want to", "you just do what", 28, 0.95),
+    ("cc0-1.0", r"has waived all copyright and related or neighbou?ring rights", "neighbo", 28, 0.95),
+    ("ofl-1.1", r"this font software is licensed under the sil open font licen[cs]e", "font software", 28, 0.97),
+    ("verbatim", r"everyone is permitted to copy and distribute verbatim copies of this licen[cs]e document", "verbatim copies", 70, 0.3),
+    ("beerware", r"if we meet some day,? and you think this stuff is worth it,? you can buy me a beer", "buy me a beer", 28, 0.97),
+    ("postgresql", r"permission to use,? copy,? modify,? and distribute this software and its documentation for any purpose,? without fee", "without fee", 28, 0.95),
+    ("openssl", r"this product includes software developed by the openssl project", "openssl project", 28, 0.95),
+    ("ijg", r"this software is based in part on the work of the independent jpeg group", "jpeg group", 28, 0.97),
+    ("busl-1.1", r"the licensor hereby grants you the right to copy,? modify,? create derivative works,? redistribute,? and make non production use", "non production use", 28, 0.95),
+    ("elastic-2.0", r"you may not provide the software to third parties as a hosted or managed service", "hosted or managed", 28, 0.95),
+    ("proprietary", r"unauthori[sz]ed (?:copying|use|reproduction|distribution)(?: of this \S+)?,? via any medium,? is strictly prohibited", "strictly prohibited", 40, 0.8),
+    ("proprietary", r"this (?:document|file|software) contains (?:confidential|proprietary) (?:and \S+ )?information", "information", 45, 0.6),
+    ("public-domain", r"no copyright (?:is )?(?:claimed|asserted)", "no copyright", 40, 0.7),
+    ("government-work", r"this is a work of the (?:u\.s\. |united states )government", "government", 40, 0.7),
 ]
 GRANTED = "licensed licenced released distributed available provided published covered".split()
 GRANT = r"(?:licen[cs]ed|released|distributed|available|provided|published|covered) (?:under|by) (?:the )?(?:terms (?:and conditions )?of )?(?:the )?"

@@ -8,11 +8,12 @@ purpose. The end token is the context of a text's first word.
 How it runs: documents are coded in chunks (a bounded number of tokens each, with the chunk's own vocabulary). Every chunk
 asks once for each distinct unigram and bigram: the requests, packed as sorted arrays, are dealt by the hash of the n-gram,
 their owners add up the counts of all chunks and answer each chunk in the order it asked. So a frequent n-gram is summed in
-each chunk before anything is shuffled, and no table of counts is broadcast or held whole anywhere. Words are told apart by
-64-bit hashes, bigrams by 56-bit ones.
+each chunk before anything is shuffled, and no table of counts is broadcast or held whole anywhere. There are as many owners
+as the bytes of text call for. Words are told apart by 64-bit hashes, bigrams by 56-bit ones: of 10^9 distinct bigrams about
+seven pairs share one, whose counts are then added.
 
 Null texts count as empty: one end token. A null id counts as the empty text in the choice of folds. Without training documents
-N and V are 0 and every estimate is uniform. Repeated rows are counted and scored as often as they occur. An empty table gives
+N and V are 0 and every estimate is uniform, so scores are 0. Very long texts are coded whole, in a chunk of their own where they fill one. Repeated rows are counted and scored as often as they occur. An empty table gives
 an empty result. Extra columns are ignored.
 """
 
@@ -32,13 +33,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, resident, saved, shuffle_width, text_bytes
+from .common import mix64, resident, saved, slices, text_bytes, trim
 
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 CODED = "chunk long, deleted boolean, ids binary, marks binary, lengths binary, codes binary, vocabulary binary"
 ANSWERS = "chunk long, deleted boolean, kind int, bucket int, total binary, held binary, tokens long, held_tokens long, types long"
-END = xxhash.xxh64_intdigest(b"\x00end")
-CHUNK_TOKENS = 2_000_000
+END = xxhash.xxh64_intdigest(b" ")  # no word is a blank
+#: Tokens in a chunk; bytes of text whose n-grams an owner counts.
+CHUNK_TOKENS, OWNED_BYTES = 1_000_000, 8 << 20
 #: Folds of a document: 0 trains, 1 trains and is deleted for learning the weights, 2 takes no part. Documents of fold 1 have chunks of their own.
 TRAIN, DELETED, OUT = 0, 1, 2
 BUCKETS = 24
@@ -119,8 +121,8 @@ def code(documents: DataFrame, folds: int, out: int, deleted: int) -> DataFrame:
 
         resident("none", dict)
         parts = {False: Open(), True: Open()}
-        for batch in rows:
-            for doc_id, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        for ids, raws in slices(rows):
+            for doc_id, raw in zip(ids, raws, strict=True):
                 tokens = raw.lower().split()
                 fold = fold_of(doc_id, folds, out, deleted)
                 part = parts[fold == DELETED]
@@ -137,6 +139,8 @@ def code(documents: DataFrame, folds: int, out: int, deleted: int) -> DataFrame:
         for held, part in parts.items():
             if part.held:
                 yield part.row(held)
+        parts.clear()
+        trim()
 
     return documents.select(F.col("doc_id").cast("long"), text_bytes().alias("text")).mapInArrow(chunks, CODED)
 
@@ -175,6 +179,7 @@ def requests(coded: DataFrame, buckets: int) -> DataFrame:
                         if j > i:
                             out.append((int(chunk.chunk), bool(chunk.deleted), kind, b, put_keys(keys[i:j], lows[b]), pack(counts[i:j])))
                 yield pd.DataFrame(out, columns=["chunk", "deleted", "kind", "bucket", "keys", "counts"])
+        trim()
 
     return coded.mapInPandas(ask, "chunk long, deleted boolean, kind int, bucket int, keys binary, counts binary")
 
@@ -270,14 +275,17 @@ def learn_weights(counts: pd.DataFrame, uniform: float, rounds: int = 60) -> np.
 
 def score(documents: DataFrame, folds: int = 7, out: int = 2, deleted: int = 10, buckets: int | None = None) -> DataFrame:
     """One row for each document. Those with crc32(doc_id) mod ``folds`` = ``out`` teach nothing; one in ``deleted`` of the rest is held out for the weights."""
+    n_bytes = documents.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = buckets or max(4, n_bytes // OWNED_BYTES)  # an owner's keys take about as many bytes as the text they come from
     coded = saved(code(documents, folds, out, deleted), "coded")
-    buckets = buckets or 2 * shuffle_width(documents.sparkSession)
     replies = saved(answers(requests(coded, buckets), buckets), "counts")
     sums = replies.filter("kind = 0").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tokens", "held_tokens", "types")]).first()
     totals = {"tokens": sums["tokens"], "held": sums["held_tokens"], "types": sums["types"]}
     n, v = totals["tokens"], totals["types"]
     # At most BUCKETS * BINS * BINS rows reach the driver, whatever the input.
     weights = learn_weights(held_counts(coded, replies, totals).toPandas(), 1 / (v + 1))
+    if not n:  # nothing was learned: every estimate is uniform
+        weights = np.tile([0.0, 0.0, 1.0], (BUCKETS, 1))
 
     def rate(chunk: pd.DataFrame, reply: pd.DataFrame) -> pd.DataFrame:
         found, total = asked(chunk.iloc[0]), told(reply, "total")

@@ -114,24 +114,19 @@ WITH d AS (
 ), g AS (
   SELECT *, CASE WHEN level > cap / weight THEN cap ELSE least(cap, weight * (SELECT arg_min(level, cap / weight) FROM c WHERE level <= cap / weight)) END AS target FROM c
 ), b AS (
-  SELECT CAST(greatest(16, least(4096, any_value(total) // 65536)) AS BIGINT) AS block, CAST(any_value(total) AS BIGINT) AS total FROM g
+  SELECT *, CAST(greatest(16, least(4096, total // 65536)) AS BIGINT) AS block FROM g
 ), h AS (
-  SELECT *, sum(target) OVER (ORDER BY key) / sum(target) OVER () AS high, CAST(ceil(source_size / (SELECT block FROM b)) AS BIGINT) AS blocks FROM g WHERE target > 0
+  SELECT *, CAST(greatest(ceil(source_size / block), least(source_size, 64)) AS BIGINT) AS blocks FROM b
 ), i AS (
-  SELECT *, coalesce(lag(high) OVER (ORDER BY key), 0.0) AS low, CASE WHEN key = max(key) OVER () THEN 2.0 ELSE high END AS top FROM h
-), t AS (
-  SELECT r AS slot, (r + 1) * 0.6180339887498949::DOUBLE - floor((r + 1) * 0.6180339887498949::DOUBLE) AS point FROM (SELECT unnest(range((SELECT total // block FROM b))) AS r)
-), k AS (
-  SELECT i.key, i.blocks, row_number() OVER (PARTITION BY i.key ORDER BY t.slot) - 1 AS rank FROM t JOIN i ON t.point >= i.low AND t.point < i.top
+  SELECT *, source_size // nullif(blocks, 0) AS words, source_size - source_size // nullif(blocks, 0) * blocks AS longer, coalesce(least(CAST(round(target * blocks / nullif(source_size, 0)) AS BIGINT), 3 * blocks), 0) AS slots FROM h
 ), m AS (
-  SELECT key, rank % blocks AS block_no, count(*) AS times FROM k WHERE rank < 3 * blocks GROUP BY ALL
+  SELECT key, block_no, slots // blocks + CASE WHEN block_no < slots % blocks THEN 1 ELSE 0 END AS times, block_no * words + least(block_no, longer) AS low, (block_no + 1) * words + least(block_no + 1, longer) AS high
+  FROM (SELECT *, unnest(range(blocks)) AS block_no FROM i WHERE blocks > 0)
 ), p AS (
-  SELECT d.doc_id, d.size, g.source_size, g.target, g.key, sum(d.size) OVER (PARTITION BY g.key ORDER BY md5('mix:' || d.doc_id), d.doc_id, d.size ROWS UNBOUNDED PRECEDING) - d.size AS begins
-  FROM d JOIN g ON g.source IS NOT DISTINCT FROM d.source
-), x AS (
-  SELECT p.*, unnest(CASE WHEN size > 0 THEN range(CAST(begins // block AS BIGINT), CAST((begins + size - 1) // block + 1 AS BIGINT)) ELSE [] END) AS block_no, block FROM p, b
+  SELECT d.doc_id, d.size, i.source_size, i.target, i.key, CAST(sum(d.size) OVER (PARTITION BY i.key ORDER BY md5('mix:' || d.doc_id), d.doc_id, d.size ROWS UNBOUNDED PRECEDING) - d.size AS BIGINT) AS begins
+  FROM d JOIN i ON i.source IS NOT DISTINCT FROM d.source
 ), y AS (
-  SELECT x.doc_id, sum((least(x.begins + x.size, (x.block_no + 1) * block) - greatest(x.begins, x.block_no * block)) * coalesce(m.times, 0)) AS taken FROM x LEFT JOIN m ON m.key = x.key AND m.block_no = x.block_no GROUP BY x.doc_id
+  SELECT p.doc_id, sum((least(p.begins + p.size, m.high) - greatest(p.begins, m.low)) * m.times) AS taken FROM p JOIN m ON m.key = p.key AND m.low < p.begins + p.size AND m.high > p.begins GROUP BY p.doc_id
 )
 SELECT p.doc_id, p.size, p.source_size, p.target, CAST(coalesce(y.taken, 0) AS BIGINT) AS taken FROM p LEFT JOIN y ON y.doc_id = p.doc_id
 """

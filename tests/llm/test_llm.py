@@ -323,6 +323,48 @@ def test_mixing(spark, texts):
     assert [(r["size"], r["target"], r["taken"]) for r in blank] == [(0, 0.0, 0)] * 2
 
 
+def test_mixing_small_sources(spark):
+    r = random.Random(6)
+    sizes = [1, 1, 2, 3, 5, 5, 5, 8, 13, 20, 34, 50, 50, 7, 900]
+    texts, sources = [], []
+    for i, n in enumerate(sizes):
+        while n:
+            k = r.randint(1, min(n, 9))
+            texts.append("w " * k)
+            sources.append(f"s{i:02}")
+            n -= k
+    by = collections.defaultdict(list)
+    for x in rows(mixing.mix(frame(spark, texts, source=lambda i: sources[i]))):
+        by[x["source"]].append(x)
+        assert x["taken"] <= 3 * x["size"]
+    assert len(by) == len(sizes)
+    for s, of_s in by.items():
+        assert abs(sum(x["taken"] for x in of_s) - of_s[0]["target"]) <= 1 + of_s[0]["source_size"] // 64, s
+
+
+def test_blanks_at_the_end(spark):
+    import time
+
+    begin = time.time()
+    digests, ends = fingerprint.digests(["a" + " \n" * 500_000, "a", " \n" * 500_000])
+    assert time.time() - begin < 1 and ends.tolist() == [0, 1, 2, 2] and digests[0] == digests[1]
+
+
+def test_scores_without_training_documents(spark):
+    ids = [i for i in range(60) if zlib.crc32(str(i).encode()) % 7 == 2][:3]
+    got = rows(lm.score(frame(spark, ["a b", "", None], ids=ids)))
+    assert [(x["score"], x["base_score"], x["train_tokens"]) for x in got] == [(0.0, 0.0, 0)] * 3
+
+
+def test_repeated_ids_with_different_texts_keep_their_links(spark):
+    r = random.Random(2)
+    one, two = ([f"{p}{r.randrange(10**6)}" for _ in range(120)] for p in "ab")
+    near = lambda w: " ".join(w[:60] + ["edit"] + w[61:])
+    texts = [" ".join(one), " ".join(two), near(one), near(two)]
+    got = rows(jaccard.join(frame(spark, texts, ids=[1, 1, 2, 3])))
+    assert {(x["doc_id"], x["component_id"]) for x in got} == {(1, 1), (2, 1), (3, 1)}
+
+
 def test_toxicity(spark):
     r = random.Random(8)
     plain = random_texts(400, 8)
