@@ -35,7 +35,7 @@ def example(nodes, k):
         elif name == "IN":
             kinds = [(None, x[1][0] if str(x[0]) == "RANGE" else x[1]) for x in arg if str(x[0]) in ("LITERAL", "RANGE")]
             out += ["\n", "-", "\t "][k % 3] if any(str(a[1]) == "CATEGORY_SPACE" for a in arg) else "9" if not kinds else chr(kinds[0][1])
-        elif name == "NOT_LITERAL":
+        elif name in ("NOT_LITERAL", "ANY"):
             out += "q"
         else:
             assert name == "ASSERT_NOT", name
@@ -43,18 +43,16 @@ def example(nodes, k):
 
 
 def ungated(text):
-    found = sorted((m.start(), -m.end(), pr, label, s) for label, p, _, pr, s in licenses.rules() for m in re.finditer(p, text, FLAGS))
+    found = sorted((pr, m.start() - m.end(), m.start(), m.end(), label, s) for label, p, _, pr, s in licenses.rules() for m in re.finditer(p, text, FLAGS))
     kept = []
     for d in found:
-        if not kept or d[0] >= -kept[-1][1]:
+        if all(d[3] <= k[2] or k[3] <= d[2] for k in kept):
             kept.append(d)
-        elif d[1] < kept[-1][1] and d[2] < kept[-1][2]:
-            kept[-1] = d
     base = {label for p, label in BASE if p.search(text)}
     left = 0.5 if base else 1.0
     for d in kept:
-        left *= 1 - d[4]
-    return ",".join(sorted(base | {d[3] for d in kept})), 1 - left
+        left *= 1 - d[5]
+    return ",".join(sorted(base | {d[4] for d in kept})), 1 - left
 
 
 def test_every_rule_without_gates(spark):
