@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import functools
 import operator
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,6 +32,8 @@ ORDER = [*KINDS, "entropy"]
 #: Candidates of the method, by character class: pattern, window, least entropy in bits. One may follow '=', as in NAME=value.
 CLASSES = {
     "hexadecimal": (r"(?<![A-Za-z0-9+/_-])[0-9A-Fa-f]{20,}(?![A-Za-z0-9+/_=-])", 20, 3.0),
+    "upper": (r"(?<![A-Za-z0-9+/_-])[A-Z0-9]{20,}(?![A-Za-z0-9+/_=-])", 20, 3.4),
+    "lower": (r"(?<![A-Za-z0-9+/_-])[a-z0-9]{20,}(?![A-Za-z0-9+/_=-])", 20, 3.4),
     "base64": (r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_=-])", 20, 3.7),
 }
 #: A candidate that matches is no secret: no digit or one case only without digits, identifiers and paths of words, examples, runs.
@@ -46,25 +49,54 @@ ALLOWED = "|".join(
     ]
 )
 SPAN = "array<struct<start:bigint,kind:int,end:bigint>>"
+WORDED = "array<struct<start:bigint,kind:int,end:bigint,word:string>>"
+#: Elements that are gone through at a time: lists grow by copying, so they are made in blocks and joined.
+BLOCK = 128
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def in_blocks(items: Column) -> Column:
+    """An array of structs ``part`` of at most BLOCK items each."""
+    blocks = F.sequence(F.lit(0), F.greatest(F.ceil(F.size(items) / BLOCK) - 1, F.lit(0)).cast("int"))
+    return F.transform(blocks, lambda b: F.struct(F.slice(items, b * BLOCK + 1, F.lit(BLOCK)).alias("part")))
 
 
 def spans(text: Column, pattern: str, kind: int, value_group: int = 0, least: int = 0, gate: Column | None = None) -> Column:
-    """Where the pattern matches: the pieces between matches and the matches, in turn, give the positions by adding lengths."""
+    """Where the pattern matches, and the words: the pieces between matches and the matches, in turn, give the positions by adding lengths."""
     pieces = F.arrays_zip(
         F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit"), F.regexp_extract_all(text, F.lit(pattern), F.lit(value_group)).alias("value")
     )
-    nothing = F.lit(None).cast(SPAN)
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.coalesce(nothing, F.array().cast(SPAN)).alias("out"))
+    length = lambda p: F.length(p["gap"]) + F.coalesce(F.length(p["hit"]), F.lit(0))
 
     def step(acc: Column, p: Column) -> Column:
         begin = acc["at"] + F.length(p["gap"])
-        end = begin + F.coalesce(F.length(p["hit"]), F.lit(0))
-        one = F.array(F.struct(begin.cast("bigint").alias("start"), F.lit(kind).alias("kind"), end.cast("bigint").alias("end")))
-        return F.struct(end.cast("bigint").alias("at"), F.when(p["hit"].isNotNull() & (F.length(p["value"]) >= least), F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
+        end = acc["at"] + length(p)
+        one = F.array(F.struct(begin.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), p["hit"].alias("word")))
+        return F.struct(end.alias("at"), F.when(p["hit"].isNotNull() & (F.length(p["value"]) >= least), F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
+
+    def of_blocks(blocks: Column) -> Column:
+        sums = F.transform(blocks, lambda b: F.aggregate(b["part"], F.lit(0).cast("bigint"), lambda n, p: n + length(p)))
+
+        def with_sums(sums: Column) -> Column:
+            def of_block(b: Column, i: Column) -> Column:
+                before = F.aggregate(F.slice(sums, F.lit(1), i), F.lit(0).cast("bigint"), lambda n, x: n + x)
+                return F.aggregate(b["part"], F.struct(before.alias("at"), F.array().cast(WORDED).alias("out")), step, lambda acc: acc["out"])
 
-    found = F.aggregate(pieces, start, step, lambda acc: acc["out"])
+            return F.flatten(F.transform(blocks, of_block))
+
+        return let(sums, with_sums)
+
+    found = let(pieces, lambda ps: let(in_blocks(ps), of_blocks))
     there = text.rlike(pattern)
-    return F.when(there if gate is None else F.when(gate, there), found).otherwise(F.array().cast(SPAN))
+    return F.when(there if gate is None else F.when(gate, there), found).otherwise(F.array().cast(WORDED))
+
+
+def wordless(found: Column) -> Column:
+    return F.transform(found, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
 
 
 def peak_entropy(candidate: Column, window: int) -> Column:
@@ -97,20 +129,27 @@ def peak_entropy(candidate: Column, window: int) -> Column:
     return F.aggregate(pairs, begin, step, lambda acc: acc["best"])
 
 
-def is_secret(text: Column, window: int, least: float):
+def is_secret(window: int, least: float) -> Callable[[Column], Column]:
     def test(s: Column) -> Column:
-        word = F.substring(text, (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int"))
-        return ~word.rlike(ALLOWED) & (peak_entropy(F.when(~word.rlike(ALLOWED), word).otherwise(F.lit("")), window) >= least)
+        allowed = s["word"].rlike(ALLOWED)
+        return ~allowed & (peak_entropy(F.when(~allowed, s["word"]).otherwise(F.lit("")), window) >= least)
 
     return test
 
 
 def entropy_spans(text: Column, base: Column) -> Column:
-    """Candidates of high entropy that are neither allowed nor overlap a base span."""
+    """Candidates of high entropy that are neither allowed nor overlap a base span. ``base`` is in order of start, so its blocks lie one after the other."""
+    reach = F.transform(in_blocks(base), lambda b: F.struct(b["part"].alias("part"), F.array_min(F.transform(b["part"], lambda s: s["start"])).alias("low"), F.array_max(F.transform(b["part"], lambda s: s["end"])).alias("high")))
+    over = lambda s, low, high: (low < s["end"]) & (s["start"] < high)
+    taken = lambda s, blocks: F.exists(blocks, lambda b: over(s, b["low"], b["high"]) & F.exists(b["part"], lambda t: over(s, t["start"], t["end"])))
+
+    def beside_base(found: Column) -> Column:
+        return let(reach, lambda blocks: F.filter(found, lambda s: ~taken(s, blocks)))
+
     out = []
     for pattern, window, least in CLASSES.values():
-        free = F.filter(spans(text, pattern, ORDER.index("entropy")), lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-        out.append(F.when(text.rlike(pattern), F.filter(free, is_secret(text, window, least))).otherwise(F.array().cast(SPAN)))
+        free = beside_base(spans(text, pattern, ORDER.index("entropy")))
+        out.append(F.when(text.rlike(pattern), wordless(F.filter(free, is_secret(window, least)))).otherwise(F.array().cast(SPAN)))
     return F.array_distinct(F.concat(*out))
 
 
@@ -120,7 +159,7 @@ def with_spans(documents: DataFrame, keep: list[str], text: str = "text") -> Dat
     low = F.lower("_text")
     gate = functools.reduce(operator.or_, [F.contains(low, F.lit(w)) for w in KEYWORDS])
     found = [spans(F.col("_text"), p, i, 2, LEAST_VALUE, gate) if k == "assign" else spans(F.col("_text"), p, i) for i, (k, p) in enumerate(KINDS.items())]
-    rows = rows.withColumn("base_spans", F.array_sort(F.concat(*found)))
+    rows = rows.withColumn("base_spans", F.array_sort(wordless(F.concat(*found))))
     return rows.withColumn("all_spans", F.array_sort(F.concat("base_spans", entropy_spans(F.col("_text"), F.col("base_spans")))))
 
 

@@ -255,6 +255,22 @@ def test_secrets(spark, texts):
     assert secrets.redact(frame(spark, [])).columns == SCHEMA.replace(",", "").split()[::2]
 
 
+def test_many_spans_in_one_text(spark):
+    import time
+
+    def took(n):
+        r = random.Random(n)
+        text = " ".join("".join(r.choice("0123456789abcdef") for _ in range(30)) + (" token=" + "Qw3rTy9" * 2 + str(i) if i % 3 == 0 else "") for i in range(n))
+        begin = time.time()
+        got = rows(secrets.scan(frame(spark, [text])))[0]
+        s = brute_secrets(text)
+        assert got["base_sha256"] == hashlib.sha256(",".join(f"{['assign', 'access', 'hex'][k]}:{a}:{b}" for a, k, b in s).encode()).hexdigest()
+        return time.time() - begin
+
+    took(100)
+    assert took(16_000) < 12 * max(took(2000), 0.5)
+
+
 def test_entropy_window(spark):
     def peak(x, w):
         out = 0.0
