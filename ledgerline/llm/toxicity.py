@@ -47,7 +47,12 @@ STEM, LONGEST = 4, 8
 
 
 def features_of(raw: bytes, learned: dict[bytes, float], stems: frozenset[bytes]) -> list[float]:
-    low = raw.lower()
+    low = raw.lower() if raw.isascii() else raw.decode("utf-8", "replace").lower().encode()
+
+    def weight_of(w: bytes) -> float:
+        # A term is a whole word or its beginning; beginnings are bytes here, so one cut inside a letter finds nothing.
+        return max((learned.get(w[:k], 0.0) for k in range(STEM, min(len(w), 4 * LONGEST) + 1)), default=0.0) if w[:STEM] in stems else 0.0
+
     words = low.translate(TO_WORDS).split()
     n = max(1, len(words))
     hits = [i for i, w in enumerate(words) if w in INSULTS]
@@ -55,16 +60,13 @@ def features_of(raw: bytes, learned: dict[bytes, float], stems: frozenset[bytes]
     weights: list[float] = []
     if stems:
         for i, w in enumerate(words):
-            if w[:STEM] in stems:
-                # A term is a whole word or its beginning; beginnings are bytes here, so one cut inside a letter finds nothing.
-                weight = max((learned.get(w[:k], 0.0) for k in range(STEM, min(len(w), 4 * LONGEST) + 1)), default=0.0)
-                if weight:
-                    marks.append(i)
-                    weights.append(weight)
+            if weight := weight_of(w):
+                marks.append(i)
+                weights.append(weight)
     attacks = sum(map(ATTACKS.__contains__, words))
     both = {*hits, *marks}
     near = sum(any(w in SECOND_PERSON for w in words[max(0, i - 5) : i + 6]) for i in both)
-    undone = sum(w in INSULTS or w in learned for w in low.translate(UNDONE, HIDING).split())
+    undone = sum(w in INSULTS or weight_of(w) > 0 for w in low.translate(UNDONE, HIDING).split())
     letters, size = len(raw.translate(None, NOT_LETTER)), max(1, len(raw))
     return [
         math.log1p(len(words)), len(hits) / n, float(len(hits)), attacks / n, len(marks) / n, float(len(marks)), sum(weights) / n, max(weights, default=0.0),
@@ -115,7 +117,7 @@ def score(
     """doc_id, held_out, score and predicted for each document; rows with crc32(doc_id) mod ``folds`` = ``held`` teach nothing."""
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("fold", id_crc() % folds)
     marked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("double").alias("label"))
-    marked = marked.filter(F.col("label").isin(0.0, 1.0) & (id_crc() % folds != held))
+    marked = marked.filter(F.col("label").isin(0.0, 1.0) & (id_crc() % folds != held)).distinct()  # two rows an id at most
     share = min(1.0, max_labelled / max(1, marked.count()))
     marked = marked.filter(F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 20)) < F.lit(int(share * (1 << 20))))
     sample = saved(docs.join(F.broadcast(marked), "doc_id").select("label", "text", "doc_id"), "labelled")  # about max_labelled rows at most
@@ -124,13 +126,12 @@ def score(
     if len(counts) < 2:
         constant = F.lit(float(next(iter(counts), 0.0)))
         return docs.select("doc_id", held_out, constant.alias("score"), (constant >= 0.5).cast("int").alias("predicted"))
-    terms = learn_terms(sample)
-    rows = saved(
-        sample.select("label", features(F.col("text"), terms).alias("dense"), (F.pmod(F.xxhash64("doc_id", F.lit(seed + 1)), F.lit(4)) == 0).alias("calibrates")).coalesce(4),
-        "features",
-    ).select("label", "calibrates", array_to_vector("dense").alias("features"))
-    classes = rows.groupBy("calibrates").agg(F.count_distinct("label").alias("n")).collect()
+    sample = sample.withColumn("calibrates", F.pmod(F.xxhash64("doc_id", F.lit(seed + 1)), F.lit(4)) == 0)
+    classes = sample.groupBy("calibrates").agg(F.count_distinct("label").alias("n")).collect()
     split = len(classes) == 2 and all(r["n"] == 2 for r in classes)  # too few rows: fit and calibrate on all
+    # Neither terms nor trees see the rows that calibrate.
+    terms = learn_terms(sample.filter("not calibrates") if split else sample)
+    rows = saved(sample.select("label", features(F.col("text"), terms).alias("dense"), "calibrates").coalesce(4), "features").select("label", "calibrates", array_to_vector("dense").alias("features"))
     fitted = rows.filter("not calibrates") if split else rows
     model = GBTClassifier(maxIter=trees, maxDepth=depth, stepSize=0.2, minInstancesPerNode=4, seed=seed).fit(fitted)
 
