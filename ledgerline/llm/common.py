@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import ctypes
 import gc
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from typing import TypeVar
@@ -15,19 +14,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-T = TypeVar("T")
-_own_folder: dict[str, str] = {}
-
+from ..sources.shared import shared_folder
 
-def shared_folder(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a temporary folder only where that is unset (local tests)."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _own_folder:
-        _own_folder[app] = tempfile.mkdtemp(prefix="spark-")
-    return _own_folder[app]
+T = TypeVar("T")
 
 
 def saved(df: DataFrame, label: str) -> DataFrame:
@@ -61,6 +50,13 @@ def trim() -> None:
         pass
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Texts go to Python some megabytes at a time: batches of ten thousand rows, the default, are held several times over by the
+    executor and by its workers."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
+
+
 def slices(rows: Iterator[pa.RecordBatch], n_bytes: int = 2 << 20, n_rows: int = 1024) -> Iterator[list[list]]:
     """The batches' columns as lists, about ``n_bytes`` of the second column (texts, as bytes) or ``n_rows`` rows at a time."""
     for batch in rows:

@@ -24,7 +24,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, shuffle_width
+from .common import mix64, shuffle_width, small_batches
 
 SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 PARAGRAPH = re.compile(r"\s*(?:[^\s.!?]+[^\S\n]*){1,6}[.!?]*|\s*[.!?]+")
@@ -150,6 +150,7 @@ def fingerprints(documents: DataFrame, ranges: int | None = None) -> DataFrame:
     every next document is at hand. The bounds (one id for each range) are all that passes through the driver.
     """
     spark = documents.sparkSession
+    small_batches(spark)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     width = shuffle_width(spark)
     ranges = ranges or min(8 * width, 20_000)

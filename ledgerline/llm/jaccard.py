@@ -40,13 +40,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, resident, salted_join, saved, slices, text_bytes, trim
+from .common import mix64, resident, salted_join, saved, slices, small_batches, text_bytes, trim
 
 GROUP_MEMBERS, COLUMNS = 48, 1 << 16
 #: Words whose hashes a worker remembers, and the longest such word in bytes.
 KEPT, LONGEST_KEPT = 150_000, 64
 #: Tokens and documents in a chunk (ordinals take two bytes); bytes of tokens in a hash range, in a group and in a slot.
-CHUNK, CHUNK_DOCUMENTS, RANGE_BYTES, GROUP_BYTES, SLOT_BYTES = 1_000_000, 60_000, 8 << 20, 8 << 20, 4 << 20
+CHUNK, CHUNK_DOCUMENTS, RANGE_BYTES, GROUP_BYTES, SLOT_BYTES = 500_000, 60_000, 8 << 20, 8 << 20, 4 << 20
 #: Rounds end when more than this share of the members of split families is left after one.
 LEAST_PROGRESS = 0.8
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -369,6 +369,7 @@ def compare_pairs(members: DataFrame, shared: DataFrame, families: DataFrame, jo
 
 def join(documents: DataFrame, width: int = 3, percent: int = 90, small_bytes: int = 64 << 20) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest doc_id that links reach) of each document."""
+    small_batches(documents.sparkSession)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text"))
     sets = saved(frequencies(docs, width, percent), "sets")
 

@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, resident, saved, slices, text_bytes, trim
+from .common import mix64, resident, saved, slices, small_batches, text_bytes, trim
 
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 CODED = "chunk long, deleted boolean, ids binary, marks binary, lengths binary, codes binary, vocabulary binary"
@@ -275,6 +275,7 @@ def learn_weights(counts: pd.DataFrame, uniform: float, rounds: int = 60) -> np.
 
 def score(documents: DataFrame, folds: int = 7, out: int = 2, deleted: int = 10, buckets: int | None = None) -> DataFrame:
     """One row for each document. Those with crc32(doc_id) mod ``folds`` = ``out`` teach nothing; one in ``deleted`` of the rest is held out for the weights."""
+    small_batches(documents.sparkSession)
     n_bytes = documents.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = buckets or max(4, n_bytes // OWNED_BYTES)  # an owner's keys take about as many bytes as the text they come from
     coded = saved(code(documents, folds, out, deleted), "coded")

@@ -29,12 +29,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from .common import resident, saved, slices, text_bytes, trim
+from .common import resident, saved, slices, small_batches, text_bytes, trim
 from .token_count import byte_letters
 
 CAPACITY, TAIL, END_ID = 4096, 64, 2
 #: Bytes of coded runs that a worker remembers, and the longest run kept. An entry costs about ENTRY bytes beside its text and ids.
-KEPT_BYTES, LONGEST_KEPT, ENTRY = 48 << 20, 64, 200
+KEPT_BYTES, LONGEST_KEPT, ENTRY = 32 << 20, 64, 240
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, worker int, nth long"
 
 
@@ -171,6 +171,7 @@ def pieces(documents: DataFrame, vocabulary: str | None = None, capacity: int =
             yield pa.RecordBatch.from_arrays([c.cast(pa.int32()) if f == "worker" else c for f, c in zip(fields, columns, strict=True)], names=fields)
         trim()
 
+    small_batches(documents.sparkSession)
     return documents.select(F.col("doc_id").cast("long"), text_bytes().alias("text")).mapInArrow(batches, PIECES)
 
 

@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import resident, slices, text_bytes, trim
+from .common import resident, slices, small_batches, text_bytes, trim
 
 SCHEMA = "doc_id long, n_bytes long, n_tokens long"
 #: The white space of Unicode.
@@ -200,5 +200,6 @@ def count_tokens(documents: DataFrame, vocabulary: str | None = None, max_tokens
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_bytes", "n_tokens"])
         trim()
 
+    small_batches(documents.sparkSession)
     counted = documents.select(F.col("doc_id").cast("long"), text_bytes().alias("text")).mapInArrow(batches, SCHEMA)
     return counted.withColumn("over_limit", F.col("n_tokens") > max_tokens)

@@ -20,7 +20,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_crc, resident, saved, text_bytes
+from .common import id_crc, resident, saved, small_batches, text_bytes
 
 INSULTS = frozenset(
     b"""idiot idiots moron morons stupid loser losers scum trash clown clowns pathetic worthless disgusting dumb fool fools
@@ -115,6 +115,7 @@ def score(
     trees: int = 20, depth: int = 4, seed: int = 7,
 ) -> DataFrame:
     """doc_id, held_out, score and predicted for each document; rows with crc32(doc_id) mod ``folds`` = ``held`` teach nothing."""
+    small_batches(documents.sparkSession)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("fold", id_crc() % folds)
     marked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("double").alias("label"))
     marked = marked.filter(F.col("label").isin(0.0, 1.0) & (id_crc() % folds != held)).distinct()  # two rows an id at most
