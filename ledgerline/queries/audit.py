@@ -94,7 +94,7 @@ QUERIES = {
     "a9_audit_tail": lambda s, d: audit.audit_tail(sealed(s, d), 10).select("chain_id", "seq", "record_hash", F.col("back").cast("long").alias("back")),
     "a10_chain_constraints": lambda s, d: audit.chain_constraints(doubled(s, d)),
     "a18_decision_rollup": lambda s, d: audit.decision_rollup(log(s, d).withColumn("reason_code", audit.reason_code()), ["chain_id", "reason_code"]),
-    "a19_verify_then_anchor": lambda s, d: audit.verify_then_anchor(tampered(s, d), anchored(s, d), KEYS, "k2", NOW),
+    "a19_verify_then_anchor": lambda s, d: audit.verify_then_anchor(tampered(s, d), anchored(s, d), KEYS, "k2", NOW).drop("signature"),
     "p11_rejections": lambda s, d: audit.rejections(decisions(s, d)),
     "w6_latest_anchors": lambda s, d: audit.latest_anchors(audit.make_anchors(sealed(s, d).filter("seq % 10 = 0").select("chain_id", F.col("record_hash").alias("head_hash"), "seq", "ts_ms"), "k1", KEYS)).drop("signature"),
 }
@@ -131,6 +131,12 @@ ORACLES = {
     "a6b_verify_anchor_prefix": SEALED
     + """ SELECT chain_id, CASE WHEN CAST(chain_id AS BIGINT) % 7 = 0 THEN 'NO_ANCHOR' WHEN CAST(chain_id AS BIGINT) % 11 = 3 OR CAST(chain_id AS BIGINT) % 13 = 4 THEN 'BAD_SIGNATURE' ELSE 'VERIFIED' END AS status,
     CASE WHEN CAST(chain_id AS BIGINT) % 7 = 0 THEN NULL WHEN CAST(chain_id AS BIGINT) % 5 = 0 THEN max(seq) ELSE max(seq) // 2 END AS anchored_seq FROM chain GROUP BY chain_id""",
+    "a19_verify_then_anchor": TAMPERED
+    + f""", a AS (SELECT c.chain_id, c.record_hash AS anchored, c.seq AS at, c.ts_ms AS last_ms, CAST(c.chain_id AS BIGINT) AS i FROM chain c
+      JOIN (SELECT chain_id, CASE WHEN CAST(chain_id AS BIGINT) % 5 = 0 THEN max(seq) ELSE max(seq) // 2 END AS at FROM chain GROUP BY chain_id) m ON m.chain_id = c.chain_id AND m.at = c.seq WHERE CAST(c.chain_id AS BIGINT) % 7 <> 0),
+    h AS (SELECT chain_id, arg_max(record_hash, seq) AS head_hash, max(seq) AS seq FROM t GROUP BY chain_id)
+    SELECT h.chain_id, h.head_hash, h.seq, CAST({NOW} AS BIGINT) AS ts_ms, 'k2' AS key_id FROM h JOIN first ON first.chain_id = h.chain_id AND first.ok LEFT JOIN a ON a.chain_id = h.chain_id
+    LEFT JOIN t ON t.chain_id = a.chain_id AND t.seq = a.at WHERE a.chain_id IS NULL OR (t.record_hash = a.anchored AND i % 11 <> 3 AND i % 13 <> 4 AND {NOW} - last_ms >= 0)""",
     "a7_seal": SEALED + " SELECT chain_id, seq, prev_hash, record_hash, payload, ts_ms FROM chain",
     "a8_due_anchors": f"""WITH RECURSIVE log AS ({duck(LOG)}), due AS (
       SELECT chain_id, min(ts_ms) AS ts_ms FROM log GROUP BY chain_id

@@ -40,6 +40,23 @@ def allowed(s: SparkSession, d: str) -> DataFrame:
     return writes.counts_of(dict(sorted(found.items())))
 
 
+def golden_files(s: SparkSession, d: str) -> DataFrame:
+    """Expected outcomes of the labels, written as files of one JSON array each and read back."""
+    path = folder(s, "golden")
+    rows = fleet.golden(s, d).select(F.pmod(F.xxhash64("id"), F.lit(16)).alias("part"), F.struct("*").alias("row"))
+    rows.groupBy("part").agg(F.to_json(F.collect_list("row")).alias("value")).repartition("part").write.partitionBy("part").text(path)
+    return tables.read_golden(s, path).select("id", "class", "vector", "expected_verdict")
+
+
+def activity_stream(s: SparkSession, d: str) -> DataFrame:
+    """Backend samples written as files, streamed, and counted once all are taken."""
+    path = folder(s, "samples")
+    fleet.activity(s, d).write.parquet(f"{path}/in")
+    stream = tables.read_activity(s, f"{path}/in").writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+    stream.awaitTermination()
+    return s.read.parquet(f"{path}/out").groupBy("cluster_id", "tick").agg(F.count(F.lit(1)).alias("n"), F.max("query_runtime_millis").alias("longest"))
+
+
 def published(s: SparkSession, d: str) -> DataFrame:
     base = folder(s, "published")
     t = writes.tables(s, d, "customer", "orders")
@@ -51,7 +68,9 @@ def published(s: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     "s1_chain_files": chain_files,
     "s3_anchor_files": anchor_files,
+    "s4_golden_files": golden_files,
     "s5_read_allowed": allowed,
+    "s6_activity_stream": activity_stream,
     "s7_published_versions": published,
     "w5_predecessor": lambda s, d: audit.with_predecessor(chains.sealed(s, d), 16).select("chain_id", "seq", "prev_seq", "prev_record_hash", "index"),
     "p12_agent_tagged": lambda s, d: fleet.activity(s, d).filter(watch.tagged(fleet.T)).select("pid"),
@@ -62,6 +81,8 @@ BOUND = " || ".join("'2#' || " + FIELD.format("p1") + " || " + FIELD.format("p2"
 ORACLES = {
     "s1_chain_files": chains.SEALED + " SELECT chain_id, seq, record_hash, false AS corrupt, CAST(json_extract(payload, '$.cents') AS BIGINT) AS cents FROM chain",
     "s3_anchor_files": chains.SEALED + " SELECT chain_id, arg_max(record_hash, seq) AS head_hash, max(seq) AS seq, arg_max(ts_ms, seq) AS ts_ms, 'k1' AS key_id FROM chain GROUP BY chain_id",
+    "s4_golden_files": f"SELECT id, class, vector, expected_verdict FROM ({duck(fleet.GOLDEN)})",
+    "s6_activity_stream": f"SELECT cluster_id, tick, count(*) AS n, max(query_runtime_millis) AS longest FROM ({duck(fleet.ACTIVITY)}) GROUP BY cluster_id, tick",
     "s5_read_allowed": "SELECT 'customer' AS relation, count(*) AS n FROM customer UNION ALL SELECT 'orders', count(*) FROM orders",
     "s7_published_versions": writes.BASE + " SELECT 'customer' AS relation, count(*) AS n FROM c UNION ALL SELECT 'orders', count(*) FROM o2",
     "w5_predecessor": chains.SEALED + " SELECT chain_id, seq, lag(seq) OVER w AS prev_seq, lag(record_hash) OVER w AS prev_record_hash, row_number() OVER w - 1 AS index FROM chain WINDOW w AS (PARTITION BY chain_id ORDER BY seq)",

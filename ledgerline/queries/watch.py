@@ -56,6 +56,10 @@ REQUESTS = f"""SELECT event_id AS request_id, CAST(event_id AS STRING) AS propos
   event_id % 50 + CASE WHEN event_id % 41 = 0 THEN 1 ELSE 0 END AS max_rows, event_id % 5000 AS max_bytes, 'n' || CAST(event_id // 3 AS STRING) AS nonce, millis(ts) + event_id % 4 * {HOUR} AS expiry_ms, millis(ts) + event_id % 5 * {HOUR} AS at_ms FROM {{events}}"""
 
 
+def golden(s: SparkSession, d: str) -> DataFrame:
+    return derived(s, d, GOLDEN)
+
+
 def bound(s: SparkSession, d: str, sql: str) -> DataFrame:
     return derived(s, d, spark_sql(sql)).withColumn("params", F.array("p1", "p2"))
 
