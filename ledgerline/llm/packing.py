@@ -101,14 +101,13 @@ class IdTable:
 
     def learn(self, runs: set[bytes]) -> None:
         known, old = self.known, self.old
+        again = runs & old.keys()
+        known.update((run, old[run]) for run in again)
+        self.held += sum(ENTRY + len(run) + len(old[run]) for run in again)
         new: list[tuple[bytes, str, str]] = []
         odd: list[bytes] = []
         long: list[bytes] = []
-        for run in runs:
-            if run in old:
-                known[run] = old[run]
-                self.held += ENTRY + len(run) + len(known[run])
-                continue
+        for run in runs - again:
             if len(run) > LONGEST_KEPT:
                 long.append(run)
                 continue
@@ -141,8 +140,8 @@ class IdTable:
         return [b"".join(map(look, ws)) for ws in runs]
 
 
-def pieces(documents: DataFrame, vocabulary: str | None = None, capacity: int = CAPACITY) -> DataFrame:
-    """Each document's pieces with the crc32 of their ids, numbered by worker and length."""
+def pieces(documents: DataFrame, vocabulary: str | None = None, capacity: int = CAPACITY, kept_bytes: int = KEPT_BYTES) -> DataFrame:
+    """Each document's pieces with the crc32 of their ids, numbered by worker and length. Each Python worker remembers about ``kept_bytes``."""
     end = np.array([END_ID], dtype="<u4").tobytes()
 
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,7 +150,7 @@ def pieces(documents: DataFrame, vocabulary: str | None = None, capacity: int =
             import public_tokenizers
 
             path = public_tokenizers.path("word_bpe_49k.json")
-        table, worker = resident(path, lambda: IdTable(path)), TaskContext.get().partitionId()
+        table, worker = resident(f"{path} {kept_bytes}", lambda: IdTable(path, kept_bytes)), TaskContext.get().partitionId()
         met: dict[int, int] = defaultdict(int)
         fields = [x.split()[0] for x in PIECES.split(", ")]
         for ids, texts in slices(rows):
@@ -175,9 +174,9 @@ def pieces(documents: DataFrame, vocabulary: str | None = None, capacity: int =
     return documents.select(F.col("doc_id").cast("long"), text_bytes().alias("text")).mapInArrow(batches, PIECES)
 
 
-def pack(documents: DataFrame, vocabulary: str | None = None, capacity: int = CAPACITY) -> DataFrame:
+def pack(documents: DataFrame, vocabulary: str | None = None, capacity: int = CAPACITY, kept_bytes: int = KEPT_BYTES) -> DataFrame:
     """One row for each piece, with the sequence and the offset it lies at; offsets have no gaps."""
-    cut = saved(pieces(documents, vocabulary, capacity), "pieces")
+    cut = saved(pieces(documents, vocabulary, capacity, kept_bytes), "pieces")
     # A row for each worker and length: at most some dozens of lengths for each worker.
     counts = cut.groupBy("length", "worker").agg(F.count(F.lit(1)).alias("n"))
     by_length = W.Window.partitionBy("length")

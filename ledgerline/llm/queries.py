@@ -38,7 +38,7 @@ def op6_lm_scores(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op7_packing(spark: SparkSession, folder: str) -> DataFrame:
-    return packing.pack(table(spark, folder, "documents"))
+    return packing.pack(table(spark, folder, "documents"), kept_bytes=128 << 20)
 
 
 def op8_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
