@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.folds import folded
 from ..schemas import ANCHOR, CHAIN, GENESIS
 
 BUCKET = 65_536
@@ -45,8 +46,8 @@ def with_predecessor(chain: DataFrame, bucket: int = BUCKET) -> DataFrame:
     return joined.select(*chain.columns, F.col("_prev.seq").alias("prev_seq"), F.col("_prev.record_hash").alias("prev_record_hash"), (F.col("_at") - 1 + F.col("_offset")).cast("long").alias("index"))
 
 
-def chain_breaks(chain: DataFrame, bucket: int = BUCKET) -> DataFrame:
-    """A3: every break. The first record's own sequence number is not checked."""
+def with_breaks(chain: DataFrame, bucket: int = BUCKET) -> DataFrame:
+    """Every record with the kind of break at it, null where there is none, and what was expected and found there."""
     rows = with_predecessor(check_record_hash(chain), bucket)
     first = F.col("prev_seq").isNull()
     kind = (
@@ -65,14 +66,18 @@ def chain_breaks(chain: DataFrame, bucket: int = BUCKET) -> DataFrame:
     for k, (e, f) in told.items():
         expected = F.when(F.col("kind") == k, e if isinstance(e, Column) else F.col(e)).otherwise(expected)
         found = F.when(F.col("kind") == k, f if isinstance(f, Column) else F.col(f)).otherwise(found)
-    return rows.withColumn("kind", kind).filter("kind IS NOT NULL").select("chain_id", "kind", "index", "seq", expected.alias("expected"), found.alias("found"))
+    return rows.withColumn("kind", kind).select("chain_id", "kind", "index", "seq", expected.alias("expected"), found.alias("found"))
+
+
+def chain_breaks(chain: DataFrame, bucket: int = BUCKET) -> DataFrame:
+    """A3: every break. The first record's own sequence number is not checked."""
+    return with_breaks(chain, bucket).filter("kind IS NOT NULL")
 
 
 def verify_chain(chain: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """A2: one row for each chain with its first break, if it has one."""
-    first = chain_breaks(chain, bucket).groupBy("chain_id").agg(F.min(F.struct("index", "kind", "seq", "expected", "found")).alias("b"))
-    chains = chain.select("chain_id").distinct()
-    return chains.join(first, "chain_id", "left").select("chain_id", F.col("b").isNull().alias("ok"), "b.kind", "b.index", "b.seq", "b.expected", "b.found")
+    first = F.min(F.when(F.col("kind").isNotNull(), F.struct("index", "kind", "seq", "expected", "found")))
+    return with_breaks(chain, bucket).groupBy("chain_id").agg(first.alias("b")).select("chain_id", F.col("b").isNull().alias("ok"), "b.kind", "b.index", "b.seq", "b.expected", "b.found")
 
 
 def chain_heads(chain: DataFrame) -> DataFrame:
@@ -100,10 +105,9 @@ def chain_constraints(chain: DataFrame) -> DataFrame:
         for c in ("seq", "record_hash")
     ]
     said = F.get_json_object("payload", "$.prev_hash")
-    wrong = chain.select(
-        "chain_id", F.when(F.col("seq") < 0, F.col("seq").cast("string")).otherwise(F.col("prev_hash")).alias("value"),
-        F.when(F.col("seq") < 0, "NEGATIVE_SEQ").when(said.isNotNull() & (said != F.col("prev_hash")), "PAYLOAD_PREV_HASH").alias("violation"),
-    ).filter("violation IS NOT NULL")
+    one = lambda broken, name, value: F.when(broken, F.struct(F.lit(name).alias("violation"), F.col(value).cast("string").alias("value")))
+    both = F.array_compact(F.array(one(F.col("seq") < 0, "NEGATIVE_SEQ", "seq"), one(said != F.col("prev_hash"), "PAYLOAD_PREV_HASH", "prev_hash")))
+    wrong = chain.select("chain_id", F.inline(both))
     rest = wrong.groupBy("chain_id", "value", "violation").agg(F.count(F.lit(1)).alias("n"))
     return union_all([*twice, rest]).select("chain_id", "violation", "value", "n")
 
@@ -135,7 +139,7 @@ def rejections(log: DataFrame, decision: str = "decision") -> DataFrame:
 def seal(log: DataFrame, order: list[str], heads: DataFrame | None = None) -> DataFrame:
     """Seq, prev_hash and record_hash of each chain's payloads, in the order of ``order``, going on from ``heads`` (chain_id, head_hash, seq).
 
-    Sealing a chain is sequential; chains are sealed in parallel, each in the memory of one task.
+    Sealing a chain is sequential; chains are sealed in parallel, and a task keeps only the last hash and number of the chain it is at.
     """
     rows = log.select("chain_id", "payload", "ts_ms", *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)])
     if heads is None:
@@ -144,37 +148,24 @@ def seal(log: DataFrame, order: list[str], heads: DataFrame | None = None) -> Da
         known = heads.select("chain_id", F.col("head_hash").alias("_head"), F.col("seq").alias("_seq"))
         rows = rows.join(known, "chain_id", "left").withColumn("_head", F.coalesce("_head", F.lit(GENESIS))).withColumn("_seq", F.coalesce("_seq", F.lit(-1)))
 
-    def link(chain: pd.DataFrame) -> pd.DataFrame:
-        chain = chain.sort_values([f"_o{i}" for i in range(len(order))])
-        prev, before, after = chain["_head"].iloc[0], [], []
-        for payload in chain["payload"]:
-            before.append(prev)
-            prev = hashlib.sha256((prev + payload).encode()).hexdigest()
-            after.append(prev)
-        seq = chain["_seq"].iloc[0] + 1 + pd.RangeIndex(len(chain))
-        return pd.DataFrame({"chain_id": chain["chain_id"].to_numpy(), "seq": seq, "prev_hash": before, "record_hash": after, "payload": chain["payload"].to_numpy(), "ts_ms": chain["ts_ms"].to_numpy()})
-
-    return rows.groupBy("chain_id").applyInPandas(link, CHAIN)
-
+    def link(head: dict, row: dict) -> tuple:
+        before, payload = head["hash"], row["payload"]
+        head["hash"], head["seq"] = hashlib.sha256((before + payload).encode()).hexdigest(), head["seq"] + 1
+        return row["chain_id"], head["seq"], before, head["hash"], payload, row["ts_ms"]
 
-def greedy(times: Iterable[int], interval: int) -> list[bool]:
-    """At most one in each interval, the first always."""
-    last, out = None, []
-    for t in times:
-        due = last is None or t - last >= interval
-        last = t if due else last
-        out.append(due)
-    return out
+    return folded(rows, "chain_id", [f"_o{i}" for i in range(len(order))], lambda row: {"hash": row["_head"], "seq": row["_seq"]}, link, CHAIN)
 
 
 def due_anchors(ticks: DataFrame, interval_ms: int) -> DataFrame:
-    """The (chain_id, ts_ms) ticks at which an anchor is due."""
+    """The (chain_id, ts_ms) ticks at which an anchor is due: at most one in each interval, a chain's first always."""
 
-    def pick(chain: pd.DataFrame) -> pd.DataFrame:
-        chain = chain.sort_values("ts_ms")
-        return chain[greedy(chain["ts_ms"], interval_ms)]
+    def pick(last: dict, row: dict) -> tuple | None:
+        if "ms" in last and row["ts_ms"] - last["ms"] < interval_ms:
+            return None
+        last["ms"] = row["ts_ms"]
+        return row["chain_id"], row["ts_ms"]
 
-    return ticks.select("chain_id", "ts_ms").groupBy("chain_id").applyInPandas(pick, "chain_id string, ts_ms long")
+    return folded(ticks.select("chain_id", "ts_ms"), "chain_id", ["ts_ms"], lambda _: {}, pick, "chain_id string, ts_ms long")
 
 
 def anchor_message(head: str, seq: int, ts_ms: int) -> bytes:

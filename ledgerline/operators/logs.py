@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import statements as fn
+from ..functions.folds import with_running
 from ..schemas import BUDGET_BP, TRUST, TRUST_CEILING, VERDICTS, label, rank
-from .meter import with_caps
+from .meter import SPAN, with_caps
 
 MOST = 9_223_372_036_854_775_807
 
@@ -151,23 +152,22 @@ def session_trust(events: DataFrame, grants: DataFrame) -> DataFrame:
     return rows.select("session", label(F.col("r"), TRUST).alias("trust"), multiplier(F.col("r")).alias("budget_bp"), saturated(F.col("rows")).alias("rows"), saturated(F.col("bytes")).alias("bytes"))
 
 
-def trust_timeline(events: DataFrame, grants: DataFrame) -> DataFrame:
-    """Trust, which never rises, and totals after each event."""
-    w = Window.partitionBy("session").orderBy("ts_ms", "event_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = with_grants(events, grants).withColumn("_r", F.least(F.col("_granted"), F.min(ceiling()).over(w)))
-    total = lambda c: saturated(F.sum(F.col(c).cast("decimal(38,0)")).over(w))
-    return rows.select("session", "event_id", label(F.col("_r"), TRUST).alias("trust"), total("rows").alias("rows"), total("bytes").alias("bytes"))
+def trust_timeline(events: DataFrame, grants: DataFrame, span: int = SPAN) -> DataFrame:
+    """Trust, which never rises, and totals after each event; a task holds a session's events of ``span`` milliseconds."""
+    sums = {f"_{c}": F.col(c).cast("decimal(38,0)") for c in ("rows", "bytes")}
+    rows = with_running(with_grants(events, grants), ["session"], ["ts_ms", "event_id"], span, sums, {"_ceiling": ceiling()})
+    return rows.select("session", "event_id", label(F.least("_granted", "_ceiling"), TRUST).alias("trust"), *[saturated(F.col(f"_{c}")).alias(c) for c in ("rows", "bytes")])
 
 
 def session_context(log: DataFrame) -> DataFrame:
     """Steps in order, distinct tables, reads before the first write (all reads if none), and statements for each minute of the
     session, which counts as one minute at least."""
-    first_write = F.min(F.when(~F.col("is_read"), F.struct("ts_ms", "log_id")))
-    rows = log.groupBy("session").agg(
+    place = F.struct("ts_ms", "log_id")
+    writes = log.groupBy(F.col("session").alias("_session")).agg(F.min(F.when(~F.col("is_read"), place)).alias("_w"))
+    rows = log.join(writes, F.col("session").eqNullSafe(F.col("_session"))).groupBy("session").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("ts_ms", "log_id", "statement_class"))), lambda s: s["statement_class"]).alias("steps"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("relations")))).alias("tables"),
-        F.array_sort(F.collect_list(F.when(F.col("is_read"), F.struct("ts_ms", "log_id")))).alias("_reads"), first_write.alias("_w"),
+        F.count_if(F.col("is_read") & (F.col("_w").isNull() | (place < F.col("_w")))).alias("reads_before_write"),
         (F.count(F.lit(1)) / F.greatest((F.max("ts_ms") - F.min("ts_ms")) / 60_000, F.lit(1.0))).alias("rate_per_min"),
     )
-    before = F.size(F.filter("_reads", lambda r: F.col("_w").isNull() | (r < F.col("_w")))).cast("long")
-    return rows.select("session", "steps", "tables", before.alias("reads_before_write"), "rate_per_min")
+    return rows.select("session", "steps", "tables", "reads_before_write", "rate_per_min")

@@ -9,9 +9,14 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.folds import folded, with_running
+
+#: Milliseconds of a statement whose rows one task holds while running sums are made.
+SPAN = 60_000
+
 
 def with_row_bytes(df: DataFrame, name: str = "row_bytes", layout: str = "wire") -> DataFrame:
     """The size of each row: lengths of the columns' texts plus 4 for each column and 2 (``wire``), or the row's JSON (``json``)."""
@@ -29,11 +34,11 @@ def with_caps(df: DataFrame, policy: DataFrame, columns: list[str]) -> DataFrame
     return df.join(caps, F.col("role") == F.col("_role"), "left").drop("_role").withColumn("known_role", F.coalesce("known_role", F.lit(False)))
 
 
-def metered(df: DataFrame, statement: list[str], order: list[str], bytes_col: str, policy: DataFrame) -> DataFrame:
-    """Each row with its statement's running rows and bytes and whether the caps, which count inclusively, let it out."""
+def metered(df: DataFrame, statement: list[str], order: list[str], bytes_col: str, policy: DataFrame, span: int = SPAN) -> DataFrame:
+    """Each row with its statement's running rows and bytes and whether the caps, which count inclusively, let it out. ``order``
+    begins with a number; sums are made within spans of it and carried on."""
     rows = with_caps(df, policy, ["max_rows", "max_bytes"])
-    w = Window.partitionBy(*statement).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = rows.withColumn("run_rows", F.count(F.lit(1)).over(w)).withColumn("run_bytes", F.sum(F.greatest(F.col(bytes_col), F.lit(0))).over(w))
+    rows = with_running(rows, statement, order, span, {"run_rows": F.lit(1).cast("long"), "run_bytes": F.greatest(F.col(bytes_col), F.lit(0))})
     # Both sums only grow, so what is within the caps is a prefix, and all that follows a breach is held back.
     return rows.withColumn("kept", F.col("known_role") & (F.col("run_rows") <= F.col("max_rows")) & (F.col("run_bytes") <= F.col("max_bytes")))
 
@@ -76,35 +81,33 @@ class WindowState:
         return "ok"
 
 
+LIMITS = ["window_ms", "window_max_rows", "window_max_bytes"]
 METERED = "session string, id long, ts_ms long, rows long, bytes long, outcome string, anchor long, used_rows long, used_bytes long"
 
 
+def charged(state: WindowState, c: dict, kill: bool) -> tuple:
+    """One charge and the window after it."""
+    outcome = state.charge(c["ts_ms"], c["rows"], c["bytes"], *[c[x] for x in LIMITS], kill)
+    return c["session"], c["id"], c["ts_ms"], c["rows"], c["bytes"], outcome, state.anchor, state.rows, state.bytes
+
+
 def window_fold(charges: pd.DataFrame, state: WindowState, kill: bool) -> pd.DataFrame:
     """Charges of one session, in order of time and id."""
-    out = []
-    for c in charges.sort_values(["ts_ms", "id"]).itertuples(index=False):
-        outcome = state.charge(c.ts_ms, c.rows, c.bytes, c.window_ms, c.window_max_rows, c.window_max_bytes, kill)
-        out.append((c.session, c.id, c.ts_ms, c.rows, c.bytes, outcome, state.anchor, state.rows, state.bytes))
+    out = [charged(state, c, kill) for c in charges.sort_values(["ts_ms", "id"]).to_dict("records")]
     return pd.DataFrame(out, columns=[x.split()[0] for x in METERED.split(", ")])
 
 
-LIMITS = ["window_ms", "window_max_rows", "window_max_bytes"]
-
-
 def window_meter(charges: DataFrame, policy: DataFrame, kill: bool = False) -> DataFrame:
     """B3 (and B4, with ``kill``): each charge (session, role, id, ts_ms, rows, bytes) with its outcome and the window after it.
 
-    A session is folded in the memory of one task; charges of roles without a policy are refused as unknown_role.
+    A session is folded in order by one task, which keeps only its window; charges of roles without a policy are refused as unknown_role.
     """
     rows = with_caps(charges, policy, LIMITS)
     known = rows.filter("known_role").select("session", "id", "ts_ms", "rows", "bytes", *LIMITS)
 
-    def fold(session: pd.DataFrame) -> pd.DataFrame:
-        return window_fold(session, WindowState(), kill)
-
     none = F.lit(None).cast("long")
     unknown = rows.filter("not known_role").select("session", "id", "ts_ms", "rows", "bytes", F.lit("unknown_role").alias("outcome"), none.alias("anchor"), none.alias("used_rows"), none.alias("used_bytes"))
-    return known.groupBy("session").applyInPandas(fold, METERED).unionByName(unknown)
+    return folded(known, "session", ["ts_ms", "id"], lambda _: WindowState(), lambda state, c: charged(state, c, kill), METERED).unionByName(unknown)
 
 
 def bounded_read(results: DataFrame, policy: DataFrame, kill: bool = False) -> DataFrame:

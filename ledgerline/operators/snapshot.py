@@ -24,10 +24,14 @@ def row_text(df: DataFrame) -> Column:
     return F.concat_ws("|", *[one(c) for c in df.columns])
 
 
-def fingerprint(df: DataFrame, relation: str, digits: int = 3) -> DataFrame:
-    """(relation, digest, n_rows) of whole rows, whatever their order. Two levels keep every task's share bounded."""
-    rows = df.select(F.md5(row_text(df)).alias("h"))
-    parts = rows.groupBy(F.substring("h", 1, digits).alias("p")).agg(F.md5(F.concat_ws(",", F.sort_array(F.collect_list("h")))).alias("d"), F.count(F.lit(1)).alias("n"))
+def fingerprint(df: DataFrame, relation: str) -> DataFrame:
+    """(relation, digest, n_rows) of whole rows, whatever their order. Equal rows are counted first; groups by six, then by three
+    hex digits of the row's digest keep every list short."""
+    rows = df.select(F.md5(row_text(df)).alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n"))
+    row = F.concat_ws("x", "h", F.col("n").cast("string"))
+    small = rows.groupBy(F.substring("h", 1, 6).alias("s")).agg(F.md5(F.concat_ws(",", F.sort_array(F.collect_list(row)))).alias("d"), F.sum("n").alias("n"))
+    part = F.concat_ws(",", F.transform(F.array_sort(F.collect_list(F.struct("s", "d"))), lambda x: x["d"]))
+    parts = small.groupBy(F.substring("s", 1, 3).alias("p")).agg(F.md5(part).alias("d"), F.sum("n").alias("n"))
     whole = parts.agg(F.md5(F.concat_ws(",", F.transform(F.array_sort(F.collect_list(F.struct("p", "d"))), lambda x: x["d"]))).alias("digest"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"))
     return whole.select(F.lit(relation).alias("relation"), "digest", "n_rows")
 

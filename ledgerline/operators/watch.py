@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.folds import folded
+
 
 @dataclass(frozen=True)
 class Thresholds:
@@ -86,9 +88,13 @@ def breaker_fold(ticks: pd.DataFrame, breaker: Breaker, cooldown_ms: int) -> pd.
 
 
 def breaker_timeline(ticks: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
-    """the breaker after each tick (cluster_id, tick, reason, probe). A cluster's ticks are folded in one task."""
-    rows = ticks.select("cluster_id", "tick", "reason", "probe")
-    return rows.groupBy("cluster_id").applyInPandas(lambda x: breaker_fold(x, Breaker(), t.cooldown_ms), TIMELINE)
+    """the breaker after each tick (cluster_id, tick, reason, probe). A cluster's ticks are folded in order by one task, which keeps only the breaker."""
+
+    def step(breaker: Breaker, row: dict) -> tuple:
+        breaker.tick(row["tick"], row["reason"], row["probe"], t.cooldown_ms)
+        return row["cluster_id"], row["tick"], breaker.state, breaker.reason, breaker.opened
+
+    return folded(ticks.select("cluster_id", "tick", "reason", "probe"), "cluster_id", ["tick"], lambda _: Breaker(), step, TIMELINE)
 
 
 def alerts(timeline: DataFrame, backends: DataFrame, alarms: DataFrame) -> DataFrame:

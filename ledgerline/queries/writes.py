@@ -187,12 +187,12 @@ def size(*columns: str) -> str:
 
 def digest(rows: str, *keys: str) -> str:
     enc = " || ".join(f"'I' || length(CAST({k} AS VARCHAR)) || ':' || {k}" for k in keys)
-    return f"(SELECT sha256(coalesce(string_agg(d, '' ORDER BY b), '') || '#' || CAST(coalesce(sum(n), 0) AS VARCHAR)) FROM (SELECT h[1:3] AS b, sha256(string_agg(h, '' ORDER BY h)) AS d, count(*) AS n FROM (SELECT sha256({enc}) AS h FROM {rows}) GROUP BY b))"
+    return f"(SELECT sha256(coalesce(string_agg(d, '' ORDER BY b), '') || '#' || CAST(coalesce(sum(n), 0) AS VARCHAR)) FROM (SELECT s[1:3] AS b, sha256(string_agg(d, '' ORDER BY s)) AS d, sum(n) AS n FROM (SELECT h[1:6] AS s, sha256(string_agg(h || '*' || n, '' ORDER BY h || '*' || n)) AS d, sum(n) AS n FROM (SELECT sha256({enc}) AS h, count(*) AS n FROM {rows} GROUP BY h) GROUP BY s) GROUP BY b))"
 
 
 def print_of(rows: str, name: str, *columns: str) -> str:
     text = " || '|' || ".join(f"coalesce('=' || regexp_replace(CAST({c} AS VARCHAR), '([\\\\|])', '\\\\\\1', 'g'), '~')" for c in columns)
-    return f"SELECT '{name}' AS relation, md5(coalesce(string_agg(d, ',' ORDER BY p), '')) AS digest, CAST(coalesce(sum(n), 0) AS BIGINT) AS n_rows FROM (SELECT h[1:3] AS p, md5(string_agg(h, ',' ORDER BY h)) AS d, count(*) AS n FROM (SELECT md5({text}) AS h FROM {rows}) GROUP BY p)"
+    return f"SELECT '{name}' AS relation, md5(coalesce(string_agg(d, ',' ORDER BY p), '')) AS digest, CAST(coalesce(sum(n), 0) AS BIGINT) AS n_rows FROM (SELECT s[1:3] AS p, md5(string_agg(d, ',' ORDER BY s)) AS d, sum(n) AS n FROM (SELECT h[1:6] AS s, md5(string_agg(h || 'x' || n, ',' ORDER BY h || 'x' || n)) AS d, sum(n) AS n FROM (SELECT md5({text}) AS h, count(*) AS n FROM {rows} GROUP BY h) GROUP BY s) GROUP BY p)"
 
 
 C, O, LI = COLUMNS["customer"], COLUMNS["orders"], COLUMNS["lineitem"]

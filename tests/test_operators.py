@@ -6,10 +6,12 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from ledgerline.functions.encode import digest_of_set
+from ledgerline.functions.folds import folded, with_running
 from ledgerline.operators import audit, logs, meter, scoring, snapshot, watch
 from ledgerline.plans import writes
 from ledgerline.plans.writes import Catalog, ForeignKey, Refused, Write
-from ledgerline.schemas import GENESIS, LOCKS, TRUST, TRUST_CEILING
+from ledgerline.schemas import CHAIN, GENESIS, LOCKS, TRUST, TRUST_CEILING
 from ledgerline.sources import tables as sources
 from ledgerline.sources import versions
 from ledgerline.streaming import meter as stream
@@ -374,3 +376,42 @@ def test_read_verdicts_of_escapes(spark):
     log = spark.createDataFrame([(i, x) for i, (x, _) in enumerate(cases)], "log_id int, sql_text string")
     got = {r["log_id"]: r["is_read"] for r in logs.with_read_verdict(log, spark.createDataFrame([("count",)], "name string")).collect()}
     assert [got[i] for i in range(len(cases))] == [read for _, read in cases]
+
+
+@pytest.mark.parametrize("span", [1, 7, 1000])
+def test_running_values_do_not_depend_on_the_span(spark, span):
+    rows = [(None if i % 5 == 0 else f"s{i % 3}", (i * 7) % 40, i, None if i % 11 == 0 else i % 6) for i in range(200)]
+    df = spark.createDataFrame(rows, "k string, at long, id long, v long")
+    got = with_running(df, ["k"], ["at", "id"], span, {"n": F.lit(1).cast("long"), "s": F.col("v")}, {"low": F.col("v")})
+    seen, want = {}, set()
+    for k, at, i, v in sorted(rows, key=lambda r: (r[1], r[2])):
+        n, s, low = seen.get(k, (0, None, None))
+        if v is not None:
+            s, low = (s or 0) + v, v if low is None else min(low, v)
+        seen[k] = n + 1, s, low
+        want.add((k, at, i, v, n + 1, s, low))
+    assert {tuple(r) for r in got.collect()} == want
+
+
+def test_folds_go_on_over_batches_and_keep_null_keys_apart(spark):
+    rows = [(None if i % 4 == 0 else f"k{i % 4}", i) for i in range(500)]
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        made = folded(spark.createDataFrame(rows, "k string, i long"), "k", ["i"], lambda row: [], lambda held, row: held.append(row["i"]) or ((row["k"], row["i"], len(held)) if len(held) % 2 else None), "k string, i long, n long").collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert {tuple(r) for r in made} == {(k, i, i // 4 + 1) for k, i in rows if i // 4 % 2 == 0}
+    assert folded(spark.createDataFrame([], "k string, i long"), "k", ["i"], lambda row: 0, lambda s, row: (row["k"], s), "k string, n long").count() == 0
+
+
+def test_digests_count_repeated_rows(spark):
+    one = spark.createDataFrame([(1,), (2,), (2,), (None,)], "k long")
+    same, other = spark.createDataFrame([(2,), (None,), (1,), (2,)], "k long"), spark.createDataFrame([(1,), (1,), (2,), (None,)], "k long")
+    for digest in (lambda df: digest_of_set(df, ["k"]).first(), lambda df: tuple(snapshot.fingerprint(df, "t").first())):
+        assert digest(one) == digest(same) != digest(other)
+
+
+def test_both_violations_of_one_record_are_reported(spark):
+    chain = spark.createDataFrame([("c", -1, "aa", "h1", '{"prev_hash":"bb"}', 0), ("c", 2, "h1", "h2", '{"prev_hash":"h1"}', 1)], CHAIN)
+    assert {tuple(r) for r in audit.chain_constraints(chain).collect()} == {("c", "NEGATIVE_SEQ", "-1", 1), ("c", "PAYLOAD_PREV_HASH", "aa", 1)}
