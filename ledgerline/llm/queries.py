@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprint, jaccard, licenses, lm, mixing, packing, secrets, token_count, topk, toxicity
+from . import codes, divergence, fingerprint, jaccard, licenses, lm, mixing, packing, pii, secrets, token_count, topk, toxicity
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -53,6 +53,18 @@ def op10_source_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(table(spark, folder, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
+    return codes.compress(table(spark, folder, "embeddings"))
+
+
+def op12_source_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    return divergence.audit(table(spark, folder, "documents"))
+
+
+def op13_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.scan(table(spark, folder, "documents"))
+
+
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     import corpus_pipeline
 
@@ -70,6 +82,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_license_scans": op9_license_scans,
     "op10_source_mix": op10_source_mix,
+    "op11_vector_codes": op11_vector_codes,
+    "op12_source_divergence": op12_source_divergence,
+    "op13_personal_data": op13_personal_data,
     "pipeline": pipeline,
 }
 
@@ -131,4 +146,62 @@ WITH d AS (
 SELECT p.doc_id, p.size, p.source_size, p.target, CAST(coalesce(y.taken, 0) AS BIGINT) AS taken FROM p LEFT JOIN y ON y.doc_id = p.doc_id
 """
 
-ORACLES: dict[str, str] = {"op5_exact_top_k": TOP_K, "op8_jaccard_join": JACCARD, "op10_source_mix": MIX}
+#: One round of the codebooks: parts to their nearest entry, entries to the floor of their parts' mean.
+ROUND = """a{n} AS (
+  SELECT vec_id, label, part, v, entry, d FROM (
+    SELECT p.vec_id, p.label, p.part, p.v, b.entry, list_sum(list_transform(range(1, len(p.v) + 1), lambda i: (p.v[i] - b.v[i]) * (p.v[i] - b.v[i])))::BIGINT AS d
+    FROM p JOIN b{n} b ON b.part = p.part
+  ) QUALIFY row_number() OVER (PARTITION BY vec_id, part ORDER BY d, entry) = 1
+)"""
+MOVE = """b{m} AS (
+  SELECT b.part, b.entry, coalesce(s.v, b.v) AS v FROM b{n} b LEFT JOIN (
+    SELECT part, entry, list(x ORDER BY i) AS v FROM (
+      SELECT part, entry, i, CAST(floor(sum(v[i])::HUGEINT / count(*)) AS BIGINT) AS x FROM a{n}, unnest(range(1, len(v) + 1)) t(i) GROUP BY part, entry, i
+    ) GROUP BY part, entry
+  ) s ON s.part = b.part AND s.entry = b.entry
+)"""
+CODES = (
+    """
+WITH k AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+), p AS (
+  SELECT vec_id, label, part, v[part * (len(v) // 16) + 1:(part + 1) * (len(v) // 16)] AS v FROM k, unnest(range(16)) t(part)
+), f AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM k QUALIFY entry < 64
+), b0 AS (SELECT p.part, f.entry, p.v FROM p JOIN f ON f.vec_id = p.vec_id
+), """
+    + ", ".join([ROUND.format(n=0), MOVE.format(n=0, m=1), ROUND.format(n=1), MOVE.format(n=1, m=2), ROUND.format(n=2)])
+    + """, c AS (
+  SELECT vec_id, any_value(label) AS label, lower(string_agg(printf('%02x', entry), '' ORDER BY part)) AS code, CAST(sum(d) AS BIGINT) AS error FROM a2 GROUP BY vec_id
+), h AS (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM b2)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM c, h
+"""
+)
+
+DIVERGENCE = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents
+), t AS (SELECT id, lang, source, unnest(w) AS term FROM d
+), kept AS (SELECT lang, term FROM t GROUP BY lang, term HAVING count(DISTINCT id) >= 10
+), c AS (SELECT t.lang, source, t.term, count(*) AS n FROM t JOIN kept k ON k.lang = t.lang AND k.term = t.term GROUP BY t.lang, source, t.term
+), v AS (SELECT l.lang, count(k.term) AS v FROM (SELECT DISTINCT lang FROM d) l LEFT JOIN kept k ON k.lang = l.lang GROUP BY l.lang
+), g AS (SELECT g.lang, g.source, any_value(v.v) AS v, coalesce(sum(c.n), 0)::BIGINT AS n FROM (SELECT DISTINCT lang, source FROM d) g JOIN v ON v.lang = g.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source GROUP BY g.lang, g.source
+), p AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS count, 1 + (1000000000 * (coalesce(c.n, 0) + 2)) // (g.n + 2 * g.v) AS p
+  FROM g JOIN kept k ON k.lang = g.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+), q AS (
+  SELECT c.lang, c.term, 1 + (1000000000 * (sum(c.n)::BIGINT + 2)) // (any_value(l.n) + 2 * any_value(l.v)) AS q
+  FROM c JOIN (SELECT lang, sum(n)::BIGINT AS n, any_value(v) AS v FROM g GROUP BY lang) l ON l.lang = c.lang GROUP BY c.lang, c.term
+), pairs AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(any_value(s.value), 0)::BIGINT AS value FROM g a JOIN g b ON b.lang = a.lang AND b.source <> a.source
+  LEFT JOIN (
+    SELECT x.lang, x.source AS one, y.source AS other, sum((x.p - y.p) * (x.p - y.p) // (x.p + y.p)) AS value FROM p x JOIN p y ON y.lang = x.lang AND y.term = x.term AND y.source <> x.source GROUP BY x.lang, x.source, y.source
+  ) s ON s.lang = a.lang AND s.one = a.source AND s.other = b.source GROUP BY a.lang, a.source, b.source
+), terms AS (
+  SELECT p.lang, p.source, 'term' AS part, p.term AS item, (p.p - q.q) * (p.p - q.q) // (p.p + q.q) AS value FROM p JOIN q ON q.lang = p.lang AND q.term = p.term WHERE p.count > 0 AND p.p > q.q
+), ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms))
+SELECT * FROM ranked WHERE part = 'pair' OR rank <= 10
+"""
+
+ORACLES: dict[str, str] = {"op5_exact_top_k": TOP_K, "op8_jaccard_join": JACCARD, "op10_source_mix": MIX, "op11_vector_codes": CODES, "op12_source_divergence": DIVERGENCE}

@@ -408,12 +408,14 @@ def test_toxicity(spark):
 
 def test_queries_are_registered():
     names = entry.queries()
-    assert all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 11)) and "pipeline" in names
+    assert all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 14)) and "pipeline" in names
 
 
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
+    from .test_near_stage import brute_kept
+
     texts = [t.replace("zorg", "") for t in random_texts(150, 3)]
     texts[20] = "this has password=abcdef123456 in it"
     texts[30:33] = ["one two three four five six seven"] * 3
@@ -429,9 +431,10 @@ def test_pipeline(spark, tmp_path):
     assert 31 not in ids and 32 not in ids
     held = [r["text"] for r in docs.filter("doc_id = 20").collect()]
     assert all("abcdef123456" not in t for t in held)
-    want, _ = brute_components(texts)
+    # The stage links by five words and 0.8.
+    want = brute_kept(texts, 5, 80)
     kept = {r["doc_id"] for r in spark.read.parquet(f"{tmp_path}/stage1").select("doc_id").collect()}
-    assert kept == {i for i, c in enumerate(want) if c == i}
+    assert kept == want
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path))
     assert packed.select("doc_id").distinct().count() == len(ids)
 
