@@ -1,7 +1,13 @@
-"""Column functions over logged SQL text: a conservative triage, not a parser."""
+"""Column functions over logged SQL text: a conservative triage by tokens, not a parser.
+
+A text is cut from left to right into tokens, so that what begins first hides what it holds; the rules are functions over the array
+of tokens. They refuse what they do not know: operators, functions, unclosed quotes, nested comments.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,8 +18,48 @@ CLOCK_NAMES = [
     "transaction_timestamp", "txid_current", "pg_current_xact_id", "pg_current_xact_id_if_assigned",
 ]
 SPECIAL_FORMS = ["coalesce", "nullif", "greatest", "least"]
-#: Words that stand before a bracket without being functions.
-NOT_FUNCTIONS = ["in", "any", "all", "some", "exists", "values", "and", "or", "not", "as", "from", "where", "select", "on", "using", "over", "filter", "by", "union", "except", "intersect", "when", "then", "else", "case", "between", "like", "limit", "offset", "with", "explain", "cast", "array", "row", "interval", "distinct", "having", "into", "join", "set", "returning", "is", "materialized", "lateral", "within", "group", "order", "partition", "range", "rows"]
+#: PostgreSQL's reserved words, which no function can be named by without quotes.
+RESERVED = [
+    "all", "analyse", "analyze", "and", "any", "array", "as", "asc", "asymmetric", "both", "case", "cast", "check", "collate", "column", "constraint", "create",
+    "current_catalog", "current_date", "current_role", "current_time", "current_timestamp", "current_user", "default", "deferrable", "desc", "distinct", "do", "else",
+    "end", "except", "false", "fetch", "for", "foreign", "from", "grant", "group", "having", "in", "initially", "intersect", "into", "lateral", "leading", "limit",
+    "localtime", "localtimestamp", "not", "null", "offset", "on", "only", "or", "order", "placing", "primary", "references", "returning", "select", "session_user",
+    "some", "symmetric", "system_user", "table", "then", "to", "trailing", "true", "union", "unique", "user", "using", "variadic", "when", "where", "window", "with",
+]
+#: Words that are not reserved but name types or forms, never functions, and take brackets.
+FORMS = [
+    "between", "bigint", "bit", "boolean", "char", "character", "dec", "decimal", "exists", "float", "int", "integer", "interval", "national", "nchar", "numeric",
+    "precision", "real", "row", "smallint", "time", "timestamp", "values", "varchar",
+]
+#: Reserved words that are values in themselves, after which an expression goes on.
+VALUE_WORDS = ["current_catalog", "current_date", "current_role", "current_time", "current_timestamp", "current_user", "default", "end", "false", "localtime", "localtimestamp", "null", "session_user", "system_user", "true", "user"]
+#: PostgreSQL's own operators; others are backed by anybody's functions.
+OPERATORS = [
+    "+", "-", "*", "/", "%", "^", "|/", "||/", "@", "&", "|", "#", "~", "<<", ">>", "||", "=", "<>", "!=", "<", ">", "<=", ">=", "~*", "!~", "!~*", "~~", "~~*", "!~~",
+    "!~~*", "->", "->>", "#>", "#>>", "@>", "<@", "?", "?|", "?&", "@?", "@@", "@@@", "#-", "&&", "<->", "&<", "&>", "-|-", "<<=", ">>=", "<<|", "|>>", "&<|", "|&>", "^@", "!!",
+    "=>",
+]
+#: Words that stand before a bracket without calling anything, where one of these words comes before them.
+AFTER_WORD = {"by": ["group", "order", "partition"], "materialized": ["as", "not"], "sets": ["grouping"], "cube": ["by"], "rollup": ["by"], "varying": ["character", "char", "nchar", "bit"], "similar": ["not"], "join": ["left", "right", "full", "inner", "outer", "cross", "natural"]}
+#: Words that call nothing where a call or an expression has just ended: they go on with it.
+AFTER_CALL, AFTER_VALUE = ["over", "filter"], ["like", "ilike", "join"]
+
+TAG = r"[A-Za-z_\x{80}-\x{10FFFF}][A-Za-z0-9_\x{80}-\x{10FFFF}]*+"
+WORD = r"[A-Za-z_\x{80}-\x{10FFFF}][A-Za-z0-9_$\x{80}-\x{10FFFF}]*+"
+NUMBER = r"(?:0[xXoObB][0-9A-Fa-f_]++|(?:[0-9][0-9_]*+(?:\.[0-9_]*+)?|\.[0-9][0-9_]*+)(?:[eE][+-]?[0-9]++)?)"
+SIGNS = "-+*/<>=~!@#%^&|`?"
+#: Every alternative takes a character at least, so the matches together are the whole text. What is not closed shows as a single sign.
+LEXICON = "|".join(
+    [
+        r"\s++", r"--[^\r\n]*+", r"/\*[\s\S]*?\*/", r"/\*",
+        r"[eE]'(?:[^'\\]++|\\[\s\S]|'')*+'", r"'[^']*+'", r'"[^"]*+(?:""[^"]*+)*+"', WORD,
+        rf"\$({TAG})\$[\s\S]*?\$\1\$", r"\$\$[\s\S]*?\$\$", r"\$[0-9]++(?![A-Za-z0-9_$\x{80}-\x{10FFFF}])",
+        rf"{NUMBER}(?![A-Za-z0-9_$\x{{80}}-\x{{10FFFF}}])", r"\.?[0-9][A-Za-z0-9_$\x{80}-\x{10FFFF}]*+",
+        "::|:=|[:;,.()\\[\\]]", rf"(?:(?!--|/\*)[{SIGNS}]){{1,32}}+", r"[\s\S]",
+    ]
+)
+#: Escapes that a text may hold: a pattern goes through them one inside the other.
+MOST_ESCAPES = 1_000
 
 
 def leading_word(sql: Column) -> Column:
@@ -39,70 +85,174 @@ def intent(sql: Column) -> Column:
     return F.get(F.filter(parsed, lambda p: p["intent"].isNotNull() | p["ticket"].isNotNull() | p["actor"].isNotNull()), F.lit(0))
 
 
-#: Quoted names (kept, group 1), then string literals of each kind and comments, taken from left to right: what begins first hides what it holds.
-QUOTED = r'"(?:[^"]|"")*+"'
-TOKENS = rf"""({QUOTED})|(?<![A-Za-z0-9_$])[eE]'(?:[^'\\]|\\[\s\S]|'')*'|'(?:[^']|'')*'|(?<![A-Za-z0-9_$])\$([A-Za-z_]\w*)?\$[\s\S]*?\$\2\$|(?<![A-Za-z0-9_$])\$\$[\s\S]*?\$\$|/\*[\s\S]*?\*/|--[^\n]*"""
-NAME = rf"(?:[A-Za-z_][\w$]*|{QUOTED})"
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def is_sign(token: Column, *texts: str) -> Column:
+    return F.coalesce((token["kind"] == "sign") & token["text"].isin(*texts), F.lit(False))
+
+
+def is_word(token: Column, *texts: str) -> Column:
+    return F.coalesce((token["kind"] == "word") & token["text"].isin(*texts), F.lit(False))
+
+
+def is_name(token: Column) -> Column:
+    return F.coalesce(token["kind"].isin("word", "quoted"), F.lit(False))
+
+
+def classified(t: Column) -> Column:
+    """Kind and text of one token: words in lower case, quoted names without their quotes."""
+    broken = t == "/*"
+    inner = F.regexp_replace(F.substring(t, 2, 1 << 30), '"$', "")
+    ascii_lower = F.translate(t, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    kind = (
+        F.when(t.rlike(r"^(?:\s|--)"), "blank")
+        .when(F.startswith(t, F.lit("/*")), F.when(broken | (F.instr(F.substring(t, 3, 1 << 30), "/*") > 0), "broken").otherwise("blank"))
+        .when(t.rlike("^[eE]?'") & F.endswith(t, F.lit("'")) & (F.length(t) > 1), "literal")
+        .when(t.rlike(f"^{WORD}$"), "word")
+        .when(F.startswith(t, F.lit('"')) & (F.length(t) > 1), "quoted")
+        .when(t.rlike(r"^\$[0-9]+$"), "parameter")
+        .when(F.startswith(t, F.lit("$")) & (F.length(t) > 1), "literal")
+        .when(t.rlike(f"^{NUMBER}$"), "number")
+        .when(t.rlike(r"^(?:::|:=|[:;,.()\[\]])$"), "sign")
+        .when(t.rlike(f"^[{SIGNS}]+$"), "operator")
+        .otherwise("broken")
+    )
+    return F.struct(kind.alias("kind"), F.when(kind == "word", ascii_lower).when(kind == "quoted", F.replace(inner, F.lit('""'), F.lit('"'))).otherwise(t).alias("text"))
+
+
+def calls_nothing(t: Column, before: Column, before_that: Column) -> Column:
+    """Whether a name before a bracket is no call, given the two tokens before it. It depends on the place: ``over`` after a closing
+    bracket goes on with an expression, at its beginning it is somebody's function."""
+    ended = before["kind"].isin("literal", "number", "parameter", "quoted") | is_sign(before, ")", "]") | (before["kind"] == "word") & (~before["text"].isin(RESERVED) | before["text"].isin(VALUE_WORDS))
+    out = is_word(t, *RESERVED, *FORMS)
+    for word, others in AFTER_WORD.items():
+        out = out | is_word(t, word) & is_word(before, *others)
+    out = out | is_word(t, *AFTER_CALL) & is_sign(before, ")") | is_word(t, *AFTER_VALUE) & F.coalesce(ended, F.lit(False)) | is_word(t, "like", "ilike") & is_word(before, "not")
+    out = out | is_word(t, "explain") & before.isNull()
+    # An alias or a type: AS name (columns), WITH name (columns), ::name (size).
+    return out | is_name(t) & (is_word(before, "as", "recursive") | is_word(before, "with") & before_that.isNull() | is_sign(before, "::"))
 
 
-def scrubbed(sql: Column) -> Column:
-    """The text without comments and string literals, quoted names kept; what is unbalanced stays and shows."""
-    return F.regexp_replace(sql, TOKENS, "$1 ")
+def tokens(sql: Column) -> Column:
+    """The text's tokens from left to right, without blanks and comments: array of kind (word, quoted, literal, number, parameter,
+    operator, sign, broken), text, and call: the name, with its qualification, where the token is the last part of a called name.
 
+    A text with more than ``MOST_ESCAPES`` escapes is a single broken token."""
+    text = F.coalesce(sql, F.lit(""))
+    marks = F.length(F.regexp_replace(text, r"[^\\]", "")) + F.when(text.rlike("[eE]'"), F.regexp_count(text, F.lit("''"))).otherwise(F.lit(0)) + F.regexp_count(text, F.lit('""'))
+    beyond = F.array(F.struct(F.lit("broken").alias("kind"), F.lit("").alias("text")))
+    found = F.filter(F.transform(F.regexp_extract_all(text, F.lit(LEXICON), F.lit(0)), classified), lambda t: t["kind"] != "blank")
 
-def unquoted(text: Column) -> Column:
-    """A scrubbed text whose quoted names are a plain one, so that their letters mean nothing."""
-    return F.regexp_replace(text, QUOTED, " quoted_name ")
+    def with_calls(ts: Column) -> Column:
+        def one(t: Column, i: Column) -> Column:
+            at = lambda k: F.get(ts, i + k)
+            call = is_name(t) & is_sign(at(1), "(") & ~calls_nothing(t, at(-1), at(-2))
+            name = t["text"]
+            dotted = F.lit(True)
+            for k in (1, 3, 5):  # catalog.schema.package.name
+                dotted = dotted & is_sign(at(-k), ".") & is_name(at(-k - 1))
+                name = F.when(dotted, F.concat(at(-k - 1)["text"], F.lit("."), name)).otherwise(name)
+            return F.struct(t["kind"].alias("kind"), t["text"].alias("text"), F.when(call | is_name(t) & is_sign(at(1), "(") & is_sign(at(-1), "."), name).alias("call"), is_sign(at(-1), ".").alias("qualified"))
 
+        return F.transform(ts, one)
 
-def function_names(sql: Column) -> Column:
-    """Distinct names that stand before an opening bracket, qualification kept; lower-case, but as they are where a part is quoted."""
-    # All names are taken, with a bracket where one follows, so that none begins inside a quoted one.
-    found = F.regexp_extract_all(scrubbed(sql), F.lit(rf"{NAME}(?:\s*\.\s*{NAME})*+\s*\(?"), F.lit(0))
-    called = F.transform(F.filter(found, lambda n: F.endswith(n, F.lit("("))), lambda n: F.regexp_replace(n, r"\s*\($", ""))
-    called = F.filter(called, lambda n: ~F.lower(n).isin(NOT_FUNCTIONS))
-    plain = lambda n: F.regexp_replace(F.regexp_replace(n, r"\s*\.\s*", "."), '"', "")
-    return F.array_distinct(F.transform(called, lambda n: F.when(F.contains(n, F.lit('"')), plain(n)).otherwise(F.lower(plain(n)))))
+    return let(F.when(marks > MOST_ESCAPES, beyond).otherwise(found), with_calls)
 
 
-def bare_words(sql: Column) -> Column:
-    """Distinct words of the text, lower-case, quoted names apart."""
-    return F.array_distinct(F.transform(F.regexp_extract_all(unquoted(scrubbed(sql)), F.lit(r"([A-Za-z_][\w$]*)"), F.lit(1)), lambda w: F.lower(w)))
+def function_names(ts: Column) -> Column:
+    """Distinct names that the tokens call, qualification kept."""
+    return F.array_distinct(F.transform(F.filter(ts, lambda t: t["call"].isNotNull()), lambda t: t["call"]))
 
 
-def where_text(sql: Column) -> Column:
-    """What follows each WHERE, up to RETURNING; empty without one."""
-    return F.array_join(F.regexp_extract_all(scrubbed(sql), F.lit(r"(?i)\bwhere\b([\s\S]*?)(?:\breturning\b|$)"), F.lit(1)), " ")
+def calls_beyond(ts: Column, names: list[str]) -> Column:
+    """Whether the tokens call a function that is none of ``names``; a qualified one is none of them."""
+    known = F.lit([n for n in names]).cast("array<string>")
+    return F.exists(ts, lambda t: t["call"].isNotNull() & (t["qualified"] | ~F.array_contains(known, t["call"])))
 
 
-def explain_is_read(text: Column) -> Column:
+def volatility(ts: Column, steady: list[str]) -> Column:
+    """What keeps the WHERE parts, each up to RETURNING, from being run twice; null if nothing does."""
+    known = F.lit([*steady, *SPECIAL_FORMS]).cast("array<string>")
+    no = F.lit(False)
+    begin = F.struct(no.alias("inside"), no.alias("clock"), no.alias("unknown"))
+
+    def step(s: Column, t: Column) -> Column:
+        inside = F.when(is_word(t, "where"), F.lit(True)).when(is_word(t, "returning"), no).otherwise(s["inside"])
+        unknown = t["call"].isNotNull() & (t["qualified"] | ~F.array_contains(known, t["call"])) | (t["kind"] == "operator") & ~known_operator(t["text"])
+        return F.struct(inside.alias("inside"), (s["clock"] | inside & is_word(t, *CLOCK_NAMES)).alias("clock"), (s["unknown"] | inside & unknown).alias("unknown"))
+
+    told = F.aggregate(ts, begin, step, lambda s: F.when(s["clock"], F.lit("clock_name")).when(s["unknown"], F.lit("volatile_or_unknown")))
+    return F.when((F.size(ts) == 1) & (F.get(ts, F.lit(0))["kind"] == "broken"), "volatile_or_unknown").otherwise(told)
+
+
+def known_operator(text: Column) -> Column:
+    """One of PostgreSQL's operators, or one with signs after it, which the server takes off unless special characters come before."""
+    plain = F.regexp_replace(text, "[-+]+$", "")
+    return text.isin(OPERATORS) | ~text.rlike("[~!@#%^&|`?]") & (plain.isin(OPERATORS) | (plain == ""))
+
+
+def hidden_write(ts: Column) -> Column:
+    """Any word that writes rows or locks them, INTO, operators that are not PostgreSQL's own, types and typed literals with a schema."""
+
+    def one(t: Column, i: Column) -> Column:
+        at = lambda k: F.get(ts, i + k)
+        writes = is_word(t, "insert", "update", "delete", "merge", "into") | is_word(t, "share") & locks
+        custom = is_word(t, "operator") & is_sign(at(1), "(") | (t["kind"] == "operator") & ~known_operator(t["text"])
+        typed = (is_sign(t, "::") | is_word(t, "as")) & is_name(at(1)) & is_sign(at(2), ".") | (t["kind"] == "literal") & is_name(at(-1)) & is_sign(at(-2), ".")
+        # No value is called, has parts or stands beside a name with parts, so what looks so is not understood.
+        odd = t["kind"].isin("literal", "number", "parameter") & (is_sign(at(1), "(", ".") | is_name(at(1)) & is_sign(at(2), ".", "(") & ~calls_nothing(at(1), t, at(-1)))
+        return F.coalesce(writes | custom | typed | odd, F.lit(False))
+
+    locks = F.exists(ts, lambda t: is_word(t, "for"))
+    return F.exists(F.transform(ts, one), lambda x: x)
+
+
+def statement_word(ts: Column, at: Column) -> Column:
+    """The first word at or after a place, opening brackets left out."""
+    first = F.get(F.filter(F.slice(ts, at + 1, F.lit(1 << 30)), lambda t: ~is_sign(t, "(")), F.lit(0))
+    return F.when(first["kind"] == "word", first["text"])
+
+
+READS = ["select", "with", "values", "table"]
+
+
+def explain_is_read(ts: Column) -> Column:
     """P5: EXPLAIN of a query, without ANALYZE, its options all harmless."""
-    inside = F.regexp_extract(text, r"(?i)^\s*explain\s*\(([^)]*)\)", 1)
-    options = F.transform(F.split(inside, ","), lambda o: F.upper(F.regexp_extract(o, r"^\s*(\w+)", 1)))
-    harmless = (F.trim(inside) == "") | (F.size(F.array_except(options, F.lit(EXPLAIN_OPTIONS))) == 0)
-    read = text.rlike(r"(?i)^\s*explain\s*(?:\([^)]*\)|(?:verbose\s))?\s*(?:select|with|values|table)\b")
-    return harmless & read & ~text.rlike(r"(?i)^\s*explain\s+(?:verbose\s+)?analy[sz]e\b")
+    second = F.get(ts, F.lit(1))
+    ends = F.array_position(F.transform(ts, lambda t: F.when(is_sign(t, ")"), F.lit(")")).otherwise(F.lit(""))), ")").cast("int")  # from 1
+    inside = F.slice(ts, F.lit(3), F.greatest(ends - 3, F.lit(0)))
+    harmless = F.forall(F.transform(inside, lambda t, i: ~((i == 0) | is_sign(F.get(ts, i + 1), ",")) | is_word(t, *[o.lower() for o in EXPLAIN_OPTIONS])), lambda x: x)
+    bracketed = is_sign(second, "(") & ~statement_word(ts, F.lit(1)).isin(READS)
+    skip = F.when(is_word(second, "verbose"), F.lit(2)).otherwise(F.lit(1))
+    return F.when(bracketed, (ends > 2) & harmless & F.coalesce(statement_word(ts, ends).isin(READS), F.lit(False))).otherwise(F.coalesce(statement_word(ts, skip).isin(READS), F.lit(False)))
+
+
+def brackets_hold(ts: Column) -> Column:
+    """Whether each bracket closes the one opened last."""
 
+    def step(open_: Column, t: Column) -> Column:
+        # A bracket that closes another kind, or none, leaves a mark that nothing takes away.
+        closes = lambda one, other: F.when(F.endswith(open_, F.lit(one)), F.regexp_replace(open_, ".$", "")).otherwise(F.concat(open_, F.lit(other)))
+        return F.when(is_sign(t, "(", "["), F.concat(open_, t["text"])).when(is_sign(t, ")"), closes("(", ")")).when(is_sign(t, "]"), closes("[", "]")).otherwise(open_)
 
-def hidden_write(text: Column) -> Column:
-    """Any word that writes rows or locks them, SELECT INTO, custom operators, qualified casts."""
-    return text.rlike(r"(?i)\b(?:insert|update|delete|merge)\b|\bselect\b[^;]*\binto\b|\bfor\s+(?:key\s+)?share\b|\boperator\s*\(|::\s*\w+\s*\.\s*\w+|\bas\s+\w+\s*\.\s*\w+\s*\)")
+    return F.aggregate(ts, F.lit(""), step) == ""
 
 
-def read_verdict(sql: Column, unknown_functions: Column) -> Column:
-    """Struct of is_read and reason; what is not shown to be a read is none."""
-    text = unquoted(scrubbed(sql))
-    count = lambda c: F.length(F.regexp_replace(text, f"[^{c}]", ""))
-    unbalanced = text.rlike(r"""/\*|\*/|['"]|\$[A-Za-z_]*\$""") | (count("(") != count(")"))
-    statements = F.size(F.filter(F.split(text, ";"), lambda p: F.trim(F.regexp_replace(p, r"\s", " ")) != ""))
-    word = leading_word(text)
+def read_verdict(sql: Column, ts: Column, allowed: list[str]) -> Column:
+    """Struct of is_read and reason; what is not shown to be a read is none. ``ts`` are the text's tokens."""
+    broken = F.exists(ts, lambda t: t["kind"] == "broken")
+    statements = F.size(F.filter(F.transform(ts, lambda t, i: ~is_sign(t, ";") & ((i == 0) | is_sign(F.get(ts, i - 1), ";"))), lambda x: x))
+    word = statement_word(ts, F.lit(0))
     reason = (
-        F.when(sql.isNull() | unbalanced, "parse_failed")
+        F.when(sql.isNull() | broken | ~brackets_hold(ts), "parse_failed")
         .when(statements == 0, "empty_statement")
         .when(statements > 1, "stacked_statement")
-        .when(hidden_write(text) | unknown_functions, "write_on_readonly")
-        .when(word == "EXPLAIN", F.when(explain_is_read(text), "read").otherwise("write_on_readonly"))
-        .when(word.isin("SELECT", "WITH", "VALUES", "TABLE"), "read")
+        .when(hidden_write(ts) | calls_beyond(ts, allowed), "write_on_readonly")
+        .when(word == "explain", F.when(explain_is_read(ts), "read").otherwise("write_on_readonly"))
+        .when(word.isin(READS), "read")
         .when(word.isNull(), "parse_failed")
         .otherwise("write_on_readonly")
     )

@@ -24,7 +24,7 @@ def with_intent(log: DataFrame) -> DataFrame:
 
 def functions_used(log: DataFrame) -> DataFrame:
     """A row for each statement and function name it calls."""
-    return log.select("log_id", F.explode(fn.function_names(F.col("sql_text"))).alias("name"))
+    return log.select("log_id", F.explode(fn.function_names(fn.tokens(F.col("sql_text")))).alias("name"))
 
 
 #: Names that a list of functions may hold; it is collected and becomes part of the projection.
@@ -38,25 +38,18 @@ def names_of(functions: DataFrame) -> list[str]:
     return [r["name"] for r in rows]
 
 
-def calls_beyond(text: Column, names: list[str]) -> Column:
-    """Whether a text calls a function that is none of ``names``."""
-    return F.size(F.array_except(fn.function_names(text), F.lit(names).cast("array<string>"))) > 0
-
-
 def with_read_verdict(log: DataFrame, allowed: DataFrame) -> DataFrame:
     """is_read and reason. ``allowed`` has a column name: bare functions a read may call; qualified names never match."""
-    sql = F.col("sql_text")
-    rows = log.withColumn("_v", fn.read_verdict(sql, F.coalesce(calls_beyond(sql, names_of(allowed)), F.lit(False))))
+    sql, names = F.col("sql_text"), names_of(allowed)
+    rows = log.withColumn("_v", fn.let(fn.tokens(sql), lambda ts: fn.read_verdict(sql, ts, names)))
     return rows.select(*log.columns, "_v.is_read", "_v.reason")
 
 
 def with_volatility(log: DataFrame, catalog: DataFrame) -> DataFrame:
-    """Whether a statement's WHERE may be run twice. ``catalog``: name, volatility (immutable, stable, volatile)."""
+    """Whether a statement's WHERE may be run twice. ``catalog``: name, volatility (immutable, stable, volatile). A text that holds
+    nothing but what can't be cut into tokens is not deterministic."""
     steady = names_of(catalog.groupBy("name").agg(F.bool_and(F.col("volatility") != "volatile").alias("s")).filter("s"))
-    where = fn.where_text(F.col("sql_text"))
-    clock = F.arrays_overlap(fn.bare_words(where), F.lit(fn.CLOCK_NAMES))
-    reason = F.when(clock, "clock_name").when(calls_beyond(where, [*steady, *fn.SPECIAL_FORMS]), "volatile_or_unknown")
-    rows = log.withColumn("volatility", reason)
+    rows = log.withColumn("volatility", fn.let(fn.tokens(F.col("sql_text")), lambda ts: fn.volatility(ts, steady)))
     return rows.select(*log.columns, "volatility", F.col("volatility").isNull().alias("deterministic"))
 
 

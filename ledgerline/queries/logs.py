@@ -48,8 +48,9 @@ MORE = [
     ("SELECT 1 -- ; DROP TABLE t", "SELECT", None, [], None),
     ("-- note\nSELECT 1", None, None, [], None),
     ("SELECT 1 /* a; b */ FROM t", "SELECT", None, [], None),
-    ("/* outer /* inner */ SELECT 1", "SELECT", None, [], None),
+    ("/* outer /* inner */ SELECT 1", "SELECT", X, [], None),
     ("/* outer /* inner */ still */ SELECT 1", "STILL", X, [], None),
+    ("/* outer /* inner */ SELECT 1 -- */ DELETE FROM t", "SELECT", X, [], None),
     ("SELECT ''open FROM t", "SELECT", X, [], None),
     ('SELECT "open FROM t', "SELECT", X, [], None),
     ("SELECT (1", "SELECT", X, [], None),
@@ -102,6 +103,83 @@ MORE = [
     ("DELETE FROM t WHERE name = ''now()''", "DELETE", W, [], None),
     ("DELETE FROM t WHERE x = audit.lower(y)", "DELETE", W, ["audit.lower"], "volatile_or_unknown"),
     ("DELETE FROM t WHERE x = lower(y) RETURNING random()", "DELETE", W, ["lower", "random"], None),
+    ("SELECT filter(1)", "SELECT", W, ["filter"], None),
+    ("SELECT over(1)", "SELECT", W, ["over"], None),
+    ("SELECT by(1), range(2), rows(3)", "SELECT", W, ["by", "range", "rows"], None),
+    ("SELECT a, set(b) FROM t", "SELECT", W, ["set"], None),
+    ("SELECT partition(b) FROM t", "SELECT", W, ["partition"], None),
+    ("SELECT materialized(b), within(c) FROM t", "SELECT", W, ["materialized", "within"], None),
+    ("SELECT a FROM t WHERE explain(a)", "SELECT", W, ["explain"], "volatile_or_unknown"),
+    ("SELECT like(a, b), join(c) FROM t", "SELECT", W, ["like", "join"], None),
+    ("SELECT 1 + over(2)", "SELECT", W, ["over"], None),
+    ("SELECT count(*) FILTER (WHERE a > 1) OVER (PARTITION BY (b) ORDER BY (c)) FROM t", "SELECT", None, ["count"], None),
+    ("SELECT max(a) OVER (ORDER BY b ROWS BETWEEN 1 PRECEDING AND CURRENT ROW) FROM t", "SELECT", None, ["max"], None),
+    ("SELECT a FROM t WHERE b LIKE (c) AND d NOT LIKE (e)", "SELECT", None, [], None),
+    ("SELECT * FROM t JOIN (SELECT 1 AS a) u ON (t.a = u.a) LEFT JOIN (SELECT 2 AS a) v USING (a)", "SELECT", None, [], None),
+    ("WITH d(a, b) AS (SELECT 1, 2) SELECT a FROM d", "WITH", None, [], None),
+    ("WITH RECURSIVE d(a) AS (SELECT 1 UNION ALL SELECT (a + 1) FROM d) SELECT a FROM d", "WITH", None, [], None),
+    ("WITH d AS NOT MATERIALIZED (SELECT 1) SELECT * FROM d", "WITH", None, [], None),
+    ("SELECT a FROM (VALUES (1), (2)) AS v(a)", "SELECT", None, [], None),
+    ("SELECT a, b FROM t GROUP BY GROUPING SETS ((a), (b))", "SELECT", None, [], None),
+    ("SELECT a FROM t GROUP BY (a) HAVING (count(*)) > 1 ORDER BY (a) LIMIT (5) OFFSET (1)", "SELECT", None, ["count"], None),
+    ("SELECT CASE WHEN (a) THEN (b) ELSE (c) END FROM t", "SELECT", None, [], None),
+    ("SELECT a FROM t WHERE EXISTS (SELECT 1) AND b = ANY (SELECT 2) AND NOT (c) AND d BETWEEN (1) AND (2)", "SELECT", None, [], None),
+    ("SELECT ARRAY(SELECT a FROM t), ROW(1, 2), CAST(a AS numeric(9, 2)), b::varchar(10)", "SELECT", None, [], None),
+    ("(SELECT 1) UNION (SELECT 2) EXCEPT (SELECT 3)", None, None, [], None),
+    ("((SELECT 1))", None, None, [], None),
+    ("(DELETE FROM t)", None, W, [], None),
+    ("SELECT a @#@ b FROM t", "SELECT", W, [], None),
+    ("SELECT a <=> b FROM t", "SELECT", W, [], None),
+    ("SELECT @@@@ a FROM t", "SELECT", W, [], None),
+    ("DELETE FROM t WHERE id = 3 AND a @#@ b", "DELETE", W, [], "volatile_or_unknown"),
+    ("SELECT a || b, a <> c, a != d, -e, a * -1, a =-1, ~f, a % 2 FROM t", "SELECT", None, [], None),
+    ("SELECT j -> 1, j ->> 2, j @> k, k <@ j, j && l, a ~* b, a !~~ c FROM t", "SELECT", None, [], None),
+    ("SELECT t.*, count(*), a[1], a[1:2], $1 FROM t", "SELECT", None, ["count"], None),
+    ("SELECT a :: int [], b ::text FROM t", "SELECT", None, [], None),
+    ("SELECT a :: audit . kind FROM t", "SELECT", W, [], None),
+    ('SELECT a::"audit"."kind"[] FROM t', "SELECT", W, [], None),
+    ("SELECT audit.kind ''x''", "SELECT", W, [], None),
+    ("SELECT date ''2020-01-01'', interval ''1 day'', kind ''x''", "SELECT", None, [], None),
+    ("SELECT 1 --\r, pg_sleep(9)", "SELECT", W, ["pg_sleep"], None),
+    ("SELECT 1 --\n, pg_sleep(9)", "SELECT", W, ["pg_sleep"], None),
+    ("SELECT a FROM t WHERE id = 1 --\r OR random() < 2", "SELECT", W, ["random"], "volatile_or_unknown"),
+    ("SELECT 1 -- x\x0b, pg_sleep(9)", "SELECT", None, [], None),
+    ("SELECT $é$''$é$, pg_sleep(9), $é$''$é$", "SELECT", W, ["pg_sleep"], None),
+    ("SELECT $é$ pg_sleep(9) $é$", "SELECT", None, [], None),
+    ("SELECT $a1$ $a$ pg_sleep(9) $a1$", "SELECT", None, [], None),
+    ("SELECT a$b$, pg_sleep(9), c$b$ FROM t", "SELECT", W, ["pg_sleep"], None),
+    ("SELECT $1a FROM t", "SELECT", X, [], None),
+    ("SELECT 1or FROM t", "SELECT", X, [], None),
+    ("SELECT 1.5e-3, .5, 0x1F, 1_000, 5. FROM t", "SELECT", None, [], None),
+    ("SELECT 1/*x*/*/*y*/2 FROM t", "SELECT", None, [], None),
+    ("SELECT 1 */ 2 FROM t", "SELECT", W, [], None),
+    ("SELECT sum/**/(x), lower --\n (y) FROM t", "SELECT", None, ["sum", "lower"], None),
+    ("SELECT pg_sleep/**/(9)", "SELECT", W, ["pg_sleep"], None),
+    ('SELECT U&"pg_sleep"(9)', "SELECT", W, ["pg_sleep"], None),
+    ('SELECT a.b.c.sum(x), "sum"(y), "a""b"(z)', "SELECT", W, ["a.b.c.sum", "sum", 'a"b'], None),
+    ('SELECT "x""sum"(1)', "SELECT", W, ['x"sum'], None),
+    ("SELECT a]b FROM t", "SELECT", X, [], None),
+    ("SELECT )1( FROM t", "SELECT", X, [], None),
+    ("SELECT (a[1) FROM t]", "SELECT", X, [], None),
+    ("SELECT a FROM t FOR KEY SHARE OF t NOWAIT", "SELECT", W, [], None),
+    ("SELECT * FROM (SELECT a FROM t FOR SHARE) u", "SELECT", W, [], None),
+    ("SELECT substring(a FROM 1 FOR 2) FROM t", "SELECT", W, ["substring"], None),
+    ("EXPLAIN (VERBOSE, FORMAT json, COSTS off) WITH d AS (SELECT (1)) SELECT * FROM d", "EXPLAIN", None, [], None),
+    ("EXPLAIN (SELECT 1)", "EXPLAIN", None, [], None),
+    ("EXPLAIN (COSTS) (SELECT 1)", "EXPLAIN", None, [], None),
+    ("EXPLAIN (ANALYSE) SELECT 1", "EXPLAIN", W, [], None),
+    ("EXPLAIN ANALYSE VERBOSE SELECT 1", "EXPLAIN", W, [], None),
+    ("EXPLAIN (COSTS, SERIALIZE text) SELECT 1", "EXPLAIN", W, [], None),
+    ("EXPLAIN (COSTS) SELECT pg_sleep(9)", "EXPLAIN", W, ["pg_sleep"], None),
+    ("EXPLAIN SELECT 1; DROP TABLE t", "EXPLAIN", S, [], None),
+    ("SELECT current_timestamp(3), localtime(0) FROM t", "SELECT", None, [], None),
+    ("SELECT a FROM t TABLESAMPLE bernoulli (10)", "SELECT", W, ["bernoulli"], None),
+    ("SELECT * FROM rows_of(1) AS r(a) JOIN lower(b) l ON true", "SELECT", W, ["rows_of", "lower"], None),
+    ("SHOW search_path", "SHOW", W, [], None),
+    ("PREPARE p AS SELECT 1", "PREPARE", W, [], None),
+    ("SELEKT 1", "SELEKT", W, [], None),
+    ("UPDATE t SET a = 1 WHERE b = (SELECT max(c) FROM u WHERE d < localtime)", "UPDATE", W, ["max"], "clock_name"),
+    ("DELETE FROM t WHERE a = coalesce(b, greatest(c, d)) AND e = lower(f)", "DELETE", W, ["coalesce", "greatest", "lower"], None),
 ]
 STATEMENTS += [m[0] for m in MORE]
 LOG = (
