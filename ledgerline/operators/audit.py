@@ -1,7 +1,8 @@
 """Hash-chained audit logs: sealing, verification, anchors and reports over many chains at once.
 
 A record's hash is sha256 of the previous record's hash and the payload, both as text. Chains are tables with the columns of
-schemas.CHAIN; a decision's reason is read from the payload's JSON.
+schemas.CHAIN; a decision's reason is read from the payload's JSON. A record that lacks a field, or whose payload ``read_chain`` could
+not parse, is a finding (CORRUPT), never left out.
 """
 
 from __future__ import annotations
@@ -30,33 +31,50 @@ def check_record_hash(chain: DataFrame) -> DataFrame:
     return chain.withColumn("expected_hash", record_hash()).withColumn("hash_ok", F.col("expected_hash").eqNullSafe(F.col("record_hash")))
 
 
+def linkable() -> Column:
+    """Whether a record can be placed in its chain and be another's predecessor."""
+    return F.col("chain_id").isNotNull() & F.col("seq").isNotNull() & F.col("record_hash").isNotNull()
+
+
+def corruption(chain: DataFrame) -> Column:
+    """The names of the fields that a record lacks, and ``payload`` where it is marked ``corrupt``, joined by commas; empty for sound records."""
+    unparsed = F.coalesce(F.col("corrupt"), F.lit(False)) if "corrupt" in chain.columns else F.lit(False)
+    lacking = lambda c: F.col(c).isNull() | (unparsed if c == "payload" else F.lit(False))
+    return F.array_join(F.array(*[F.when(lacking(c), F.lit(c)) for c in ("chain_id", "seq", "prev_hash", "record_hash", "payload")]), ",")
+
+
 def with_predecessor(chain: DataFrame, bucket: int = BUCKET) -> DataFrame:
-    """Adds prev_seq, prev_record_hash and the record's index in its chain.
+    """Adds prev_seq, prev_record_hash and the record's index in its chain; all null for a record without a place in one.
 
     A window over a whole chain is one task, so records are windowed in buckets of ``bucket`` sequence numbers; the last record of
-    each bucket, a table of one row for each bucket, supplies the first record of the next.
+    each bucket, a table of one row for each bucket, supplies the first record of the next. Records without a place are spread.
     """
-    rows = chain.withColumn("_b", F.floor(F.col("seq") / bucket))
+    astray = F.lit(-(1 << 62)) - F.pmod(F.xxhash64("seq", "record_hash", "payload"), F.lit(4096))
+    rows = chain.withColumn("_linked", linkable()).withColumn("_b", F.when(F.col("_linked"), F.floor(F.col("seq") / bucket)).otherwise(astray))
     order = Window.partitionBy("chain_id", "_b").orderBy("seq", "record_hash")
     rows = rows.withColumn("_at", F.row_number().over(order)).withColumn("_prev", F.lag(F.struct("seq", "record_hash")).over(order))
-    tails = rows.groupBy("chain_id", "_b").agg(F.max(F.struct("seq", "record_hash")).alias("_tail"), F.count(F.lit(1)).alias("_n"))
-    across = Window.partitionBy("chain_id").orderBy("_b")
-    tails = tails.select("chain_id", "_b", F.lag("_tail").over(across).alias("_before"), (F.sum("_n").over(across) - F.col("_n")).alias("_offset"))
-    joined = rows.join(tails, ["chain_id", "_b"]).withColumn("_prev", F.coalesce("_prev", F.when(F.col("_at") == 1, F.col("_before"))))
-    return joined.select(*chain.columns, F.col("_prev.seq").alias("prev_seq"), F.col("_prev.record_hash").alias("prev_record_hash"), (F.col("_at") - 1 + F.col("_offset")).cast("long").alias("index"))
+    tails = rows.filter("_linked").groupBy(F.col("chain_id").alias("_chain"), F.col("_b").alias("_bucket")).agg(F.max(F.struct("seq", "record_hash")).alias("_tail"), F.count(F.lit(1)).alias("_n"))
+    across = Window.partitionBy("_chain").orderBy("_bucket")
+    tails = tails.select("_chain", "_bucket", F.lag("_tail").over(across).alias("_before"), (F.sum("_n").over(across) - F.col("_n")).alias("_offset"))
+    joined = rows.join(tails, F.col("chain_id").eqNullSafe(F.col("_chain")) & (F.col("_b") == F.col("_bucket")), "left")
+    previous = F.when(F.col("_linked"), F.coalesce("_prev", F.when(F.col("_at") == 1, F.col("_before"))))
+    index = F.when(F.col("_linked"), (F.col("_at") - 1 + F.col("_offset")).cast("long"))
+    return joined.withColumn("_previous", previous).select(*chain.columns, F.col("_previous.seq").alias("prev_seq"), F.col("_previous.record_hash").alias("prev_record_hash"), index.alias("index"))
 
 
 def with_breaks(chain: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """Every record with the kind of break at it, null where there is none, and what was expected and found there."""
-    rows = with_predecessor(check_record_hash(chain), bucket)
+    rows = with_predecessor(check_record_hash(chain).withColumn("corruption", corruption(chain)), bucket)
     first = F.col("prev_seq").isNull()
     kind = (
-        F.when(~F.col("hash_ok"), "HASH_MISMATCH")
+        F.when(F.col("corruption") != "", "CORRUPT")
+        .when(~F.col("hash_ok"), "HASH_MISMATCH")
         .when(first & ~F.col("prev_hash").eqNullSafe(F.lit(GENESIS)), "BAD_GENESIS")
         .when(~first & (F.col("seq") != F.col("prev_seq") + 1), "SEQ_GAP")
         .when(~first & ~F.col("prev_hash").eqNullSafe(F.col("prev_record_hash")), "BROKEN_LINK")
     )
     told = {
+        "CORRUPT": (F.lit(None).cast("string"), "corruption"),
         "HASH_MISMATCH": ("expected_hash", "record_hash"),
         "BAD_GENESIS": (F.lit(GENESIS), "prev_hash"),
         "SEQ_GAP": ((F.col("prev_seq") + 1).cast("string"), F.col("seq").cast("string")),
@@ -70,13 +88,14 @@ def with_breaks(chain: DataFrame, bucket: int = BUCKET) -> DataFrame:
 
 
 def chain_breaks(chain: DataFrame, bucket: int = BUCKET) -> DataFrame:
-    """A3: every break. The first record's own sequence number is not checked."""
+    """A3: every break. The first record's own sequence number is not checked. A CORRUPT record that has a place keeps it, so that those after it are not broken too."""
     return with_breaks(chain, bucket).filter("kind IS NOT NULL")
 
 
 def verify_chain(chain: DataFrame, bucket: int = BUCKET) -> DataFrame:
-    """A2: one row for each chain with its first break, if it has one."""
-    first = F.min(F.when(F.col("kind").isNotNull(), F.struct("index", "kind", "seq", "expected", "found")))
+    """A2: one row for each chain, and one for records without a chain, with its first break, if it has one; records without a place come last."""
+    place = F.coalesce(F.col("index"), F.lit((1 << 63) - 1))
+    first = F.min(F.when(F.col("kind").isNotNull(), F.struct(place.alias("place"), "index", "kind", "seq", "expected", "found")))
     return with_breaks(chain, bucket).groupBy("chain_id").agg(first.alias("b")).select("chain_id", F.col("b").isNull().alias("ok"), "b.kind", "b.index", "b.seq", "b.expected", "b.found")
 
 
@@ -140,6 +159,7 @@ def seal(log: DataFrame, order: list[str], heads: DataFrame | None = None) -> Da
     """Seq, prev_hash and record_hash of each chain's payloads, in the order of ``order``, going on from ``heads`` (chain_id, head_hash, seq).
 
     Sealing a chain is sequential; chains are sealed in parallel, and a task keeps only the last hash and number of the chain it is at.
+    A null payload is sealed as the text null, which is JSON too.
     """
     rows = log.select("chain_id", "payload", "ts_ms", *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)])
     if heads is None:
@@ -149,7 +169,7 @@ def seal(log: DataFrame, order: list[str], heads: DataFrame | None = None) -> Da
         rows = rows.join(known, "chain_id", "left").withColumn("_head", F.coalesce("_head", F.lit(GENESIS))).withColumn("_seq", F.coalesce("_seq", F.lit(-1)))
 
     def link(head: dict, row: dict) -> tuple:
-        before, payload = head["hash"], row["payload"]
+        before, payload = head["hash"], "null" if row["payload"] is None else row["payload"]
         head["hash"], head["seq"] = hashlib.sha256((before + payload).encode()).hexdigest(), head["seq"] + 1
         return row["chain_id"], head["seq"], before, head["hash"], payload, row["ts_ms"]
 

@@ -35,6 +35,14 @@ def tampered(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("chain_id", "seq", prev.alias("prev_hash"), relinked.alias("record_hash"), payload.alias("payload"), "ts_ms")
 
 
+def damaged(spark: SparkSession, folder: str) -> DataFrame:
+    """Tampered chains, some of whose records lack a payload, number, hash, link or chain."""
+    k, seq = F.col("chain_id").cast("long") % 9, F.col("seq")
+    gone = {"payload": (k == 5) & (seq % 20 == 3), "seq": (k == 6) & (seq % 30 == 4), "record_hash": (k == 7) & (seq == 2), "prev_hash": (k == 8) & (seq == 1), "chain_id": (k == 0) & (seq % 40 == 11)}
+    rows = tampered(spark, folder)
+    return rows.select(*[F.when(~gone[c], F.col(c)).alias(c) if c in gone else F.col(c) for c in rows.columns])
+
+
 def anchored(spark: SparkSession, folder: str) -> DataFrame:
     """Anchors over each chain's first half; some with an unknown key, some over another hash; every seventh chain has none."""
     k = F.col("chain_id").cast("long")
@@ -79,12 +87,35 @@ TAMPERED = (
   FROM (SELECT DISTINCT chain_id FROM t) c LEFT JOIN (SELECT * FROM breaks QUALIFY row_number() OVER (PARTITION BY chain_id ORDER BY index) = 1) f ON f.chain_id = c.chain_id
 )"""
 )
+DAMAGED = (
+    TAMPERED
+    + """, d AS (
+  SELECT CASE WHEN NOT (m = 0 AND s % 40 = 11) THEN chain_id END AS chain_id, CASE WHEN NOT (m = 6 AND s % 30 = 4) THEN s END AS seq, CASE WHEN NOT (m = 8 AND s = 1) THEN prev_hash END AS prev_hash,
+    CASE WHEN NOT (m = 7 AND s = 2) THEN record_hash END AS record_hash, CASE WHEN NOT (m = 5 AND s % 20 = 3) THEN payload END AS payload
+  FROM (SELECT *, seq AS s, CAST(chain_id AS BIGINT) % 9 AS m FROM t)
+), placed AS (
+  SELECT *, sha256(prev_hash || payload) AS expected_hash, lag(seq) OVER o AS prev_seq, lag(record_hash) OVER o AS prev_record_hash, row_number() OVER o - 1 AS index
+  FROM d WHERE chain_id IS NOT NULL AND seq IS NOT NULL AND record_hash IS NOT NULL WINDOW o AS (PARTITION BY chain_id ORDER BY seq, record_hash)
+), worse AS (
+  SELECT chain_id, kind, index, seq,
+    CASE kind WHEN 'HASH_MISMATCH' THEN expected_hash WHEN 'BAD_GENESIS' THEN repeat('0', 64) WHEN 'SEQ_GAP' THEN CAST(prev_seq + 1 AS VARCHAR) WHEN 'BROKEN_LINK' THEN prev_record_hash END AS expected,
+    CASE kind WHEN 'CORRUPT' THEN lacks WHEN 'HASH_MISMATCH' THEN record_hash WHEN 'SEQ_GAP' THEN CAST(seq AS VARCHAR) ELSE prev_hash END AS found
+  FROM (SELECT *, CASE WHEN lacks <> '' THEN 'CORRUPT' WHEN expected_hash <> record_hash THEN 'HASH_MISMATCH' WHEN prev_seq IS NULL AND prev_hash <> repeat('0', 64) THEN 'BAD_GENESIS'
+      WHEN prev_seq IS NOT NULL AND seq <> prev_seq + 1 THEN 'SEQ_GAP' WHEN prev_seq IS NOT NULL AND prev_hash <> prev_record_hash THEN 'BROKEN_LINK' END AS kind
+    FROM (SELECT *, concat_ws(',', CASE WHEN prev_hash IS NULL THEN 'prev_hash' END, CASE WHEN payload IS NULL THEN 'payload' END) AS lacks FROM placed)) WHERE kind IS NOT NULL
+  UNION ALL
+  SELECT chain_id, 'CORRUPT', NULL, seq, NULL, concat_ws(',', CASE WHEN chain_id IS NULL THEN 'chain_id' END, CASE WHEN seq IS NULL THEN 'seq' END, CASE WHEN prev_hash IS NULL THEN 'prev_hash' END,
+    CASE WHEN record_hash IS NULL THEN 'record_hash' END, CASE WHEN payload IS NULL THEN 'payload' END) FROM d WHERE chain_id IS NULL OR seq IS NULL OR record_hash IS NULL
+)"""
+)
 REASONED = ", r AS (SELECT *, json_extract_string(payload, '$.reason_code') AS reason_code FROM t)"
 
 QUERIES = {
     "a1_check_record_hash": lambda s, d: audit.check_record_hash(tampered(s, d)).select("chain_id", "seq", "expected_hash", "hash_ok"),
     "a2_verify_chain": lambda s, d: audit.verify_chain(tampered(s, d), 16),
     "a3_chain_breaks": lambda s, d: audit.chain_breaks(tampered(s, d), 16),
+    "a2_verify_damaged_chain": lambda s, d: audit.verify_chain(damaged(s, d), 16),
+    "a3_corrupt_records": lambda s, d: audit.chain_breaks(damaged(s, d), 16),
     "a4_chain_summary": lambda s, d: audit.chain_summary(tampered(s, d), 16),
     "a5_chain_heads": lambda s, d: audit.chain_heads(sealed(s, d)),
     "a6_verify_anchors": lambda s, d: audit.verify_anchors(sealed(s, d), anchored(s, d), KEYS),
@@ -118,6 +149,10 @@ ORACLES = {
     "a1_check_record_hash": TAMPERED + " SELECT chain_id, seq, expected_hash, expected_hash = record_hash AS hash_ok FROM w",
     "a2_verify_chain": TAMPERED + " SELECT * FROM first",
     "a3_chain_breaks": TAMPERED + " SELECT * FROM breaks",
+    "a2_verify_damaged_chain": DAMAGED
+    + """ SELECT c.chain_id, f.kind IS NULL AS ok, f.kind, f.index, f.seq, f.expected, f.found FROM (SELECT DISTINCT chain_id FROM d) c
+    LEFT JOIN (SELECT * FROM worse QUALIFY row_number() OVER (PARTITION BY chain_id ORDER BY index NULLS LAST, kind, seq NULLS FIRST, expected, found) = 1) f ON f.chain_id IS NOT DISTINCT FROM c.chain_id""",
+    "a3_corrupt_records": DAMAGED + " SELECT * FROM worse",
     "a4_chain_summary": TAMPERED
     + REASONED
     + """ SELECT r.chain_id, any_value(h.length) AS length, any_value(h.head_hash) AS head_hash, r.reason_code, count(*) AS n FROM r

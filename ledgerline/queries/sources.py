@@ -28,6 +28,14 @@ def chain_files(s: SparkSession, d: str) -> DataFrame:
     return tables.read_chain(s, path).select("chain_id", "seq", "record_hash", "corrupt", F.col("parsed.cents").alias("cents"))
 
 
+def corrupt_files(s: SparkSession, d: str) -> DataFrame:
+    """Stored records, a hundredth of which hold payloads that are no JSON: breaks, as any other."""
+    path = folder(s, "chain")
+    bad = F.col("seq") % 100 == 13
+    tables.append_chain(chains.sealed(s, d).withColumn("payload", F.when(bad, F.concat(F.lit("{cut off "), F.col("seq").cast("string"))).otherwise(F.col("payload"))), path)
+    return audit.chain_breaks(tables.read_chain(s, path), 16)
+
+
 def anchor_files(s: SparkSession, d: str) -> DataFrame:
     path = folder(s, "anchors")
     tables.append_anchors(audit.make_anchors(audit.chain_heads(chains.sealed(s, d)), "k1", chains.KEYS), path)
@@ -67,6 +75,7 @@ def published(s: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "s1_chain_files": chain_files,
+    "s1_corrupt_files": corrupt_files,
     "s3_anchor_files": anchor_files,
     "s4_golden_files": golden_files,
     "s5_read_allowed": allowed,
@@ -80,6 +89,7 @@ FIELD = "CAST(strlen(CAST({0} AS VARCHAR)) AS VARCHAR) || ':' || {0}"
 BOUND = " || ".join("'2#' || " + FIELD.format("p1") + " || " + FIELD.format("p2") if c == "params" else FIELD.format(c) for c in scoring.BOUND_FIELDS)
 ORACLES = {
     "s1_chain_files": chains.SEALED + " SELECT chain_id, seq, record_hash, false AS corrupt, CAST(json_extract(payload, '$.cents') AS BIGINT) AS cents FROM chain",
+    "s1_corrupt_files": chains.SEALED + " SELECT chain_id, 'CORRUPT' AS kind, seq AS index, seq, CAST(NULL AS VARCHAR) AS expected, 'payload' AS found FROM chain WHERE seq % 100 = 13",
     "s3_anchor_files": chains.SEALED + " SELECT chain_id, arg_max(record_hash, seq) AS head_hash, max(seq) AS seq, arg_max(ts_ms, seq) AS ts_ms, 'k1' AS key_id FROM chain GROUP BY chain_id",
     "s4_golden_files": f"SELECT id, class, vector, expected_verdict FROM ({duck(fleet.GOLDEN)})",
     "s6_activity_stream": f"SELECT cluster_id, tick, count(*) AS n, max(query_runtime_millis) AS longest FROM ({duck(fleet.ACTIVITY)}) GROUP BY cluster_id, tick",

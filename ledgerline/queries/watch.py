@@ -74,6 +74,13 @@ def live_records(s: SparkSession, d: str) -> DataFrame:
     return g.filter(k % 13 != 0).withColumn("vector", F.when(k % 11 == 0, F.lit(None)).otherwise(F.col("vector"))).unionByName(g.filter(k % 29 == 0).withColumn("id", F.concat(F.lit("new"), "id")))
 
 
+def shuffled_chain(s: SparkSession, chain: DataFrame) -> DataFrame:
+    """A chain in five micro-batches without any order, then a heartbeat years later: the breaks must be those of the whole table."""
+    parts = chain.repartition(5, F.xxhash64("chain_id", "seq", "payload"))
+    beat = s.range(1).select(*[F.lit(None).cast(dict(chain.dtypes)[c]).alias(c) if c != "ts_ms" else F.lit(chains.NOW * 2).alias(c) for c in chain.columns])
+    return replay(parts, lambda rows: live.verify_chain_stream(rows, 4000 * chains.DAY, 4000 * chains.DAY), "chain", 1, then=beat)
+
+
 QUERIES = {
     "f1_assess_backends": lambda s, d: joined(watch.assess_backends(activity(s, d), T), "terminate", "spared"),
     "f2_slot_alarms": lambda s, d: watch.slot_alarms(slots(s, d), T),
@@ -81,7 +88,8 @@ QUERIES = {
     "f4_breaker_timeline": lambda s, d: watch.breaker_timeline(probed(s, d), T),
     "f4_breaker_stream": lambda s, d: replay(probed(s, d), lambda rows: live.breaker_stream(rows, T), "breaker"),
     "f5_alerts": lambda s, d: watch.alerts(watch.breaker_timeline(probed(s, d), T), watch.assess_backends(activity(s, d), T), watch.slot_alarms(slots(s, d), T)),
-    "f6_verify_chain_stream": lambda s, d: replay(chains.tampered(s, d), live.verify_chain_stream, "chain"),
+    "f6_verify_chain_stream": lambda s, d: shuffled_chain(s, chains.tampered(s, d)),
+    "f6_corrupt_chain_stream": lambda s, d: shuffled_chain(s, chains.damaged(s, d)),
     "c7_audit_grants": lambda s, d: scoring.audit_grants(bound(s, d, GRANTS).filter("proposal_id NOT LIKE '%77'"), bound(s, d, REQUESTS)),
     "g1_diff_records": lambda s, d: scoring.diff_records(derived(s, d, GOLDEN), live_records(s, d), "id"),
     "g2_score": lambda s, d: scored(s, d).select("id", "verdict_matches", "predicate_ok", "catastrophic_fn", "false_positive", "clean"),
@@ -119,6 +127,7 @@ ORACLES = {
       UNION ALL SELECT cluster_id, tick, 2, position, 'SLOT_ALARM', slot_name FROM s UNION ALL SELECT cluster_id, tick, 3, 0, 'BREAKER_TRIP', NULL FROM m WHERE state = 'Open')
       SELECT cluster_id, tick, row_number() OVER (PARTITION BY cluster_id, tick ORDER BY o, p) - 1 AS ordinal, code, subject FROM al""",
     "f6_verify_chain_stream": chains.TAMPERED + " SELECT chain_id, kind, seq, expected, found FROM breaks",
+    "f6_corrupt_chain_stream": chains.DAMAGED + " SELECT chain_id, kind, seq, expected, found FROM worse",
     "c7_audit_grants": f"""WITH g AS (SELECT * FROM ({duck(GRANTS)}) WHERE proposal_id NOT LIKE '%77'), x AS (
       SELECT r.request_id, r.proposal_id, r.at_ms, g.nonce, CASE WHEN g.proposal_id IS NULL THEN 'NO_GRANT' WHEN r.statement_text <> g.statement_text OR r.max_rows <> g.max_rows THEN 'BINDING_MISMATCH' WHEN NOT g.signature_valid THEN 'BAD_SIGNATURE' WHEN r.at_ms >= g.expiry_ms THEN 'EXPIRED' END AS early
       FROM ({duck(REQUESTS)}) r LEFT JOIN g ON g.proposal_id = r.proposal_id)

@@ -7,6 +7,7 @@ and returns what it wrote; live queries are started by the caller from the same
 from __future__ import annotations
 
 import functools
+import time
 import uuid
 from collections.abc import Callable
 
@@ -19,11 +20,15 @@ from ..operators.logs import ceiling
 from ..schemas import TRUST, label
 from ..sources.shared import shared_folder
 
-def replay(rows: DataFrame, query: Callable[[DataFrame], DataFrame], name: str, files_per_batch: int | None = None, mode: str = "append") -> DataFrame:
-    """Writes ``rows`` as files, streams them through ``query`` until all are taken, and reads back the output."""
+def replay(rows: DataFrame, query: Callable[[DataFrame], DataFrame], name: str, files_per_batch: int | None = None, mode: str = "append", then: DataFrame | None = None) -> DataFrame:
+    """Writes ``rows`` as files, streams them through ``query`` until all are taken, and reads back the output. ``then`` arrives after
+    all of ``rows``, in a batch of its own where batches have one file."""
     spark = rows.sparkSession
     base = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     rows.write.parquet(f"{base}/in")
+    if then is not None:
+        time.sleep(1)  # files are taken in the order of their times
+        then.coalesce(1).write.mode("append").parquet(f"{base}/in")
     source = spark.readStream.schema(rows.schema)
     source = source.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else source
     out = query(source.parquet(f"{base}/in"))

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import functools
-import hashlib
+import json
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from ..operators import watch
+from ..operators import audit, watch
 from ..schemas import GENESIS
 
 BREAKS = "chain_id string, kind string, seq long, expected string, found string"
@@ -29,33 +30,81 @@ def breaker_step(key, frames, state, cooldown_ms):
     state.update((now.state, now.opened, now.reason))
 
 
-def verify_chain_stream(chain: DataFrame) -> DataFrame:
-    """breaks as records arrive. A record that comes before its predecessor is compared with the last one seen, so a gap shows as
-    SEQ_GAP; records at or before the last number seen are LATE_RECORD. The state is the last number and hash of each chain."""
-    rows = chain.select("chain_id", "seq", "prev_hash", "record_hash", "payload")
-    return rows.groupBy("chain_id").applyInPandasWithState(chain_step, BREAKS, "seq long, record_hash string", "append", "NoTimeout")
+def verify_chain_stream(chain: DataFrame, hold_ms: int = 600_000, keep_ms: int = 86_400_000, first_seq: int = 0) -> DataFrame:
+    """breaks as records arrive, in any order.
 
+    A record that follows the chain's last one is compared with it at once. One that comes before its predecessor waits; the gap is
+    believed, and shows as SEQ_GAP, only when some record of the stream is ``hold_ms`` younger (by ``ts_ms``) than the waiting one. A
+    chain begins with number ``first_seq``, or else with its lowest number once that has waited so long. What comes after its number
+    has been passed is LATE_RECORD; only what is ``keep_ms`` older than the youngest record is dropped, by the watermark, and counted
+    there. CORRUPT records are told at once; those with a chain, number and hash still count as predecessors. A row that holds nothing
+    but ``ts_ms`` is a heartbeat: it only moves time on. The state of a chain is its last number and hash, and the records that wait.
+    """
+    if keep_ms < hold_ms:
+        raise ValueError("records must be kept as long as gaps are held")
+    keys = ["chain_id", "seq", "prev_hash", "record_hash", "payload"]
+    # Rows without a time are never late, and none is at the epoch, where the watermark begins.
+    at = F.when(F.col("ts_ms").isNotNull(), F.timestamp_millis(F.greatest("ts_ms", F.lit(0)) + 1))
+    rows = chain.withColumn("_at", at).withWatermark("_at", f"{keep_ms} milliseconds")
+    salt = F.when(audit.linkable(), F.lit(-1)).otherwise(F.pmod(F.xxhash64(*keys), F.lit(64)).cast("int"))
+    rows = rows.select(*keys[:-1], audit.record_hash().alias("expected"), audit.corruption(chain).alias("corruption"), F.coalesce("ts_ms", F.lit(0)).alias("ts_ms"), salt.alias("salt"), "_at")
+    step = functools.partial(chain_step, hold_ms=hold_ms - keep_ms, first_seq=first_seq)
+    return rows.groupBy("chain_id", "salt").applyInPandasWithState(step, BREAKS, "seq long, record_hash string, waiting string", "append", "EventTimeTimeout")
 
-def chain_step(key, frames, state):
-    last = state.get if state.exists else None
+
+EMPTY = "chain_id,seq,prev_hash,record_hash,payload"
+
+
+def compared(r: list, last: tuple[int, str] | None) -> tuple[str, str | None, str] | None:
+    """What is wrong with a record after ``last``: kind, expected, found. A record: seq, record_hash, prev_hash, expected, corruption, ts_ms."""
+    seq, found, prev, expected, corruption, _ = r
+    if corruption:
+        return "CORRUPT", None, corruption
+    if found != expected:
+        return "HASH_MISMATCH", expected, found
+    if last is None:
+        return ("BAD_GENESIS", GENESIS, prev) if prev != GENESIS else None
+    if seq != last[0] + 1:
+        return "SEQ_GAP", str(last[0] + 1), str(seq)
+    return ("BROKEN_LINK", last[1], prev) if prev != last[1] else None
+
+
+def chain_step(key, frames, state, hold_ms, first_seq):
+    """``hold_ms`` counts from the watermark."""
+    chain, salt = key
     out = []
-    for r in pd.concat(list(frames)).sort_values("seq").itertuples(index=False):
-        told = None
-        want = hashlib.sha256((r.prev_hash + r.payload).encode()).hexdigest()
-        if last is not None and r.seq <= last[0]:
-            out.append((r.chain_id, "LATE_RECORD", r.seq, str(last[0] + 1), str(r.seq)))
+    if salt >= 0:  # records without a place: no state
+        for f in frames:
+            out += [(chain, "CORRUPT", s, None, c) for s, c in zip(f["seq"].astype(object), f["corruption"], strict=True) if c != EMPTY]
+        yield broken(out)
+        return
+    seq, record_hash, text = state.get if state.exists else (None, None, "[]")
+    last = None if seq is None else (seq, record_hash)
+    waiting = json.loads(text)
+    for f in frames:
+        f = f[["seq", "record_hash", "prev_hash", "expected", "corruption", "ts_ms"]].astype(object)
+        waiting += f.where(f.notna(), None).values.tolist()
+    waiting.sort(key=lambda r: (r[0], r[1]))
+    passed, i = state.getCurrentWatermarkMs(), 0
+    for r in waiting:
+        if last is not None and r[0] <= last[0]:
+            out.append((chain, "LATE_RECORD", r[0], str(last[0] + 1), str(r[0])))
+            i += 1
             continue
-        if want != r.record_hash:
-            told = ("HASH_MISMATCH", want, r.record_hash)
-        elif last is None:
-            told = ("BAD_GENESIS", GENESIS, r.prev_hash) if r.prev_hash != GENESIS else None
-        elif r.seq != last[0] + 1:
-            told = ("SEQ_GAP", str(last[0] + 1), str(r.seq))
-        elif r.prev_hash != last[1]:
-            told = ("BROKEN_LINK", last[1], r.prev_hash)
+        if r[0] != (first_seq if last is None else last[0] + 1) and (passed <= 0 or passed < r[5] + hold_ms):
+            break
+        told = compared(r, last)
         if told:
-            out.append((r.chain_id, told[0], r.seq, told[1], told[2]))
-        last = (r.seq, r.record_hash)
-    if last is not None:
-        state.update(last)
-    yield pd.DataFrame(out, columns=[x.split()[0] for x in BREAKS.split(", ")])
+            out.append((chain, told[0], r[0], told[1], told[2]))
+        last = (r[0], r[1])
+        i += 1
+    waiting = waiting[i:]
+    state.update((*(last or (None, None)), json.dumps(waiting)))
+    if waiting:
+        state.setTimeoutTimestamp(max(waiting[0][5] + hold_ms, passed + 1, 1))
+    yield broken(out)
+
+
+def broken(rows: list[tuple]) -> pd.DataFrame:
+    frame = pd.DataFrame(rows, columns=[x.split()[0] for x in BREAKS.split(", ")])
+    return frame.astype({"seq": "Int64"})
