@@ -47,8 +47,8 @@ def verify_chain_stream(chain: DataFrame, hold_ms: int = 600_000, keep_ms: int =
     at = F.when(F.col("ts_ms").isNotNull(), F.timestamp_millis(F.greatest("ts_ms", F.lit(0)) + 1))
     rows = chain.withColumn("_at", at).withWatermark("_at", f"{keep_ms} milliseconds")
     salt = F.when(audit.linkable(), F.lit(-1)).otherwise(F.pmod(F.xxhash64(*keys), F.lit(64)).cast("int"))
-    rows = rows.select(*keys[:-1], audit.record_hash().alias("expected"), audit.corruption(chain).alias("corruption"), F.coalesce("ts_ms", F.lit(0)).alias("ts_ms"), salt.alias("salt"), "_at")
-    step = functools.partial(chain_step, hold_ms=hold_ms - keep_ms, first_seq=first_seq)
+    rows = rows.select(*keys[:-1], audit.record_hash().alias("expected"), audit.corruption(chain).alias("corruption"), "ts_ms", salt.alias("salt"), "_at")
+    step = functools.partial(chain_step, hold_ms=hold_ms, keep_ms=keep_ms, first_seq=first_seq)
     return rows.groupBy("chain_id", "salt").applyInPandasWithState(step, BREAKS, "seq long, record_hash string, waiting string", "append", "EventTimeTimeout")
 
 
@@ -69,8 +69,7 @@ def compared(r: list, last: tuple[int, str] | None) -> tuple[str, str | None, st
     return ("BROKEN_LINK", last[1], prev) if prev != last[1] else None
 
 
-def chain_step(key, frames, state, hold_ms, first_seq):
-    """``hold_ms`` counts from the watermark."""
+def chain_step(key, frames, state, hold_ms, keep_ms, first_seq):
     chain, salt = key
     out = []
     if salt >= 0:  # records without a place: no state
@@ -82,16 +81,19 @@ def chain_step(key, frames, state, hold_ms, first_seq):
     last = None if seq is None else (seq, record_hash)
     waiting = json.loads(text)
     for f in frames:
-        f = f[["seq", "record_hash", "prev_hash", "expected", "corruption", "ts_ms"]].astype(object)
+        f = f[["seq", "record_hash", "prev_hash", "expected", "corruption", "ts_ms"]].astype({"ts_ms": "Int64"}).astype(object)
         waiting += f.where(f.notna(), None).values.tolist()
     waiting.sort(key=lambda r: (r[0], r[1]))
     passed, i = state.getCurrentWatermarkMs(), 0
+    # The watermark is keep_ms behind the youngest record. A record without a time counts as that young.
+    now = max([passed + keep_ms, *[r[5] for r in waiting if r[5] is not None]])
+    waiting = [r if r[5] is not None else [*r[:5], now] for r in waiting]
     for r in waiting:
         if last is not None and r[0] <= last[0]:
             out.append((chain, "LATE_RECORD", r[0], str(last[0] + 1), str(r[0])))
             i += 1
             continue
-        if r[0] != (first_seq if last is None else last[0] + 1) and (passed <= 0 or passed < r[5] + hold_ms):
+        if r[0] != (first_seq if last is None else last[0] + 1) and (passed <= 0 or passed + keep_ms < r[5] + hold_ms):
             break
         told = compared(r, last)
         if told:
@@ -101,7 +103,7 @@ def chain_step(key, frames, state, hold_ms, first_seq):
     waiting = waiting[i:]
     state.update((*(last or (None, None)), json.dumps(waiting)))
     if waiting:
-        state.setTimeoutTimestamp(max(waiting[0][5] + hold_ms, passed + 1, 1))
+        state.setTimeoutTimestamp(max(waiting[0][5] + hold_ms - keep_ms, passed + 1, 1))
     yield broken(out)
 
 
