@@ -16,7 +16,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.folds import folded
+from ..functions.orbits import HOT_ROWS, hot_keys, orbits
 from ..schemas import ANCHOR, CHAIN, GENESIS
+from ..sources.versions import scratch
 
 BUCKET = 65_536
 ANCHOR_DOMAIN = b"audit-anchor:v1\0"
@@ -176,8 +178,10 @@ def seal(log: DataFrame, order: list[str], heads: DataFrame | None = None) -> Da
     return folded(rows, "chain_id", [f"_o{i}" for i in range(len(order))], lambda row: {"hash": row["_head"], "seq": row["_seq"]}, link, CHAIN)
 
 
-def due_anchors(ticks: DataFrame, interval_ms: int) -> DataFrame:
-    """The (chain_id, ts_ms) ticks at which an anchor is due: at most one in each interval, a chain's first always."""
+def due_anchors(ticks: DataFrame, interval_ms: int, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """The (chain_id, ts_ms) ticks at which an anchor is due: at most one in each interval, a chain's first always. Chains of
+    ``hot_rows`` ticks or more are not gone through in one task (``orbits``). Ticks without a time are none."""
+    ticks = ticks.select("chain_id", "ts_ms").filter("ts_ms IS NOT NULL")
 
     def pick(last: dict, row: dict) -> tuple | None:
         if "ms" in last and row["ts_ms"] - last["ms"] < interval_ms:
@@ -185,7 +189,15 @@ def due_anchors(ticks: DataFrame, interval_ms: int) -> DataFrame:
         last["ms"] = row["ts_ms"]
         return row["chain_id"], row["ts_ms"]
 
-    return folded(ticks.select("chain_id", "ts_ms"), "chain_id", ["ts_ms"], lambda _: {}, pick, "chain_id string, ts_ms long")
+    timed = ticks.withColumn("width", F.lit(interval_ms).cast("long"))
+    hot = scratch(hot_keys(timed, "chain_id", "width", hot_rows))
+    large = not hot.isEmpty()
+    rest = ticks.join(hot, F.col("chain_id") == F.col("key"), "left_anti") if large else ticks
+    made = folded(rest, "chain_id", ["ts_ms"], lambda _: {}, pick, "chain_id string, ts_ms long")
+    if not large:
+        return made
+    of_hot = ticks.join(hot, F.col("chain_id") == F.col("key")).select("key", "width", F.col("ts_ms").alias("at"))
+    return made.unionByName(orbits(of_hot).select(F.col("key").alias("chain_id"), F.col("at").alias("ts_ms")))
 
 
 def anchor_message(head: str, seq: int, ts_ms: int) -> bytes:

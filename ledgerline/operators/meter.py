@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.folds import folded, with_running
+from ..functions.orbits import HOT_ROWS, hot_keys, orbits, with_start
+from ..sources.versions import scratch
 
 #: Milliseconds of a statement whose rows one task holds while running sums are made.
 SPAN = 60_000
@@ -97,17 +99,40 @@ def window_fold(charges: pd.DataFrame, state: WindowState, kill: bool) -> pd.Dat
     return pd.DataFrame(out, columns=[x.split()[0] for x in METERED.split(", ")])
 
 
-def window_meter(charges: DataFrame, policy: DataFrame, kill: bool = False) -> DataFrame:
+def window_meter(charges: DataFrame, policy: DataFrame, kill: bool = False, hot_rows: int = HOT_ROWS) -> DataFrame:
     """B3 (and B4, with ``kill``): each charge (session, role, id, ts_ms, rows, bytes) with its outcome and the window after it.
 
-    A session is folded in order by one task, which keeps only its window; charges of roles without a policy are refused as unknown_role.
+    A session is folded in order by one task, which keeps only its window. Sessions of ``hot_rows`` charges or more, with one window
+    length, are not: where windows begin depends on times alone, so these are found first (``orbits``), and each window is folded by
+    itself. Charges of roles without a policy are refused as unknown_role.
     """
     rows = with_caps(charges, policy, LIMITS)
     known = rows.filter("known_role").select("session", "id", "ts_ms", "rows", "bytes", *LIMITS)
 
     none = F.lit(None).cast("long")
     unknown = rows.filter("not known_role").select("session", "id", "ts_ms", "rows", "bytes", F.lit("unknown_role").alias("outcome"), none.alias("anchor"), none.alias("used_rows"), none.alias("used_bytes"))
-    return folded(known, "session", ["ts_ms", "id"], lambda _: WindowState(), lambda state, c: charged(state, c, kill), METERED).unionByName(unknown)
+    hot = scratch(hot_keys(known, "session", "window_ms", hot_rows))
+    large = not hot.isEmpty()
+    rest = known.join(hot, F.col("session") == F.col("key"), "left_anti") if large else known
+    made = folded(rest, "session", ["ts_ms", "id"], lambda _: WindowState(), lambda state, c: charged(state, c, kill), METERED).unionByName(unknown)
+    return made.unionByName(by_window(known.join(hot, F.col("session") == F.col("key")).drop("key"), kill)) if large else made
+
+
+def by_window(charges: DataFrame, kill: bool) -> DataFrame:
+    """The same for sessions (not null) of any size, whose charges have a ``width``: windows first, then each window by itself."""
+    charges = scratch(charges)
+    times = charges.select(F.col("session").alias("key"), "width", F.col("ts_ms").alias("at"))
+    starts = orbits(times).join(times.select("key", "width").distinct(), "key")
+    placed = with_start(charges, starts, "session", "ts_ms").withColumn("_window", F.struct("session", "start"))
+    made = folded(placed, "_window", ["ts_ms", "id"], lambda _: WindowState(), lambda state, c: charged(state, c, False), METERED)
+    if not kill:
+        return made
+    # The session ends with its first breach; what comes later sees the window as it was then.
+    made = scratch(made)
+    breach = made.filter("outcome <> 'ok'").groupBy("session").agg(F.min(F.struct("ts_ms", "id", "anchor", "used_rows", "used_bytes")).alias("end")).withColumnRenamed("session", "_s")
+    after = F.col("end").isNotNull() & (F.struct("ts_ms", "id") > F.struct("end.ts_ms", "end.id"))
+    then = {c: F.when(after, F.col(f"end.{c}")).otherwise(F.col(c)) for c in ("anchor", "used_rows", "used_bytes")} | {"outcome": F.when(after, F.lit("session_killed")).otherwise(F.col("outcome"))}
+    return made.join(breach, F.col("session") == F.col("_s"), "left").select(*[then.get(c, F.col(c)).alias(c) for c in made.columns])
 
 
 def bounded_read(results: DataFrame, policy: DataFrame, kill: bool = False) -> DataFrame:
