@@ -11,6 +11,8 @@ from ..schemas import BUDGET_BP, TRUST, TRUST_CEILING, VERDICTS, label, rank
 from .meter import SPAN, with_caps
 
 MOST = 9_223_372_036_854_775_807
+#: Copies of a session's row that its statements are spread over.
+SALTS = 8
 
 
 def with_statement_class(log: DataFrame) -> DataFrame:
@@ -152,15 +154,39 @@ def trust_timeline(events: DataFrame, grants: DataFrame, span: int = SPAN) -> Da
     return rows.select("session", "event_id", label(F.least("_granted", "_ceiling"), TRUST).alias("trust"), *[saturated(F.col(f"_{c}")).alias(c) for c in ("rows", "bytes")])
 
 
-def session_context(log: DataFrame) -> DataFrame:
-    """Steps in order, distinct tables, reads before the first write (all reads if none), and statements for each minute of the
-    session, which counts as one minute at least."""
+def session_steps(log: DataFrame, page: int = 1_000, span: int = SPAN) -> DataFrame:
+    """A17, steps of sessions of any size: session, page, and that page's statement classes in order; ``page`` statements each. Places
+    are counted within spans of time and carried on, so neither a task nor a row holds a whole session."""
+    rows = with_running(log.select("session", "ts_ms", "log_id", "statement_class"), ["session"], ["ts_ms", "log_id"], span, {"_place": F.lit(1).cast("long")})
+    rows = rows.withColumn("page", F.floor((F.col("_place") - 1) / page).cast("long"))
+    steps = F.transform(F.array_sort(F.collect_list(F.struct("_place", "statement_class"))), lambda s: s["statement_class"])
+    return rows.groupBy("session", "page").agg(steps.alias("steps"))
+
+
+def session_tables(log: DataFrame) -> DataFrame:
+    """A17, tables: a row for each relation that a session names, and how many of its statements do."""
+    return log.select("session", F.explode(F.array_distinct("relations")).alias("relation")).groupBy("session", "relation").agg(F.count(F.lit(1)).alias("statements"))
+
+
+def session_summary(log: DataFrame) -> DataFrame:
+    """A17, numbers: statements, reads before the first write (all reads if none), and statements for each minute of the session, which
+    counts as one minute at least. One row for each session joins its first write back; rows of a session are spread over copies of it."""
     place = F.struct("ts_ms", "log_id")
-    writes = log.groupBy(F.col("session").alias("_session")).agg(F.min(F.when(~F.col("is_read"), place)).alias("_w"))
-    rows = log.join(writes, F.col("session").eqNullSafe(F.col("_session"))).groupBy("session").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("ts_ms", "log_id", "statement_class"))), lambda s: s["statement_class"]).alias("steps"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set("relations")))).alias("tables"),
+    writes = log.groupBy(F.col("session").alias("_session")).agg(F.min(F.when(~F.col("is_read"), place)).alias("_w")).withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salt = F.pmod(F.xxhash64("log_id"), F.lit(SALTS)).cast("int")
+    rows = log.withColumn("_salt", salt).join(writes, F.col("session").eqNullSafe(F.col("_session")) & (F.col("_salt") == F.col("_s")))
+    return rows.groupBy("session").agg(
+        F.count(F.lit(1)).alias("statements"),
         F.count_if(F.col("is_read") & (F.col("_w").isNull() | (place < F.col("_w")))).alias("reads_before_write"),
         (F.count(F.lit(1)) / F.greatest((F.max("ts_ms") - F.min("ts_ms")) / 60_000, F.lit(1.0))).alias("rate_per_min"),
-    )
-    return rows.select("session", "steps", "tables", "reads_before_write", "rate_per_min")
+    )
+
+
+def session_context(log: DataFrame) -> DataFrame:
+    """A17 with each session in one row: its steps in order and its tables as arrays, beside the numbers of ``session_summary``. For
+    sessions that fit in a row; ``session_steps`` and ``session_tables`` hold the others."""
+    arrays = log.groupBy(F.col("session").alias("_name")).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("ts_ms", "log_id", "statement_class"))), lambda s: s["statement_class"]).alias("steps"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set("relations")))).alias("tables"),
+    )
+    return session_summary(log).join(arrays, F.col("session").eqNullSafe(F.col("_name"))).select("session", "steps", "tables", "reads_before_write", "rate_per_min")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BOUND_FIELDS = ["statement_text", "params", "role", "session_id", "proposal_id", "dry_run_version", "max_rows", "max_bytes", "nonce", "expiry_ms"]
@@ -17,16 +17,20 @@ def binding() -> Column:
 
 
 def audit_grants(grants: DataFrame, requests: DataFrame, now: str = "at_ms") -> DataFrame:
-    """C7 (W4): each request's refusal: NO_GRANT, BINDING_MISMATCH, BAD_SIGNATURE, EXPIRED (from the expiry on) or REPLAYED_NONCE. Only a request that passes the earlier checks uses up the nonce."""
+    """C7 (W4): each request's refusal: NO_GRANT, BINDING_MISMATCH, BAD_SIGNATURE, EXPIRED (from the expiry on) or REPLAYED_NONCE. Only a request that passes the earlier checks uses up the nonce.
+
+    The first use of a nonce is found by aggregation, one row for each nonce, so no task holds the requests of one; the join
+    back is an equality that Spark may split where a nonce is hot. Rows that repeat a request's id and time are that one request."""
     g = grants.select(F.col("proposal_id").alias("_p"), binding().alias("granted"), "signature_valid", F.col("expiry_ms").alias("_expiry"), F.col("nonce").alias("_nonce"))
     rows = requests.withColumn("asked", binding()).join(g, F.col("proposal_id") == F.col("_p"), "left")
     early = (
         F.when(F.col("granted").isNull(), "NO_GRANT").when(~F.col("granted").eqNullSafe(F.col("asked")), "BINDING_MISMATCH")
         .when(~F.coalesce("signature_valid", F.lit(False)), "BAD_SIGNATURE").when(F.col(now) >= F.col("_expiry"), "EXPIRED")
     )
-    rows = rows.withColumn("early", early)
-    use = Window.partitionBy("_nonce", F.col("early").isNull()).orderBy(now, "request_id")
-    replayed = F.col("early").isNull() & (F.row_number().over(use) > 1)
+    rows = rows.withColumn("early", early).withColumn("_use", F.struct(F.col(now).alias("at"), F.col("request_id").alias("id")))
+    first = rows.filter("early IS NULL").groupBy(F.col("_nonce").alias("_n")).agg(F.min("_use").alias("_first"))
+    rows = rows.join(first, F.col("_nonce").eqNullSafe(F.col("_n")), "left")
+    replayed = F.col("early").isNull() & (F.col("_use") != F.col("_first"))
     return rows.withColumn("refused", F.when(replayed, "REPLAYED_NONCE").otherwise(F.col("early"))).select("request_id", "proposal_id", "refused")
 
 

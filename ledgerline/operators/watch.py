@@ -45,12 +45,16 @@ def slot_alarms(slots: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
     return slots.filter(F.col("retained_wal_bytes") > t.slot_bytes)
 
 
+def reason(t: Thresholds, slot: Column) -> Column:
+    """why a tick trips, given lag_bytes, its first offending slot and runaways; null if it doesn't."""
+    return F.when(F.col("lag_bytes") > t.lag_bytes, "lag").when(slot.isNotNull(), F.concat(F.lit("slot:"), slot)).when(F.col("runaways") >= t.runaways, "runaways")
+
+
 def trip_reasons(ticks: DataFrame, backends: DataFrame, alarms: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
     """F3 (and L4): each tick's reason to trip, lag before slots before runaways; the first offending slot, in order of ``position``, is named. ``ticks``: cluster_id, tick, lag_bytes."""
     first = alarms.groupBy("cluster_id", "tick").agg(F.min_by("slot_name", "position").alias("slot"))
     rows = ticks.join(backends.select("cluster_id", "tick", "runaways"), ["cluster_id", "tick"], "left").join(first, ["cluster_id", "tick"], "left")
-    reason = F.when(F.col("lag_bytes") > t.lag_bytes, "lag").when(F.col("slot").isNotNull(), F.concat(F.lit("slot:"), "slot")).when(F.col("runaways") >= t.runaways, "runaways")
-    return rows.select("cluster_id", "tick", reason.alias("reason"))
+    return rows.select("cluster_id", "tick", reason(t, F.col("slot")).alias("reason"))
 
 
 @dataclass
@@ -97,12 +101,28 @@ def breaker_timeline(ticks: DataFrame, t: Thresholds = Thresholds()) -> DataFram
     return folded(ticks.select("cluster_id", "tick", "reason", "probe"), "cluster_id", ["tick"], lambda _: Breaker(), step, TIMELINE)
 
 
-def alerts(timeline: DataFrame, backends: DataFrame, alarms: DataFrame) -> DataFrame:
-    """for each tick its terminations, then slot alarms, then BREAKER_TRIP while the breaker is open, numbered in this order. Spared backends and idle ticks give none."""
-    kill = F.transform("terminate", lambda p: F.struct(F.lit("TERMINATE").alias("code"), p.cast("string").alias("subject")))
-    slots = alarms.groupBy("cluster_id", "tick").agg(F.transform(F.array_sort(F.collect_list(F.struct("position", "slot_name"))), lambda s: F.struct(F.lit("SLOT_ALARM").alias("code"), s["slot_name"].alias("subject"))).alias("slots"))
-    rows = timeline.join(backends.select("cluster_id", "tick", kill.alias("kill")), ["cluster_id", "tick"], "left").join(slots, ["cluster_id", "tick"], "left")
+def alert_list(pids: Column, slots: Column, state: Column) -> Column:
+    """a tick's alerts in order, each a code and a subject: terminations, slot alarms (structs with slot_name), then BREAKER_TRIP while the breaker is open."""
     none = F.array().cast("array<struct<code:string,subject:string>>")
-    trip = F.when(F.col("state") == "Open", F.array(F.struct(F.lit("BREAKER_TRIP").alias("code"), F.lit(None).cast("string").alias("subject")))).otherwise(none)
-    all_ = F.concat(F.coalesce("kill", none), F.coalesce("slots", none), trip)
+    kill = F.transform(pids, lambda p: F.struct(F.lit("TERMINATE").alias("code"), p.cast("string").alias("subject")))
+    alarm = F.transform(slots, lambda s: F.struct(F.lit("SLOT_ALARM").alias("code"), s["slot_name"].alias("subject")))
+    trip = F.when(state == "Open", F.array(F.struct(F.lit("BREAKER_TRIP").alias("code"), F.lit(None).cast("string").alias("subject")))).otherwise(none)
+    return F.concat(F.coalesce(kill, none), F.coalesce(alarm, none), trip)
+
+
+def alert_rows(rows: DataFrame, all_: Column) -> DataFrame:
     return rows.select("cluster_id", "tick", F.posexplode(all_).alias("ordinal", "a")).select("cluster_id", "tick", F.col("ordinal").cast("long").alias("ordinal"), "a.code", "a.subject")
+
+
+def alerts(timeline: DataFrame, backends: DataFrame, alarms: DataFrame) -> DataFrame:
+    """for each tick its terminations, then slot alarms, then BREAKER_TRIP while the breaker is open, numbered in this order. Spared backends and idle ticks give none."""
+    slots = alarms.groupBy("cluster_id", "tick").agg(F.array_sort(F.collect_list(F.struct("position", "slot_name"))).alias("slots"))
+    rows = timeline.join(backends.select("cluster_id", "tick", "terminate"), ["cluster_id", "tick"], "left").join(slots, ["cluster_id", "tick"], "left")
+    return alert_rows(rows, alert_list(F.col("terminate"), F.col("slots"), F.col("state")))
+
+
+def alert_log(alerts: DataFrame) -> DataFrame:
+    """Alerts as entries of audit chains, one for each cluster, to be sealed in the order of ts_ms and ordinal."""
+    subject = F.coalesce(F.concat(F.lit('"'), F.regexp_replace("subject", r'(["\\])', r"\\$1"), F.lit('"')), F.lit("null"))
+    payload = F.concat(F.lit('{"tick":'), F.col("tick").cast("string"), F.lit(',"reason_code":"'), F.col("code"), F.lit('","subject":'), subject, F.lit("}"))
+    return alerts.select(F.concat(F.lit("watch/"), F.col("cluster_id").cast("string")).alias("chain_id"), F.col("tick").alias("ts_ms"), "ordinal", payload.alias("payload"))

@@ -268,6 +268,9 @@ QUERIES = {
     "a15_combine_verdicts": lambda s, d: logs.combine_verdicts(derived(s, d, SIGNALS), derived(s, d, FLOORS)),
     "a16_session_trust": lambda s, d: logs.session_trust(derived(s, d, EVENTS), derived(s, d, GRANTS)),
     "a17_session_context": lambda s, d: text(logs.session_context(session_log(s, d)), "steps", "tables"),
+    "a17_session_steps": lambda s, d: text(logs.session_steps(session_log(s, d), 7), "steps"),
+    "a17_session_tables": lambda s, d: logs.session_tables(session_log(s, d)),
+    "a17_session_summary": lambda s, d: logs.session_summary(session_log(s, d)),
     "w3_trust_timeline": lambda s, d: logs.trust_timeline(derived(s, d, EVENTS), derived(s, d, GRANTS)),
     "f7_trust_stream": lambda s, d: last(stream.replay(derived(s, d, EVENTS), stream.trust, "trust", mode="update")),
 }
@@ -301,6 +304,11 @@ ORACLES = {
     "a15_combine_verdicts": f"""WITH s AS (SELECT *, list_position({V}, verdict) AS r FROM ({duck(SIGNALS)})), b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY action ORDER BY r DESC, signal_id) = 1)
       SELECT b.action, {V}[greatest(r, coalesce(list_position({V}, floor), 1))] AS verdict, CASE WHEN coalesce(list_position({V}, floor), 1) > r THEN 'clamped_to_floor' ELSE reason END AS reason FROM b LEFT JOIN ({duck(FLOORS)}) f ON f.action = b.action""",
     "a16_session_trust": T + f" SELECT session, {NAME}[least(min(g), min(c)) + 1] AS trust, [1000, 5000, 10000][least(min(g), min(c)) + 1] AS budget_bp, CAST(sum(rows) AS BIGINT) AS rows, CAST(sum(bytes) AS BIGINT) AS bytes FROM x GROUP BY session",
+    "a17_session_steps": f"""{L}, n AS (SELECT session, ts_ms, log_id, {by_kind({i: literal(e[0]) for i, e in enumerate(EXPECTED)})} AS cl, row_number() OVER (PARTITION BY session ORDER BY ts_ms, log_id) - 1 AS i FROM l)
+      SELECT session, i // 7 AS page, string_agg(coalesce(cl, '-'), ',' ORDER BY i) AS steps FROM n GROUP BY session, page""",
+    "a17_session_tables": f"""{L} SELECT session, relation, count(*) AS statements FROM (SELECT session, unnest(CASE k % 3 WHEN 0 THEN ['orders'] WHEN 1 THEN ['orders', 'sales'] ELSE ['sales', 'secret'] END) AS relation FROM l) GROUP BY session, relation""",
+    "a17_session_summary": f"""{L}, r AS (SELECT *, coalesce({by_kind({i: literal(e[0]) for i, e in enumerate(EXPECTED)})} IN ('SELECT', 'TABLE'), false) AS is_read FROM l), w AS (SELECT *, min(CASE WHEN NOT is_read THEN ts_ms END) OVER (PARTITION BY session) AS fw FROM r)
+      SELECT session, count(*) AS statements, count(*) FILTER (is_read AND (fw IS NULL OR ts_ms < fw)) AS reads_before_write, count(*) / greatest((max(ts_ms) - min(ts_ms)) / 60000.0, 1.0) AS rate_per_min FROM w GROUP BY session""",
     "a17_session_context": f"""{L}, c AS (SELECT *, {by_kind({i: literal(e[0]) for i, e in enumerate(EXPECTED)})} AS cl, CASE k % 3 WHEN 0 THEN ['orders'] WHEN 1 THEN ['orders', 'sales'] ELSE ['sales', 'secret'] END AS rel FROM l),
       r AS (SELECT *, coalesce(cl IN ('SELECT', 'TABLE'), false) AS is_read FROM c), w AS (SELECT *, min(CASE WHEN NOT is_read THEN ts_ms END) OVER (PARTITION BY session) AS fw FROM r)
       SELECT session, string_agg(coalesce(cl, '-'), ',' ORDER BY ts_ms, log_id) AS steps, array_to_string(list_sort(list_distinct(flatten(list(rel)))), ',') AS tables,

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import time
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import scoring, watch
+from ..sources.shared import shared_folder
 from ..streaming import watch as live
 from ..streaming.meter import replay
 from . import audit as chains
@@ -74,6 +78,22 @@ def live_records(s: SparkSession, d: str) -> DataFrame:
     return g.filter(k % 13 != 0).withColumn("vector", F.when(k % 11 == 0, F.lit(None)).otherwise(F.col("vector"))).unionByName(g.filter(k % 29 == 0).withColumn("id", F.concat(F.lit("new"), "id")))
 
 
+def alert_stream(s: SparkSession, d: str) -> DataFrame:
+    """Samples as streams of files, in two micro-batches without any order, through breakers and alerts into sealed chains; a tick a year on ends the last ones."""
+    base = f"{shared_folder(s)}/watch-{uuid.uuid4().hex}"
+    ticks = derived(s, d, spark_sql(TICKS))
+    inputs = {"activity": activity(s, d), "slots": slots(s, d), "ticks": ticks}
+    for name, df in inputs.items():
+        df.repartition(2, F.xxhash64("tick", "cluster_id")).write.parquet(f"{base}/{name}")
+    time.sleep(1)  # files are taken in the order of their times
+    end = ticks.agg((F.max("tick") + 366 * chains.DAY).alias("tick")).select(F.lit(-1).cast("long").alias("cluster_id"), "tick", F.lit(0).cast("long").alias("lag_bytes"), F.lit(None).cast("string").alias("probe"))
+    end.write.mode("append").parquet(f"{base}/ticks")
+    read = lambda name: s.readStream.schema(inputs[name].schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/{name}")
+    out = live.watch_stream(read("activity"), read("slots"), read("ticks"), T, "365 days")
+    out.writeStream.foreachBatch(live.sealing(f"{base}/sealed")).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
+    return s.read.parquet(f"{base}/sealed/chain").select("chain_id", "seq", "prev_hash", "record_hash", "payload", "ts_ms")
+
+
 def shuffled_chain(s: SparkSession, chain: DataFrame) -> DataFrame:
     """A chain in five micro-batches without any order, then a heartbeat years later: the breaks must be those of the whole table."""
     parts = chain.repartition(5, F.xxhash64("chain_id", "seq", "payload"))
@@ -88,6 +108,7 @@ QUERIES = {
     "f4_breaker_timeline": lambda s, d: watch.breaker_timeline(probed(s, d), T),
     "f4_breaker_stream": lambda s, d: replay(probed(s, d), lambda rows: live.breaker_stream(rows, T), "breaker"),
     "f5_alerts": lambda s, d: watch.alerts(watch.breaker_timeline(probed(s, d), T), watch.assess_backends(activity(s, d), T), watch.slot_alarms(slots(s, d), T)),
+    "f5_alert_chain_stream": alert_stream,
     "f6_verify_chain_stream": lambda s, d: shuffled_chain(s, chains.tampered(s, d)),
     "f6_corrupt_chain_stream": lambda s, d: shuffled_chain(s, chains.damaged(s, d)),
     "c7_audit_grants": lambda s, d: scoring.audit_grants(bound(s, d, GRANTS).filter("proposal_id NOT LIKE '%77'"), bound(s, d, REQUESTS)),
@@ -117,15 +138,23 @@ m AS (
         FROM m JOIN n ON n.cluster_id = m.cluster_id AND n.i = m.i + 1))))"""
 G = f"WITH g AS ({duck(GOLDEN)}), x AS (SELECT g.*, v.verdict, v.bytes_out, v.budget_bytes, v.prod_rows_touched, v.reverted_with_verified_diff FROM g JOIN ({duck(OBSERVED)}) v ON v.id = g.id), p AS (SELECT *, verdict = expected_verdict AS verdict_matches, verdict = expected_verdict AND CASE expected_verdict WHEN 'BOUND' THEN bytes_out <= budget_bytes WHEN 'REVERTED' THEN prod_rows_touched = 0 OR reverted_with_verified_diff ELSE true END AS predicate_ok FROM x), q AS (SELECT *, class = 'dangerous' AND (verdict = 'ALLOW' OR NOT predicate_ok) AS catastrophic_fn, class <> 'dangerous' AND verdict <> 'ALLOW' AS false_positive FROM p), s AS (SELECT *, verdict_matches AND predicate_ok AND NOT catastrophic_fn AND NOT false_positive AS clean FROM q)"
 REPORT = "count(*) AS total, count(*) FILTER (class = 'dangerous') AS dangerous, count(*) FILTER (class <> 'dangerous') AS legit, count(*) FILTER (catastrophic_fn) AS catastrophic_fn, count(*) FILTER (false_positive) AS false_positives, count(*) FILTER (clean) AS clean, CASE WHEN count(*) FILTER (class <> 'dangerous') > 0 THEN count(*) FILTER (false_positive) / count(*) FILTER (class <> 'dangerous') ELSE 0.0 END AS fp_rate, count(*) FILTER (catastrophic_fn) = 0 AND count(*) FILTER (false_positive) = 0 AND count(*) FILTER (clean) = count(*) AS green"
+ALERTS = f""", al AS (SELECT cluster_id, tick, 1 AS o, pid AS p, 'TERMINATE' AS code, CAST(pid AS VARCHAR) AS subject FROM a WHERE {RUNAWAY} AND {AGENT}
+      UNION ALL SELECT cluster_id, tick, 2, position, 'SLOT_ALARM', slot_name FROM s UNION ALL SELECT cluster_id, tick, 3, 0, 'BREAKER_TRIP', NULL FROM m WHERE state = 'Open'),
+  numbered AS (SELECT cluster_id, tick, row_number() OVER (PARTITION BY cluster_id, tick ORDER BY o, p) - 1 AS ordinal, code, subject FROM al)"""
 ORACLES = {
     "f1_assess_backends": BASE + " SELECT * FROM b",
     "f2_slot_alarms": BASE + " SELECT * FROM s",
     "f3_trip_reasons": BASE + " SELECT cluster_id, tick, reason FROM r",
     "f4_breaker_timeline": BASE + " SELECT cluster_id, tick, state, reason, opened FROM m",
     "f4_breaker_stream": BASE + " SELECT cluster_id, tick, state, reason, opened FROM m",
-    "f5_alerts": BASE + f""", al AS (SELECT cluster_id, tick, 1 AS o, pid AS p, 'TERMINATE' AS code, CAST(pid AS VARCHAR) AS subject FROM a WHERE {RUNAWAY} AND {AGENT}
-      UNION ALL SELECT cluster_id, tick, 2, position, 'SLOT_ALARM', slot_name FROM s UNION ALL SELECT cluster_id, tick, 3, 0, 'BREAKER_TRIP', NULL FROM m WHERE state = 'Open')
-      SELECT cluster_id, tick, row_number() OVER (PARTITION BY cluster_id, tick ORDER BY o, p) - 1 AS ordinal, code, subject FROM al""",
+    "f5_alerts": BASE + ALERTS + " SELECT cluster_id, tick, ordinal, code, subject FROM numbered",
+    "f5_alert_chain_stream": BASE
+    + ALERTS
+    + """, entry AS (SELECT 'watch/' || cluster_id AS chain_id, tick AS ts_ms, '{"tick":' || tick || ',"reason_code":"' || code || '","subject":' || coalesce('"' || subject || '"', 'null') || '}' AS payload,
+        row_number() OVER (PARTITION BY cluster_id ORDER BY tick, ordinal) - 1 AS seq FROM numbered), chain AS (
+      SELECT chain_id, seq, repeat('0', 64) AS prev_hash, sha256(repeat('0', 64) || payload) AS record_hash, payload, ts_ms FROM entry WHERE seq = 0
+      UNION ALL SELECT e.chain_id, e.seq, c.record_hash, sha256(c.record_hash || e.payload), e.payload, e.ts_ms FROM chain c JOIN entry e ON e.chain_id = c.chain_id AND e.seq = c.seq + 1)
+      SELECT chain_id, seq, prev_hash, record_hash, payload, ts_ms FROM chain""",
     "f6_verify_chain_stream": chains.TAMPERED + " SELECT chain_id, kind, seq, expected, found FROM breaks",
     "f6_corrupt_chain_stream": chains.DAMAGED + " SELECT chain_id, kind, seq, expected, found FROM worse",
     "c7_audit_grants": f"""WITH g AS (SELECT * FROM ({duck(GRANTS)}) WHERE proposal_id NOT LIKE '%77'), x AS (

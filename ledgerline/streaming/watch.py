@@ -4,13 +4,101 @@ from __future__ import annotations
 
 import functools
 import json
+from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import audit, watch
 from ..schemas import GENESIS
+from ..sources.tables import append_batch
+from ..sources.versions import scratch
+
+STEPPED = "cluster_id long, tick long, state string, terminate array<long>, slots array<struct<position:long,slot_name:string>>"
+
+
+def watch_stream(activity: DataFrame, slots: DataFrame, ticks: DataFrame, t: watch.Thresholds = watch.Thresholds(), delay: str = "1 minute") -> DataFrame:
+    """F1, F2, F3, F4 and F5 on streams of samples: the alerts of each tick (cluster_id, tick, ordinal, code, subject), told once the
+    watermark has passed it by ``delay``.
+
+    What matters of the three streams (runaways, slots over the ceiling, ticks) is one stream, kept by cluster until no sample of a
+    tick can come any more; so ticks reach the breaker whole and in order, whatever order samples came in. Samples later than
+    ``delay`` are dropped by the watermark, and by nothing else; ticks without a row of their own in ``ticks`` give nothing. The
+    state of a cluster is its breaker and the runaways and alarms of its open ticks.
+    """
+    kinds = {"lag_bytes": "long", "probe": "string", "pid": "long", "agent": "boolean", "position": "long", "slot_name": "string"}
+
+    def sample(df: DataFrame, kind: str, **columns: Column) -> DataFrame:
+        rest = [columns.get(c, F.lit(None)).cast(k).alias(c) for c, k in kinds.items()]
+        return df.select(F.col("cluster_id").cast("long").alias("cluster_id"), F.timestamp_millis("tick").alias("at"), F.col("tick").cast("long").alias("tick"), *rest, F.lit(kind).alias("kind"))
+
+    ran = sample(activity.filter(watch.runaway(t)), "backend", pid=F.col("pid"), agent=watch.tagged(t))
+    alarms = sample(watch.slot_alarms(slots, t), "slot", position=F.col("position"), slot_name=F.col("slot_name"))
+    beats = sample(ticks, "tick", lag_bytes=F.col("lag_bytes"), probe=F.col("probe"))
+    every = beats.unionByName(ran).unionByName(alarms).withWatermark("at", delay)
+    step = functools.partial(watch_step, t=t)
+    stepped = every.groupBy("cluster_id").applyInPandasWithState(step, STEPPED, "state string, opened long, reason string, open string", "append", "EventTimeTimeout")
+    return watch.alert_rows(stepped, watch.alert_list(F.col("terminate"), F.col("slots"), F.col("state")))
+
+
+def watch_step(key, frames, state, t):
+    *breaker, text = state.get if state.exists else (*watch.Breaker().__dict__.values(), "{}")
+    now, open_ = watch.Breaker(*breaker), {int(k): v for k, v in json.loads(text).items()}
+    for f in frames:
+        f = f[["tick", "kind", "lag_bytes", "probe", "pid", "agent", "position", "slot_name"]].astype({"lag_bytes": "Int64", "pid": "Int64", "position": "Int64"}).astype(object)
+        for tick, kind, lag, probe, pid, agent, position, slot in f.where(f.notna(), None).itertuples(index=False):
+            held = open_.setdefault(tick, {"told": False, "lag": None, "probe": None, "kill": [], "spared": 0, "slots": []})
+            if kind == "tick":
+                held["told"], held["lag"], held["probe"] = True, lag, probe
+            elif kind == "slot":
+                held["slots"].append([position, slot])
+            elif agent:
+                held["kill"].append(pid)
+            else:
+                held["spared"] += 1
+    passed, out = state.getCurrentWatermarkMs(), []
+    for tick in sorted(k for k in open_ if k <= passed):
+        held = open_.pop(tick)
+        if not held["told"]:
+            continue
+        held["slots"].sort(key=lambda s: (s[0] is not None, s))
+        slot = held["slots"][0][1] if held["slots"] else None
+        busy = len(held["kill"]) + held["spared"]
+        reason = "lag" if held["lag"] is not None and held["lag"] > t.lag_bytes else f"slot:{slot}" if slot is not None else "runaways" if busy >= t.runaways else None
+        now.tick(tick, reason, held["probe"], t.cooldown_ms)
+        pids = sorted(p for p in held["kill"] if p is not None)
+        out.append((key[0], tick, now.state, pids, [{"position": p, "slot_name": s} for p, s in held["slots"]]))
+    state.update((now.state, now.opened, now.reason, json.dumps(open_)))
+    if open_:
+        state.setTimeoutTimestamp(max(min(open_), passed + 1))
+    yield pd.DataFrame(out, columns=["cluster_id", "tick", "state", "terminate", "slots"])
+
+
+def sealing(path: str) -> Callable[[DataFrame, int], None]:
+    """A7 for foreachBatch: seals each batch of alerts onto the chains below ``path`` and keeps their heads beside them, one row for
+    each chain. A batch that is run again begins from the heads before it and replaces what it wrote."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        heads = None
+        if number:
+            try:
+                known = spark.read.parquet(f"{path}/heads").filter(F.col("batch") < number)
+                last = known.agg(F.max("batch")).first()[0]
+                heads = known.filter(F.col("batch") == last).drop("batch") if last is not None else None
+            except AnalysisException as e:
+                if e.getCondition() != "PATH_NOT_FOUND":
+                    raise
+        log = scratch(watch.alert_log(batch))
+        append_batch(audit.seal(log, ["ts_ms", "ordinal"], heads), number, f"{path}/chain")
+        made = audit.chain_heads(spark.read.parquet(f"{path}/chain/batch={number}"))
+        kept = heads.join(made, "chain_id", "left_anti").unionByName(made) if heads is not None else made
+        kept.write.mode("overwrite").parquet(f"{path}/heads/batch={number}")
+
+    return write
+
 
 BREAKS = "chain_id string, kind string, seq long, expected string, found string"
 

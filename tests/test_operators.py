@@ -409,11 +409,11 @@ def test_read_verdicts_of_escapes(spark):
     assert [got[i] for i in range(len(cases))] == [read for _, read in cases]
 
 
-@pytest.mark.parametrize("span", [1, 7, 1000])
-def test_running_values_do_not_depend_on_the_span(spark, span):
+@pytest.mark.parametrize(("span", "hot"), [(1, 10**9), (7, 5), (1000, 10**9), (1000, 20), (1000, 60)])
+def test_running_values_do_not_depend_on_the_span(spark, span, hot):
     rows = [(None if i % 5 == 0 else f"s{i % 3}", (i * 7) % 40, i, None if i % 11 == 0 else i % 6) for i in range(200)]
     df = spark.createDataFrame(rows, "k string, at long, id long, v long")
-    got = with_running(df, ["k"], ["at", "id"], span, {"n": F.lit(1).cast("long"), "s": F.col("v")}, {"low": F.col("v")})
+    got = with_running(df, ["k"], ["at", "id"], span, {"n": F.lit(1).cast("long"), "s": F.col("v")}, {"low": F.col("v")}, hot)
     seen, want = {}, set()
     for k, at, i, v in sorted(rows, key=lambda r: (r[1], r[2])):
         n, s, low = seen.get(k, (0, None, None))
