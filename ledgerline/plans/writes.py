@@ -436,15 +436,18 @@ def check_constraints(tables: Tables, catalog: Catalog, not_null: dict[str, list
     return functools.reduce(DataFrame.unionByName, out)
 
 
-def actual_effects(before: Tables, after: Tables, catalog: Catalog) -> DataFrame:
-    """Operation counts by comparing versions: by key where there is one, else by whole rows."""
-    from ..operators.snapshot import op_counts, snapshot_diff
+def actual_effects(before: Tables, after: Tables, catalog: Catalog, meant: Tables | None = None) -> DataFrame:
+    """Operation counts by comparing versions: by key where there is one, else by whole rows. ``meant`` holds the keys that a write
+    was meant to touch, by relation; it makes the comparison cheaper, never blind to other rows."""
+    from ..operators.snapshot import changed_rows, counted_changes, op_counts
 
     out = []
     for name in after:
         keys = catalog.keys.get(name)
-        if keys:
-            out.append(op_counts(snapshot_diff(before[name], after[name], list(keys)), name))
+        if keys and meant is not None and name in meant:
+            out.append(counted_changes(before[name], after[name], list(keys), meant[name], name))
+        elif keys:
+            out.append(op_counts(changed_rows(before[name], after[name], list(keys)), name))
         else:
             gone, came = (x.exceptAll(y).agg(F.count(F.lit(1)).alias(n)) for x, y, n in ((before[name], after[name], "del"), (after[name], before[name], "ins")))
             out.append(gone.join(came).select(F.lit(name).alias("relation"), "ins", F.lit(0).cast("long").alias("upd"), "del"))
@@ -515,7 +518,7 @@ def guarded_apply(tables: Tables, catalog: Catalog, write: Write, blast: DataFra
         new = apply_delete(tables, catalog, write.relation, write.predicate, gone)
     paths = {name: stage_path(df, f"{base}/_staged/{name}") for name, df in new.items()}
     new = {name: spark.read.schema(new[name].schema).parquet(path) for name, path in paths.items()}
-    actual = actual_effects(tables, new, catalog)
+    actual = actual_effects(tables, new, catalog, {name: images[name] for name in new if name in images})
     if write.kind == "UPDATE":  # an update that changes nothing still writes
         actual = actual.withColumn("upd", F.lit(images[write.relation].count()))
     actual = stage(actual.join(changed_bytes(tables, new, images, catalog, write), "relation", "left").withColumn("changed_bytes", F.coalesce("changed_bytes", F.lit(0))), f"{base}/_actual")

@@ -261,6 +261,8 @@ QUERIES = {
     "e2_fingerprint": lambda s, d: fingerprints(tables(s, d)),
     "e3_restore_verdict": lambda s, d: snapshot.restore_verdict(fingerprints(tables(s, d)), fingerprints(tables(s, d) | {"orders": two(s, d)[1]})),
     "e4_snapshot_diff": lambda s, d: snapshot.snapshot_diff(*two(s, d), KEY).select("o_orderkey", "change", F.array_join("changed", ",").alias("changed")),
+    "e4_changed_rows": lambda s, d: snapshot.changed_rows(*two(s, d), KEY).select("o_orderkey", "change", F.array_join("changed", ",").alias("changed")),
+    "e5_counted_changes": lambda s, d: snapshot.counted_changes(*two(s, d), KEY, two(s, d)[0].filter("o_orderkey % 3 = 0"), "orders"),
     "e5_op_counts": lambda s, d: snapshot.op_counts(snapshot.snapshot_diff(*two(s, d), KEY), "orders"),
     "e6_staleness": lambda s, d: snapshot.staleness(two(s, d)[0].filter("o_orderkey % 10 < 7"), two(s, d)[0], "o_orderkey", 2),
 }
@@ -308,6 +310,8 @@ ORACLES = {
     "e2_fingerprint": BASE + f" {print_of('c', 'customer', *C)} UNION ALL {print_of('o', 'orders', *O)} UNION ALL {print_of('l', 'lineitem', *LI)}",
     "e3_restore_verdict": "SELECT * FROM (VALUES ('customer', true), ('orders', false), ('lineitem', true)) AS v(relation, restored)",
     "e4_snapshot_diff": DIFF + " SELECT * FROM d",
+    "e4_changed_rows": DIFF + " SELECT * FROM d WHERE change <> 'SAME'",
+    "e5_counted_changes": DIFF + " SELECT 'orders' AS relation, count(*) FILTER (change = 'INSERT') AS ins, count(*) FILTER (change = 'UPDATE') AS upd, count(*) FILTER (change = 'DELETE') AS del FROM d",
     "e5_op_counts": DIFF + " SELECT 'orders' AS relation, count(*) FILTER (change = 'INSERT') AS ins, count(*) FILTER (change = 'UPDATE') AS upd, count(*) FILTER (change = 'DELETE') AS del FROM d",
     "e6_staleness": "SELECT (SELECT max(o_orderkey) FROM orders) - (SELECT max(o_orderkey) FROM orders WHERE o_orderkey % 10 < 7) AS lag, (SELECT max(o_orderkey) FROM orders) - (SELECT max(o_orderkey) FROM orders WHERE o_orderkey % 10 < 7) > 2 AS rejected",
 }
