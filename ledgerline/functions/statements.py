@@ -103,24 +103,26 @@ def is_name(token: Column) -> Column:
 
 
 def classified(t: Column) -> Column:
-    """Kind and text of one token: words in lower case, quoted names without their quotes."""
-    broken = t == "/*"
+    """Kind and text of one token, mostly told by its first character: words in lower case, quoted names without their quotes."""
+    first, longer = F.ascii(t), F.length(t) > 1
     inner = F.regexp_replace(F.substring(t, 2, 1 << 30), '"$', "")
     ascii_lower = F.translate(t, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    closed = longer & (t != "/*") & (F.instr(F.substring(t, 3, 1 << 30), "/*") == 0)
+    letter = (first >= 97) & (first <= 122) | (first >= 65) & (first <= 90) | (first == 95) | (first >= 128)
     kind = (
-        F.when(t.rlike(r"^(?:\s|--)"), "blank")
-        .when(F.startswith(t, F.lit("/*")), F.when(broken | (F.instr(F.substring(t, 3, 1 << 30), "/*") > 0), "broken").otherwise("blank"))
-        .when(t.rlike("^[eE]?'") & F.endswith(t, F.lit("'")) & (F.length(t) > 1), "literal")
-        .when(t.rlike(f"^{WORD}$"), "word")
-        .when(F.startswith(t, F.lit('"')) & (F.length(t) > 1), "quoted")
-        .when(t.rlike(r"^\$[0-9]+$"), "parameter")
-        .when(F.startswith(t, F.lit("$")) & (F.length(t) > 1), "literal")
-        .when(t.rlike(f"^{NUMBER}$"), "number")
-        .when(t.rlike(r"^(?:::|:=|[:;,.()\[\]])$"), "sign")
+        F.when(letter, F.when(F.endswith(t, F.lit("'")), "literal").otherwise("word"))
+        .when(t.isin("(", ")", "[", "]", ",", ";", ".", ":", "::", ":="), "sign")
+        .when(first == 39, F.when(longer, "literal").otherwise("broken"))
+        .when(first.between(48, 57) | (first == 46), F.when(t.rlike(f"^{NUMBER}$"), "number").otherwise("broken"))
+        .when(first == 34, F.when(longer, "quoted").otherwise("broken"))
+        .when(first == 36, F.when(~longer, "broken").when(t.rlike("^.[0-9]+$"), "parameter").otherwise("literal"))
+        .when(F.startswith(t, F.lit("--")), "blank")
+        .when(F.startswith(t, F.lit("/*")), F.when(closed, "blank").otherwise("broken"))
         .when(t.rlike(f"^[{SIGNS}]+$"), "operator")
         .otherwise("broken")
     )
-    return F.struct(kind.alias("kind"), F.when(kind == "word", ascii_lower).when(kind == "quoted", F.replace(inner, F.lit('""'), F.lit('"'))).otherwise(t).alias("text"))
+    text = F.when(letter & ~F.endswith(t, F.lit("'")), ascii_lower).when((first == 34) & longer, F.replace(inner, F.lit('""'), F.lit('"'))).otherwise(t)
+    return F.struct(kind.alias("kind"), text.alias("text"))
 
 
 def calls_nothing(t: Column, before: Column, before_that: Column) -> Column:
@@ -144,18 +146,20 @@ def tokens(sql: Column) -> Column:
     text = F.coalesce(sql, F.lit(""))
     marks = F.length(F.regexp_replace(text, r"[^\\]", "")) + F.when(text.rlike("[eE]'"), F.regexp_count(text, F.lit("''"))).otherwise(F.lit(0)) + F.regexp_count(text, F.lit('""'))
     beyond = F.array(F.struct(F.lit("broken").alias("kind"), F.lit("").alias("text")))
-    found = F.filter(F.transform(F.regexp_extract_all(text, F.lit(LEXICON), F.lit(0)), classified), lambda t: t["kind"] != "blank")
+    seen = F.filter(F.regexp_extract_all(text, F.lit(LEXICON), F.lit(0)), lambda t: ~((F.ascii(t) == 32) | (F.ascii(t) >= 9) & (F.ascii(t) <= 13)))  # without runs of blanks, half of what there is
+    found = F.filter(F.transform(seen, classified), lambda t: t["kind"] != "blank")
 
     def with_calls(ts: Column) -> Column:
         def one(t: Column, i: Column) -> Column:
             at = lambda k: F.get(ts, i + k)
-            call = is_name(t) & is_sign(at(1), "(") & ~calls_nothing(t, at(-1), at(-2))
+            bracket = is_name(t) & is_sign(at(1), "(")
+            call = bracket & (is_sign(at(-1), ".") | ~calls_nothing(t, at(-1), at(-2)))
             name = t["text"]
             dotted = F.lit(True)
             for k in (1, 3, 5):  # catalog.schema.package.name
                 dotted = dotted & is_sign(at(-k), ".") & is_name(at(-k - 1))
                 name = F.when(dotted, F.concat(at(-k - 1)["text"], F.lit("."), name)).otherwise(name)
-            return F.struct(t["kind"].alias("kind"), t["text"].alias("text"), F.when(call | is_name(t) & is_sign(at(1), "(") & is_sign(at(-1), "."), name).alias("call"), is_sign(at(-1), ".").alias("qualified"))
+            return F.struct(t["kind"].alias("kind"), t["text"].alias("text"), F.when(call, name).alias("call"), is_sign(at(-1), ".").alias("qualified"))
 
         return F.transform(ts, one)
 
@@ -245,18 +249,16 @@ def read_verdict(sql: Column, ts: Column, allowed: list[str]) -> Column:
     """Struct of is_read and reason; what is not shown to be a read is none. ``ts`` are the text's tokens."""
     broken = F.exists(ts, lambda t: t["kind"] == "broken")
     statements = F.size(F.filter(F.transform(ts, lambda t, i: ~is_sign(t, ";") & ((i == 0) | is_sign(F.get(ts, i - 1), ";"))), lambda x: x))
-    word = statement_word(ts, F.lit(0))
-    reason = (
-        F.when(sql.isNull() | broken | ~brackets_hold(ts), "parse_failed")
-        .when(statements == 0, "empty_statement")
-        .when(statements > 1, "stacked_statement")
-        .when(hidden_write(ts) | calls_beyond(ts, allowed), "write_on_readonly")
-        .when(word == "explain", F.when(explain_is_read(ts), "read").otherwise("write_on_readonly"))
+    by_word = lambda word: (
+        F.when(word == "explain", F.when(explain_is_read(ts), "read").otherwise("write_on_readonly"))
         .when(word.isin(READS), "read")
         .when(word.isNull(), "parse_failed")
         .otherwise("write_on_readonly")
     )
-    return F.struct((reason == "read").alias("is_read"), F.nullif(reason, F.lit("read")).alias("reason"))
+    one = F.when(hidden_write(ts) | calls_beyond(ts, allowed), "write_on_readonly").otherwise(let(statement_word(ts, F.lit(0)), by_word))
+    of_number = let(statements, lambda n: F.when(n == 0, "empty_statement").when(n > 1, "stacked_statement").otherwise(one))
+    reason = F.when(sql.isNull() | broken | ~brackets_hold(ts), "parse_failed").otherwise(of_number)
+    return let(reason, lambda r: F.struct((r == "read").alias("is_read"), F.nullif(r, F.lit("read")).alias("reason")))
 
 
 def plan_estimate(line: Column) -> Column:

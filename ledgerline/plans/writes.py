@@ -422,7 +422,7 @@ def route_preimages(rows: DataFrame, plan: DataFrame, target: str) -> DataFrame:
 
 
 def revert_report(restored: DataFrame, plan: DataFrame) -> DataFrame:
-    """Restored rows (relation) counted in the plan's order, 0 where there are none, with the running total."""
+    """Restored rows (relation) counted in the plan's order, 0 where there are none."""
     counts = restored.groupBy("relation").agg(F.count(F.lit(1)).alias("restored"))
     return plan.select("relation", "fk_order").join(counts, "relation", "left").select("relation", "fk_order", F.coalesce("restored", F.lit(0)).alias("restored"))
 

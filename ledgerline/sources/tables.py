@@ -41,6 +41,16 @@ def read_golden(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(GOLDEN).option("multiLine", True).json(path)
 
 
+def write_golden(rows: DataFrame, path: str, rows_in_file: int = 10_000) -> None:
+    """S4, the other way: files of one JSON array each, as ``read_golden`` reads them. Rows are dealt by a hash over as many files as
+    ``rows_in_file`` calls for, so a file stays small however many rows there are."""
+    files = max(1, -(-rows.count() // rows_in_file))
+    dealt = rows.select(F.pmod(F.xxhash64(*rows.columns), F.lit(files)).alias("_file"), F.struct("*").alias("_row"))
+    arrays = dealt.groupBy("_file").agg(F.to_json(F.collect_list("_row")).alias("value"))
+    # Each row is a file's whole text: a task writes its rows one after another, each to a file of its own.
+    arrays.select("value").write.option("maxRecordsPerFile", 1).text(path)
+
+
 def read_allowed(spark: SparkSession, folder: str, role: str, relations: list[str], policy: DataFrame) -> dict[str, DataFrame]:
     """The tables that the role's list allows; an unknown role or an empty list allows none."""
     listed = policy.filter(F.col("role") == role).select(F.explode("select_whitelist").alias("relation")).filter(F.col("relation").isin(relations))

@@ -15,6 +15,7 @@ from ..operators import audit, watch
 from ..schemas import GENESIS
 from ..sources.tables import append_batch
 from ..sources.versions import scratch
+from .meter import in_order
 
 STEPPED = "cluster_id long, tick long, state string, terminate array<long>, slots array<struct<position:long,slot_name:string>>"
 
@@ -112,8 +113,7 @@ def breaker_stream(ticks: DataFrame, t: watch.Thresholds = watch.Thresholds()) -
 
 def breaker_step(key, frames, state, cooldown_ms):
     now = watch.Breaker(*state.get) if state.exists else watch.Breaker()
-    rows = pd.concat(list(frames))
-    if len(rows):
+    for rows in in_order(frames, ["tick"]):
         yield watch.breaker_fold(rows, now, cooldown_ms)
     state.update((now.state, now.opened, now.reason))
 
