@@ -154,7 +154,15 @@ GENERAL = [
     ("government-work", r"this is a work of the (?:u\.s\. |united states )government", "government", 40, 0.7),
 ]
 GRANTED = "licensed licenced released distributed available provided published covered".split()
-GRANT = r"(?:licen[cs]ed|released|distributed|available|provided|published|covered) (?:under|by) (?:the )?(?:terms (?:and conditions )?of )?(?:the )?"
+#: A grant "under" a name is enough; one "by" it is a license only with that word, since many names are organisations' too.
+GRANTS = {way: rf"(?:{'|'.join(v.replace('licenced', 'licen[cs]ed') for v in GRANTED if v != 'licensed')}) {way} (?:the )?(?:terms (?:and conditions )?of )?(?:the )?" for way in ("under", "by")}
+#: What may not follow a name: more of a word, or of a version number.
+ENDS = r"(?![\w-]|\.\d)"
+#: Names that are products as well: alone they are no license.
+PRODUCTS = {
+    "apache-1.1": r"apache(?: software)? licen[cs]e,? (?:version|v\.?)? ?1\.1",
+    "apache-2.0": r"(?:apache(?: software)? licen[cs]e,? (?:version|v\.?)? ?2(?:\.0)?|apache,? (?:version|v\.?)? ?2(?:\.0)? licen[cs]e)",
+}
 DETECTION = "array<struct<start:bigint,back:bigint,priority:int,label:string,strength:double>>"
 
 
@@ -167,12 +175,15 @@ def rules() -> list[tuple[str, str, str, int, float]]:
     """(label, expression, keywords, priority, strength) of all rules, best priority first."""
     out = [(label, spaced(p), keyword, priority, strength) for label, p, keyword, priority, strength in GENERAL]
     for label, name, spdx, keyword, address in LICENSES:
+        alone = spaced(PRODUCTS.get(label, name))
         name = spaced(name)
+        more = r"(?:[\s-]+(?:public[\s-]+)?licen[cs]e)"
         out += [
             (label, rf"spdx-licen[cs]e-identifier:\s*{spdx.lower().replace('.', '[.]')}(?:-only|-or-later|\+)?(?![\w.-])", "spdx-licen", 10, 0.99),
             (label, rf"(?:https?://)?(?:www\.)?{address}", address.split("/")[0].replace("\\", ""), 20, 0.9),
-            (label, rf"{spaced(GRANT)}{name}(?:[\s-]+(?:public[\s-]+)?licen[cs]e)?(?![\w-])", keyword, 30, 0.95),
-            (label, rf"(?<![\w-]){name}[\s-]+licen[cs]e(?![\w-])" if "licen" not in name else rf"(?<![\w-]){name}(?![\w-])", keyword, 50, 0.6),
+            (label, rf"{spaced(GRANTS['under'])}{name}{more}?{ENDS}", keyword, 30, 0.95),
+            (label, rf"{spaced(GRANTS['by'])}{name}{more}{ENDS}" if "licen" not in name else rf"{spaced(GRANTS['by'])}{alone}{more}?{ENDS}", keyword, 30, 0.95),
+            (label, rf"(?<![\w-]){name}[\s-]+licen[cs]e(?![\w-])" if "licen" not in name else rf"(?<![\w-]){alone}{ENDS}", keyword, 50, 0.6),
         ]
     return sorted(out, key=lambda r: (r[3], r[0], r[1]))
 
@@ -209,7 +220,8 @@ def rule_matches(text: Column, rule: Column) -> Column:
         one = F.array(F.struct(start.alias("start"), (-end).alias("back"), rule["priority"].alias("priority"), rule["label"].alias("label"), rule["strength"].alias("strength")))
         return F.struct(end.alias("at"), F.when(p["hit"].isNotNull(), F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
 
-    return F.aggregate(pieces, begin, step, lambda acc: acc["out"])
+    # Most rules that are tried match nothing, which one search tells.
+    return F.when(F.regexp_like(text, rule["pattern"]), F.aggregate(pieces, begin, step, lambda acc: acc["out"])).otherwise(F.array().cast(DETECTION))
 
 
 def folded(low: Column) -> Column:
@@ -219,8 +231,9 @@ def folded(low: Column) -> Column:
 
 def also(pattern: str) -> str:
     """What else each match holds besides a keyword, once folded: the first words of a grant, or the last one of a title."""
-    if pattern.startswith(spaced(GRANT)):
-        return "|".join(f"{verb} {by} " for verb in GRANTED for by in ("under", "by"))
+    for way, grant in GRANTS.items():
+        if pattern.startswith(spaced(grant)):
+            return "|".join(f"{verb} {way} " for verb in GRANTED)
     return "licen" if pattern.endswith(r"[\s-]+licen[cs]e(?![\w-])") else ""  # elsewhere the word may be one of several ways
 
 

@@ -68,3 +68,14 @@ def test_every_rule_without_gates(spark):
         assert got[i]["labels"] == labels, x
         assert got[i]["score"] == pytest.approx(score), x
     assert all(got[i]["labels"] for i in range(len(PLAIN) - 1)) and not got[len(PLAIN) - 1]["labels"]
+
+
+def test_names_of_organisations_and_other_versions_are_no_licenses(spark):
+    texts = [
+        "The course is provided by MIT and Harvard.", "published by MIT Press in 2020", "distributed by ISC", "We run Apache 2.4.1 on Linux", "We run Apache 2 on Linux", "upgrade to GPL 2.1 rules",
+        "provided by the Unicode Consortium", "maintained and published by Ruby developers",
+        "released under MIT", "Provided by the MIT license", "distributed under the Apache License, Version 2.0", "Apache 2.0 License", "licensed under Apache 2.0.", "released by us under GPL 2.0.", "covered by the GNU GPL v3",
+    ]
+    want = ["", "", "", "", "", "", "", "", "mit", "mit", "apache-2.0", "apache-2.0", "apache-2.0", "gpl-2.0", "gpl-3.0"]
+    got = {r["doc_id"]: r["labels"] for r in rows(licenses.scan(frame(spark, texts)))}
+    assert [got[i] for i in range(len(texts))] == want
