@@ -8,8 +8,6 @@ import operator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.versions import scratch
-
 
 def parity(a: DataFrame, b: DataFrame) -> DataFrame:
     """Rows of a that b lacks (missing) and the reverse (extra); order and repetition do not count."""
@@ -69,8 +67,8 @@ def leaf(keys: list[str]) -> Column:
 def leaf_digests(df: DataFrame, keys: list[str], sign: int = 1) -> DataFrame:
     """leaf, n, d0 to d3: for each leaf of the key space the rows in it and the sums of their 128-bit digests, in quarters.
 
-    Sums of digests do not depend on order, count repeated rows, and can be added and taken away (``sign``): what is left of a table
-    without some of its rows has the table's digests less theirs. Tasks add up before anything is shuffled: some thousand rows each.
+    Sums of digests do not depend on order, count repeated rows, and can be taken from each other (``sign``). Tasks add up before
+    anything is shuffled: some thousand rows each.
     """
     columns = [F.xxhash64(F.lit(seed), *[F.col(c) for c in sorted(df.columns)], *[F.col(c).isNull() for c in sorted(df.columns)]) for seed in (1, 2)]
     rows = df.select(leaf(keys).alias("leaf"), *[c.alias(f"h{i}") for i, c in enumerate(columns)])
@@ -78,36 +76,32 @@ def leaf_digests(df: DataFrame, keys: list[str], sign: int = 1) -> DataFrame:
     return rows.groupBy("leaf").agg((F.count(F.lit(1)) * sign).alias("n"), *[(F.sum(x) * sign).alias(f"d{i}") for i, x in enumerate(half)])
 
 
-def differing_leaves(parts: list[DataFrame]) -> DataFrame:
-    """The leaves whose digests, all ``parts`` added up, aren't zero: at most ``LEAVES`` rows."""
+def differing_leaves(a: DataFrame, b: DataFrame, keys: list[str]) -> list[int]:
+    """The leaves whose digests differ between two versions: at most ``LEAVES`` numbers."""
     names = ["n", *[f"d{i}" for i in range(4)]]
-    total = functools.reduce(DataFrame.unionByName, parts).groupBy("leaf").agg(*[F.sum(c).alias(c) for c in names])
-    return total.filter(functools.reduce(operator.or_, [F.col(c) != 0 for c in names])).select(F.col("leaf").alias("_leaf"))
-
-
-def in_leaves(df: DataFrame, keys: list[str], leaves: DataFrame) -> DataFrame:
-    return df.join(F.broadcast(leaves), leaf(keys) == F.col("_leaf"), "left_semi")
+    total = leaf_digests(a, keys).unionByName(leaf_digests(b, keys, -1)).groupBy("leaf").agg(*[F.sum(c).alias(c) for c in names])
+    return [r["leaf"] for r in total.filter(functools.reduce(operator.or_, [F.col(c) != 0 for c in names])).select("leaf").collect()]
 
 
 def changed_rows(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     """E4 without the rows that are the same: digests are compared first, and only rows in leaves that differ are joined."""
-    dirty = scratch(differing_leaves([leaf_digests(a, keys), leaf_digests(b.select(a.columns), keys, -1)]))
-    return snapshot_diff(in_leaves(a, keys, dirty), in_leaves(b, keys, dirty), keys).filter("change <> 'SAME'")
+    b = b.select(a.columns)
+    dirty = leaf(keys).isin(differing_leaves(a, b, keys))
+    return snapshot_diff(a.filter(dirty), b.filter(dirty), keys).filter("change <> 'SAME'")
 
 
 def counted_changes(a: DataFrame, b: DataFrame, keys: list[str], touched: DataFrame, relation: str) -> DataFrame:
     """E5 of two versions, given the keys that a write was meant to touch: those are compared row by row, all others by their leaves'
-    digests, less the digests of the touched rows; where these differ, the leaf's rows are compared too. So nothing that was written
-    beside the meant keys is missed, and where nothing was no table is joined with the other."""
-    meant = touched.select(*keys).distinct()
-    old, new = (scratch(x.join(meant, keys, "left_semi").select(a.columns)) for x in (a, b))
-    dirty = scratch(differing_leaves([leaf_digests(a, keys), leaf_digests(old, keys, -1), leaf_digests(b.select(a.columns), keys, -1), leaf_digests(new, keys)]))
-    counts = op_counts(snapshot_diff(old, new, keys), relation)
-    if dirty.isEmpty():
+    digests, and where these differ, the leaf's rows are compared too. So nothing that was written beside the meant keys is missed,
+    and where nothing was, no table is joined with the other."""
+    b, meant = b.select(a.columns), touched.select(*keys)
+    counts = op_counts(snapshot_diff(*[x.join(meant, keys, "left_semi").select(a.columns) for x in (a, b)], keys), relation)
+    beside = [x.join(meant, keys, "left_anti").select(a.columns) for x in (a, b)]
+    dirty = differing_leaves(*beside, keys)
+    if not dirty:
         return counts
-    beside = [in_leaves(x, keys, dirty).join(meant, keys, "left_anti").select(a.columns) for x in (a, b)]
-    both = counts.unionByName(op_counts(snapshot_diff(*beside, keys), relation))
-    return both.groupBy("relation").agg(*[F.sum(c).alias(c) for c in ("ins", "upd", "del")])
+    more = op_counts(snapshot_diff(*[x.filter(leaf(keys).isin(dirty)) for x in beside], keys), relation)
+    return counts.unionByName(more).groupBy("relation").agg(*[F.sum(c).alias(c) for c in ("ins", "upd", "del")])
 
 
 def op_counts(diff: DataFrame, relation: str) -> DataFrame:
