@@ -9,13 +9,16 @@ one class from the start.
    elsewhere too, so most documents leave here. Shortened hashes can only make a token look more frequent, never lose it.
 2. Candidates. The classes that are left order their tokens by frequency, rarest first. Two linked sets share a token among
    the first |A| - ceil(percent of |A|) + 1 of each (prefix filter), so classes that share such a token are candidates, and
-   classes that candidates connect are a family.
+   classes that candidates connect are a family. A token's place bounds what two sets that meet there first can share (positional
+   filter): each class has, at each token, a reach, the size of the largest set that it can link with there. Rows whose reach is
+   below every size at their token, or whose size is above every reach, leave. So texts of one template, each with its own words
+   in it, that share tokens but cannot link are no family.
 3. Groups. A family is split, by hash, into groups of a bounded number of sets and bytes; the members of a group are compared
    exactly, by products of their token incidence. One member of each component found goes on to the next round, until a
    round ends in one group or joins little. A family of near copies shrinks by the group's size in each round.
 4. The matrix. Candidates that still lie in different components are put into groups again: large components by themselves, the
-   rest of a family by the rarest token that each shares, so that similar sets lie together. Groups that share a prefix token are
-   a pair, whatever rounds joined before; a member's overlap with the other group's token union bounds its overlap with every
+   rest of a family by the rarest token that each shares, so that similar sets lie together. Groups that share a prefix token, with
+   members of like size within each other's reach there, are a pair, whatever rounds joined before; a member's overlap with the other group's token union bounds its overlap with every
    member there, and only members that reach ``percent`` of their own size open the group and are compared exactly.
 5. Components, by alternating star contraction on a spanning forest of the links, written out after each round.
 
@@ -37,7 +40,7 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import mix64, resident, salted_join, saved, slices, small_batches, text_bytes, trim
@@ -49,6 +52,8 @@ KEPT, LONGEST_KEPT = 150_000, 64
 CHUNK, CHUNK_DOCUMENTS, RANGE_BYTES, GROUP_BYTES, SLOT_BYTES = 500_000, 60_000, 8 << 20, 8 << 20, 4 << 20
 #: Rounds end when more than this share of the members of split families is left after one.
 LEAST_PROGRESS = 0.8
+#: Bands of sizes, each as wide as linked sizes may lie apart, are cut into so many steps where reaches are compared.
+STEPS = 6
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 PARTS = "chunk long, part int, tokens binary, owners binary, classes binary, unnamed binary"
 
@@ -100,6 +105,12 @@ def least_overlap(n: np.ndarray, percent: int) -> np.ndarray:
     return -(-percent * n // 100)
 
 
+def reach(percent: int) -> Column:
+    """The size of the largest set that a set of ``n_shingles`` tokens can link with, if the first token that both hold is the one at
+    ``place`` (from 0, rarest first) here: that many tokens from it on are the most that they share."""
+    return F.expr(f"(({100 + percent} * (n_shingles - place)) div {percent}) - n_shingles")
+
+
 def ranges_of(tokens: np.ndarray, ranges: int) -> tuple[np.ndarray, np.ndarray]:
     """The hash range of each token, and 40 bits that tell it from others there."""
     k = np.uint64(ranges)
@@ -318,7 +329,7 @@ def compare_rounds(members: DataFrame, families: DataFrame, percent: int) -> Dat
 
 def compare_pairs(members: DataFrame, shared: DataFrame, families: DataFrame, joined: DataFrame, percent: int) -> DataFrame:
     """Links between candidates that ``joined`` leaves in different components, by the token-group matrix."""
-    placed = shared.join(joined, F.col("class_id") == F.col("node"), "left").select("token", "class_id", "n_shingles", "n", F.coalesce("component", "class_id").alias("component"))
+    placed = shared.join(joined, F.col("class_id") == F.col("node"), "left").select("token", "class_id", "n_shingles", "reach", "n", F.coalesce("component", "class_id").alias("component"))
     open_ = placed.groupBy("token").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a < b").select("token")
     live = saved(salted_join(placed, open_, "token", "class_id", "inner"), "live")
     # Linked sizes lie in one band or in neighbouring ones; a class's rarest shared token, its anchor, brings it beside similar ones.
@@ -336,11 +347,14 @@ def compare_pairs(members: DataFrame, shared: DataFrame, families: DataFrame, jo
     groups = salted_join(each, sizes, "kin", "class_id", "inner").select("class_id", "component", "band", F.xxhash64("kin", F.pmod(F.xxhash64("class_id"), "split")).alias("group"))
     groups = saved(groups, "groups")
     whole = groups.groupBy("group", "band").agg(F.min("component").alias("a"), F.max("component").alias("b")).select("group", "band", F.when(F.col("a") == F.col("b"), F.col("a")).alias("only"))
-    met = live.select("token", "class_id").join(groups.select("class_id", "group"), "class_id").select("token", "group").distinct().join(whole, "group")
-    met = saved(met, "met")
+    step = F.floor(STEPS * F.log(F.col("n_shingles").cast("double")) / math.log(100 / percent))
+    met = live.select("token", "class_id", "n_shingles", "reach", step.alias("step")).join(groups.select("class_id", "group"), "class_id")
+    met = met.groupBy("token", "group", "step").agg(F.min("n_shingles").alias("size"), F.max("reach").alias("reach")).drop("step")
+    met = saved(met.join(whole, "group"), "met")
     a, b = met.alias("a"), met.alias("b")
     apart = F.col("a.only").isNull() | F.col("b.only").isNull() | (F.col("a.only") != F.col("b.only"))
-    pairs = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.group") < F.col("b.group")) & apart & (F.abs(F.col("a.band") - F.col("b.band")) <= 1))
+    near = (F.abs(F.col("a.band") - F.col("b.band")) <= 1) & (F.col("a.size") <= F.col("b.reach")) & (F.col("b.size") <= F.col("a.reach"))
+    pairs = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.group") < F.col("b.group")) & apart & near)
     pairs = pairs.select(F.col("a.group").alias("one"), F.col("b.group").alias("two")).distinct()
     pairs = saved(pairs.unionByName(whole.filter("only is null").select(F.col("group").alias("one"), F.col("group").alias("two"))), "pairs")
     held = saved(members.join(groups, "class_id").select("group", "class_id", "tokens"), "held")
@@ -386,19 +400,22 @@ def join(documents: DataFrame, width: int = 3, percent: int = 90, small_bytes: i
                 if class_of(tokens) == name:  # another row of this id may have another text
                     frequency = np.frombuffer(code, np.uint8)
                     first = np.lexsort((tokens, frequency))[: len(tokens) - int(least_overlap(len(tokens), percent)) + 1]
-                    out.append((name, len(tokens), tokens.tobytes(), tokens[first[frequency[first] > 1]].view(np.int64).tolist()))
+                    places = np.flatnonzero(frequency[first] > 1)
+                    out.append((name, len(tokens), tokens.tobytes(), tokens[first[places]].view(np.int64).tolist(), places.tolist()))
             if out:
-                kinds = (pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["class_id", "n_shingles", "tokens", "prefix"])
+                kinds = (pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["class_id", "n_shingles", "tokens", "prefix", "places"])
         trim()
 
     texts = docs.join(wanted, "doc_id").select("class_id", "text", "codes")
-    members = texts.mapInArrow(again, "class_id long, n_shingles long, tokens binary, prefix array<long>")
+    members = texts.mapInArrow(again, "class_id long, n_shingles long, tokens binary, prefix array<long>, places array<int>")
     members = saved(members.dropDuplicates(["class_id"]), "members")  # repeated rows of one id
 
-    held = members.select(F.explode("prefix").alias("token"), "class_id", "n_shingles")
-    several = held.groupBy("token").agg(F.min("class_id").alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    shared = saved(salted_join(held, several, "token", "class_id", "inner").select("token", "class_id", "n_shingles", "least", "n"), "shared")
+    held = members.select(F.explode(F.arrays_zip("prefix", "places")).alias("at"), "class_id", "n_shingles")
+    held = held.select(F.col("at.prefix").alias("token"), "class_id", "n_shingles", F.col("at.places").alias("place")).select("token", "class_id", "n_shingles", reach(percent).alias("reach"))
+    several = held.groupBy("token").agg(F.min("class_id").alias("least"), F.count(F.lit(1)).alias("n"), F.min("n_shingles").alias("low"), F.max("reach").alias("far")).filter("n > 1 and far >= low")
+    shared = salted_join(held, several, "token", "class_id", "inner").filter("reach >= low and n_shingles <= far")
+    shared = saved(shared.select("token", "class_id", "n_shingles", "reach", "least", "n"), "shared")
     families = components(shared.select(F.col("class_id").alias("x"), F.col("least").alias("y")).filter("x <> y").distinct())
     first = members.select("class_id", "n_shingles").join(families.unionByName(families.select(F.col("component").alias("node"), "component")).distinct(), F.col("class_id") == F.col("node"))
     families = saved(first.select("class_id", "n_shingles", F.col("component").alias("family")), "families")

@@ -4,10 +4,11 @@ Features of a text: densities of lexicon words (fixed lists of insults, and a we
 the labelled sample shows to mark the label), hits close to a second person, shares of capitals, punctuation marks and symbols, and hits that only appear when
 look-alike characters are undone. The trees are fitted on one part of the sample and calibrated on the rest.
 
-The sample holds at most about ``max_labelled`` labelled rows, chosen by a hash of the id; each document is scored.
+The sample holds at most about ``max_labelled`` labelled rows, chosen by a hash of the id; of an id's rows it takes one for each
+label, the one whose text has the smallest hash. Each document is scored.
 Null and empty texts have zero features and get the score that these have. With no labelled rows the score is 0; with one
 class only, it is that class. Labels that are null or belong to no document are left out; repeated rows are scored alike; a
-document with several label rows counts for each of them. Extra columns are ignored.
+document with labels of both kinds counts for each of them. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -121,7 +122,9 @@ def score(
     marked = marked.filter(F.col("label").isin(0.0, 1.0) & (id_crc() % folds != held)).distinct()  # two rows an id at most
     share = min(1.0, max_labelled / max(1, marked.count()))
     marked = marked.filter(F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 20)) < F.lit(int(share * (1 << 20))))
-    sample = saved(docs.join(F.broadcast(marked), "doc_id").select("label", "text", "doc_id"), "labelled")  # about max_labelled rows at most
+    # One row for each id and label, however many rows an id has, so the sample is no larger than the marks.
+    named = docs.join(F.broadcast(marked), "doc_id").groupBy("doc_id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    sample = saved(named.select("label", "text", "doc_id"), "labelled")
     counts = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
     held_out = (F.col("fold") == held).alias("held_out")
     if len(counts) < 2:
