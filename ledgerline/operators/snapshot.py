@@ -8,6 +8,9 @@ import operator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.encode import tree
+from ..sources.versions import scratch
+
 
 def parity(a: DataFrame, b: DataFrame) -> DataFrame:
     """Rows of a that b lacks (missing) and the reverse (extra); order and repetition do not count."""
@@ -20,18 +23,16 @@ def is_parity(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def row_text(df: DataFrame) -> Column:
     """A row's values with bars between them; backslashes and bars inside are escaped and nulls are told from texts."""
-    one = lambda c: F.coalesce(F.concat(F.lit("="), F.regexp_replace(F.col(c).cast("string"), r"([\\|])", r"\\$1")), F.lit("~"))
+    plain = {c for c, kind in df.dtypes if kind in ("tinyint", "smallint", "int", "bigint", "float", "double", "boolean")}  # no text of theirs has a bar
+    text = lambda c: F.col(c).cast("string") if c in plain else F.regexp_replace(F.col(c).cast("string"), r"([\\|])", r"\\$1")
+    one = lambda c: F.coalesce(F.concat(F.lit("="), text(c)), F.lit("~"))
     return F.concat_ws("|", *[one(c) for c in df.columns])
 
 
 def fingerprint(df: DataFrame, relation: str) -> DataFrame:
     """(relation, digest, n_rows) of whole rows, whatever their order. Equal rows are counted first; groups by six, then by three
     hex digits of the row's digest keep every list short."""
-    rows = df.select(F.md5(row_text(df)).alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n"))
-    row = F.concat_ws("x", "h", F.col("n").cast("string"))
-    small = rows.groupBy(F.substring("h", 1, 6).alias("s")).agg(F.md5(F.concat_ws(",", F.sort_array(F.collect_list(row)))).alias("d"), F.sum("n").alias("n"))
-    part = F.concat_ws(",", F.transform(F.array_sort(F.collect_list(F.struct("s", "d"))), lambda x: x["d"]))
-    parts = small.groupBy(F.substring("s", 1, 3).alias("p")).agg(F.md5(part).alias("d"), F.sum("n").alias("n"))
+    parts = tree(df.select(F.md5(row_text(df)).alias("h")), "md5", "x", ",").withColumnRenamed("b", "p")
     whole = parts.agg(F.md5(F.concat_ws(",", F.transform(F.array_sort(F.collect_list(F.struct("p", "d"))), lambda x: x["d"]))).alias("digest"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"))
     return whole.select(F.lit(relation).alias("relation"), "digest", "n_rows")
 
@@ -76,31 +77,35 @@ def leaf_digests(df: DataFrame, keys: list[str], sign: int = 1) -> DataFrame:
     return rows.groupBy("leaf").agg((F.count(F.lit(1)) * sign).alias("n"), *[(F.sum(x) * sign).alias(f"d{i}") for i, x in enumerate(half)])
 
 
-def differing_leaves(a: DataFrame, b: DataFrame, keys: list[str]) -> list[int]:
-    """The leaves whose digests differ between two versions: at most ``LEAVES`` numbers."""
+def differing_leaves(a: list[DataFrame], b: list[DataFrame], keys: list[str]) -> list[int]:
+    """The leaves whose digests differ between two versions: at most ``LEAVES`` numbers. Each version is a table, and tables of rows
+    that are to be taken away from it."""
     names = ["n", *[f"d{i}" for i in range(4)]]
-    total = leaf_digests(a, keys).unionByName(leaf_digests(b, keys, -1)).groupBy("leaf").agg(*[F.sum(c).alias(c) for c in names])
+    signed = [(df, sign if i == 0 else -sign) for version, sign in ((a, 1), (b, -1)) for i, df in enumerate(version)]
+    every = functools.reduce(DataFrame.unionByName, [leaf_digests(df, keys, sign) for df, sign in signed])
+    total = every.groupBy("leaf").agg(*[F.sum(c).alias(c) for c in names])
     return [r["leaf"] for r in total.filter(functools.reduce(operator.or_, [F.col(c) != 0 for c in names])).select("leaf").collect()]
 
 
 def changed_rows(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     """E4 without the rows that are the same: digests are compared first, and only rows in leaves that differ are joined."""
     b = b.select(a.columns)
-    dirty = leaf(keys).isin(differing_leaves(a, b, keys))
+    dirty = leaf(keys).isin(differing_leaves([a], [b], keys))
     return snapshot_diff(a.filter(dirty), b.filter(dirty), keys).filter("change <> 'SAME'")
 
 
 def counted_changes(a: DataFrame, b: DataFrame, keys: list[str], touched: DataFrame, relation: str) -> DataFrame:
     """E5 of two versions, given the keys that a write was meant to touch: those are compared row by row, all others by their leaves'
-    digests, and where these differ, the leaf's rows are compared too. So nothing that was written beside the meant keys is missed,
-    and where nothing was, no table is joined with the other."""
+    digests (a version's, less those of its meant rows), and where these differ, the leaf's rows are compared too. So nothing that was
+    written beside the meant keys is missed, and where nothing was, no table is joined with the other."""
     b, meant = b.select(a.columns), touched.select(*keys)
-    counts = op_counts(snapshot_diff(*[x.join(meant, keys, "left_semi").select(a.columns) for x in (a, b)], keys), relation)
-    beside = [x.join(meant, keys, "left_anti").select(a.columns) for x in (a, b)]
-    dirty = differing_leaves(*beside, keys)
+    hit = [scratch(x.join(meant, keys, "left_semi").select(a.columns)) for x in (a, b)]
+    counts = op_counts(snapshot_diff(*hit, keys), relation)
+    dirty = differing_leaves([a, hit[0]], [b, hit[1]], keys)
     if not dirty:
         return counts
-    more = op_counts(snapshot_diff(*[x.filter(leaf(keys).isin(dirty)) for x in beside], keys), relation)
+    beside = [x.filter(leaf(keys).isin(dirty)).join(meant, keys, "left_anti").select(a.columns) for x in (a, b)]
+    more = op_counts(snapshot_diff(*beside, keys), relation)
     return counts.unionByName(more).groupBy("relation").agg(*[F.sum(c).alias(c) for c in ("ins", "upd", "del")])
 
 
